@@ -33,116 +33,84 @@ def _left(text: Column, drop: str) -> Column:
     return F.length(F.regexp_replace(text, drop, "")).cast("long")
 
 
-def _times(found: Column, word: str) -> Column:
-    return F.size(F.filter(found, lambda x: x == word)).cast("long")
+def _marked(places: Column, n: int) -> Column:
+    """Words covered by n-word windows at the given ascending places."""
+    step = F.transform(places, lambda p, i: F.least(F.lit(n), F.coalesce(F.get(places, i + 1) - p, F.lit(n))))
+    return F.aggregate(step, F.lit(0), lambda a, x: a + x)
 
 
-def repeat_words(words: Column) -> Column:
-    """Words inside 5-word windows that occur at least twice in the array."""
+def _repeated(windows: Column) -> Column:
+    """Ascending places of the window hashes that stand in the array more than once."""
 
-    n = 5
-
-    def marked(hashes):
-        def spread(places):
-            step = F.transform(
-                places,
-                lambda p, i: F.when(
-                    i + 1 < F.size(places), F.least(F.lit(n), F.get(places, i + 1) - p)
-                ).otherwise(F.lit(n)),
-            )
-            return F.aggregate(step, F.lit(0), lambda a, x: a + x)
+    def neighbours(pairs):
+        same = lambda p, i: F.coalesce(F.get(pairs, i)["h"] == p["h"], F.lit(False))
+        return F.filter(pairs, lambda p, i: same(p, i - 1) | same(p, i + 1))
 
-        def neighbours(pairs):
-            same = lambda i, j: F.get(pairs, i)["h"] == F.get(pairs, j)["h"]
-            kept = F.filter(
-                pairs,
-                lambda p, i: ((i > 0) & same(i, i - 1)) | ((i + 1 < F.size(pairs)) & same(i, i + 1)),
-            )
-            return let(F.sort_array(F.transform(kept, lambda p: p["i"])), spread)
-
-        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(pairs, neighbours))
-
-    def windows(one):
-        # a pair at i, two pairs at i, then the fifth word: each step is a zip, without index lookups
-        hashed = lambda a, b: F.xxhash64(a, b)
-        pairs = lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), hashed)
-        fours = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 2), F.slice(p, 3, F.size(p) - 2), hashed)
-        return let(
-            let(pairs(one), fours),
-            lambda q: F.zip_with(F.slice(q, 1, F.size(q) - 1), F.slice(one, 5, F.size(one) - 4), hashed),
-        )
-
-    def counted(ws):
-        single = F.transform(ws, lambda w: F.xxhash64(w))
-        return F.when(F.size(ws) < n + 1, F.lit(0)).otherwise(let(single, lambda one: let(windows(one), marked)))
-
-    return let(words, counted)
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.sort_array(F.transform(let(pairs, neighbours), lambda p: p["i"]))
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The base counts and both histograms of every document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    dup_lines = let(lines, lambda xs: (F.size(xs) - F.size(F.array_distinct(xs))).cast("long"))
+    """The base counts and both histograms of every document.
+
+    One projection after the other, so that each array is made once and the functions
+    that are not higher-order run as generated code.
+    """
+    n = 5
     forms = COMMON_WORDS + [w.capitalize() for w in COMMON_WORDS]
-    hits = lambda ws: let(
-        F.transform(F.filter(ws, lambda w: w.isin(forms)), lambda w: F.lower(w)),
-        lambda fs: F.array(*[_times(fs, w) for w in COMMON_WORDS]),
+    small_gone = "_rest"
+    key = ["doc_id", "lang"]
+    cut = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")
+    ).select(
+        *key,
+        F.length("_t").cast("long").alias("_chars"),
+        F.array_remove(F.split("_t", f"{SPACE}+"), "").alias("_w"),
+        F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
+        # most characters are small letters: once they are gone, the classes are counted on what is left
+        F.regexp_replace("_t", "[a-z]+", "").alias(small_gone),
     )
-    sizes = let(
-        words,
-        lambda ws: F.struct(
-            F.size(ws).cast("long").alias("n_words"),
-            repeat_words(ws).cast("long").alias("n_repeat_words"),
-            hits(ws).alias("common"),
-        ),
-    )
-    # most characters are small letters: once they are gone, the classes are counted on what is left
-    classes = let(
-        F.regexp_replace(text, "[a-z]+", ""),
-        lambda t: F.struct(
-            _left(t, r"[^\x20\x09-\x0D]+").alias("space"),
-            _left(t, r"[^#*$%&|<>]+").alias("symbol"),
-            _left(t, r"[^\p{Lu}]+").alias("upper"),
-            _left(t, r"[^0-9]+").alias("digit"),
-            _left(t, r"[^.,;:!?'\"()]+").alias("punct"),
-        ),
+    hashed = cut.select(
+        *key,
+        "_chars",
+        F.size("_w").cast("long").alias("n_words"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
+        F.transform(F.filter("_w", lambda w: w.isin(forms)), lambda w: F.lower(w)).alias("_found"),
+        *[
+            _left(F.col(small_gone), drop).alias(f"_{c}")
+            for c, drop in (
+                ("upper", r"[^\p{Lu}]+"),
+                ("digit", r"[^0-9]+"),
+                ("space", r"[^\x20\x09-\x0D]+"),
+                ("punct", r"[^.,;:!?'\"()]+"),
+                ("symbol", r"[^#*$%&|<>]+"),
+            )
+        ],
     )
+    at = lambda i, k: F.get(F.col("_h"), i + k)
+    windowed = hashed.withColumn(
+        "_win",
+        F.when(
+            F.col("n_words") > n,
+            F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - n), lambda i: F.xxhash64(*[at(i, k) for k in range(n)])),
+        ).otherwise(F.array().cast("array<bigint>")),
+    ).drop("_h")
+    counted = windowed.withColumn("_single", F.size(F.array_distinct("_win")) == F.size("_win"))
+    counts = [(F.size("_found") - F.size(F.array_remove("_found", w))).cast("long") for w in COMMON_WORDS]
+    classes = [F.col(f"_{c}") for c in CHAR_CLASSES[:-1]]
     return (
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(lang_col).alias("lang"),
-            sizes.alias("_sizes"),
-            F.length(text).cast("long").alias("n_chars"),
-            classes.alias("_n"),
-            dup_lines.alias("n_dup_lines"),
-        )
-        .withColumns(
-            {
-                "n_words": F.col("_sizes.n_words"),
-                "n_repeat_words": F.col("_sizes.n_repeat_words"),
-                "n_symbols": F.col("_n.symbol"),
-                "word_chars": F.col("n_chars") - F.col("_n.space"),
-            }
+        counted.select(
+            *key,
+            "n_words",
+            (F.col("_chars") - F.col("_space")).alias("word_chars"),
+            F.col("_symbol").alias("n_symbols"),
+            "n_dup_lines",
+            F.when(F.col("_single"), F.lit(0)).otherwise(let(_repeated(F.col("_win")), lambda p: _marked(p, n))).cast("long").alias("n_repeat_words"),
+            F.array(*classes, F.col("_chars") - sum(classes, F.lit(0).cast("long"))).alias("classes"),
+            F.array(*counts, F.greatest(F.lit(0).cast("long"), F.col("n_words") - F.size("_found"))).alias("commons"),
         )
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .withColumn(
-            "classes",
-            F.array(
-                *[F.col(f"_n.{c}") for c in CHAR_CLASSES[:-1]],
-                F.col("n_chars") - F.expr(" + ".join(f"_n.{c}" for c in CHAR_CLASSES[:-1])),
-            ),
-        )
-        .withColumn(
-            "commons",
-            F.concat(
-                F.col("_sizes.common"),
-                F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - F.aggregate("_sizes.common", F.lit(0).cast("long"), lambda a, x: a + x))),
-            ),
-        )
-        .drop("_sizes", "_n", "n_chars")
     )
 
 
