@@ -229,7 +229,7 @@ SQL: dict[str, str] = {
     "player_keys": f"""{with_views('roster')} SELECT player, replace(concat_ws('|', team, player, CASE WHEN jersey <> '7' THEN jersey ELSE 'NA' END), '/', '_') AS player_id,
         trim(regexp_replace(lower(player), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM roster""",
     "tail_drop": f"""{OBS}, s AS (SELECT track_id, candidate, sum(prob) AS p FROM observations GROUP BY ALL), n AS (SELECT track_id, candidate, p / sum(p) OVER (PARTITION BY track_id) AS p FROM s),
-        k AS (SELECT * FROM n WHERE p >= 0.15) SELECT track_id, candidate, round(p / sum(p) OVER (PARTITION BY track_id), 6) AS prob FROM k""",
+        k AS (SELECT * FROM n WHERE p >= 0.15) SELECT track_id, candidate, round(p / sum(p) OVER (PARTITION BY track_id), 9) AS prob FROM k""",
     "confidence_ema": f"""{OBS}, o AS (SELECT track_id, prob, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS i, count(*) OVER (PARTITION BY track_id) AS n FROM observations)
         SELECT track_id, round(sum(prob * CASE WHEN i = 1 THEN 0.8::DOUBLE ** (n - 1) ELSE 0.2 * 0.8::DOUBLE ** (n - i) END), 6) AS confidence FROM o GROUP BY track_id""",
     "temporal_split": f"""{with_views('appearance')}, o AS (SELECT identity, embedding, row_number() OVER (PARTITION BY identity ORDER BY frame, vec_id) - 1 AS nr, count(*) OVER (PARTITION BY identity) AS n FROM appearance),
