@@ -18,6 +18,7 @@ from tracklake.llm import (
     toxicity,
 )
 from tracklake.llm.common import crc_fold, table
+from tracklake.llm.oracles import SQL as ORACLE_SQL
 
 
 def word_bpe_path() -> str:
@@ -89,7 +90,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    got = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return got.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 QUERIES = {
@@ -105,4 +107,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
