@@ -20,17 +20,25 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNUSUAL = re.compile("[\x1c-\x1f\x85᠎​-‍⁠﻿]|<\\|")
-CACHE = 200_000
+#: Separators that only Python splits at, and special tokens.
+UNUSUAL = re.compile("[\x1c-\x1f]|<\\|")
+#: Beyond Latin letters (and dotted capital I) lower case is left to the tokenizer.
+WIDE = re.compile("[^\x00-įı-ɏ]")
+CACHE = 500_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 class ChunkTokenizer:
@@ -42,25 +50,50 @@ class ChunkTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.limit = cache
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.marks = dict(zip(".,", self._ids([".", ","])))
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return np.asarray(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Cache chunks; a word with a full stop or comma is the word's ids and the mark's."""
+        known, marked, new = self.cache, [], set()
+        for c in chunks:
+            if c[-1] in ".," and c[:-1].isalpha():
+                marked.append(c)
+                if c[:-1] not in known:
+                    new.add(c[:-1])
+            else:
+                new.add(c)
+        parts = list(new)
+        known.update(zip(parts, self._ids(parts)))
+        for c in marked:
+            known[c] = known[c[:-1]] + self.marks[c[-1]]
 
     def encode(self, text: str) -> bytes:
         if UNUSUAL.search(text):
-            return self._whole(text)
-        chunks = text.split()
+            return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
+        chunks = (text if WIDE.search(text) else text.lower()).split()
         known = self.cache
         new = [c for c in set(chunks) if c not in known]
         if new:
-            if len(known) + len(new) > self.limit:
+            if len(known) + 2 * len(new) > self.limit:
                 known.clear()
                 new = list(set(chunks))
-            for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = np.asarray(e.ids, "<u4").tobytes()
+            self._learn(new)
         return b"".join(map(known.__getitem__, chunks))
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> ChunkTokenizer:
+    """One tokenizer, with its cache, for all tasks of a Python worker."""
+    return ChunkTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, *, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -68,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, length: int, end_id: int, id
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = ChunkTokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path)
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b["doc_id"], b["text"]):
