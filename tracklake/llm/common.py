@@ -60,3 +60,11 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 def row_key(text: Column) -> Column:
     """Two independent hashes and the length: tells apart rows of one doc_id."""
     return F.struct(F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), F.length(text).alias("n"))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

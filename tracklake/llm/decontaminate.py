@@ -150,7 +150,8 @@ def find_hits(
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any hit, with all their columns."""
-    bad = find_hits(docs, bench, id_col=id_col, text_col=text_col).where("n_hit > 0").select(F.col("doc_id").alias("_d"), "h1", "h2").distinct()
-    text = F.col(text_col)
-    same = F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("h1")) & (F.hash(text) == F.col("h2"))
+    found = find_hits(docs, bench, id_col=id_col, text_col=text_col).where("n_hit > 0")
+    bad = found.select(F.col("doc_id").alias("bad_id"), F.col("h1").alias("bad_h1"), F.col("h2").alias("bad_h2")).distinct()
+    text = docs[text_col]
+    same = docs[id_col].eqNullSafe(bad["bad_id"]) & (F.xxhash64(text) == bad["bad_h1"]) & (F.hash(text) == bad["bad_h2"])
     return docs.join(bad, same, "left_anti")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import shared_dir, spool
+from tracklake.llm.common import free_name, shared_dir, spool
 
 BITS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -202,7 +202,8 @@ def keep_one(docs: DataFrame, *, radius: int = 2, id_col: str = "doc_id", text_c
     that are equal even in that are equal for every later stage, and one of them stays.
     """
     groups = near_duplicates(docs, radius=radius, id_col=id_col, text_col=text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    one = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_d"))).drop("_d")
-    rank = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
-    return one.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    one = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
+    rank = free_name(docs, "rank_of_copy")
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
+    return one.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
