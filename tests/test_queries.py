@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tracklake.plans.oracles import SQL
-from tracklake.plans.queries import QUERIES
+from tracklake.plans.more_queries import QUERIES
 
 
 def plain(v):

@@ -61,6 +61,10 @@ links AS (SELECT a, b FROM gaps UNION SELECT b, a FROM gaps),
 walk(node, seen) AS (SELECT a, a FROM links UNION SELECT w.node, l.b FROM walk w JOIN links l ON l.a = w.seen),
 comp AS (SELECT node, min(seen) AS root FROM walk GROUP BY node)"""
 
+MEMBERS = f"""{SPANS}, {_gaps(21600, 250)},
+links AS (SELECT a, b FROM gaps UNION SELECT b, a FROM gaps),
+walk(node, seen) AS (SELECT a, a FROM links UNION SELECT w.node, l.b FROM walk w JOIN links l ON l.a = w.seen),
+mem AS (SELECT c.root AS cluster_id, team, track_id, identity::VARCHAR AS label, round(score, 6) AS score FROM (SELECT node, min(seen) AS root FROM walk GROUP BY node) c JOIN spans ON node = track_id)"""
 TEAMD = f"""{EXT}, td AS (SELECT track_id, t, 'team' || t AS team, abs(mean_quality - t / 5.0::DOUBLE) + ((track_id + t) % 7) / 20.0::DOUBLE AS distance FROM ext, range(5) r(t)),
 tm AS (SELECT *, min(distance) OVER w AS least, exp((-distance + min(distance) OVER w) / 0.16) AS e FROM td WINDOW w AS (PARTITION BY track_id)),
 tp AS (SELECT track_id, t, team, CASE WHEN least <= 0.48 THEN least(0.62, e / sum(e) OVER (PARTITION BY track_id)) ELSE 0.02 END AS prob FROM tm)"""
@@ -245,4 +249,45 @@ SQL: dict[str, str] = {
             FROM sims s JOIN h ON h.q_id = s.q_id AND h.vec_id = s.vec_id, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) v(weight)),
         t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY weight, q_id ORDER BY fused DESC, vec_id) = 1)
         SELECT weight, round(avg(CASE WHEN identity = q_identity THEN 1 ELSE 0 END), 6) AS rank1 FROM t GROUP BY weight""",
+    "weighted_centroids": f"""{with_views('appearance')}, e AS (SELECT identity, greatest(0.01, (vec_id % 10) / 10.0::DOUBLE) AS w, unnest(embedding) AS v, unnest(range(64)) AS place FROM appearance),
+        m AS (SELECT identity, place, sum(v * w) / sum(w) AS v, count(*) AS n FROM e GROUP BY ALL)
+        SELECT identity, n, CAST(place AS INT) AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY identity)), 6) AS value FROM m""",
+    "track_ends": f"""{FRAG} SELECT track_id, min(seq) AS first_seq, round(arg_min(x, seq), 4) AS first_x, max(seq) AS last_seq, round(arg_max(x, seq), 4) AS last_x FROM fragments GROUP BY track_id""",
+    "window_votes": f"""{FRAG}, {SPANS}, og AS (SELECT min(start_s) AS o, max(end_s) AS e FROM spans),
+        win AS (SELECT o + i * 43200.0::DOUBLE AS s FROM og, range(0, CAST(floor((e + 1e-6 - o) / 43200) AS BIGINT) + 1) r(i)),
+        act AS (SELECT track_id, greatest(0, least(s + 86400, end_s) - greatest(s, start_s)) / 3600 AS ov FROM win JOIN spans ON start_s <= s + 86400 AND end_s >= s),
+        p AS (SELECT track_id, candidate, avg(prob) AS p FROM fragments GROUP BY ALL), v AS (SELECT track_id, candidate AS label, sum(p * greatest(0.05, ov)) AS vote FROM act JOIN p USING (track_id) GROUP BY ALL)
+        SELECT track_id, label, round(vote, 6) AS vote FROM v QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY v.vote DESC, label) = 1""",
+    "canonical_labels": f"""{FRAG}, {MEMBERS}, t AS (SELECT cluster_id, team FROM mem QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, track_id) = 1),
+        s AS (SELECT cluster_id, label, sum(score) AS total FROM mem GROUP BY ALL), ok AS (SELECT s.* FROM s JOIN t USING (cluster_id) WHERE CAST(label AS INT) % 5 = team),
+        b AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY total DESC, label) = 1)
+        SELECT cluster_id, team, label, round(total, 6) AS total FROM t LEFT JOIN b USING (cluster_id)""",
+    "label_overrides": f"""{FRAG}, {MEMBERS}, w AS (SELECT *, count(*) OVER c AS n, first_value(score) OVER o AS ts, first_value(label) OVER o AS tl FROM mem
+            WINDOW c AS (PARTITION BY cluster_id), o AS (PARTITION BY cluster_id ORDER BY score DESC, track_id))
+        SELECT track_id, CASE WHEN n >= 2 AND ts > score + 0.15 THEN tl ELSE label END AS label, n >= 2 AND ts > score + 0.15 AS overridden FROM w""",
+    "cluster_ownership": f"""{FRAG}, {MEMBERS}, u AS (SELECT cluster_id, track_id, score FROM mem UNION ALL SELECT cluster_id + 1, track_id, score + CASE WHEN track_id % 2 = 0 THEN 1 ELSE 0 END FROM mem)
+        SELECT track_id, cluster_id FROM u QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY score DESC, cluster_id) = 1""",
+    "kit_fit": f"""{OBS}, k AS (SELECT track_id, CASE WHEN seq % 7 <> 0 THEN prob END AS a, CASE WHEN seq % 5 <> 0 THEN quality END AS b FROM observations),
+        r AS (SELECT *, CASE WHEN b IS NULL THEN 1 - least(1, a) ELSE 0.58 * (1 - least(1, a)) + 0.42 * (1 - least(1, b)) END AS raw FROM k)
+        SELECT track_id, round(max(CASE WHEN a IS NULL THEN 0.5 WHEN b > 0.5 THEN least(0.42, raw) ELSE raw END), 6) AS fit FROM r GROUP BY track_id""",
+    "registry_merge": f"""{with_views('appearance')}, {SIM}, nn AS (SELECT q_id, identity AS found FROM sims WHERE vec_id % 4 = 1 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, vec_id) = 1 AND similarity >= 0.2),
+        h AS (SELECT vec_id AS track_id, CASE WHEN vec_id % 3 <> 0 THEN identity END AS held, (vec_id % 10) / 10.0::DOUBLE + (vec_id % 60) / 100.0::DOUBLE AS confidence FROM q),
+        j AS (SELECT *, found IS NULL OR (held IS NOT NULL AND held <> found AND confidence >= 0.5) AS keeps FROM h LEFT JOIN nn ON q_id = track_id)
+        SELECT track_id, CASE WHEN keeps THEN held ELSE found END AS identity, NOT keeps AND held IS DISTINCT FROM found AS merged FROM j""",
+    "set_operations": f"""{OBS}, a AS (SELECT DISTINCT track_id FROM observations WHERE candidate = 'click' AND prob > 0.9), b AS (SELECT DISTINCT track_id FROM observations WHERE candidate = 'purchase' AND prob > 0.9)
+        SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_a', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+        UNION ALL SELECT 'only_b', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""",
+    "strided_observations": f"""{OBS}, z AS (SELECT frame_index, frame_index - (SELECT min(frame_index) FROM observations) AS d FROM observations)
+        SELECT frame_index, count(*) AS n FROM z WHERE d < 200 AND d % 3 = 0 GROUP BY frame_index""",
+    "box_shapes": f"""{with_views('gt_boxes')}, c AS (SELECT gt_id, greatest(0, least(959, x1)) AS x1, greatest(0, least(539, y1)) AS y1, greatest(0, least(959, x2)) AS x2, greatest(0, least(539, y2)) AS y2 FROM gt_boxes)
+        SELECT gt_id, round((x1 + x2) / 2, 4) AS cx, round((y1 + y2) / 2, 4) AS cy, round(y2, 4) AS foot_y, round((x2 - x1) * (y2 - y1), 4) AS area FROM c
+        WHERE (x2 - x1) * (y2 - y1) >= 400 AND (y2 - y1) / greatest(1, x2 - x1) >= 1""",
+    "track_documents": f"""{FRAG} SELECT track_id, min(seq) AS "first", max(seq) AS "last", count(*) AS num_observations, string_agg(seq::VARCHAR, ',' ORDER BY seq) AS seqs FROM fragments GROUP BY track_id""",
+    "ema_vectors": f"""{with_views('appearance')}, o AS (SELECT identity, embedding[1] AS v, row_number() OVER (PARTITION BY identity ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY identity) AS n FROM appearance)
+        SELECT identity, round(sum(v * CASE WHEN i = 1 THEN 0.8::DOUBLE ** (n - 1) ELSE 0.2 * 0.8::DOUBLE ** (n - i) END), 6) AS value FROM o GROUP BY identity""",
+    "synthetic_paths": """WITH p AS (SELECT k AS path, f AS frame, least(4, f / 37.5::DOUBLE) AS u FROM range(1, 5) a(k), range(150) b(f)),
+        l AS (SELECT *, least(3, floor(u)) AS i, u - least(3, floor(u)) AS w, CASE WHEN path % 2 = 1 THEN 1 ELSE -1 END AS s FROM p)
+        SELECT path, frame, round(100 * path + 40 * s * u, 4) AS x, round(50 * path + 10 * (i * i + w * (2 * i + 1)), 4) AS y FROM l""",
+    "idf_extremes": f"""{OBS}, {IDF}, e AS (SELECT candidate, weight, row_number() OVER (ORDER BY weight, candidate) AS lo, row_number() OVER (ORDER BY weight DESC, candidate) AS hi FROM idf)
+        SELECT candidate, round(weight, 6) AS weight FROM e WHERE lo <= 2 OR hi <= 2""",
 }
