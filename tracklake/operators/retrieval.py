@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import vector as V
+from tracklake.operators.ranking import next_value
 
 
 def unit(appearance: DataFrame) -> DataFrame:
@@ -115,5 +116,4 @@ def fusion_sweep(a: DataFrame, b: DataFrame, weights: list[float]) -> DataFrame:
 
 def adjacent_frames(appearance: DataFrame) -> DataFrame:
     """frame and the next distinct frame."""
-    frames = appearance.select("frame").distinct()
-    return frames.withColumn("next_frame", F.lead("frame").over(Window.orderBy("frame"))).where("next_frame is not null")
+    return next_value(appearance.select("frame").distinct(), "frame", 4096, "next_frame").where("next_frame is not null")

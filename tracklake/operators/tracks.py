@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geometry as G
 from tracklake.functions import vector as V
+from tracklake.operators.ranking import global_rank
 
 
 def extents(obs: DataFrame) -> DataFrame:
@@ -25,8 +26,8 @@ def extents(obs: DataFrame) -> DataFrame:
 def with_min_observations(obs: DataFrame, least: int) -> DataFrame:
     """Observations of tracks with enough of them, with the canonical track order track_seq."""
     kept = obs.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts_s").alias("start_s")).where(F.col("n") >= least)
-    order = kept.select("track_id", F.row_number().over(Window.orderBy("start_s", "track_id")).alias("track_seq"))
-    return obs.join(order, "track_id")
+    order = global_rank(kept, F.floor(F.col("start_s") / 3600), ["start_s", "track_id"], "track_seq")
+    return obs.join(order.select("track_id", "track_seq"), "track_id")
 
 
 def ends(obs: DataFrame) -> DataFrame:
