@@ -218,7 +218,7 @@ def _significant(tox: Counter, clean: Counter, base: float, n_tests: int) -> dic
     for term, k in tox.items():
         n = k + clean[term]
         p = k / n
-        if k < 4 or p < 0.75 or p <= base:
+        if k < 4 or p < 0.4 or p <= 2 * base:
             continue
         kl = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0)
         if n * kl > need:
@@ -251,7 +251,7 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
         if any(w.startswith(s) and df[1][w] >= 0.9 * dp[1][s] for w in words):
             continue
         kept[s] = stems[s]
-    words = {w: v for w, v in words.items() if not any(w.startswith(s) for s in kept)}
+    words = {w: v for w, v in words.items() if not any(w.startswith(s) and u > v - 0.5 for s, u in kept.items())}
     model = ToxicityModel(words, kept)
     probe = model.scorer()
     fuzzy = {w for text, y in rows if y == 0 for w, (_, e) in probe.matches(text).items() if e}
