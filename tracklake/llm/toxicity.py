@@ -251,7 +251,8 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
         if any(w.startswith(s) and df[1][w] >= 0.9 * dp[1][s] for w in words):
             continue
         kept[s] = stems[s]
-    words = {w: v for w, v in words.items() if not any(w.startswith(s) and u > v - 0.5 for s, u in kept.items())}
+    # a word stands beside its stem only if it is most of what the stem finds
+    words = {w: v for w, v in words.items() if not any(w.startswith(s) and df[1][w] < 0.5 * dp[1][s] for s in kept)}
     model = ToxicityModel(words, kept)
     probe = model.scorer()
     fuzzy = {w for text, y in rows if y == 0 for w, (_, e) in probe.matches(text).items() if e}
