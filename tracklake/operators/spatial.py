@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geometry as G
 
-CELL = 512.0
+CELL = 128.0  # about two to four times the size of a box
 
 
 def best_iou_match(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, cell: float = CELL) -> DataFrame:
@@ -55,9 +55,23 @@ def majority_identity(matches: DataFrame) -> DataFrame:
 
 
 def judged(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Ground-truth rows with the matched track and that track's identity."""
-    m = best_iou_match(gt, pred, threshold)
-    return m.join(majority_identity(m), "track_id", "left")
+    """Ground-truth rows with the matched track and that track's identity (as majority_identity gives it).
+
+    Windows over the matches replace the join with their own aggregate, so the boxes are
+    matched once. Unmatched rows are kept apart by a key of their own.
+    """
+    m = best_iou_match(gt, pred, threshold).withColumn("key", F.coalesce("track_id", -F.col("gt_id") - 1))
+    track, pair = Window.partitionBy("key"), Window.partitionBy("key", "name")
+    votes = F.when(F.col("any_visible"), F.col("n_visible")).otherwise(F.col("n"))
+    usable = ~F.col("any_visible") | (F.col("n_visible") > 0)
+    best = F.max(F.struct(usable.alias("u"), votes.alias("v"), (-F.col("name")).alias("name"))).over(track)
+    return (
+        m.withColumn("n", F.count(F.lit(1)).over(pair))
+        .withColumn("n_visible", F.count_if("visible").over(pair))
+        .withColumn("any_visible", F.max("n_visible").over(track) > 0)
+        .withColumn("identity", F.when(F.col("track_id").isNotNull(), -best["name"]))
+        .drop("key", "n", "n_visible", "any_visible")
+    )
 
 
 def id_switches(matches: DataFrame) -> DataFrame:
