@@ -63,5 +63,5 @@ def kit_distance(a: Rgb, b: Rgb) -> Column:
 
 def palette_color(track_id: Column, palette: list[str]) -> Column:
     """The palette entry of a track: its number modulo the size; other ids by a hash."""
-    nr = F.coalesce(F.expr("try_cast(NULL AS BIGINT)") if track_id is None else track_id.try_cast("bigint"), F.xxhash64(track_id))
+    nr = F.coalesce(track_id.try_cast("bigint"), F.xxhash64(track_id))
     return F.element_at(F.array(*[F.lit(c) for c in palette]), (F.pmod(nr, F.lit(len(palette))) + 1).cast("int"))
