@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 UNUSUAL = re.compile("[\x1c-\x1f]|<\\|")
 #: Beyond Latin letters (and dotted capital I) lower case is left to the tokenizer.
 WIDE = re.compile("[^\x00-įı-ɏ]")
-CACHE = 500_000
+#: A mark that does not stand right after a letter or digit.
+ODD_MARK = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])")
+CACHE = 700_000
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
@@ -50,34 +52,38 @@ class ChunkTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.limit = cache
-        self.marks = dict(zip(".,", self._ids([".", ","])))
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.asarray(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [self._bytes(e.ids) for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-
     def _learn(self, chunks: list[str]) -> None:
-        """Cache chunks; a word with a full stop or comma is the word's ids and the mark's."""
-        known, marked, new = self.cache, [], set()
-        for c in chunks:
-            if c[-1] in ".," and c[:-1].isalpha():
-                marked.append(c)
-                if c[:-1] not in known:
-                    new.add(c[:-1])
+        """Cache new chunks. Words of letters alone are encoded in one go and cut at the ends of words."""
+        words = [c for c in chunks if c.isalpha()]
+        if words:
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) == len(words):
+                raw = ids.tobytes()
+                self.cache.update(zip(words, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
             else:
-                new.add(c)
-        parts = list(new)
-        known.update(zip(parts, self._ids(parts)))
-        for c in marked:
-            known[c] = known[c[:-1]] + self.marks[c[-1]]
+                words = []
+        known = set(words)
+        rest = [c for c in chunks if c not in known]
+        for c, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
+            self.cache[c] = self._bytes(e.ids)
 
     def encode(self, text: str) -> bytes:
         if UNUSUAL.search(text):
             return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
-        chunks = (text if WIDE.search(text) else text.lower()).split()
+        if not WIDE.search(text):
+            text = text.lower()
+        if not ODD_MARK.search(text):  # then each mark is a token of its own
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
+        chunks = text.split()
         known = self.cache
         new = [c for c in set(chunks) if c not in known]
         if new:
