@@ -325,11 +325,12 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(id_col).alias("k"), F.xxhash64(text).alias("h"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     records = spool(_records(rows))
-    twice = records.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("lead")
+    # written first, so that both sides of the joins are plain shuffles and a hot key can be split
+    twice = spool(records.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("lead"))
     able = spool(records.join(twice, "lead", "left_semi"))
     ranges = able.groupBy("lead", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "h", "s0", "s1", "x")).alias("one"))
     ranges = spool(ranges)
-    families = (
+    families = spool(
         ranges.groupBy("lead")
         .agg(F.count(F.lit(1)).alias("members"), F.max((F.col("c") == 1).cast("int")).alias("open"))
         .where("members > 1 and open = 1")
