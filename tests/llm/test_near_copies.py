@@ -4,8 +4,9 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from tests_support import prose
-from tracklake.llm import near_copies
+from tracklake.llm import near_copies, simhash
 
 
 def words(seed, n, vocabulary=4000):
@@ -74,3 +75,12 @@ def test_the_stage_keeps_one_of_planted_near_copies(spark, small):
     got = corpus_pipeline.drop_near_duplicates(spark, df, small)
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [3, 5, 9]
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), small).count() == 0
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, near_copies.keep_one])
+def test_rows_with_one_id_or_none_are_not_lost(spark, keep_one):
+    a, b, c, d, e = (" ".join(words(20 + k, 60)) for k in range(5))
+    rows = [(None, a), (None, b), (None, c), (1, c), (2, d), (2, e), (2, e), (None, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in keep_one(df).collect())
+    assert got == Counter([(None, a), (None, b), (1, c), (2, d), (2, e)])

@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import free_name, shared_dir, spool
+from tracklake.llm.common import shared_dir, spool
 
 BITS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -57,17 +57,18 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longs: list[str] | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the given long columns of every row."""
+    longs = longs or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": got.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": got.view(np.int64), **{c: b[c] for c in longs}})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *longs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, fp long")
+    return rows.mapInPandas(run, ", ".join([f"doc_id {kind}", "fp long", *(f"{c} long" for c in longs)]))
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
@@ -196,14 +197,11 @@ def as_hex(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, *, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: that with the component's smallest id.
-
-    Where several rows share that id, the one with the smallest text hash stays; rows
-    that are equal even in that are equal for every later stage, and one of them stays.
-    """
-    groups = near_duplicates(docs, radius=radius, id_col=id_col, text_col=text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
-    rank = free_name(docs, "rank_of_copy")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)))
-    return one.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    """One document of each group: that with the smallest id, as in ``near_copies.keep_first``."""
+    from tracklake.llm.near_copies import keep_first
+
+    hashed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+    marked = spool(fingerprints(hashed, "doc_id", "text", ["h"]))
+    roots = components(near_links(marked.select("fp").distinct(), radius))
+    groups = marked.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root"))
+    return keep_first(docs, groups, id_col, text_col)
