@@ -1,14 +1,15 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field.
 
 The patterns give the base spans (email, ip, card, phone). The random field tags the
-tokens of every line that holds a digit, an @ or an equals sign, over word-shape features, and adds
+tokens of every line over word-shape features, with or without a digit, an @ or an equals sign, and adds
 spans of its own kinds: ``secret`` (keys, passwords, tokens) and ``national_id``. It is trained on a small
 labelled table that is built in below, by gradient ascent on the exact likelihood
 (forward-backward), and decoded by Viterbi over batches of lines in numpy. Its spans
 never replace base ones: those that overlap a base span are dropped.
 
-A line without any of the three characters has no span by construction of the labels;
-this is a constraint of the model and not a cut of its input. Matching takes linear time: starts
+Tokens are decoded with three neighbours on either side if they hold one of the three
+characters, are a cue word or have 18 characters or more; no other token has a feature
+that gives a label. Matching takes linear time: starts
 that must fail are skipped, so long digit or letter runs cost nothing extra.
 
 Defined cases: a null or empty text has no span; offsets are code points, ends
@@ -136,6 +137,8 @@ isbn 978-3-16-148410-0 listed
 2021-05-12 2022-11-30
 """
 CUES = frozenset("token secret password key apikey api_key pwd passwd ssn".split())
+#: What a token must hold for its neighbourhood to be decoded.
+DECODED = re.compile(r"[0-9@=]|(?<!\S)\S{18}|(?i:token|secret|passw|key|pwd|ssn)")
 
 
 def _shape(tok: str) -> list[str]:
@@ -269,9 +272,9 @@ def train() -> LineCRF:
     return LineCRF().fit(lines)
 
 
-def _trigger_lines(text: str) -> Iterator[tuple[int, str]]:
+def _decoded_lines(text: str) -> Iterator[tuple[int, str]]:
     at = 0
-    while m := TRIGGER.search(text, at):
+    while m := DECODED.search(text, at):
         lo = text.rfind("\n", 0, m.start()) + 1
         hi = text.find("\n", m.end())
         hi = len(text) if hi < 0 else hi
@@ -285,12 +288,12 @@ def crf_spans(texts: list[str], crf: LineCRF) -> list[list[Span]]:
     """The random field's spans of every text."""
     where, lines = [], []
     for nr, text in enumerate(texts):
-        for lo, line in _trigger_lines(text):
+        for lo, line in _decoded_lines(text):
             toks = [(m.start() + lo, m.group()) for m in TOKEN.finditer(line)]
-            # far from any trigger the path stays O: tokens are decoded with three neighbours on either side
+            # far from such tokens the path stays O: they are decoded with three neighbours on either side
             near = np.zeros(len(toks) + 6, bool)
             for i, (_, t) in enumerate(toks):
-                if TRIGGER.search(t) or len(t) >= 18:
+                if DECODED.search(t):
                     near[i : i + 7] = True
             near = near[3 : len(toks) + 3]
             edges = np.flatnonzero(np.diff(np.concatenate(([False], near, [False]))))
