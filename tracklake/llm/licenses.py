@@ -2,17 +2,18 @@
 
 The index maps each word of the licence templates to its postings (template, place). A
 first pass counts in how many documents each of these words occurs, over the whole
-corpus. The scan then takes a file's rarest template words, looks their postings up, and
-counts votes for each alignment (template, shift): words of a copied notice keep their
-distances, so they vote for the same shift. The best alignments are compared word by
-word, and a template's label is given only if one of its mandatory key phrases stands in
-the aligned stretch and enough of the template is there.
+corpus. Each template keeps postings for its rarest places only, but for so many that an
+alignment (template, shift) with enough of the template must agree on one of them. The
+scan looks up the words of a file, takes every alignment that they propose for templates
+with a key phrase in the file, and compares it word by word. A template's label is given
+only if one of its mandatory key phrases stands in the aligned stretch and enough of the
+template is there; this equals trying all shifts of all templates.
 
 The base labels come from the same index: a base phrase is found through its rarest word and
 verified word by word at every place.
 
 Defined cases: a null text has no words; a file with no template word has no label and
-score 0; equal votes go to the template listed first; repeated rows each get a row; an
+score 0; repeated rows each get a row; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -72,18 +73,21 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class LicenseIndex:
-    def __init__(self, df: dict[str, int], n_docs: int, rare: int = 6, min_share: float = 0.7):
-        self.rare, self.min_share = rare, min_share
+    def __init__(self, df: dict[str, int], n_docs: int, min_share: float = 0.7):
+        self.min_share = min_share
         self.templates = [(label, [k.encode().split() for k in keys], wording.encode().split()) for label, keys, wording in TEMPLATES]
         self.base = [(label, phrase.encode().split()) for phrase, label in BASE.items()]
         self.idf = {w.encode(): math.log((n_docs + 1) / (df.get(w, 0) + 1)) for w in vocabulary()}
         self.vocab = frozenset(self.idf)
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for t, (_, _, words) in enumerate(self.templates):
-            for q, w in enumerate(words):
-                self.postings[w].append((t, q))
+            least = next(n for n in range(len(words) + 1) if n / len(words) >= min_share)
+            # of len - least + 1 places one at least agrees if ``least`` places do
+            for q in sorted(range(len(words)), key=lambda q: (-self.idf[words[q]], q))[: len(words) - least + 1]:
+                self.postings[words[q]].append((t, q))
         rarest = lambda ws: max(range(len(ws)), key=lambda i: (self.idf[ws[i]], -i))
         self.base_at = [rarest(words) for _, words in self.base]
+        self.keys = [[(key, rarest(key)) for key in keys] for _, keys, _ in self.templates]
         # a label needs a key phrase, and a base label its phrase: files with neither rarest word are done at once
         self.triggers = frozenset(words[i] for (_, words), i in zip(self.base, self.base_at)) | frozenset(
             key[rarest(key)] for _, keys, _ in self.templates for key in keys
@@ -94,6 +98,10 @@ class LicenseIndex:
         n = len(phrase)
         return any(words[i : i + n] == phrase for i in range(max(0, lo), min(hi, len(words)) - n + 1))
 
+    @staticmethod
+    def _has(words: list[bytes], places: dict[bytes, list[int]], phrase: list[bytes], anchor: int) -> bool:
+        return any(p >= anchor and words[p - anchor : p - anchor + len(phrase)] == phrase for p in places.get(phrase[anchor], ()))
+
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:
         """Starts of base phrases, base labels, all labels, score."""
         present = set(words)
@@ -110,14 +118,10 @@ class LicenseIndex:
                 if s >= 0 and words[s : s + len(phrase)] == phrase:
                     starts.append(s)
                     base.add(label)
-        rarest = sorted(places, key=lambda w: (-self.idf[w], w))[: self.rare]
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for w in rarest:
-            for t, q in self.postings[w]:
-                for p in places[w]:
-                    votes[t, p - q] += self.idf[w]
+        live = {t for t, keys in enumerate(self.keys) if any(self._has(words, places, k, i) for k, i in keys)}
+        shifts = {(t, p - q) for w, at in places.items() for t, q in self.postings.get(w, ()) if t in live for p in at}
         labels, score = set(base), 1.0 if base else 0.0
-        for t, shift in votes:
+        for t, shift in shifts:
             label, keys, wording = self.templates[t]
             same = sum(0 <= shift + q < len(words) and words[shift + q] == w for q, w in enumerate(wording))
             share = same / len(wording)
