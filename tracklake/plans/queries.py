@@ -404,9 +404,13 @@ def window_conflicts(spark, d):
 
 
 def cascade_dedup(spark, d):
-    f = S.fragments(spark, d).groupBy("track_id", "user_id", "candidate").agg(F.sum(votes.contribution()).alias("score"))
+    """All gates: peaks as counted in the votes, roles by track, and each team's roster without one of the labels."""
+    f = S.fragments(spark, d).groupBy("track_id", "user_id", "candidate").agg(F.sum(votes.contribution()).alias("score"), F.count_if(F.col("prob") >= votes.PEAK).alias("peaks"))
     order = Window.partitionBy("track_id").orderBy(F.desc("score"), "candidate")
-    return matching.cascade_dedup(f.select(F.pmod("user_id", F.lit(5)).alias("team"), "track_id", F.row_number().over(order).alias("rank"), F.col("candidate").alias("label"), "score"))
+    team, role = F.pmod("user_id", F.lit(5)), F.when(F.pmod("user_id", F.lit(17)) == 0, "referee").when(F.pmod("user_id", F.lit(19)) == 0, "goalkeeper")
+    roster = f.select(team.alias("team"), F.col("candidate").alias("label")).distinct().where(F.pmod(F.xxhash64("label"), F.lit(5)) != F.col("team"))
+    ranked = f.select(team.alias("team"), "track_id", F.row_number().over(order).alias("rank"), F.col("candidate").alias("label"), "score", "peaks", role.alias("role"))
+    return matching.cascade_dedup(ranked, roster=roster)
 
 
 def anchor_clusters(spark, d):
