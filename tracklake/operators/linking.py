@@ -146,11 +146,13 @@ def inherit_labels(losers: DataFrame, winners: DataFrame, candidates: DataFrame,
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node and root (smallest node reachable) of every node of the edge table (a, b).
+def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """node and root (smallest node reachable) of every node of the edge table (a, b) but the roots.
 
-    Alternating star steps: each round keeps the components and flattens them, so long chains
-    take a logarithmic number of rounds. The rounds are checkpointed to the shared folder.
+    Alternating star steps: large-star links each node's larger neighbours to its smallest one,
+    small-star its smaller ones. Each round keeps the components and flattens them, so long chains
+    take a logarithmic number of rounds. The rounds are checkpointed to the shared folder. A graph
+    that has not settled after ``max_rounds`` is an error.
     """
     _ensure_checkpoint_dir(edges)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
@@ -163,10 +165,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = far.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """node and root (smallest node reachable) of every node of the edge table (a, b)."""
+    e = stars(edges, max_rounds)
+    return e.union(e.select(F.col("root").alias("node"), "root").distinct())
 
 
 def _ensure_checkpoint_dir(df: DataFrame) -> None:
