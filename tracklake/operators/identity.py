@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.functions import color as C
 from tracklake.functions import vector as V
 
 
@@ -44,8 +45,11 @@ def canonical_labels(members: DataFrame, valid: DataFrame | None = None) -> Data
 def two_means(points: DataFrame, rounds: int = 12) -> DataFrame:
     """Two-means of (id, r, g, b): seeds are the points with the least and greatest r (then id); cluster 0 or 1.
 
-    The centres are two rows that every round replaces; each round is one aggregation.
+    The centres are two rows that every round replaces; each round is one aggregation over the points, which are written once.
     """
+    from tracklake.operators.linking import checkpointed
+
+    points = checkpointed(points)
     order = F.struct("r", "id")
     at = F.struct("r", "g", "b")
     first = points.agg(F.min_by(at, order).alias("c0"), F.max_by(at, order).alias("c1")).first()
@@ -66,6 +70,25 @@ def two_means(points: DataFrame, rounds: int = 12) -> DataFrame:
     return labelled()
 
 
+def special_roles(
+    kits: DataFrame, team_hues: list[int], *, referee_gap: int = 35, keeper_gap: int = 55, least: int = 5, uniform: bool = True, dark: float = 100.0
+) -> DataFrame:
+    """Adds hue, saturation and role: referee (shirt far from all teams, dark shorts), goalkeeper (farther, shirt and shorts alike) or null.
+
+    kits: n (observations), r, g, b (median shirt), sr, sg, sb (median shorts, nullable). Tracks of
+    fewer than ``least`` rows and washed-out shirts have no role; the referee is tested first.
+    """
+    h, s, _ = C.hsv(tuple(F.col(c).cast("int") for c in ("r", "g", "b")))
+    sh, ss, _ = C.hsv(tuple(F.col(c).cast("int") for c in ("sr", "sg", "sb")))
+    gaps = [C.hue_distance(F.col("hue"), F.lit(t)) for t in team_hues]
+    far = F.least(*gaps) if len(gaps) > 1 else gaps[0]
+    shorts_dark = F.coalesce((F.col("sr") + F.col("sg") + F.col("sb")) / 3 < dark, F.lit(False))
+    alike = F.coalesce((F.col("_ss") >= 30) & (C.hue_distance(F.col("_sh"), F.col("hue")) <= 20), F.lit(False))
+    keeper = (far >= keeper_gap) & (alike & ~shorts_dark if uniform else F.lit(True))
+    role = F.when((F.col("n") < least) | F.col("r").isNull() | (F.col("saturation") < 30), F.lit(None)).when((far >= referee_gap) & shorts_dark, "referee").when(keeper, "goalkeeper")
+    return kits.withColumns({"hue": h, "saturation": s, "_sh": sh, "_ss": ss}).withColumn("role", role).drop("_sh", "_ss")
+
+
 def kit_fit(rows: DataFrame, shirt_weight: float = 0.58, shorts_weight: float = 0.42, cap: float = 0.42, mismatch: float = 0.5) -> DataFrame:
     """Best fit of a track to any team from shirt and shorts distances (0.5 without reference).
 

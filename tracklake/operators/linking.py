@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import geometry as G
+from tracklake.functions import vector as V
 
 
 def _buckets(low: Column, high: Column, size: float) -> Column:
@@ -45,10 +46,13 @@ def nearest_successor(pairs: DataFrame) -> DataFrame:
 def gap_stitch(pairs: DataFrame, scores: DataFrame, rounds: int = 5) -> DataFrame:
     """Greedy chains: per round, sources by score take their nearest free successor, which is consumed.
 
-    The candidate pairs are cut by the join before; the order makes the rest sequential per team.
-    ``scores`` has track_id, team, score. Returns source, sink, round.
+    The candidate pairs are cut by the join before; the order makes the rest sequential, but only among
+    tracks that pairs connect: each component is stitched by itself.
+    ``scores`` has track_id, score. Returns source, sink, round.
     """
-    rows = pairs.join(scores, pairs.a == scores.track_id).select("team", "a", "b", "distance", "gap", "score")
+    pairs = checkpointed(pairs.select("a", "b", "distance", "gap"))
+    group = components(pairs.select("a", "b"))
+    rows = pairs.join(scores, pairs.a == scores.track_id).join(group, pairs.a == group.node).select("root", "a", "b", "distance", "gap", "score")
 
     def stitch(rows: pd.DataFrame) -> pd.DataFrame:
         by: dict[int, list[tuple[float, float, int]]] = {}
@@ -70,7 +74,7 @@ def gap_stitch(pairs: DataFrame, scores: DataFrame, rounds: int = 5) -> DataFram
                 break
         return pd.DataFrame(out, columns=["source", "sink", "round"])
 
-    return rows.groupBy("team").applyInPandas(stitch, "source long, sink long, round int")
+    return rows.groupBy("root").applyInPandas(stitch, "source long, sink long, round int")
 
 
 def overlap_pairs(spans: DataFrame, bucket: float) -> DataFrame:
@@ -176,6 +180,46 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.union(e.select(F.col("root").alias("node"), "root").distinct())
 
 
+def identity_edges(
+    tracks: DataFrame, visible: DataFrame, *, least: float = 0.65, max_gap: float = 3.0, max_overlap: float = 1.0, max_distance: float = 250.0
+) -> DataFrame:
+    """Pairs (a, b) of track ids, a first in the canonical order, that may be one identity.
+
+    The teams do not differ, one starts from ``max_overlap`` before to ``max_gap`` after the other's end, it starts near
+    that end if it starts after it, the jerseys do not contradict (they differ, and both are visible for
+    the team, or the team lists none), and the embeddings are alike. tracks: track_id, seq (canonical order), team and jersey
+    (nullable), start_s, end_s, x0, y0, x1, y1, embedding (of unit length; null: no edge). The times cut the pairs by buckets.
+    """
+    cols = ("track_id", "seq", "team", "jersey", "embedding")
+    reach = max_gap + max_overlap
+    rows = tracks.where("embedding is not null")
+    a = rows.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.col("end_s").alias("a_end"), F.col("x1").alias("ax"), F.col("y1").alias("ay")).withColumn(
+        "bucket", _buckets(F.col("a_end") - max_overlap, F.col("a_end") + max_gap, reach)
+    )
+    b = rows.select(
+        *[F.col(c).alias(f"b_{c}") for c in cols], F.col("start_s").alias("b_start"), F.col("x0").alias("bx"), F.col("y0").alias("by"), F.floor(F.col("start_s") / reach).alias("bucket")
+    )
+    gap = F.col("b_start") - F.col("a_end")
+    met = a.join(b, "bucket").where((F.col("a_track_id") != F.col("b_track_id")) & (gap <= max_gap) & (gap >= -max_overlap))
+    met = met.where(F.coalesce(F.col("a_team") == F.col("b_team"), F.lit(True)))
+    met = met.where((gap <= 0) | (G.distance((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))) <= max_distance))
+    teams = visible.select(F.col("team").alias("_team")).distinct().withColumn("_listed", F.lit(True))
+    ok = lambda side: visible.select(F.col("team").alias("_team"), F.col("jersey").alias(f"{side}_jersey")).distinct().withColumn(f"_{side}", F.lit(True))
+    met = met.withColumn("_team", F.coalesce("a_team", "b_team")).join(teams, "_team", "left").join(ok("a"), ["_team", "a_jersey"], "left").join(ok("b"), ["_team", "b_jersey"], "left")
+    differ = F.coalesce(F.col("a_jersey") != F.col("b_jersey"), F.lit(False))
+    against = differ & (F.col("_listed").isNull() | (F.col("_a").isNotNull() & F.col("_b").isNotNull()))
+    alike = met.where(~against & (V.dot(F.col("a_embedding"), F.col("b_embedding")) >= least))
+    first = F.col("a_seq") < F.col("b_seq")
+    side = lambda x, y: F.when(first, F.col(f"{x}_track_id")).otherwise(F.col(f"{y}_track_id"))
+    return alike.select(side("a", "b").alias("a"), side("b", "a").alias("b")).distinct()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, with their lineage cut."""
+    _ensure_checkpoint_dir(df)
+    return df.checkpoint()
+
+
 def _ensure_checkpoint_dir(df: DataFrame) -> None:
     import tempfile
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklake.functions import color as C
 from tracklake.functions import geometry as G
 from tracklake.functions import vector as V
 from tracklake.operators.ranking import global_rank
@@ -71,6 +72,48 @@ def jump_segments(obs: DataFrame, max_step: float) -> DataFrame:
     )
 
 
+def switch_segments(obs: DataFrame, max_step: float = 80.0, drop: float = 0.2) -> DataFrame:
+    """Adds segment: a new one where the step per frame is above ``max_step``, or the embedding is unlike the last one seen.
+
+    Unlike: cosine below 0.5 - drop, against the last row of the track with an embedding. obs: track_id, frame, x, y,
+    embedding (nullable).
+    """
+    order = Window.partitionBy("track_id").orderBy("frame")
+    gone = G.distance((F.col("x"), F.col("y")), (F.lag("x").over(order), F.lag("y").over(order)))
+    frames = F.greatest(F.lit(1), F.col("frame") - F.lag("frame").over(order))
+    seen = F.last("embedding", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = obs.withColumn("_seen", seen).withColumn("_far", F.coalesce(gone / frames > max_step, F.lit(False)))
+    unlike = F.col("embedding").isNotNull() & F.col("_seen").isNotNull() & (V.cosine(F.col("embedding"), F.col("_seen")) < 0.5 - drop)
+    cut = rows.withColumn("_cut", (F.col("_far") | unlike).cast("int"))
+    return cut.withColumn("segment", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_seen", "_far", "_cut")
+
+
+def team_by_hue(rows: DataFrame, hues: dict[str, int], *, least_saturation: int = 30, reach: int = 35) -> DataFrame:
+    """Adds team: that of the nearest hue (the first of equal ones) if the colour is saturated and near enough, else null. rows: r, g, b."""
+    h, s, _ = C.hsv((F.col("r"), F.col("g"), F.col("b")))
+    gone = [C.hue_distance(F.col("_h"), F.lit(hue)) for hue in hues.values()]
+    least = F.least(*gone) if len(gone) > 1 else gone[0]
+    near = F.coalesce(*[F.when(d == least, F.lit(team)) for team, d in zip(hues, gone)])
+    fits = (F.col("_s") >= least_saturation) & (least <= reach)
+    return rows.withColumn("_h", h).withColumn("_s", s).withColumn("team", F.when(fits, near)).drop("_h", "_s")
+
+
+def mean_colors(obs: DataFrame, floor: float = 0.05) -> DataFrame:
+    """track_id, r, g, b: the mean colour with weights max(floor, quality); tracks without a colour are absent."""
+    w = F.greatest(F.lit(floor), F.col("quality"))
+    seen = obs.where("r is not null")
+    return seen.groupBy("track_id").agg(*[(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in "rgb"])
+
+
+def shirt_distance(colors: DataFrame, kits: DataFrame) -> DataFrame:
+    """track_id, team, distance of a track's mean colour to each team's shirt of the kit table (team, sr, sg, sb); null if either is missing."""
+    cut = lambda c: F.col(c).cast("int")
+    far = C.kit_distance((cut("r"), cut("g"), cut("b")), (F.col("sr"), F.col("sg"), F.col("sb")))
+    teams = kits.withColumn("one", F.lit(1))
+    j = colors.withColumn("one", F.lit(1)).join(F.broadcast(teams), "one")  # the kits of a clip
+    return j.select("track_id", "team", F.when(F.col("r").isNotNull() & F.col("sr").isNotNull(), far).alias("distance"))
+
+
 def segment_extents(segmented: DataFrame, first_new_id: int = 30000) -> DataFrame:
     """Extent of each segment; tracks that were split get new ids for all their segments."""
     spans = segmented.groupBy("track_id", "segment").agg(
@@ -110,9 +153,9 @@ def interpolate_positions(anchors: DataFrame, queries: DataFrame) -> DataFrame:
 
     Before the first and after the last anchor the nearest two are extended; with one anchor
     its position holds. Anchors share their key's partition in time order: both sides
-    are found by windows over the union, without a range join.
+    are found by windows over the union, without a range join. Anchors that share a time count with their median.
     """
-    a = anchors.groupBy("key", "t").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    a = anchors.groupBy("key", "t").agg(F.percentile("x", F.lit(0.5)).alias("x"), F.percentile("y", F.lit(0.5)).alias("y"))
     point = F.struct("t", "x", "y")
     order = Window.partitionBy("key").orderBy("t")
     a = a.withColumn("here", point).withColumn("prev", F.lag("here").over(order)).withColumn("next", F.lead("here").over(order))
