@@ -1,11 +1,16 @@
 """Embedding retrieval: similarity search, average precision, centroids, weight sweeps.
 
 ``appearance`` has vec_id, frame, identity, embedding. Searches compare a stated query set
-with all rows; vectors are normalised once before the join.
+with all rows in blocks of both: a task holds one block of each as matrices, and only its best
+rows leave it. Metrics that need the rank of every positive sort all pairs of a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +24,11 @@ def unit(appearance: DataFrame) -> DataFrame:
     ).drop("n")
 
 
-def similarities(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+def similarities(queries: DataFrame, gallery: DataFrame, block: int = 20_000) -> DataFrame:
     """Every query against every gallery row of another frame, in blocks of the gallery."""
     q = unit(queries).select(F.col("vec_id").alias("q_id"), F.col("frame").alias("q_frame"), F.col("identity").alias("q_identity"), F.col("embedding").alias("qe"))
     g = unit(gallery).select("vec_id", "frame", "identity", "embedding")
-    blocks = 16
+    blocks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-gallery.count() // block))
     q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     g = g.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     return q.join(g, (q.block == g.block) & (q.q_frame != g.frame)).select(
@@ -31,6 +36,62 @@ def similarities(queries: DataFrame, gallery: DataFrame) -> DataFrame:
     )
 
 
+def in_blocks(
+    queries: DataFrame, gallery: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, *, q_block: int = 2048, g_block: int = 8192
+) -> DataFrame:
+    """``work`` on every block of queries with every block of the gallery; both have vec_id, and a task holds one block of each."""
+    nq, ng = -(-queries.count() // q_block) or 1, -(-gallery.count() // g_block) or 1
+    slot = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("_q", slot(nq)).withColumn("_g", every(ng))
+    g = gallery.withColumn("_g", slot(ng)).withColumn("_q", every(nq))
+    # names of their own, as both sides may come from one table
+    names = {f"b_{c}": c for c in g.columns}
+    g = g.select(*[F.col(c).alias(n) for n, c in names.items()])
+    return q.groupBy("_q", "_g").cogroup(g.groupBy("b__q", "b__g")).applyInPandas(lambda a, b: work(a, b.rename(columns=names)), schema)
+
+
+def _matrix(rows: pd.Series) -> np.ndarray:
+    m = np.array(rows.tolist(), float).reshape(len(rows), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _other_frames(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    return a["frame"].to_numpy()[:, None] != b["frame"].to_numpy()[None, :]
+
+
+def top_k(queries: DataFrame, gallery: DataFrame, k: int, *, team: str | None = None) -> DataFrame:
+    """q_id, q_identity, vec_id, identity, similarity, rank: the k most similar rows of other frames; equal ones by vec_id.
+
+    With a ``team`` column rows of another known team are no candidates; a query or row without a team fits all.
+    A block gives its k best rows of each query, and these meet in the end.
+    """
+    cols = ["vec_id", "frame", "identity", "embedding", *([team] if team else [])]
+    kinds = {f.name: f.dataType.simpleString() for f in gallery.select(*cols).schema}
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("vec_id")
+            sims = np.round(_matrix(a["embedding"]) @ _matrix(b["embedding"]).T, 9)
+            fits = _other_frames(a, b)
+            if team:
+                ta, tb = a[team].to_numpy()[:, None], b[team].to_numpy()[None, :]
+                fits &= (ta == tb) | pd.isna(ta) | pd.isna(tb)
+            sims[~fits] = -np.inf
+            ids, labels = b["vec_id"].to_numpy(), b["identity"].to_numpy()
+            for q_id, identity, row in zip(a["vec_id"], a["identity"], sims):
+                some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                best = some[np.argsort(-row[some], kind="stable")][:k]
+                out += [(q_id, identity, ids[j], labels[j], row[j]) for j in best.tolist() if np.isfinite(row[j])]
+        return pd.DataFrame(out, columns=["q_id", "q_identity", "vec_id", "identity", "similarity"])
+
+    schema = f"q_id {kinds['vec_id']}, q_identity {kinds['identity']}, vec_id {kinds['vec_id']}, identity {kinds['identity']}, similarity double"
+    found = in_blocks(queries.select(*cols), gallery.select(*cols), work, schema)
+    order = Window.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def ranked(pairs: DataFrame) -> DataFrame:
     order = Window.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).withColumn("hit", (F.col("identity") == F.col("q_identity")).cast("int"))
@@ -91,29 +152,47 @@ def centroid_medians(appearance: DataFrame, size: int, least: int = 5) -> DataFr
     )
 
 
-def nearest_with_margin(queries: DataFrame, registry: DataFrame, least: float, margin: float) -> DataFrame:
-    """q_id, vec_id, similarity: the best registry row if it is good and clear enough (a missing second counts as -2)."""
-    order = Window.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id")
-    second = F.coalesce(F.lead("similarity").over(order), F.lit(-2.0))
+def nearest_with_margin(queries: DataFrame, registry: DataFrame, least: float, margin: float, *, team: str | None = None) -> DataFrame:
+    """q_id, vec_id, similarity: the best registry row (of the team) if it is good and clear enough; a missing second counts as -2."""
+    two = top_k(queries, registry, 2, team=team)
+    second = F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("similarity"))), F.lit(-2.0))
+    best = F.max(F.when(F.col("rank") == 1, F.struct("vec_id", "similarity")))
     return (
-        similarities(queries, registry)
-        .withColumn("rank", F.row_number().over(order))
-        .withColumn("second", second)
-        .where((F.col("rank") == 1) & (F.col("similarity") >= least) & (F.col("similarity") - F.col("second") >= margin))
+        two.groupBy("q_id").agg(best.alias("b"), second.alias("second")).select("q_id", "b.vec_id", "b.similarity", "second")
+        .where((F.col("similarity") >= least) & (F.col("similarity") - F.col("second") >= margin))
         .select("q_id", "vec_id", "similarity")
     )
 
 
-def fusion_sweep(a: DataFrame, b: DataFrame, weights: list[float]) -> DataFrame:
-    """rank-1 of the weighted sum of two similarity tables for each weight, best first."""
-    both = a.join(b.select("q_id", "vec_id", F.col("similarity").alias("other")), ["q_id", "vec_id"])
-    swept = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in weights]))).withColumn(
-        "fused", F.round((1 - F.col("weight")) * F.col("similarity") + F.col("weight") * F.col("other"), 9)
-    )
-    top = swept.groupBy("weight", "q_id", "q_identity").agg(F.max_by("identity", F.struct("fused", -F.col("vec_id"))).alias("found"))
+def fusion_sweep(queries: DataFrame, gallery: DataFrame, weights: list[float]) -> DataFrame:
+    """weight and rank1 of (1 - weight) * similarity of ``embedding`` + weight * that of ``other``, for each weight."""
+    cols = ["vec_id", "frame", "identity", "embedding", "other"]
+    kinds = {f.name: f.dataType.simpleString() for f in gallery.select(*cols).schema}
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("vec_id")
+            one, two = (np.round(_matrix(a[c]) @ _matrix(b[c]).T, 9) for c in ("embedding", "other"))
+            fits = _other_frames(a, b)
+            ids, labels = b["vec_id"].to_numpy(), b["identity"].to_numpy()
+            for w in weights:
+                fused = np.where(fits, np.round((1 - w) * one + w * two, 9), -np.inf)
+                best = fused.argmax(axis=1)
+                out += [(w, q, i, ids[j], labels[j], row[j]) for q, i, j, row in zip(a["vec_id"], a["identity"], best.tolist(), fused) if np.isfinite(row[j])]
+        return pd.DataFrame(out, columns=["weight", "q_id", "q_identity", "vec_id", "found", "fused"])
+
+    schema = f"weight double, q_id {kinds['vec_id']}, q_identity {kinds['identity']}, vec_id {kinds['vec_id']}, found {kinds['identity']}, fused double"
+    blocks = in_blocks(queries.select(*cols), gallery.select(*cols), work, schema)
+    top = blocks.groupBy("weight", "q_id", "q_identity").agg(F.max_by("found", F.struct("fused", -F.col("vec_id"))).alias("found"))
     return top.groupBy("weight").agg(F.round(F.avg((F.col("found") == F.col("q_identity")).cast("int")), 6).alias("rank1"))
 
 
+def best_weight(sweep: DataFrame, metric: str = "rank1") -> DataFrame:
+    """The weight with the largest metric; of equal ones the smallest."""
+    return sweep.orderBy(F.desc(metric), "weight").limit(1)
+
+
 def adjacent_frames(appearance: DataFrame) -> DataFrame:
     """frame and the next distinct frame."""
     return next_value(appearance.select("frame").distinct(), "frame", 4096, "next_frame").where("next_frame is not null")

@@ -11,6 +11,25 @@ from tracklake.functions import geometry as G
 CELL = 128.0  # about two to four times the size of a box
 
 
+def box_pairs(gt: DataFrame, pred: DataFrame, threshold: float, cell: float = CELL) -> DataFrame:
+    """frame, gt_id, pred_id, track_id (if there is one) and iou of the boxes of a frame that overlap enough, once for each grid cell they share."""
+    sides = ("x1", "y1", "x2", "y2")
+    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+
+    def dealt(df: DataFrame, n: str, *keep: str) -> DataFrame:
+        cut = df.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
+        return cut.select("frame", "cx", "cy", *keep, *[F.col(c).alias(f"{n}{c}") for c in sides])
+
+    own = ["pred_id", *[c for c in ("track_id",) if c in pred.columns]]
+    return (
+        dealt(gt, "g", "gt_id")
+        .join(dealt(pred, "p", *own), ["frame", "cx", "cy"])
+        .withColumn("iou", G.iou(G.box("g"), G.box("p")))
+        .where(F.col("iou") >= threshold)
+        .select("frame", "gt_id", *own, "iou")
+    )
+
+
 def best_iou_match(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, cell: float = CELL) -> DataFrame:
     """Every ground-truth box with its best predicted box of the frame, or nulls.
 
@@ -18,19 +37,7 @@ def best_iou_match(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, cell:
     cells that they touch, so a frame with very many boxes is not one group: pairs meet
     by (frame, cell) and are reduced to the best one at once.
     """
-    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
-
-    p = pred.select("pred_id", "track_id", "frame", *[F.col(c).alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")], "x1", "y1", "x2", "y2")
-    pairs = (
-        dealt(gt.select("gt_id", "frame", *[F.col(c).alias(f"g{c}") for c in ("x1", "y1", "x2", "y2")], "x1", "y1", "x2", "y2"))
-        .drop("x1", "y1", "x2", "y2")
-        .join(dealt(p).drop("x1", "y1", "x2", "y2"), ["frame", "cx", "cy"])
-        .withColumn("iou", G.iou(G.box("g"), G.box("p")))
-        .where(F.col("iou") >= threshold)
-    )
+    pairs = box_pairs(gt, pred, threshold, cell)
     best = pairs.groupBy("gt_id").agg(F.max_by(F.struct("track_id", "pred_id", "iou"), F.struct("iou", -F.col("pred_id"))).alias("b"))
     return gt.join(best, "gt_id", "left").select(gt["*"], F.col("b.track_id"), F.col("b.pred_id"), F.col("b.iou"))
 
@@ -121,13 +128,7 @@ def greedy_one_to_one(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) ->
 
     The order makes it sequential within a frame; only pairs above the threshold reach the group.
     """
-    pairs = (
-        gt.alias("g")
-        .join(pred.alias("p"), "frame")
-        .withColumn("iou", G.iou(G.box("g."), G.box("p.")))
-        .where(F.col("iou") >= threshold)
-        .select("frame", "gt_id", "pred_id", "iou")
-    )
+    pairs = box_pairs(gt, pred, threshold).select("frame", "gt_id", "pred_id", "iou")
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         used: set[int] = set()
