@@ -83,6 +83,19 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_expected(spark: SparkSession, path: str) -> DataFrame:
+    """team and name of the players that a clip shows; entries that are counts (referees, goalkeepers) have the count instead."""
+    doc = spark.read.schema("expected_visible map<string,string>").json(path, multiLine=True)
+    rows = doc.select(F.explode("expected_visible").alias("team", "entry"))
+    names = F.from_json("entry", "players array<struct<name:string>>")["players"]["name"]
+    return rows.select("team", F.explode_outer(names).alias("name"), F.col("entry").try_cast("int").alias("count")).where("name is not null or count is not null")
+
+
+def observation_documents(obs: DataFrame) -> DataFrame:
+    """Observations as written: head and body embeddings stay out, the appearance embedding stays."""
+    return obs.drop("head_embedding", "body_embedding")
+
+
 def track_documents(obs: DataFrame, row_fields: list[str], order: str) -> DataFrame:
     """Nested track documents: one row per track with its observations in order."""
     item = F.struct(order, *[c for c in row_fields if c != order])
@@ -104,6 +117,15 @@ def to_document(df: DataFrame, limit: int = 100_000) -> str:
     return json.dumps([json.loads(r) for r in rows], indent=2, ensure_ascii=False)
 
 
+def provenance(summary: DataFrame, changes: DataFrame) -> DataFrame:
+    """The summary with where each change of a track came from: one map of (field, source) for each track.
+
+    changes: track_id, field (as identity_stitched_from, label_inherited_from), source.
+    """
+    maps = changes.groupBy("track_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", "source")))).alias("provenance"))
+    return summary.join(maps, "track_id", "left")
+
+
 def summary_rows(best: DataFrame, ranked: DataFrame, extents: DataFrame, top: int = 5) -> DataFrame:
     """Track summaries with rounded times and scores and the best candidates."""
     item = F.struct("rank", "candidate", F.round("score", 4).alias("score"))

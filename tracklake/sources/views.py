@@ -110,6 +110,39 @@ def mot_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def squad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roster with few jersey numbers, so that teams share them, and positions; nr is the roster's order."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    nr = F.col("n_nationkey").cast("long")
+    position = F.element_at(F.array(*[F.lit(p) for p in ("GK", "DF", "MF", "FW", "")]), (F.pmod(F.expr("n_nationkey div 5"), F.lit(5)) + 1).cast("int"))
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+        nr.alias("nr"), F.col("n_name").alias("player"), F.col("r_name").alias("team"), F.pmod(nr, F.lit(8)).cast("string").alias("jersey"), position.alias("position")
+    )
+
+
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a track: team, read jersey, resolved player, confidence, votes, times and role, each missing for some tracks."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    e = observations(spark, sf_dir).groupBy("track_id").agg(
+        F.min("seq").alias("s0"), F.max("seq").alias("s1"), F.round(F.avg("prob"), 9).alias("p"), F.round(F.avg("quality") * 10, 9).alias("votes"),
+        F.min("ts_s").alias("start_s"), F.max("ts_s").alias("end_s"), F.count(F.lit(1)).alias("n"),
+    )
+    t = F.col("track_id")
+    keep = lambda n, c: F.when(F.pmod(t, F.lit(n)) != 0, c)
+    teams, players = region.select(F.col("r_regionkey").cast("long").alias("_t"), "r_name"), nation.select(F.col("n_nationkey").cast("long").alias("_p"), "n_name")
+    return (
+        e.withColumn("_t", F.pmod(t, F.lit(5)).cast("long"))
+        .withColumn("_p", F.pmod(F.col("s1"), F.lit(25)).cast("long"))
+        .join(teams, "_t")
+        .join(players, "_p")
+        .select(
+            "track_id", keep(13, F.col("r_name")).alias("team"), keep(9, F.pmod("s0", F.lit(10)).cast("string")).alias("jersey"), keep(7, F.col("n_name")).alias("resolved"),
+            F.col("p").alias("confidence"), "votes", "start_s", "end_s", ((F.col("end_s") - F.col("start_s")) / 86400).alias("duration"), "n",
+            F.when(F.pmod(t, F.lit(17)) == 0, "referee").when(F.pmod(t, F.lit(19)) == 0, "goalkeeper").alias("role"), (F.col("votes") >= 4.5).alias("is_player"),
+        )
+    )
+
+
 #: The same views as DuckDB common table expressions.
 SQL = {
     "ev": """ev AS (SELECT event_id, user_id, event_type, value, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 AS ts_s,
@@ -125,9 +158,15 @@ SQL = {
         x1 + gt_id % 7 AS x1, y1 + gt_id % 11 AS y1, x2 + gt_id % 7 AS x2, y2 + gt_id % 11 AS y2 FROM gt_boxes WHERE gt_id % 10 <> 0)""",
     "roster": "roster AS (SELECT n_name AS player, r_name AS team, CAST(n_nationkey AS VARCHAR) AS jersey FROM nation JOIN region ON n_regionkey = r_regionkey)",
     "appearance": "appearance AS (SELECT vec_id, vec_id // 10 AS frame, label AS identity, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)",
+    "squad": """squad AS (SELECT CAST(n_nationkey AS BIGINT) AS nr, n_name AS player, r_name AS team, CAST(n_nationkey % 8 AS VARCHAR) AS jersey,
+        ['GK', 'DF', 'MF', 'FW', ''][CAST((n_nationkey // 5) % 5 AS INT) + 1] AS position FROM nation JOIN region ON n_regionkey = r_regionkey)""",
+    "summary": """sums AS (SELECT track_id, min(seq) AS s0, max(seq) AS s1, round(avg(prob), 9) AS p, round(avg(quality) * 10, 9) AS votes, min(ts_s) AS start_s, max(ts_s) AS end_s, count(*) AS n FROM observations GROUP BY track_id),
+        summary AS (SELECT track_id, CASE WHEN track_id % 13 <> 0 THEN r_name END AS team, CASE WHEN track_id % 9 <> 0 THEN CAST(s0 % 10 AS VARCHAR) END AS jersey, CASE WHEN track_id % 7 <> 0 THEN n_name END AS resolved,
+            p AS confidence, votes, start_s, end_s, (end_s - start_s) / 86400 AS duration, n, CASE WHEN track_id % 17 = 0 THEN 'referee' WHEN track_id % 19 = 0 THEN 'goalkeeper' END AS role, votes >= 4.5 AS is_player
+            FROM sums JOIN region ON r_regionkey = track_id % 5 JOIN nation ON n_nationkey = s1 % 25)""",
     "mot_boxes": "mot_boxes AS (SELECT l_returnflag AS sequence, l_suppkey AS track_id, l_linenumber AS frame FROM lineitem)",
 }
-_NEEDS = {"observations": ["ev"], "fragments": ["ev"], "gt_boxes": ["ev"], "pred_boxes": ["gt_boxes"]}
+_NEEDS = {"observations": ["ev"], "fragments": ["ev"], "gt_boxes": ["ev"], "pred_boxes": ["gt_boxes"], "summary": ["observations"]}
 
 
 def with_views(*names: str) -> str:
