@@ -7,10 +7,14 @@ import os
 import duckdb
 import pytest
 
-from tracklake.plans.oracles import SQL
+from tracklake.plans.evidence_oracles import SQL as EVIDENCE_SQL
+from tracklake.plans.oracles import SQL as OWN_SQL
 from tracklake.plans.more_queries import QUERIES
 
 
+SQL = OWN_SQL | EVIDENCE_SQL
+
+
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracklake.functions import geometry as G
 from tracklake.functions import vector as V
 from tracklake.operators import identity, linking, retrieval, tracks, votes
+from tracklake.plans.evidence_queries import QUERIES as EVIDENCE
 from tracklake.plans.queries import DIM, HOUR, QUERIES, _r, _spans
 from tracklake.sources import files
 from tracklake.sources import views as S
@@ -69,7 +70,7 @@ def kit_fit(spark, d):
 def registry_merge(spark, d):
     a = S.appearance(spark, d)
     q = a.where(F.pmod("vec_id", F.lit(20)) == 0)
-    near = retrieval.nearest_with_margin(q, a.where(F.pmod("vec_id", F.lit(4)) == 1), 0.2, 0.0).join(a.select("vec_id", "identity"), "vec_id")
+    near = retrieval.nearest_with_margin(q, a, 0.2, 0.0).join(a.select("vec_id", "identity"), "vec_id")
     held = q.select(F.col("vec_id").alias("track_id"), F.when(F.pmod("vec_id", F.lit(3)) != 0, F.col("identity")).alias("identity"), (F.pmod("vec_id", F.lit(10)) / 10.0 + F.pmod("vec_id", F.lit(60)) / 100.0).alias("confidence"))
     return identity.merge_by_registry(near.select(F.col("q_id").alias("track_id"), "identity", "similarity"), held)
 
@@ -137,4 +138,4 @@ MORE = {
         strided_observations, box_shapes, track_documents, ema_vectors, synthetic_paths, idf_extremes,
     )
 }
-QUERIES = QUERIES | MORE
+QUERIES = QUERIES | MORE | EVIDENCE

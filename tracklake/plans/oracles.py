@@ -87,6 +87,14 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC,
 _hsv = """CASE WHEN mx = mn THEN 0 WHEN mx = r THEN 60.0::DOUBLE * (g - b) / (mx - mn) WHEN mx = g THEN 120 + 60.0::DOUBLE * (b - r) / (mx - mn) ELSE 240 + 60.0::DOUBLE * (r - g) / (mx - mn) END"""
 HSV = f"CAST(round((CASE WHEN {_hsv} < 0 THEN {_hsv} + 360 ELSE {_hsv} END) / 2) AS INT) % 180"
 
+def _linear(c: str) -> str:
+    return f"CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92 ELSE (({c} / 255.0::DOUBLE + 0.055) / 1.055) ** 2.4::DOUBLE END"
+
+
+def _root(c: str) -> str:
+    return f"CASE WHEN {c} > 0.008856 THEN cbrt({c}) ELSE 7.787 * {c} + 16.0::DOUBLE / 116.0 END"
+
+
 SQL: dict[str, str] = {
     "track_eval_summary": f"""{BOXES}, {JUDGED}, {SWITCHES} SELECT {RATES}, (SELECT coalesce(sum(s), 0) FROM sw)::BIGINT AS id_switches FROM judged""",
     "track_eval_by_player": f"{BOXES}, {JUDGED} SELECT name, {RATES} FROM judged GROUP BY name",
@@ -130,26 +138,12 @@ SQL: dict[str, str] = {
             FROM truth t LEFT JOIN ordered o ON o.track_id = t.track_id AND rn <= 5 GROUP BY t.track_id)
         SELECT count(*) AS n, round(sum(t1) / greatest(1, count(*)), 6) AS top1, round(sum(t3) / greatest(1, count(*)), 6) AS top3 FROM h""",
     "team_posterior_softmax": f"{OBS}, {TEAMD} SELECT track_id, team, round(prob, 6) AS prob FROM tp",
-    "fusion_posterior": f"""{with_views('observations', 'roster')}, {TEAMD}, {REGIONS},
-        tr AS (SELECT track_id, r.team, prob AS team_prob FROM tp JOIN regions r USING (t)),
-        lw AS (SELECT track_id, (seq % 25)::VARCHAR AS jersey, sum({C}) AS c FROM observations GROUP BY ALL),
-        lp AS (SELECT track_id, jersey, CASE WHEN sum(c) OVER t > 0 THEN c / sum(c) OVER t ELSE 0 END AS p FROM lw WINDOW t AS (PARTITION BY track_id)),
-        sc AS (SELECT e.track_id, player, 2.0 * ln(greatest(team_prob, 1e-6)) + 3.2 * greatest(0.15, mean_quality) * ln(greatest(coalesce(p, 1e-4), 1e-6)) + 0.35 * ln(0.5)
-            + 0.25 * ln(least(0.99, 0.35 + 0.35 * least(1, n / 18) + 0.30 * mean_quality)) AS score
-            FROM ext e JOIN tr USING (track_id) JOIN roster o ON o.team = tr.team LEFT JOIN lp ON lp.track_id = e.track_id AND lp.jersey = o.jersey),
-        ex AS (SELECT *, exp(score - max(score) OVER (PARTITION BY track_id)) AS x FROM sc)
-        SELECT track_id, player, round(score, 6) AS score, round(x / sum(x) OVER (PARTITION BY track_id), 6) AS posterior FROM ex""",
     "edge_touch_upper_median": f"""{with_views('gt_boxes')}, {_edges(1000, 1200)} SELECT track_id, round(left_share, 6) AS left_share, round(right_share, 6) AS right_share,
         round(top_share, 6) AS top_share, round(bottom_share, 6) AS bottom_share, round(median_x1, 6) AS median_x1, round(median_y1, 6) AS median_y1,
         round(median_x2, 6) AS median_x2, round(median_y2, 6) AS median_y2 FROM edges""",
     "player_likelihood": f"""{with_views('gt_boxes', 'observations')}, {_edges(1000, 160)}, {EXT}, lk AS (SELECT track_id, duration,
         (0.85 * mean_quality + 0.15 * mean_prob) * CASE WHEN greatest(top_share, bottom_share) >= 0.5 THEN 0.15 ELSE 1 END AS l FROM ext LEFT JOIN edges USING (track_id))
         SELECT track_id, round(l, 6) AS likelihood, l >= 0.5 AND duration >= 0.2 AS is_player FROM lk""",
-    "special_roles": f"""{with_views('gt_boxes')}, kit AS (SELECT name, CAST(floor(quantile_cont(x1::BIGINT % 256, 0.5)) AS INT) AS r, CAST(floor(quantile_cont(floor(y1)::BIGINT % 256, 0.5)) AS INT) AS g,
-        CAST(floor(quantile_cont(gt_id % 256, 0.5)) AS INT) AS b FROM gt_boxes GROUP BY name), mm AS (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM kit),
-        hs AS (SELECT name, {HSV} AS hue, CAST(round(CASE WHEN mx = 0 THEN 0 ELSE 255.0::DOUBLE * (mx - mn) / mx END) AS INT) AS saturation FROM mm)
-        SELECT name, hue, saturation, CASE WHEN saturation >= 30 AND least(abs(hue - 30), 180 - abs(hue - 30)) <= 35 THEN 'referee'
-            WHEN saturation >= 30 AND least(abs(hue - 120), 180 - abs(hue - 120)) <= 50 THEN 'goalkeeper' ELSE 'player' END AS role FROM hs""",
     "roster_validity": f"""{with_views('observations', 'roster')}, {REGIONS}, o AS (SELECT track_id, min(seq) AS s FROM observations GROUP BY track_id),
         l AS (SELECT track_id, team, (s % 25)::VARCHAR AS label FROM o LEFT JOIN regions ON t = track_id % 6),
         j AS (SELECT l.*, team IS NOT NULL AND NOT EXISTS (SELECT 1 FROM roster r WHERE r.team = l.team AND r.jersey = l.label) AS off FROM l)
@@ -183,8 +177,8 @@ SQL: dict[str, str] = {
         SELECT track_id, team, score, CASE WHEN row_number() OVER (PARTITION BY team, identity ORDER BY score DESC, track_id::VARCHAR DESC) = 1 THEN identity END AS label FROM r""",
     "frame_label_dedup": f"""{with_views('gt_boxes')}, s AS (SELECT gt_id, frame, name % 5 AS identity, round(y1, 6) AS strength FROM gt_boxes)
         SELECT gt_id, frame, identity, strength FROM s QUALIFY strength >= max(strength) OVER (PARTITION BY frame, identity) - 1e-6""",
-    "interp_positions": f"""{FRAG}, a AS (SELECT user_id AS key, ts_s AS t, avg(x) AS x, avg(y) AS y FROM fragments WHERE seq % 3 = 0 GROUP BY ALL),
-        q AS (SELECT user_id AS key, ts_s AS "at" FROM fragments WHERE seq % 3 = 1),
+    "interp_positions": f"""{FRAG}, a AS (SELECT user_id AS key, ts_s AS t, quantile_cont(x, 0.5) AS x, quantile_cont(y, 0.5) AS y FROM fragments WHERE seq % 3 = 0 GROUP BY ALL),
+        q AS (SELECT user_id AS key, ts_s AS "at" FROM fragments WHERE seq % 3 <> 0),
         nb AS (SELECT q.key, q."at", list({{'t': a.t, 'x': a.x, 'y': a.y}} ORDER BY a.t) AS l, count(*) FILTER (a.t <= q."at") AS lo, count(*) AS n FROM q JOIN a ON q.key = a.key GROUP BY q.key, q."at"),
         pq AS (SELECT key, "at", l[CASE WHEN lo = 0 THEN 1 WHEN lo = n THEN greatest(1, n - 1) ELSE lo END] AS p, l[CASE WHEN lo = 0 THEN least(2, n) WHEN lo = n THEN n ELSE lo + 1 END] AS q FROM nb)
         SELECT key, round("at", 3) AS "at", round(CASE WHEN p.t = q.t THEN p.x ELSE p.x + (q.x - p.x) * ("at" - p.t) / (q.t - p.t) END, 4) AS x,
@@ -207,7 +201,7 @@ SQL: dict[str, str] = {
     "centroid_median": f"""{with_views('appearance')}, e AS (SELECT identity, vec_id, unnest(embedding) AS v, unnest(range(64)) AS place FROM appearance),
         n AS (SELECT identity FROM appearance GROUP BY identity HAVING count(*) >= 5)
         SELECT identity, CAST(place AS INT) AS place, round(quantile_cont(v, 0.5), 6) AS value FROM e JOIN n USING (identity) GROUP BY ALL""",
-    "registry_nn_margin": f"""{with_views('appearance')}, {SIM}, r2 AS (SELECT q_id, vec_id, similarity, row_number() OVER o AS rn, coalesce(lead(similarity) OVER o, -2) AS second FROM sims WHERE vec_id % 4 = 1
+    "registry_nn_margin": f"""{with_views('appearance')}, {SIM}, r2 AS (SELECT q_id, vec_id, similarity, row_number() OVER o AS rn, coalesce(lead(similarity) OVER o, -2) AS second FROM sims WHERE coalesce(CASE WHEN q_id % 9 <> 0 THEN q_id % 2 END = CASE WHEN vec_id % 9 <> 0 THEN vec_id % 2 END, TRUE)
         WINDOW o AS (PARTITION BY q_id ORDER BY similarity DESC, vec_id))
         SELECT q_id, vec_id, round(similarity, 6) AS similarity FROM r2 WHERE rn = 1 AND similarity >= 0.25 AND similarity - second >= 0.01""",
     "adjacent_frames": f"""{with_views('appearance')}, f AS (SELECT DISTINCT frame FROM appearance), n AS (SELECT frame, lead(frame) OVER (ORDER BY frame) AS next_frame FROM f)
@@ -249,6 +243,32 @@ SQL: dict[str, str] = {
             FROM sims s JOIN h ON h.q_id = s.q_id AND h.vec_id = s.vec_id, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) v(weight)),
         t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY weight, q_id ORDER BY fused DESC, vec_id) = 1)
         SELECT weight, round(avg(CASE WHEN identity = q_identity THEN 1 ELSE 0 END), 6) AS rank1 FROM t GROUP BY weight""",
+    "track_summary": f"""{OBS}, {SCORED}, {EXT}, rk AS (SELECT track_id, rn, candidate, round(votes * share * CASE WHEN locked THEN boost ELSE 1 END, 4) AS sc FROM ordered WHERE rn <= 5),
+        ls AS (SELECT track_id, string_agg(rn || ':' || candidate || ':' || CAST(round(sc * 10000) AS BIGINT), ',' ORDER BY rn) AS candidates FROM rk GROUP BY track_id)
+        SELECT e.track_id, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s, round(duration, 3) AS duration, CASE WHEN locked OR share >= 0.3 THEN candidate END AS candidate, round(votes * share * boost, 4) AS score, candidates
+        FROM ext e LEFT JOIN ordered o ON o.track_id = e.track_id AND rn = 1 LEFT JOIN ls ON ls.track_id = e.track_id""",
+    "team_flip_segments": f"""{OBS}, t AS (SELECT track_id, seq, CASE WHEN seq % 4 = 0 THEN NULL WHEN prob > 0.5 THEN 'home' ELSE 'away' END AS team FROM observations),
+        r AS (SELECT *, row_number() OVER o AS i, coalesce(lead(team, 1) OVER o, lead(team, 2) OVER o, lead(team, 3) OVER o) AS ahead FROM t WINDOW o AS (PARTITION BY track_id ORDER BY seq)),
+        st AS (SELECT DISTINCT track_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS team, NULL::VARCHAR AS cur, 0::BIGINT AS segment FROM r
+            UNION ALL SELECT r.track_id, r.i, r.seq, r.team, CASE WHEN r.team IS NULL THEN cur WHEN cur IS NULL OR (r.team <> cur AND ahead = r.team) THEN r.team ELSE cur END,
+                segment + CASE WHEN coalesce(r.team <> cur AND ahead = r.team, FALSE) THEN 1 ELSE 0 END FROM st s JOIN r ON r.track_id = s.track_id AND r.i = s.i + 1)
+        SELECT track_id, seq, team, CAST(segment AS INT) AS segment FROM st WHERE seq IS NOT NULL""",
+    "two_means": f"""{OBS}, pt AS (SELECT track_id AS id, round(avg(quality), 6) AS r, round(avg(prob), 6) AS g, round(max(prob), 6) AS b FROM observations GROUP BY track_id),
+        lo AS (SELECT * FROM pt ORDER BY r, id LIMIT 1), hi AS (SELECT * FROM pt ORDER BY r DESC, id DESC LIMIT 1),
+        it AS (SELECT 0 AS k, lo.r AS r0, lo.g AS g0, lo.b AS b0, hi.r AS r1, hi.g AS g1, hi.b AS b1 FROM lo, hi UNION ALL
+            SELECT k + 1, coalesce(avg(r) FILTER (c = 0), any_value(r0)), coalesce(avg(g) FILTER (c = 0), any_value(g0)), coalesce(avg(b) FILTER (c = 0), any_value(b0)),
+                coalesce(avg(r) FILTER (c = 1), any_value(r1)), coalesce(avg(g) FILTER (c = 1), any_value(g1)), coalesce(avg(b) FILTER (c = 1), any_value(b1))
+            FROM (SELECT *, CASE WHEN (r - r1) ** 2 + (g - g1) ** 2 + (b - b1) ** 2 < (r - r0) ** 2 + (g - g0) ** 2 + (b - b0) ** 2 THEN 1 ELSE 0 END AS c FROM it, pt WHERE k < 12) GROUP BY k)
+        SELECT id, r, g, b, CASE WHEN (r - r1) ** 2 + (g - g1) ** 2 + (b - b1) ** 2 < (r - r0) ** 2 + (g - g0) ** 2 + (b - b0) ** 2 THEN 1 ELSE 0 END AS cluster FROM pt, it WHERE k = 12""",
+    "kit_distances": f"""WITH kit AS (SELECT p_partkey, CAST(p_partkey % 256 AS INT) AS r, CAST(p_partkey * 7 % 256 AS INT) AS g, CAST(p_partkey * 13 % 256 AS INT) AS b,
+            CAST(p_partkey * 3 % 256 AS INT) AS r2, CAST(p_partkey * 5 % 256 AS INT) AS g2, CAST(p_partkey * 11 % 256 AS INT) AS b2 FROM part),
+        mm AS (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM kit),
+        hs AS (SELECT p_partkey, {HSV} AS hue, CAST(round(CASE WHEN mx = 0 THEN 0 ELSE 255.0::DOUBLE * (mx - mn) / mx END) AS INT) AS saturation, mx AS brightness FROM mm),
+        ch AS (SELECT p_partkey, 1 AS side, {", ".join(_linear(c) + f" AS {c}" for c in "rgb")} FROM kit UNION ALL SELECT p_partkey, 2, {", ".join(_linear(c + "2") for c in "rgb")} FROM kit),
+        xyz AS (SELECT p_partkey, side, (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.950456 AS x, 0.212671 * r + 0.715160 * g + 0.072169 * b AS y, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.088754 AS z FROM ch),
+        lab AS (SELECT p_partkey, side, round((CASE WHEN y > 0.008856 THEN 116.0 * cbrt(y) - 16.0 ELSE 903.3 * y END) * 255 / 100) AS l, round(500.0 * ({_root("x")} - {_root("y")}) + 128) AS a, round(200.0 * ({_root("y")} - {_root("z")}) + 128) AS b FROM xyz)
+        SELECT p_partkey, hue, saturation, brightness, round(sqrt((0.4 * (u.l - v.l)) ** 2 + (u.a - v.a) ** 2 + (u.b - v.b) ** 2) / 255.0, 4) AS distance
+        FROM hs JOIN lab u USING (p_partkey) JOIN lab v USING (p_partkey) WHERE u.side = 1 AND v.side = 2""",
     "weighted_centroids": f"""{with_views('appearance')}, e AS (SELECT identity, greatest(0.01, (vec_id % 10) / 10.0::DOUBLE) AS w, unnest(embedding) AS v, unnest(range(64)) AS place FROM appearance),
         m AS (SELECT identity, place, sum(v * w) / sum(w) AS v, count(*) AS n FROM e GROUP BY ALL)
         SELECT identity, n, CAST(place AS INT) AS place, round(v / sqrt(sum(v * v) OVER (PARTITION BY identity)), 6) AS value FROM m""",
@@ -270,7 +290,7 @@ SQL: dict[str, str] = {
     "kit_fit": f"""{OBS}, k AS (SELECT track_id, CASE WHEN seq % 7 <> 0 THEN prob END AS a, CASE WHEN seq % 5 <> 0 THEN quality END AS b FROM observations),
         r AS (SELECT *, CASE WHEN b IS NULL THEN 1 - least(1, a) ELSE 0.58 * (1 - least(1, a)) + 0.42 * (1 - least(1, b)) END AS raw FROM k)
         SELECT track_id, round(max(CASE WHEN a IS NULL THEN 0.5 WHEN b > 0.5 THEN least(0.42, raw) ELSE raw END), 6) AS fit FROM r GROUP BY track_id""",
-    "registry_merge": f"""{with_views('appearance')}, {SIM}, nn AS (SELECT q_id, identity AS found FROM sims WHERE vec_id % 4 = 1 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, vec_id) = 1 AND similarity >= 0.2),
+    "registry_merge": f"""{with_views('appearance')}, {SIM}, nn AS (SELECT q_id, identity AS found FROM sims QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, vec_id) = 1 AND similarity >= 0.2),
         h AS (SELECT vec_id AS track_id, CASE WHEN vec_id % 3 <> 0 THEN identity END AS held, (vec_id % 10) / 10.0::DOUBLE + (vec_id % 60) / 100.0::DOUBLE AS confidence FROM q),
         j AS (SELECT *, found IS NULL OR (held IS NOT NULL AND held <> found AND confidence >= 0.5) AS keeps FROM h LEFT JOIN nn ON q_id = track_id)
         SELECT track_id, CASE WHEN keeps THEN held ELSE found END AS identity, NOT keeps AND held IS DISTINCT FROM found AS merged FROM j""",
@@ -291,3 +311,4 @@ SQL: dict[str, str] = {
     "idf_extremes": f"""{OBS}, {IDF}, e AS (SELECT candidate, weight, row_number() OVER (ORDER BY weight, candidate) AS lo, row_number() OVER (ORDER BY weight DESC, candidate) AS hi FROM idf)
         SELECT candidate, round(weight, 6) AS weight FROM e WHERE lo <= 2 OR hi <= 2""",
 }
+SQL["best_weight"] = f"SELECT * FROM ({SQL['fusion_sweep']}) ORDER BY rank1 DESC, weight LIMIT 1"

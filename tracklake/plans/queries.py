@@ -133,15 +133,6 @@ def team_posterior_softmax(spark, d):
     return fusion.team_posterior(_team_distances(spark, d)).withColumns(_r("prob"))
 
 
-def fusion_posterior(spark, d):
-    regions = S.roster(spark, d).select("team").distinct().withColumn("t", F.row_number().over(Window.orderBy("team")) - 1)
-    p = fusion.team_posterior(_team_distances(spark, d)).withColumn("t", F.substring("team", 5, 1).cast("int")).drop("team").join(regions, "t")
-    o = S.observations(spark, d)
-    labels = votes.weighted_distribution(o.withColumn("candidate", F.pmod("seq", F.lit(25)).cast("string")))
-    e = tracks.extents(o)
-    return fusion.fuse(e, p.select("track_id", "team", "prob"), labels, S.roster(spark, d)).withColumns(_r("score", "posterior"))
-
-
 def edge_touch_upper_median(spark, d):
     got = tracks.edge_touches(S.gt_boxes(spark, d).withColumnRenamed("name", "track_id"), 1000.0, 1200.0, 20.0)
     return got.withColumns(_r(*[c for c in got.columns if c != "track_id"]))
@@ -152,20 +143,6 @@ def player_likelihood(spark, d):
     return tracks.player_likelihood(tracks.extents(S.observations(spark, d)), edges).withColumns(_r("likelihood"))
 
 
-def special_roles(spark, d):
-    """Median kit colour by track, then the nearest reference hue where saturated enough."""
-    o = S.gt_boxes(spark, d)
-    med = lambda c: F.floor(F.percentile(c, F.lit(0.5))).cast("int")
-    kit = o.groupBy("name").agg(med(F.pmod(F.col("x1").cast("long"), F.lit(256))).alias("r"), med(F.pmod(F.col("y1").cast("long"), F.lit(256))).alias("g"), med(F.pmod("gt_id", F.lit(256))).alias("b"))
-    h, s, _ = C.hsv((F.col("r"), F.col("g"), F.col("b")))
-    k = kit.withColumn("hue", h).withColumn("saturation", s)
-    sat = F.col("saturation") >= 30
-    return k.select(
-        "name", "hue", "saturation",
-        F.when(sat & (C.hue_distance(F.col("hue"), F.lit(30)) <= 35), "referee").when(sat & (C.hue_distance(F.col("hue"), F.lit(120)) <= 50), "goalkeeper").otherwise("player").alias("role"),
-    )
-
-
 def roster_validity(spark, d):
     regions = S.roster(spark, d).select("team").distinct().withColumn("t", F.row_number().over(Window.orderBy("team")) - 1)
     o = S.observations(spark, d).groupBy("track_id").agg(F.min("seq").alias("s"))
@@ -183,7 +160,7 @@ def gap_nearest(spark, d):
 
 def gap_stitch(spark, d):
     s = _spans(spark, d)
-    return linking.gap_stitch(linking.gap_candidates(s, 6 * HOUR, 250.0).select("a", "b", "gap", "distance"), s.select("track_id", "team", "score"))
+    return linking.gap_stitch(linking.gap_candidates(s, 6 * HOUR, 250.0).select("a", "b", "gap", "distance"), s.select("track_id", "score"))
 
 
 def fragment_inherit(spark, d):
@@ -246,7 +223,7 @@ def conflict_resolution(spark, d):
 def interp_positions(spark, d):
     f = S.fragments(spark, d)
     a = f.where(F.pmod("seq", F.lit(3)) == 0).select(F.col("user_id").alias("key"), F.col("ts_s").alias("t"), "x", "y")
-    q = f.where(F.pmod("seq", F.lit(3)) == 1).select(F.col("user_id").alias("key"), F.col("ts_s").alias("at"))
+    q = f.where(F.pmod("seq", F.lit(3)) != 0).select(F.col("user_id").alias("key"), F.col("ts_s").alias("at"))
     return tracks.interpolate_positions(a, q).select("key", F.round("at", 3).alias("at"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
@@ -280,8 +257,8 @@ def retrieval_map(spark, d):
 
 
 def retrieval_rank_k(spark, d):
-    r = retrieval.ranked(retrieval.similarities(*_embedded(spark, d)))
-    return r.where("rank <= 5").select("q_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+    r = retrieval.top_k(*_embedded(spark, d), 5)
+    return r.select("q_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 def temporal_split(spark, d):
@@ -294,13 +271,18 @@ def centroid_median(spark, d):
 
 def registry_nn_margin(spark, d):
     q, a = _embedded(spark, d)
-    return retrieval.nearest_with_margin(q, a.where(F.pmod("vec_id", F.lit(4)) == 1), 0.25, 0.01).withColumns(_r("similarity"))
+    team = F.when(F.pmod("vec_id", F.lit(9)) != 0, F.pmod("vec_id", F.lit(2)))
+    return retrieval.nearest_with_margin(q.withColumn("team", team), a.withColumn("team", team), 0.25, 0.01, team="team").withColumns(_r("similarity"))
 
 
 def fusion_sweep(spark, d):
     q, a = _embedded(spark, d)
-    flip = lambda df: df.withColumn("embedding", F.slice("embedding", 1, 32))
-    return retrieval.fusion_sweep(retrieval.similarities(q, a), retrieval.similarities(flip(q), flip(a)), [0.0, 0.25, 0.5, 0.75, 1.0])
+    other = lambda df: df.withColumn("other", F.slice("embedding", 1, 32))
+    return retrieval.fusion_sweep(other(q), other(a), [0.0, 0.25, 0.5, 0.75, 1.0])
+
+
+def best_weight(spark, d):
+    return retrieval.best_weight(fusion_sweep(spark, d))
 
 
 def adjacent_frames(spark, d):
@@ -414,23 +396,12 @@ def cascade_dedup(spark, d):
 
 
 def anchor_clusters(spark, d):
+    at = F.pmod("vec_id", F.lit(50))
     a = S.appearance(spark, d).select(
-        F.col("vec_id").alias("anchor_id"), F.pmod("vec_id", F.lit(7)).alias("team"), F.expr("vec_id div 3").alias("track_id"),
-        F.pmod("vec_id", F.lit(50)).cast("double").alias("start_s"), (F.pmod("vec_id", F.lit(50)) + 2.0).alias("end_s"),
-        (F.pmod("vec_id", F.lit(97)) / 97.0).alias("score"), "embedding",
+        F.col("vec_id").alias("anchor_id"), F.expr("vec_id div 100").alias("clip"), F.pmod("vec_id", F.lit(7)).alias("team"), F.expr("vec_id div 3").alias("track_id"),
+        F.sequence(at, at + 2).alias("frames"), (F.pmod("vec_id", F.lit(97)) / 97.0).alias("score"), "embedding",
     )
-    return matching.cluster_anchors(a, 0.3)
-
-
-def location_assignment(spark, d):
-    f = S.fragments(spark, d)
-    a = f.where(F.pmod("seq", F.lit(3)) == 0).select(F.col("user_id").alias("key"), F.col("ts_s").alias("t"), "x", "y")
-    o = f.where(F.pmod("seq", F.lit(3)) == 1).select(F.col("seq").alias("obs_id"), "user_id", F.floor(F.col("ts_s") / HOUR).alias("frame"), F.col("ts_s").alias("at"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    near = o.select("obs_id", "frame", "at", "ox", "oy", F.explode(F.array(F.col("user_id"), F.col("user_id") + 1)).alias("key"))
-    at = tracks.interpolate_positions(a, near.select("key", "at").distinct())
-    gone = G.distance((F.col("ox"), F.col("oy")), (F.col("x"), F.col("y")))
-    scored = near.join(at, ["key", "at"]).withColumn("gone", gone).where("gone <= 300").select("frame", "obs_id", F.col("key").alias("player"), (1 - F.col("gone") / 300).alias("score"))
-    return matching.locate_players(scored).withColumns(_r("score"))
+    return matching.cluster_anchors(a, 0.1, group=["clip", "team"])
 
 
 def online_tracker(spark, d):
@@ -440,19 +411,22 @@ def online_tracker(spark, d):
 
 
 def track_summary(spark, d):
+    """Summaries with the candidates as text: rank, label and score in ten thousandths."""
     from tracklake.sources.files import summary_rows
 
     w = _weighted(spark, d)
-    return summary_rows(votes.best_candidate(w), votes.ranked_candidates(w), tracks.extents(S.observations(spark, d)))
+    got = summary_rows(votes.best_candidate(w), votes.ranked_candidates(w), tracks.extents(S.observations(spark, d)))
+    line = lambda c: F.concat_ws(":", c["rank"].cast("string"), c["candidate"], F.round(c["score"] * 10000).cast("long").cast("string"))
+    return got.withColumn("candidates", F.array_join(F.transform("candidates", line), ","))
 
 
 NAMES = (
     "track_eval_summary track_eval_by_player id_switches best_box_match confusion_topn track_extents min_observation_tracks candidate_votes_topk candidate_idf "
     "candidate_best candidate_ranked candidate_longer_lock weighted_distribution distribution_merge_max distribution_merge_weighted confusable_smoothing "
-    "top_hit_rates team_posterior_softmax fusion_posterior edge_touch_upper_median player_likelihood special_roles roster_validity gap_candidates gap_nearest gap_stitch "
+    "top_hit_rates team_posterior_softmax edge_touch_upper_median player_likelihood roster_validity gap_candidates gap_nearest gap_stitch "
     "fragment_inherit window_active_tracks overlap_ratio frame_overlap_ratio track_pair_edges identity_components group_propagation simple_dedup frame_label_dedup "
     "conflict_resolution interp_positions jump_segments team_flip_segments label_cascade retrieval_map retrieval_rank_k temporal_split centroid_median "
-    "registry_nn_margin fusion_sweep adjacent_frames set_precision_recall coverage_hours mot_summary interval_scores ascii_names category_parse digit_runs file_frames player_keys "
-    "kit_distances tail_drop confidence_ema greedy_match optimal_assignment window_conflicts cascade_dedup anchor_clusters location_assignment online_tracker track_summary"
+    "registry_nn_margin fusion_sweep best_weight adjacent_frames set_precision_recall coverage_hours mot_summary interval_scores ascii_names category_parse digit_runs file_frames player_keys "
+    "kit_distances tail_drop confidence_ema greedy_match optimal_assignment window_conflicts cascade_dedup anchor_clusters online_tracker track_summary"
 ).split()
 QUERIES: dict[str, Query] = {n: globals()[n] for n in NAMES}
