@@ -15,20 +15,21 @@ class; repeated rows each get a row; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.llm.common import by_arrow, learn, raw_texts
+from tracklake.llm.toxicity import pairs_of
+
 FILTERS, WIDTH, BLOCK = 12, 5, 256  # a chunk is two blocks, so chunks overlap by half
 LAGS = range(2, 25)
 SEGMENT = 1 << 15  # bytes convolved at once, a multiple of BLOCK
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def _bytes(text: str | bytes | None) -> np.ndarray:
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"", np.uint8)
     return np.concatenate([raw, np.zeros(WIDTH, np.uint8)]) if len(raw) < WIDTH else raw
 
 
@@ -82,7 +83,7 @@ class ByteCNN:
         f = np.concatenate([act.mean(axis=0), act.max(axis=0), [rep.mean(), rep.max()]])
         return f, (tops, places, chunk, act)
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | bytes | None) -> float:
         f, _ = self.features(_bytes(text))
         z = float(f @ self.head + self.bias)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -151,14 +152,21 @@ def balanced(rows: list[tuple[str, int]], most: int) -> list[tuple[str, int]]:
     return out
 
 
+def fit_on(table: DataFrame, most: int) -> ByteCNN:
+    """The network of a training table, trained by one task on an executor."""
+    return learn(table, lambda rows: ByteCNN().fit(balanced(pairs_of(rows), most)))
+
+
 def score_documents(docs: DataFrame, model: ByteCNN, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            score = np.fromiter((model.score(t) for t in b["text"]), float, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": score, "predicted": (score >= threshold).astype("int32")})
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            score = np.fromiter((model.score(raw) for raw in raw_texts(batch.column("text"))), float, batch.num_rows)
+            return {"doc_id": batch.column("doc_id"), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype("int32"))}
+
+        return work
 
-    return rows.mapInPandas(run, f"doc_id {kind}, score double, predicted int")
+    return by_arrow(rows, f"doc_id {kind}, score double, predicted int", make)

@@ -39,7 +39,7 @@ TRAINING_ROWS = 4000
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity.fit(toxicity.training_rows(docs, labels, "toxic", 4, 2, TRAINING_ROWS))
+    return toxicity.fit_on(toxicity.training_table(docs, labels, "toxic", 4, 2, TRAINING_ROWS))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows = toxicity.training_rows(docs, labels, "quality", 3, 1, TRAINING_ROWS)
-    model = quality_cnn.ByteCNN().fit(quality_cnn.balanced(rows, 500))
+    model = quality_cnn.fit_on(toxicity.training_table(docs, labels, "quality", 3, 1, TRAINING_ROWS), 500)
     scored = quality_cnn.score_documents(docs, model)
     return scored.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 

@@ -28,10 +28,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import crc_fold
+from tracklake.llm.common import crc_fold, learn
 
 WORD = re.compile(r"[^\W_]+")
 #: Words of reported speech and of direct address.
@@ -274,12 +274,30 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, sample: int) -> list[tuple[str, int]]:
-    """At most ``sample`` labelled rows outside the held-out fold, in the order of a hash of the id."""
+def training_table(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, sample: int, max_bytes: int = 1 << 26) -> DataFrame:
+    """text and label of labelled rows outside the held-out fold, in the order of a hash of the id.
+
+    Two documented bounds: at most ``sample`` rows, and of these as many of the first as have
+    ``max_bytes`` bytes of text together.
+    """
     usable = labels.where(F.col(label).isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out)).select("doc_id", label)
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    joined = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id")
-    return [(r["text"], int(r[label])) for r in joined.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).collect()]
+    joined = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    sizes = joined.select("doc_id", "text", F.col(label).cast("int").alias("label")).orderBy(*order).limit(sample)
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return sizes.withColumn("bytes", so_far).where(F.col("bytes") <= max_bytes).select("bytes", "text", "label")
+
+
+def pairs_of(table: pd.DataFrame) -> list[tuple[str, int]]:
+    """(text, label) pairs of a training table, in its order."""
+    rows = table.sort_values("bytes", kind="stable")
+    return [(t, int(y)) for t, y in zip(rows["text"], rows["label"])]
+
+
+def fit_on(table: DataFrame) -> ToxicityModel:
+    """The model of a training table, fitted by one task on an executor."""
+    return learn(table, lambda rows: fit(pairs_of(rows)))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
