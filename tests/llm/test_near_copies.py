@@ -61,9 +61,10 @@ def test_groups_equal_brute_force(spark, texts):
 
 def test_pivot_rounds_give_the_same_components(spark):
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(planted())], "doc_id long, text string, h long")
-    sets = near_copies._sets(df, near_copies._common(df, least=2)).cache()
+    sets = near_copies.spool(near_copies._sets(df, near_copies._common(df, least=2)))
     full = {(r["node"], r["root"]) for r in near_copies.similar_components(sets, df).collect()}
-    assert full and full == {(r["node"], r["root"]) for r in near_copies.similar_components(sets, df, cap=0, rounds=2).collect()}
+    for rounds in (0, 1, 3):
+        assert full and full == {(r["node"], r["root"]) for r in near_copies.similar_components(sets, df, rounds=rounds).collect()}
 
 
 def test_the_stage_keeps_one_of_planted_near_copies(spark, small):

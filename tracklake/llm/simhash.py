@@ -13,7 +13,8 @@ Equal fingerprints are collapsed first, so copies cost nothing. Buckets with mor
 ``split`` different fingerprints are dealt again by a second covering family over the
 bits their mask leaves free, which bounds any group by the number of values that the
 last dozen free bits can take. A bucket yields a spanning forest of its links and never its pairs.
-Components come from alternating large-star and small-star steps on the links.
+Components come from one task while the links are few, beyond that from alternating
+large-star and small-star steps on the links.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other;
 null ids take part but never name a component unless all its ids are null; repeated rows
@@ -26,19 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import shared_dir, spool
+from tracklake.llm.common import by_arrow, raw_texts, shared_dir, spool
+from tracklake.operators.linking import stars
 
 BITS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text as an unsigned 64-bit number."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text's bytes as an unsigned 64-bit number."""
+    words = (raw or b"").translate(_LOWER).split()
     n = len(words) - width + 1
     if not words:
         return 0
@@ -61,14 +64,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, fp (the fingerprint as a signed long) and the given long columns of every row."""
     longs = longs or []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": got.view(np.int64), **{c: b[c] for c in longs}})
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            got = np.fromiter((fingerprint(raw) for raw in raw_texts(batch.column("text"))), np.uint64, batch.num_rows)
+            return {"doc_id": batch.column("doc_id"), "fp": pa.array(got.view(np.int64)), **{c: batch.column(c) for c in longs}}
+
+        return work
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *longs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, ", ".join([f"doc_id {kind}", "fp long", *(f"{c} long" for c in longs)]))
+    return by_arrow(rows, ", ".join([f"doc_id {kind}", "fp long", *(f"{c} long" for c in longs)]), make)
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
@@ -146,39 +151,51 @@ def near_links(fps: DataFrame, radius: int = 2, split: int = 2048) -> DataFrame:
     links = _bucket_links(small, ["t", "key"], radius)
     if most > split:
         big = rows.join(sizes.where(F.col("n") > split).select("t", "key"), ["t", "key"])
-        for t, mask in enumerate(masks):
-            free = [p for p in range(BITS) if not mask >> p & 1]
-            again = _dealt(
-                big.where(F.col("t") == t).select("fp", F.col("key").alias("outer")), covering_masks(free, radius), ["outer"]
-            )
-            links = links.union(_bucket_links(again, ["outer", "t", "key"], radius))
+        second = [covering_masks([p for p in range(BITS) if not mask >> p & 1], radius) for mask in masks]
+        of_table = F.element_at(F.array(*[F.array(*[F.lit(_signed(m)) for m in family]) for family in second]), F.col("t") + 1)
+        again = big.select("fp", "t", F.col("key").alias("outer"), F.posexplode(of_table).alias("t2", "mask")).select(
+            "fp", "t", "outer", "t2", F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+        )
+        links = links.union(_bucket_links(again, ["t", "outer", "t2", "key"], radius))
     return links
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node and root (the component's smallest node) of every node that has a link.
+def settled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(u):
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        open_ = low != high
+        if not open_.any():
+            break
+        np.minimum.at(root, high[open_], low[open_])
+        while (root != root[root]).any():
+            root = root[root]
+    return nodes, nodes[root]
 
-    Large-star links each node's larger neighbours to its smallest one, small-star its
-    smaller ones; both keep the components. When a round changes nothing, every
-    component is a star around its smallest node.
+
+def components(links: DataFrame, one_task: int = 1_000_000) -> DataFrame:
+    """node and root (the component's smallest node) of every node that has a link, but the roots.
+
+    Up to ``one_task`` links are settled by one task, more by star steps over the whole cluster;
+    the result is the same.
     """
-    shared_dir(links.sparkSession)
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
-    seen = None
-    for _ in range(max_rounds):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        edges = (
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
-        )
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
-    raise RuntimeError("components did not settle")
+    spark = links.sparkSession
+    shared_dir(spark)
+    links = spool(links.select("a", "b").where("a <> b").distinct())
+    if links.count() > one_task:
+        return stars(links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if parts:
+            node, root = settled(*(np.concatenate(c) for c in zip(*parts)))
+            inner = node != root
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node[inner]), "root": pa.array(root[inner])})
+
+    return spool(links.coalesce(1).mapInArrow(run, "node long, root long"))
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
