@@ -47,9 +47,11 @@ s AS (SELECT doc_id, lang, len(ws) AS n_words, length(t) - {_kept(r"\x20\x09-\x0
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_append(c5, n_chars - list_sum(c5)) AS cls,
     list_append(k, greatest(0, n_words - list_sum(k))) AS com FROM s),
 ref AS (SELECT lang AS rl, {_sums("cls", 6)} AS rc, {_sums("com", _K + 1)} AS rk FROM f WHERE NOT base_failed GROUP BY lang),
-j AS (SELECT f.*, coalesce({_distance("cls", "rc", 6)}, 0) AS cd, coalesce({_distance("com", "rk", _K + 1)}, 0) AS wd FROM f LEFT JOIN ref ON rl IS NOT DISTINCT FROM lang)
+sil AS (SELECT *, {_distance("none", "rk", _K + 1)} AS sl FROM (SELECT *, list_append(list_transform(range({_K}), lambda i: 0), 1) AS none FROM ref)),
+j AS (SELECT f.*, coalesce({_distance("cls", "rc", 6)}, 0) AS cd, coalesce({_distance("com", "rk", _K + 1)}, 0) AS wd, coalesce(sl, 0) AS sl FROM f LEFT JOIN sil ON rl IS NOT DISTINCT FROM lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND (n_words < 50 OR (cd <= 0.3 AND wd <= 0.6)) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM j
+    NOT base_failed AND NOT (n_words >= 50 AND cd > 0.3) AND NOT (n_words >= 120 AND sl >= 0.15 AND wd > 0.8 * sl) AS kept,
+    round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, round(sl, 6) AS silence FROM j
 """
 
 SQL = {"op6_decontamination": DECONTAMINATION, "op10_quality_rules": QUALITY_RULES}

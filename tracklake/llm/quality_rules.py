@@ -4,7 +4,10 @@ Each document gives two histograms: of character classes and of common words. Th
 reference of a language is the sum over all its documents that pass the base rules.
 A document is rejected if it breaks a base rule, or if it is long enough and the
 Jensen-Shannon distance (base 2, so 0 to 1) of either histogram to its reference is
-above its limit.
+above its limit. Most words are not common ones, so even a text without any common word is not far from a
+reference; the limit for words is a share of just that distance (``silence``), which each language's
+reference gives. A language whose reference hardly uses the listed words has a small ``silence`` and
+is not judged by words.
 
 Repeated word windows are found within the row: windows are hashed, the (hash, place)
 pairs sorted, and equal neighbours mark the words they cover. Nothing is exploded and
@@ -143,9 +146,15 @@ def quality_rules(
     *,
     min_words: int = 50,
     max_class_distance: float = 0.3,
-    max_word_distance: float = 0.6,
+    min_common_words: int = 120,
+    max_silence: float = 0.8,
+    least_silence: float = 0.15,
 ) -> DataFrame:
-    """Counts, both distances, ``base_failed`` and ``kept`` for every document."""
+    """Counts, both distances, ``silence``, ``base_failed`` and ``kept`` for every document.
+
+    Classes are judged from ``min_words`` words on, common words from ``min_common_words`` on: shorter texts hold too
+    few of them by chance. The limit for words is ``max_silence`` times the distance of a text without a common word.
+    """
     stats = spool(base_counts(docs))
     sums = lambda col, n: F.array(*[F.sum(F.get(F.col(col), F.lit(i))) for i in range(n)])
     refs = (
@@ -154,19 +163,17 @@ def quality_rules(
         .agg(sums("classes", len(CHAR_CLASSES)).alias("_classes"), sums("commons", len(COMMON_WORDS) + 1).alias("_commons"))
     )
     zero = F.lit(0.0)
+    none = F.array(*[F.lit(0).cast("long")] * len(COMMON_WORDS), F.lit(1).cast("long"))
+    refs = refs.withColumn("_silence", js_distance(none, F.col("_commons")))
+    far = (F.col("n_words") >= min_words) & (F.col("class_distance") > max_class_distance)
+    mute = (F.col("n_words") >= min_common_words) & (F.col("silence") >= least_silence) & (F.col("word_distance") > max_silence * F.col("silence"))
     return (
         stats.join(refs, F.col("lang").eqNullSafe(F.col("_lang")), "left")
         .withColumn("class_distance", F.coalesce(js_distance(F.col("classes"), F.col("_classes")), zero))
         .withColumn("word_distance", F.coalesce(js_distance(F.col("commons"), F.col("_commons")), zero))
-        .withColumn(
-            "kept",
-            ~F.col("base_failed")
-            & (
-                (F.col("n_words") < min_words)
-                | ((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance))
-            ),
-        )
+        .withColumn("silence", F.coalesce(F.col("_silence"), zero))
+        .withColumn("kept", ~F.col("base_failed") & ~far & ~mute)
         .select(
-            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
+            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance", "silence"
         )
     )

@@ -90,7 +90,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
-    return got.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+    return got.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance", "silence")})
 
 
 QUERIES = {
