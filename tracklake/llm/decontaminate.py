@@ -74,13 +74,21 @@ def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str =
     )
 
 
+_BYTES = [bytes(b >> k & 1 for k in range(8)) for b in range(256)]
+
+
 def _flags(windows: DataFrame, lengths: list[int], slots: int) -> bytes:
-    """One byte for each slot, 1 where a window's lead falls; at most ``slots`` numbers are collected."""
-    lead = F.coalesce(*[F.when(F.col("length") == n, F.get(_leads(F.col("w"), _level_of(n), slots), F.lit(0))) for n in lengths])
-    flags = bytearray(slots)
-    for row in windows.select(lead.alias("k")).distinct().collect():
-        flags[row["k"] - 1] = 1
-    return bytes(flags)
+    """One byte for each slot, 1 where a window's lead falls.
+
+    The executors build bitmaps of 32,768 slots each; the driver gets at most ``slots`` / 32,768 of them, of 4 KB.
+    """
+    lead = F.coalesce(*[F.when(F.col("length") == n, F.get(_leads(F.col("w"), _level_of(n), slots), F.lit(0))) for n in lengths]).cast("long")
+    parts = windows.select(lead.alias("k")).groupBy(F.bitmap_bucket_number("k").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits"))
+    flags = bytearray(slots + (1 << 15))
+    for row in parts.collect():
+        at = (row["part"] - 1) << 15
+        flags[at : at + (1 << 15)] = b"".join(map(_BYTES.__getitem__, row["bits"]))
+    return bytes(flags[:slots])
 
 
 def find_hits(
