@@ -1,6 +1,6 @@
 """Proportional stratified interleaving of a corpus into shards.
 
-Rows are shuffled by a seeded hash and ranked within their source; a row's
+Rows are shuffled by a seeded hash of id and text and ranked within their source; a row's
 fractional rank is (rank + 1/2) / rows of the source. In the order of fractional
 ranks every run of rows has the mixture of the whole, so equal cuts of that order
 give shards whose sizes differ by one row at most and which match the mixture.
@@ -40,7 +40,9 @@ def interleave(
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_tie"),
-    ).withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    )
+    # the text's hash spreads rows that share an id or have none
+    base = base.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("_tie").cast("string"))))
     n = docs.count()
     slices = max(1, -(-n // slice_rows), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
