@@ -27,10 +27,12 @@ sorted order of suffixes, but not of all of them:
   aggregation instead.
 
 Hashes are 64-bit (two equal 64-bit hashes of different strings are not told apart in
-the counting steps; the merge compares bytes).
+the counting steps; the merge compares bytes). Short texts share a buffer, so that the arrays
+are long whatever the texts are; no window reaches from one text into the next.
 
 Defined cases: a null or empty text has no bytes; texts below 400 bytes keep all;
-repeated rows are copies of each other like any two documents; an empty table gives an
+repeated rows are copies of each other like any two documents, and their ranges are held
+once for all rows with the same id and text; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -43,10 +45,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import spool
+from tracklake.llm.common import by_arrow, raw_texts, scratch, spool
 
 LENGTH, REACH, GRAM = 400, 200, 16
 SEGMENT = 1 << 18
@@ -84,58 +87,89 @@ class Rolling:
         return _mix((self.sums[n : n + count] - self.sums[:count]) * _DOWN[:count])
 
 
-def anchors(b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays s0, s1 (first and last window start), x (anchor), whole and lead hashes, for each segment."""
-    windows = len(b) - LENGTH + 1
-    for base in range(0, windows, SEGMENT):
-        count = min(SEGMENT, windows - base)
-        part = b[base : base + count + LENGTH - 1]
-        roll = Rolling(part)
-        m = count + REACH - 1
+def _buffers(raws: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of 400 bytes or more, gathered or cut: a buffer, and for each of its parts the text, the start there and the start here."""
+    parts: list[tuple[int, int, bytes]] = []
+    held = 0
+
+    def done():
+        lens = np.array([len(x) for _, _, x in parts])
+        return (
+            np.frombuffer(b"".join(x for _, _, x in parts), np.uint8),
+            np.array([nr for nr, _, _ in parts]),
+            np.array([base for _, base, _ in parts]),
+            np.concatenate(([0], np.cumsum(lens))),
+        )
+
+    for nr, raw in enumerate(raws):
+        for base in range(0, len(raw or b"") - LENGTH + 1, SEGMENT):
+            part = raw[base : base + SEGMENT + LENGTH - 1]
+            if parts and held + len(part) > SEGMENT + LENGTH:
+                yield done()
+                parts, held = [], 0
+            parts.append((nr, base, part))
+            held += len(part)
+    if parts:
+        yield done()
+
+
+def anchors(raws: list[bytes | None]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays nr (of the text), s0, s1 (first and last window start), x (anchor), whole and lead hashes."""
+    for b, nr, base, starts in _buffers(raws):
+        roll = Rolling(b)
+        m = len(b) - GRAM + 1
         low = (roll.every(GRAM, m) >> np.uint64(20) << np.uint64(20)) | np.arange(m, dtype=np.uint64)
         width = 1
         while 2 * width <= REACH:
             low = np.minimum(low[: len(low) - width], low[width:])
             width *= 2
         rest = REACH - width
-        low = np.minimum(low[: len(low) - rest], low[rest:])[:count]
-        at = (low & np.uint64((1 << 20) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        last = np.append(first[1:], count) - 1
-        x = at[first]
+        low = np.minimum(low[: len(low) - rest], low[rest:])
+        windows = np.diff(starts) - LENGTH + 1
+        part = np.repeat(np.arange(len(nr)), windows)
+        p = np.arange(len(part)) + np.repeat(starts[:-1] - np.concatenate(([0], np.cumsum(windows)[:-1])), windows)
+        at = (low[p] & np.uint64((1 << 20) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]))))
+        last = np.append(first[1:], len(p)) - 1
+        s0, s1, x, part = p[first], p[last], at[first], part[first]
         lead = roll.of(x, x + REACH)
-        whole = _mix(roll.of(first, last + LENGTH) ^ ((x - first).astype(np.uint64) << np.uint64(16)) ^ (last - first).astype(np.uint64))
-        yield first + base, last + base, x + base, whole, lead
+        whole = _mix(roll.of(s0, s1 + LENGTH) ^ ((x - s0).astype(np.uint64) << np.uint64(16)) ^ (s1 - s0).astype(np.uint64))
+        move = base[part] - starts[part]
+        yield nr[part], s0 + move, s1 + move, x + move, whole, lead
 
 
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+_RECORD = "k long, h long, s0 long, nd int, whole long, lead long"
+
+
 def _records(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, h, text in zip(batch["k"], batch["h"], batch["text"]):
-                raw = _raw(text)
-                if len(raw) < LENGTH:
-                    continue
-                for s0, s1, x, whole, lead in anchors(np.frombuffer(raw, np.uint8)):
-                    yield pd.DataFrame(
-                        {"k": k, "h": h, "s0": s0, "s1": s1.astype(np.int64), "x": x, "whole": whole.view(np.int64), "lead": lead.view(np.int64)}
-                    )
+    """A row for every anchor: row keys, first window start, nd (windows after it, 16 bits; bytes to the anchor above), hashes."""
 
-    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, rows = [], 0
-        for part in run(batches):
-            held.append(part)
-            rows += len(part)
-            if rows >= 100_000:
-                yield pd.concat(held, ignore_index=True)
-                held, rows = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            k, h = (batch.column(c).to_numpy() for c in ("k", "h"))
+            got = list(anchors(list(raw_texts(batch.column("text")))))
+            nr, s0, s1, x, whole, lead = (np.concatenate(c) for c in zip(*got)) if got else [np.zeros(0, np.int64)] * 6
+            nd = ((s1 - s0) | (x - s0) << 16).astype(np.int32)
+            whole, lead = whole.view(np.int64), lead.view(np.int64)
+            return {n: pa.array(v) for n, v in zip(("k", "h", "s0", "nd", "whole", "lead"), (k[nr], h[nr], s0, nd, whole, lead))}
 
-    return docs.select("k", "h", "text").mapInPandas(grouped, "k long, h long, s0 long, s1 long, x long, whole long, lead long")
+        return work
+
+    return by_arrow(docs.select("k", "h", "text"), _RECORD, make, 256)
+
+
+class Marks:
+    """The column of marks of a batch: flat arrays, and where each row's begin."""
+
+    def __init__(self, column: pa.Array):
+        flat = column.flatten()
+        self.starts = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())))
+        for nr in range(flat.type.num_fields):
+            setattr(self, flat.type.field(nr).name, flat.field(nr).to_numpy(zero_copy_only=False))
 
 
 # ------------------------------------------------------------- runs and merging
@@ -225,20 +259,32 @@ _META = "<qqqHH?"  # k, h, first window start, windows, bytes before the anchor,
 def _runs(held: DataFrame, parts: int, hot: int) -> DataFrame:
     """Front-coded sorted runs of the undecided families, by receiving task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def make():
+        seen: set[tuple[int, int]] = set()  # of rows with the same id and text one sends its suffixes
+
+        def work(batch: pa.RecordBatch) -> dict:
             to: dict[int, list[tuple[bytes, bytes]]] = defaultdict(list)
-            for k, h, text, marks in zip(b["k"], b["h"], b["text"], b["marks"]):
-                raw = None
-                for m in marks:
-                    if m["members"] and m["members"] <= hot:
-                        raw = _raw(text) if raw is None else raw
-                        s0, s1, x = m["s0"], m["s1"], m["x"]
-                        meta = struct.pack(_META, k, h, s0, s1 - s0 + 1, x - s0, m["single"])
-                        to[m["lead"] % parts].append((raw[x : s1 + LENGTH], meta + raw[s0:x]))
-            yield pd.DataFrame([(p, front_code(x)) for p, x in to.items()], columns=["p", "run"])
+            marks = Marks(batch.column("marks"))
+            open_ = (marks.members > 0) & (marks.members <= hot)
+            count = np.concatenate(([0], np.cumsum(open_)))
+            k, h = (batch.column(c).to_numpy() for c in ("k", "h"))
+            rows = enumerate(raw_texts(batch.column("text")))
+            for i, raw in rows:
+                a, b = marks.starts[i], marks.starts[i + 1]
+                if count[a] == count[b] or (k[i], h[i]) in seen:
+                    continue
+                seen.add((k[i], h[i]))
+                for j in (np.flatnonzero(open_[a:b]) + a).tolist():
+                    s0, nd = int(marks.s0[j]), int(marks.nd[j])
+                    n, before = nd & 0xFFFF, nd >> 16
+                    meta = struct.pack(_META, k[i], h[i], s0, n + 1, before, marks.single[j])
+                    x = s0 + before
+                    to[int(marks.lead[j]) % parts].append((raw[x : s0 + n + LENGTH], meta + raw[s0:x]))
+            return {"p": pa.array(list(to), pa.int32()), "run": pa.array([front_code(x) for x in to.values()], pa.binary())}
 
-    return held.select("k", "h", "text", "marks").mapInPandas(run, "p int, run binary")
+        return work
+
+    return by_arrow(held.select("k", "h", "text", "marks"), "p int, run binary", make, 4096)
 
 
 def _family(members: list[tuple[bytes, bytes]]) -> list[tuple[int, int, int, int]]:
@@ -287,67 +333,93 @@ def _merged(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["k", "h", "s0", "s1"], dtype="int64")
 
 
+def window_hashes(raw: bytes, s0: np.ndarray, s1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The window starts of the given ranges and the windows' hashes, which depend on their bytes alone."""
+    n = s1 - s0 + 1
+    at = np.arange(n.sum()) + np.repeat(s0 - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+    b = np.frombuffer(raw, np.uint8)
+    if len(raw) <= SEGMENT:
+        return at, Rolling(b).of(at, at + LENGTH)
+    return at, np.concatenate([Rolling(b[a : z + LENGTH]).every(LENGTH, z - a + 1) for a, z in zip(s0.tolist(), s1.tolist())])
+
+
 def _hot_windows(held: DataFrame, hot: int) -> DataFrame:
     """Window hashes of the families that are too large to be gathered."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, h, text, marks in zip(b["k"], b["h"], b["text"], b["marks"]):
-                for m in marks:
-                    if m["members"] > hot:
-                        s0, s1 = m["s0"], m["s1"]
-                        piece = np.frombuffer(_raw(text)[s0 : s1 + LENGTH], np.uint8)
-                        w = Rolling(piece).every(LENGTH, s1 - s0 + 1)
-                        yield pd.DataFrame({"k": k, "h": h, "s": np.arange(s0, s1 + 1), "w": w.view(np.int64), "single": bool(m["single"])})
-
-    return held.select("k", "h", "text", "marks").mapInPandas(run, "k long, h long, s long, w long, single boolean")
-
-
-def _cut(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, str, list[tuple[int, int]]]:
-    """Bytes removed, spans, the rest's digest and the spans, from ranges of repeated window starts."""
-    spans: list[list[int]] = []
-    for s0, s1 in sorted(ranges):
-        if spans and s0 <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], s1 + LENGTH)
-        else:
-            spans.append([s0, s1 + LENGTH])
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            marks = Marks(batch.column("marks"))
+            k, h = (batch.column(c).to_numpy() for c in ("k", "h"))
+            many = np.flatnonzero(marks.members > hot)
+            row = np.searchsorted(marks.starts, many, side="right") - 1
+            out: list[tuple[np.ndarray, ...]] = []
+            for i, raw in enumerate(raw_texts(batch.column("text"))):
+                lo, hi = np.searchsorted(row, (i, i + 1))
+                if lo < hi:
+                    j = many[lo:hi]
+                    n = marks.nd[j] & 0xFFFF
+                    s, w = window_hashes(raw, marks.s0[j], marks.s0[j] + n)
+                    out.append((np.full(len(s), k[i]), np.full(len(s), h[i]), s, w.view(np.int64), np.repeat(marks.single[j].astype(bool), n + 1)))
+            kinds = (np.int64, np.int64, np.int64, np.int64, bool)
+            got = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in kinds]
+            return dict(zip(("k", "h", "s", "w", "single"), map(pa.array, got)))
+
+        return work
+
+    return by_arrow(held.select("k", "h", "text", "marks"), "k long, h long, s long, w long, single boolean", make, 256)
+
+
+def merged_spans(s0: np.ndarray, s1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal covered stretches of ranges of repeated window starts."""
+    if not len(s0):
+        return s0, s1
+    order = np.argsort(s0, kind="stable")
+    start, reach = s0[order], np.maximum.accumulate(s1[order] + LENGTH)
+    first = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    return start[first], reach[np.append(first[1:], len(start)) - 1]
+
+
+def _kept_digest(raw: bytes, starts: list[int], ends: list[int]) -> str:
     digest, at = hashlib.sha256(), 0
-    for s, e in spans:
+    for s, e in zip(starts, ends):
         digest.update(raw[at:s])
         at = e
     digest.update(raw[at:])
-    return sum(e - s for s, e in spans), len(spans), digest.hexdigest(), [(s, e) for s, e in spans]
+    return digest.hexdigest()
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 1000, lot: int = 10_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte ranges) of every row."""
+    spark = docs.sparkSession
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(id_col).alias("k"), F.xxhash64(text).alias("h"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    records = spool(_records(rows))
-    # written first, so that both sides of the joins are plain shuffles and a hot key can be split
-    twice = spool(records.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("lead"))
-    able = spool(records.join(twice, "lead", "left_semi"))
-    ranges = able.groupBy("lead", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "h", "s0", "s1", "x")).alias("one"))
-    ranges = spool(ranges)
-    families = spool(
-        ranges.groupBy("lead")
-        .agg(F.count(F.lit(1)).alias("members"), F.max((F.col("c") == 1).cast("int")).alias("open"))
-        .where("members > 1 and open = 1")
-        .select("lead", "members")
-    )
-    undecided = spool(
-        ranges.join(families, "lead").select("one.*", "lead", "members", (F.col("c") == 1).alias("single"))
-    )
-    decided = able.join(ranges.where("c > 1").select("lead", "whole"), ["lead", "whole"], "left_semi").select(
-        "k", "h", "s0", "s1", "x", "lead", F.lit(0).cast("long").alias("members"), F.lit(False).alias("single")
-    )
-    marks = decided.unionByName(undecided).groupBy("k", "h").agg(F.collect_list(F.struct("s0", "s1", "x", "lead", "members", "single")).alias("marks"))
+    mark = ["s0", "nd", "lead", "members", "single"]
+    with scratch(spark):
+        with scratch(spark):
+            records = spool(_records(rows))
+            # written first, so that both sides of the joins are plain shuffles and a hot key can be split
+            twice = spool(records.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("lead"))
+            able = spool(records.join(twice, "lead", "left_semi"), keep=True)
+        ranges = able.groupBy("lead", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "h", "s0", "nd")).alias("one"))
+        ranges = spool(ranges)
+        families = spool(
+            ranges.groupBy("lead")
+            .agg(F.count(F.lit(1)).alias("members"), F.max((F.col("c") == 1).cast("int")).alias("open"))
+            .where("members > 1 and open = 1")
+            .select("lead", "members")
+        )
+        undecided = spool(ranges.join(families, "lead").select("one.*", "lead", "members", (F.col("c") == 1).alias("single")))
+        decided = able.join(ranges.where("c > 1").select("lead", "whole"), ["lead", "whole"], "left_semi").select(
+            "k", "h", "s0", "nd", "lead", F.lit(0).cast("long").alias("members"), F.lit(False).alias("single")
+        )
+        # a set: rows with the same id and text have the same records
+        marks = decided.unionByName(undecided).groupBy("k", "h").agg(F.collect_set(F.struct(*mark)).alias("marks"))
+        marks = spool(marks, keep=True)
+        sizes = undecided.agg(F.count(F.lit(1)), F.max("members")).first()
     held = spool(rows.join(marks, ["k", "h"]))
-
-    sizes = undecided.agg(F.count(F.lit(1)), F.max("members")).first()
     n_open, largest = sizes[0], sizes[1] or 0
-    parts = max(1, n_open // lot, min(n_open, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, n_open // lot, min(n_open, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = _runs(held, parts, hot).groupBy("p").applyInPandas(_merged, "k long, h long, s0 long, s1 long")
     if largest > hot:
         windows = spool(_hot_windows(held, hot).distinct())
@@ -355,25 +427,39 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         found = found.union(
             windows.where("single").join(again, "w", "left_semi").select("k", "h", F.col("s").alias("s0"), F.col("s").alias("s1"))
         )
-    more = found.groupBy("k", "h").agg(F.collect_list(F.struct("s0", "s1")).alias("more"))
-    final = held.join(more, ["k", "h"], "left")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t, marks_, more_ in zip(b["text"], b["marks"], b["more"]):
-                known = [(m["s0"], m["s1"]) for m in marks_ if not m["members"]]
-                known += [(m["s0"], m["s1"]) for m in (more_ if more_ is not None else ())]
-                raw = _raw(t)
-                removed, n, digest, spans = _cut(raw, known)
-                out.append((len(raw), removed, n, digest, [{"start": s, "stop": e} for s, e in spans]))
-            got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-            got.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield got
-
+    more = found.groupBy("k", "h").agg(F.collect_set(F.struct("s0", "s1")).alias("more"))
     spans_type = "array<struct<start:long,stop:long>>"
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans_type}"
-    touched = final.select("doc_id", "text", "marks", "more").mapInPandas(cut, schema)
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            marks, extra = Marks(batch.column("marks")), Marks(batch.column("more"))
+            n_bytes, removed, digests, cuts = [], [], [], []
+            for i, raw in enumerate(raw_texts(batch.column("text"))):
+                a, b, c, d = marks.starts[i], marks.starts[i + 1], extra.starts[i], extra.starts[i + 1]
+                known = marks.members[a:b] == 0
+                s0, nd = marks.s0[a:b][known], marks.nd[a:b][known]
+                starts, ends = merged_spans(np.concatenate((s0, extra.s0[c:d])), np.concatenate((s0 + (nd & 0xFFFF), extra.s1[c:d])))
+                n_bytes.append(len(raw))
+                removed.append(int((ends - starts).sum()))
+                digests.append(_kept_digest(raw, starts.tolist(), ends.tolist()))
+                cuts.append((starts, ends))
+            flat = [np.concatenate(c).astype(np.int64) for c in zip(*cuts)]
+            n = np.array([len(s) for s, _ in cuts])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+            spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["start", "stop"]))
+            return {
+                "doc_id": batch.column("doc_id"),
+                "n_bytes": pa.array(n_bytes, pa.int64()),
+                "n_removed": pa.array(removed, pa.int64()),
+                "n_spans": pa.array(n.astype(np.int64)),
+                "kept_sha256": pa.array(digests),
+                "spans": spans,
+            }
+
+        return work
+
+    touched = by_arrow(held.join(more, ["k", "h"], "left").select("doc_id", "text", "marks", "more"), schema, make, 512)
     plain = F.coalesce(text, F.lit(""))
     others = (
         docs.select(
