@@ -1,8 +1,8 @@
 """Toxicity scores from a learnt lexicon, fuzzy matching and context windows.
 
 The lexicon (whole words and stems) is learnt from a bounded, documented sample of
-labelled rows: a term enters if its share of toxic documents is significant after
-Bonferroni's correction over all candidates; near copies in the sample count once. Terms
+labelled rows: a term enters if its share of toxic documents is beyond chance, with at most 5 % of
+the terms expected to be false; near copies in the sample count once. Terms
 stand in a trie; a text's words are matched by intersecting the trie with each word's
 Levenshtein automaton (distance one; the automaton's states are its sparse edit rows),
 so misspelt terms are caught as well. Each match is scored in a window of words:
@@ -213,17 +213,23 @@ def _distinct_texts(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def _significant(tox: Counter, clean: Counter, base: float, n_tests: int) -> dict[str, float]:
-    need, out = math.log(max(1, n_tests) / 0.01), {}
+def _significant(tox: Counter, clean: Counter, base: float, n_tests: int, rate: float = 0.05) -> dict[str, float]:
+    """Terms whose share of toxic documents is beyond chance, and their log odds.
+
+    Chernoff's bound on the chance of each, and of these the largest set of least chances that
+    keeps the expected share of false terms below ``rate`` (Benjamini and Hochberg).
+    """
+    found = []
     for term, k in tox.items():
         n = k + clean[term]
         p = k / n
-        if k < 4 or p < 0.4 or p <= 2 * base:
+        if k < 3 or p < 0.4 or p <= 2 * base:
             continue
         kl = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0)
-        if n * kl > need:
-            out[term] = math.log((k + 0.5) / (clean[term] + 0.5)) - math.log(base / (1 - base))
-    return out
+        found.append((-n * kl, term))
+    found.sort()
+    ok = [i for i, (chance, _) in enumerate(found, 1) if chance <= math.log(rate * i / max(1, n_tests))]
+    return {term: math.log((tox[term] + 0.5) / (clean[term] + 0.5)) - math.log(base / (1 - base)) for _, term in found[: ok[-1] if ok else 0]}
 
 
 def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
