@@ -5,13 +5,14 @@ is cut. A bin is opened with the longest piece left and filled greedily with the
 piece that still fits. Then the smallest piece of the bin is taken out if two unpacked
 pieces fill the larger gap more tightly; the piece returns to the unpacked ones.
 
-Pieces are dealt by a hash into lots of about ``lot`` pieces; a lot is packed by itself
+Full pieces are sequences of their own. The others are counted and dealt by a hash into lots of about
+``lot`` pieces; a lot is packed by itself
 over counts of lengths, so its cost follows the bins and each lot wastes at most about one bin.
 Only lengths, ids and checksums move; texts and token ids never leave their task.
 
-Tokenising works on white-space separated chunks (the tokenizer drops white space and
-no rule of it reaches across), with a bounded cache of chunks. Texts with special
-tokens or unusual separators go to the tokenizer whole.
+If a tokenizer's own rules say that it drops white space and that no token reaches across it (``RULES``),
+texts are tokenised by white-space separated chunks, with a bounded cache of chunks; texts with special
+tokens or unusual separators go to it whole. With any other rules all texts do.
 
 Defined cases: a null or empty text is one piece with the end token only; repeated rows
 are packed once each; ties are broken by id, piece and checksum; an empty table gives an empty result;
@@ -20,19 +21,22 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.llm.common import by_arrow, raw_texts, spool
+
 #: Separators that only Python splits at, and special tokens.
 UNUSUAL = re.compile("[\x1c-\x1f]|<\\|")
 #: Beyond Latin letters (and dotted capital I) lower case is left to the tokenizer.
@@ -40,6 +44,11 @@ WIDE = re.compile("[^\x00-įı-ɏ]")
 #: A mark that does not stand right after a letter or digit.
 ODD_MARK = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])")
 CACHE = 700_000
+#: The normalizer and splitting of a tokenizer that works chunk by chunk.
+RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
@@ -50,12 +59,23 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.by_chunk = self._chunked(path)
         self.cache: dict[str, bytes] = {}
         self.limit = cache
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
+    @staticmethod
+    def _chunked(path: str) -> bool:
+        """Whether the file's rules are those that chunks are right for."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        split = (steps[0].get("pattern") or {}).get("Regex") if steps[0].get("type") == "Split" else None
+        special = all(t["content"].startswith("<|") for t in spec.get("added_tokens") or ())
+        return (spec.get("normalizer"), split) == RULES and bool(steps[0].get("invert")) and (spec.get("model") or {}).get("end_of_word_suffix") == "</w>" and special
+
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.asarray(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
@@ -77,7 +97,7 @@ class ChunkTokenizer:
             self.cache[c] = self._bytes(e.ids)
 
     def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
+        if not self.by_chunk or UNUSUAL.search(text):
             return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
         if not WIDE.search(text):
             text = text.lower()
@@ -106,18 +126,31 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, length: int, end_id: int, id
     kind = rows.schema["doc_id"].dataType.simpleString()
     end = np.asarray([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         tok = tokenizer(tokenizer_path)
-        for b in batches:
-            out: list[tuple] = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                ids = tok.encode(text or "") + end
+
+        def work(batch: pa.RecordBatch) -> dict:
+            row, nr, size, crc = [], [], [], []
+            for i, raw in enumerate(raw_texts(batch.column("text"))):
+                ids = tok.encode((raw or b"").decode("utf-8", "surrogatepass")) + end
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    row.append(i)
+                    nr.append(k)
+                    size.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            nr = np.array(nr, np.int64)
+            return {
+                "doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())),
+                "piece": pa.array(nr.astype(np.int32)),
+                "start": pa.array(nr * length),
+                "length": pa.array(size, pa.int64()),
+                "ids_crc32": pa.array(crc, pa.int64()),
+            }
+
+        return work
 
-    return rows.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return by_arrow(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", make, 512)
 
 
 class _Stock:
@@ -202,9 +235,12 @@ def pack(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
-    n = docs.count()
-    lots = max(1, n // lot)
-    cut = pieces(docs, tokenizer_path, length=length, end_id=end_id, id_col=id_col, text_col=text_col)
+    cut = spool(pieces(docs, tokenizer_path, length=length, end_id=end_id, id_col=id_col, text_col=text_col))
+    part = cut.where(F.col("length") < length)
+    lots = max(1, part.count() // lot)
     schema = f"doc_id {cut.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    dealt = cut.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lots)))
-    return dealt.groupBy("lot").applyInPandas(lambda x: _pack_lot(x, length), schema)
+    dealt = part.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lots)))
+    packed = dealt.groupBy("lot").applyInPandas(lambda x: _pack_lot(x, length), schema)
+    # of the written table, so the numbers are the same whenever a task runs again
+    whole = cut.where(F.col("length") == length).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(whole)
