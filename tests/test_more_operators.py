@@ -256,3 +256,30 @@ def test_components_that_do_not_settle_are_an_error(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
     with pytest.raises(RuntimeError):
         linking.components(chain, max_rounds=2)
+
+
+def test_options_and_trackers(spark):
+    from tracklake.operators import hooks
+
+    o = hooks.Options.of({"tracker": {"max_age_frames": 3, "other": 1}, "fusion": {"weights": {"jersey": 1.5}}, "visualization": None})
+    assert (o.tracker.max_age_frames, o.tracker.min_iou, o.visualization.likely_threshold) == (3, 0.05, 0.25)
+    assert o.fusion.named() == {"team": 2.0, "label": 1.5, "head": 1.0, "body": 0.6, "position": 0.35, "track": 0.25}
+    with pytest.raises(ValueError):
+        hooks.build_tracker({"tracker": {"backend": "none"}})
+    rows = [(1, f, f, 10.0, 0.0, 20.0, 20.0, 0.9, 5) for f in (0, 1, 9)]
+    df = spark.createDataFrame(rows, "clip long, frame long, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double, detector_id long")
+    ids = lambda config: [r["track_id"] for r in hooks.build_tracker(config)(df).orderBy("frame").collect()]
+    assert ids({"tracker": {"backend": "botsort"}, "detector": {"use_tracking": True}}) == [5, 5, 5]
+    assert ids({"tracker": {"backend": "botsort"}}) == ids({}) == [1, 1, 1]
+
+
+def test_command_line(spark, small, tmp_path, capsys):
+    from tracklake import run
+
+    assert run.main(["--list"]) == 0 and "track_extents" in capsys.readouterr().out
+    assert run.main(["track_extents", small, str(tmp_path / "o"), "--json"]) == 0
+    assert spark.read.json(str(tmp_path / "o")).count() == 15
+    files.write_document({"a": 1}, str(tmp_path / "x/y/doc.json"))
+    assert json.loads((tmp_path / "x/y/doc.json").read_text()) == {"a": 1}
+    with pytest.raises(SystemExit):
+        run.main(["nothing"])

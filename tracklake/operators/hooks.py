@@ -7,7 +7,7 @@ called with whole batches; filters on cheap columns belong before it, so that th
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,38 +28,104 @@ def apply_model(rows: DataFrame, factory: Callable[[], Model], schema: str) -> D
 
 @dataclass(frozen=True)
 class TrackerOptions:
-    max_age: int = 12
+    backend: str = "simple_iou"
+    max_age_frames: int = 12
     min_iou: float = 0.05
-    reach: float = 120.0
+    max_center_distance: float = 120.0
 
 
 @dataclass(frozen=True)
-class VoteOptions:
-    top_k: int = 24
-    peak: float = 0.85
-    lock: float = 2
-    peak_min: float = 2
-    min_share: float = 0.3
+class TeamOptions:
+    temperature: float = 0.16
+    unfit_confidence_cap: float = 0.62
+    unknown_color_distance: float = 0.48
+
+
+@dataclass(frozen=True)
+class FusionOptions:
+    temperature: float = 1.0
+    weights: dict = field(default_factory=lambda: {"team": 2.0, "jersey": 3.2, "headshot": 1.0, "body": 0.6, "position": 0.35, "track": 0.25})
+
+    def named(self) -> dict[str, float]:
+        """The weights by the names that ``fusion.fuse`` takes; those that a configuration leaves out keep their default."""
+        full = FusionOptions().weights | self.weights
+        return {"label" if k == "jersey" else "head" if k == "headshot" else k: float(v) for k, v in full.items()}
+
+
+@dataclass(frozen=True)
+class AssignmentOptions:
+    identity_confidence_threshold: float = 0.4
+    window_sec: float = 1.0
+    step_sec: float = 0.5
+
+
+@dataclass(frozen=True)
+class PositionOptions:
+    enabled: bool = True
+    default_prior: float = 0.5
+    strength: float = 0.12
+
+
+@dataclass(frozen=True)
+class MemoryOptions:
+    enabled: bool = True
+
+
+@dataclass(frozen=True)
+class DisplayOptions:
+    likely_threshold: float = 0.25
+    max_seconds: float | None = None
+    min_player_likelihood: float = 0.25
+    min_track_duration_sec: float = 0.25
+    min_jersey_display_confidence: float = 0.30
+    peak_lock_threshold: float = 0.80
+    peak_lock_min_count: int = 2
+
+
+SECTIONS = {
+    "tracker": TrackerOptions, "team_classifier": TeamOptions, "fusion": FusionOptions, "assignment": AssignmentOptions,
+    "position_prior": PositionOptions, "body_reid": MemoryOptions, "visualization": DisplayOptions,
+}
 
 
 @dataclass(frozen=True)
 class Options:
-    """All thresholds of a run, from a configuration mapping with defaults."""
+    """All thresholds of a run: a dataclass for each section of a configuration, with defaults; unknown keys are left out."""
 
     tracker: TrackerOptions = field(default_factory=TrackerOptions)
-    votes: VoteOptions = field(default_factory=VoteOptions)
+    team_classifier: TeamOptions = field(default_factory=TeamOptions)
+    fusion: FusionOptions = field(default_factory=FusionOptions)
+    assignment: AssignmentOptions = field(default_factory=AssignmentOptions)
+    position_prior: PositionOptions = field(default_factory=PositionOptions)
+    body_reid: MemoryOptions = field(default_factory=MemoryOptions)
+    visualization: DisplayOptions = field(default_factory=DisplayOptions)
 
     @classmethod
     def of(cls, config: dict) -> "Options":
-        return cls(TrackerOptions(**config.get("tracker", {})), VoteOptions(**config.get("votes", {})))
+        made = {}
+        for name, kind in SECTIONS.items():
+            known = {f.name for f in fields(kind)}
+            made[name] = kind(**{k: v for k, v in (config.get(name) or {}).items() if k in known})
+        return cls(**made)
+
+
+#: The tracker names that a configuration may give.
+TRACKERS = frozenset("simple_iou detector detector_ids bytetrack botsort strongsort deepsort sportsmot mixsort sportsmot_mixsort boxmot_botsort".split())
+PASSES_IDS = frozenset("detector detector_ids bytetrack botsort".split())
 
 
-#: Tracker names that a configuration may give; those without an own implementation use the simple one.
-TRACKERS = ("simple", "detector_ids")
+def build_tracker(config: dict) -> Callable[[DataFrame], DataFrame]:
+    """The tracker that a configuration names, over a table of detections.
 
+    Names that are not known raise. Those that pass the detector's ids on do so if the detector tracks, with the simple
+    tracker for frames without; every other name runs the simple tracker, as none of the external ones ships here.
+    """
+    from tracklake.streaming import tracker
 
-def tracker_name(config: dict) -> str:
-    name = str(config.get("backend", "simple"))
+    options = Options.of(config).tracker
+    name = str(options.backend).lower()
     if name not in TRACKERS:
         raise ValueError(f"unknown tracker: {name}")
-    return name
+    how = {"max_age": options.max_age_frames, "min_iou": options.min_iou, "reach": options.max_center_distance}
+    passes = name in PASSES_IDS and bool((config.get("detector") or {}).get("use_tracking", False))
+    return lambda detections: tracker.track_batch(detections if passes else detections.drop("detector_id"), **how)

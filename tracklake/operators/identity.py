@@ -133,6 +133,21 @@ def own_clusters(members: DataFrame) -> DataFrame:
     return members.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("track_id", "cluster_id")
 
 
+def memory_vectors(rows: DataFrame, keep: float = 0.8) -> DataFrame:
+    """player and its remembered embedding: the first one, then in order keep * memory + (1 - keep) * new, of unit length each time.
+
+    rows: player, seq (order), embedding. A player's rows are folded in one place; they are one a track.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "embedding"))), lambda x: x["embedding"])
+
+    def mix(a, b):
+        new = F.zip_with(a, b, lambda x, y: keep * x + (1 - keep) * y)
+        return F.element_at(F.transform(F.array(new), lambda v: F.transform(v, lambda x: x / F.greatest(V.norm(v), F.lit(1e-8)))), 1)
+
+    rest = F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0)))
+    return rows.groupBy("player").agg(ordered.alias("v")).select("player", F.aggregate(rest, F.get("v", F.lit(0)), mix).alias("embedding"))
+
+
 def linear_paths(spark, points: list[tuple[int, float, float, float]], frames: int, fps: float) -> DataFrame:
     """Positions per frame on piecewise-linear paths through (path, time, x, y), clamped at both ends."""
     from tracklake.functions.geometry import interpolate

@@ -269,4 +269,20 @@ SQL: dict[str, str] = {
     "ball_path": """SELECT f AS frame, round(CASE WHEN f / 15.0::DOUBLE < 1.2 THEN 125 + 60 * (f / 15.0::DOUBLE) ELSE 10 + 10 * (f / 15.0::DOUBLE) + 14 END, 4) AS x,
         round(CASE WHEN f / 15.0::DOUBLE < 1.2 THEN 350 ELSE 20 + 5 * (f / 15.0::DOUBLE) + 42 END, 4) AS y FROM range(60) r(f)""",
     "summary_provenance": f"""{SUM} SELECT track_id, CASE WHEN jersey IS NOT NULL THEN CASE WHEN track_id % 2 = 0 THEN 'label_inherited_from' ELSE 'identity_stitched_from' END END AS field, jersey AS source FROM summary""",
+    "memory_vectors": f"""{with_views("appearance")}, v AS (SELECT identity AS player, embedding AS e, row_number() OVER (PARTITION BY identity ORDER BY vec_id) AS i FROM appearance WHERE vec_id % 4 = 1),
+        st AS (SELECT player, i, e FROM v WHERE i = 1 UNION ALL SELECT player, i, list_transform(m, lambda x: x / greatest(sqrt(list_dot_product(m, m)), 1e-8)) FROM
+            (SELECT v.player, v.i, list_transform(range(1, 65), lambda k: 0.8 * st.e[k] + 0.2 * v.e[k]) AS m FROM st JOIN v ON v.player = st.player AND v.i = st.i + 1)),
+        l AS (SELECT player, e FROM st QUALIFY i = max(i) OVER (PARTITION BY player))
+        SELECT player, CAST(place AS INT) AS place, round(value, 6) AS value FROM (SELECT player, unnest(e) AS value, unnest(range(64)) AS place FROM l)""",
+    "scalar_functions": """WITH p AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS s, CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey % 90 AS VARCHAR) WHEN 1 THEN NULL ELSE CAST(p_partkey AS VARCHAR) END AS num FROM part)
+        SELECT p_partkey, round(greatest(0.5, least(1.5, p_partkey / 100.0::DOUBLE)), 6) AS clamped, num AS number, CASE WHEN num IS NULL THEN 'P' || s ELSE '#' || num || ' P' || s END AS display,
+            TRUE AS a_in_b, contains(s, '1') AS one_in, ['a', 'b', 'c', 'd', 'e', 'f'][p_partkey % 6 + 1] AS color, CAST(p_partkey * 7919 % 16777216 // 65536 AS INT) AS r,
+            CAST(p_partkey * 7919 % 65536 // 256 AS INT) AS g, CAST(p_partkey * 7919 % 256 AS INT) AS b FROM p""",
+    "roster_filtered": f"""{OBS}, s AS (SELECT track_id, candidate, sum(prob) AS p FROM observations GROUP BY ALL), n AS (SELECT track_id, candidate, p / sum(p) OVER (PARTITION BY track_id) AS p FROM s),
+        k AS (SELECT * FROM n WHERE track_id % 5 <> 0 AND candidate IN ('click', 'view')), c AS (SELECT track_id, candidate, p / sum(p) OVER (PARTITION BY track_id) AS p FROM k),
+        m AS (SELECT 'strict' AS mode, * FROM c UNION ALL SELECT 'loose', * FROM c UNION ALL SELECT 'loose', * FROM n WHERE track_id NOT IN (SELECT track_id FROM k))
+        SELECT track_id, mode, candidate, round(p, 9) AS prob FROM m""",
+    "vector_cosines": f"""{with_views("appearance")}, j AS (SELECT a.vec_id, CASE WHEN a.vec_id % 7 = 0 THEN list_transform(a.embedding, lambda x: x * 0) WHEN a.vec_id % 11 = 0 THEN a.embedding[1:8] ELSE a.embedding END AS e, b.embedding AS o
+            FROM appearance a JOIN appearance b ON b.vec_id = a.vec_id + 1)
+        SELECT vec_id, CASE WHEN len(e) = len(o) AND vec_id % 7 <> 0 THEN round({COS.format("e", "o")}, 6) ELSE 0 END AS cosine, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE 1 END AS length FROM j""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracklake.functions import color as C
 from tracklake.functions import geometry as G
 from tracklake.functions import probability as P
 from tracklake.functions import text as T
@@ -457,11 +458,49 @@ def summary_provenance(spark, d):
     return got.select("track_id", F.map_keys("provenance")[0].alias("field"), F.map_values("provenance")[0].alias("source"))
 
 
+def memory_vectors(spark, d):
+    a = S.appearance(spark, d).where(_mod(F.col("vec_id"), 4) == 1)
+    return identity.memory_vectors(a.select(F.col("identity").alias("player"), F.col("vec_id").alias("seq"), "embedding")).select("player", F.posexplode("embedding").alias("place", "value")).withColumns(_r("value"))
+
+
+def scalar_functions(spark, d):
+    """Clamp, display name, normalised numbers, containment, palette and parsed colours over the parts."""
+    p = S.table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("s"))
+    k = F.col("p_partkey")
+    number = F.when(_mod(k, 4) == 0, F.concat(F.lit(" "), _mod(k, 90).cast("string"), F.lit(".0 "))).when(_mod(k, 4) == 1, F.lit("")).otherwise(F.col("s"))
+    rgb = C.parse_hex(F.concat(F.lit("#"), F.lpad(F.hex(_mod(k * 7919, 1 << 24)), 6, "0")))
+    return p.select(
+        "p_partkey", F.round(G.clamp(k / 100.0, 0.5, 1.5), 6).alias("clamped"), T.normalize_number(number).alias("number"),
+        T.display_name(F.concat(F.lit("P"), "s"), T.normalize_number(number)).alias("display"), T.contains_either(F.col("s"), F.substring("s", 1, 1)).alias("a_in_b"),
+        T.contains_either(F.lit("1"), F.col("s")).alias("one_in"), C.palette_color(F.col("s"), list("abcdef")).alias("color"), rgb[0].alias("r"), rgb[1].alias("g"), rgb[2].alias("b"),
+    )
+
+
+def roster_filtered(spark, d):
+    """Distributions cut to known labels in both ways: empty if none is left, or as they were."""
+    m = S.observations(spark, d).groupBy("track_id", "candidate").agg(F.sum("prob").alias("p")).groupBy("track_id").agg(F.map_from_entries(F.collect_list(F.struct("candidate", "p"))).alias("m"))
+    known = F.when(_mod(F.col("track_id"), 5) == 0, F.array(F.lit("none"))).otherwise(F.array(F.lit("click"), F.lit("view")))
+    cut = lambda empty: P.keep_known(P.normalize_map(F.col("m")), known, empty_if_none=empty)
+    strict = m.select("track_id", F.lit("strict").alias("mode"), F.explode(cut(True)).alias("candidate", "prob"))
+    loose = m.select("track_id", F.lit("loose").alias("mode"), F.explode(cut(False)).alias("candidate", "prob"))
+    return strict.union(loose).withColumns(_r("prob", digits=9))
+
+
+def vector_cosines(spark, d):
+    """Cosine of neighbouring embeddings, one of them zero or cut at times, and the length after normalising."""
+    a = S.appearance(spark, d)
+    e = F.when(_mod(F.col("vec_id"), 7) == 0, F.transform("embedding", lambda x: x * 0)).when(_mod(F.col("vec_id"), 11) == 0, F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    rows = a.withColumn("e", e).join(b, "vec_id")
+    return rows.select("vec_id", F.round(V.cosine(F.col("e"), F.col("other")), 6).alias("cosine"), F.round(V.norm(V.l2_normalize(F.col("e"))), 6).alias("length"))
+
+
 NAMES = (
     "fusion_posterior resolved_players map_argmax body_confidence gallery_similarity memory_similarity evidence_refresh player_of_jersey first_and_last_match primary_identity claim_strength "
     "conflicts_until_stable snapshot_retention summary_mirror relabelled_run identity_documents visible_numbers roster_numbers eligible_tracks cleared_roles rendered_tracks classes_and_categories "
     "gated_evidence plausible_boxes crop_scores digit_places identity_edges switch_segments team_hues mean_colors special_roles registry_build forced_players registry_reassign reassigned_tracks "
     "split_parents location_scores location_assignment interval_matches interval_f1 reader_summary reader_confusions reader_tallies ensemble_summary silhouette_matches source_detections "
-    "adjacent_accuracy display_report display_scores best_run running_mean top_anchors detection_order detector_passthrough anonymous_rosters teams_of_files ball_path summary_provenance"
+    "adjacent_accuracy display_report display_scores best_run running_mean top_anchors detection_order detector_passthrough anonymous_rosters teams_of_files ball_path summary_provenance "
+    "memory_vectors scalar_functions roster_filtered vector_cosines"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

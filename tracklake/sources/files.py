@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,14 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_document(doc: object, path: str) -> None:
+    """A small document of the driver (metadata, manifest, runtime, benchmark) as pretty JSON; its folders are made."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(doc, f, indent=2, ensure_ascii=False)
+        f.write("\n")
+
+
 def to_document(df: DataFrame, limit: int = 100_000) -> str:
     """A small result as one pretty JSON document; more rows than ``limit`` are an error, not a cut."""
     rows = df.toJSON().take(limit + 1)
