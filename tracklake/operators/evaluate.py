@@ -173,6 +173,19 @@ def display_scores(report: DataFrame) -> DataFrame:
     )
 
 
+def set_scores(shown: DataFrame, due: DataFrame, by: str, item: str) -> DataFrame:
+    """by, precision, recall, missed and extra of the items shown against those due, as sets."""
+    j = shown.select(by, item).distinct().withColumn("s", F.lit(1)).join(due.select(by, item).distinct().withColumn("e", F.lit(1)), [by, item], "full")
+    hit, n_s, n_e = F.count_if(F.col("s").isNotNull() & F.col("e").isNotNull()), F.count("s"), F.count("e")
+    one = F.lit(1)
+    return j.groupBy(by).agg((hit / F.greatest(one, n_s)).alias("precision"), (hit / F.greatest(one, n_e)).alias("recall"), (n_e - hit).alias("missed"), (n_s - hit).alias("extra"))
+
+
+def sequence_summary(boxes: DataFrame) -> DataFrame:
+    """Boxes, tracks and frames of every sequence of a MOT table."""
+    return boxes.groupBy("sequence").agg(F.count(F.lit(1)).alias("boxes"), F.countDistinct("track_id").alias("tracks"), F.countDistinct("frame").alias("frames"))
+
+
 def best_run(runs: DataFrame, metric: str, name: str) -> DataFrame:
     """The run with the largest metric; of equal ones the first name."""
     return runs.orderBy(F.desc(metric), name).limit(1)

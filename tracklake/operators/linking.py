@@ -99,7 +99,10 @@ def overlap_pairs(spans: DataFrame, bucket: float) -> DataFrame:
 
 
 def shared_frames(obs: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of tracks (a < b) of a key that share frames: count and ratio to a's and b's own frames."""
+    """Pairs of tracks (a < b) of a key that share frames: count and ratio to a's and b's own frames.
+
+    A key's pairs in a frame are the square of its tracks there: claimants of one identity, of which a frame shows a few.
+    """
     frames = obs.select(*key, "track_id", "frame_index").distinct()
     own = frames.groupBy(*key, "track_id").agg(F.count(F.lit(1)).alias("own"))
     a = frames.select(*key, "frame_index", F.col("track_id").alias("a"))

@@ -11,7 +11,7 @@ from tracklake.functions import color as C
 from tracklake.functions import geometry as G
 from tracklake.functions import probability as P
 from tracklake.functions import text as T
-from tracklake.operators import fusion, linking, matching, retrieval, spatial, tracks, votes
+from tracklake.operators import evaluate, fusion, linking, matching, retrieval, spatial, tracks, votes
 from tracklake.sources import views as S
 from tracklake.streaming import tracker
 
@@ -292,13 +292,7 @@ def adjacent_frames(spark, d):
 def set_precision_recall(spark, d):
     """Names shown per day against names expected: precision, recall, missed and extra counts."""
     o = S.observations(spark, d).withColumn("day", F.floor(F.col("ts_s") / 86400))
-    shown, due = o.where("prob >= 0.5").select("day", "track_id").distinct(), o.where("quality >= 0.3").select("day", "track_id").distinct()
-    j = shown.withColumn("s", F.lit(1)).join(due.withColumn("e", F.lit(1)), ["day", "track_id"], "full")
-    hit, n_s, n_e = F.count_if(F.col("s").isNotNull() & F.col("e").isNotNull()), F.count("s"), F.count("e")
-    one = F.lit(1)
-    return j.groupBy("day").agg(
-        F.round(hit / F.greatest(one, n_s), 6).alias("precision"), F.round(hit / F.greatest(one, n_e), 6).alias("recall"), (n_e - hit).alias("missed"), (n_s - hit).alias("extra")
-    )
+    return evaluate.set_scores(o.where("prob >= 0.5"), o.where("quality >= 0.3"), "day", "track_id").withColumns(_r("precision", "recall"))
 
 
 def coverage_hours(spark, d):
@@ -307,8 +301,7 @@ def coverage_hours(spark, d):
 
 
 def mot_summary(spark, d):
-    m = S.mot_boxes(spark, d)
-    return m.groupBy("sequence").agg(F.count(F.lit(1)).alias("boxes"), F.countDistinct("track_id").alias("tracks"), F.countDistinct("frame").alias("frames"))
+    return evaluate.sequence_summary(S.mot_boxes(spark, d))
 
 
 def interval_scores(spark, d):
