@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.plans.oracles import EXT, FRAG, HSV, OBS, PAIRS, SPANS, TEAMD, VOTES, C
+from tracklake.plans.oracles import EXT, FRAG, HSV, OBS, PAIRS, SPANS, TEAMD, VOTES, C, _gaps
 from tracklake.sources.views import with_views
 
 FUSION = with_views("observations", "gt_boxes", "squad", "summary")
@@ -176,7 +176,38 @@ step AS (SELECT DISTINCT frame, 0::BIGINT AS r, CAST([] AS BIGINT[]) AS uo, CAST
         (SELECT s.frame, f.r, s.uo, s.up, f.obs_id, f.player, NOT list_contains(s.uo, f.obs_id) AND NOT list_contains(s.up, f.player) AS ok FROM step s JOIN free f ON f.frame = s.frame AND f.r = s.r + 1))
 SELECT obs_id, player, TRUE AS locked FROM kept UNION ALL SELECT obs_id, player, FALSE FROM step WHERE ok"""
 
+CLAIMS = f"""{FRAG}, {SPANS}, og AS (SELECT min(start_s) AS o, max(end_s) AS e FROM spans),
+win AS (SELECT i AS wn, o + i * 43200.0::DOUBLE AS s FROM og, range(0, CAST(floor((e + 1e-6 - o) / 43200) AS BIGINT) + 1) r(i)),
+pr AS (SELECT track_id, candidate AS label, avg(prob) AS prob FROM fragments GROUP BY ALL),
+cl AS (SELECT wn, team, track_id, label, prob, (end_s - start_s) / 3600 AS duration FROM win JOIN spans ON start_s <= s + 86400 AND end_s >= s JOIN pr USING (track_id))"""
+
 SQL: dict[str, str] = {
+    "gap_stitch": f"""{FRAG}, {SPANS}, {_gaps(21600, 250)},
+        bys AS (SELECT a, any_value(s.score) AS score, list(b ORDER BY distance, gap, b) AS sinks FROM gaps JOIN spans s ON s.track_id = a GROUP BY a),
+        step AS (SELECT 0 AS nr, list({{'s': -score, 'a': a}} ORDER BY -score, a) AS q, CAST([] AS BIGINT[]) AS used, CAST([] AS STRUCT(s DOUBLE, a BIGINT)[]) AS reached, NULL::BIGINT AS source, NULL::BIGINT AS sink, 0 AS done_in FROM bys
+            UNION ALL SELECT CASE WHEN len(rest) = 0 THEN nr + 1 ELSE nr END, CASE WHEN len(rest) = 0 THEN list_sort(got) ELSE rest END, CASE WHEN sink IS NULL THEN used ELSE list_append(used, sink) END,
+                CASE WHEN len(rest) = 0 THEN [] ELSE got END, source, sink, nr FROM
+                (SELECT p.nr, p.q[2:] AS rest, p.used, p.a AS source, p.sink, CASE WHEN k.a IS NULL THEN p.reached ELSE list_append(p.reached, {{'s': -k.score, 'a': k.a}}) END AS got FROM
+                    (SELECT s.nr, s.q, s.used, s.reached, h.a, list_filter(h.sinks, lambda x: NOT list_contains(s.used, x))[1] AS sink FROM step s JOIN bys h ON h.a = s.q[1].a WHERE s.nr < 5) p LEFT JOIN bys k ON k.a = p.sink))
+        SELECT source, sink, done_in AS round FROM step WHERE sink IS NOT NULL""",
+    "greedy_assignment": f"""{CLAIMS}, od AS (SELECT wn, team, track_id, label, round(prob, 9) AS prob, row_number() OVER (PARTITION BY wn, team ORDER BY round(prob, 9) DESC, track_id, label) AS r FROM cl),
+        step AS (SELECT DISTINCT wn, team, 0::BIGINT AS r, CAST([] AS BIGINT[]) AS ut, CAST([] AS VARCHAR[]) AS ul, NULL::BIGINT AS track_id, NULL::VARCHAR AS label, 0::DOUBLE AS prob, FALSE AS ok FROM od
+            UNION ALL SELECT wn, team, r, CASE WHEN ok THEN list_append(ut, track_id) ELSE ut END, CASE WHEN ok THEN list_append(ul, label) ELSE ul END, track_id, label, prob, ok FROM
+                (SELECT s.wn, s.team, o.r, s.ut, s.ul, o.track_id, o.label, o.prob, NOT list_contains(s.ut, o.track_id) AND NOT list_contains(s.ul, o.label) AS ok FROM step s JOIN od o ON o.wn = s.wn AND o.team = s.team AND o.r = s.r + 1))
+        SELECT wn AS "window", team, track_id, label, round(prob, 6) AS prob FROM step WHERE ok AND prob >= 0.12""",
+    "window_conflicts": f"""{CLAIMS}, n AS (SELECT *, row_number() OVER (PARTITION BY wn, team, track_id ORDER BY prob DESC, label) AS nr FROM cl),
+        t AS (SELECT wn, team, track_id, max(prob) * greatest(1, least(4, any_value(duration) + 1)) AS strength, list({{'label': label, 'prob': prob, 'nr': nr}} ORDER BY nr) AS c FROM n GROUP BY ALL),
+        od AS (SELECT *, row_number() OVER (PARTITION BY wn, team ORDER BY strength DESC, track_id) AS r FROM t),
+        step AS (SELECT DISTINCT wn, team, 0::BIGINT AS r, CAST([] AS VARCHAR[]) AS used, NULL::BIGINT AS track_id, NULL::VARCHAR AS label FROM od
+            UNION ALL SELECT wn, team, r, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, track_id, pick FROM
+                (SELECT s.wn, s.team, o.r, s.used, o.track_id, list_filter(o.c, lambda x: NOT list_contains(s.used, x.label) AND (x.nr = 1 OR x.prob >= 0.15))[1].label AS pick FROM step s JOIN od o ON o.wn = s.wn AND o.team = s.team AND o.r = s.r + 1))
+        SELECT wn AS "window", team, track_id, label FROM step WHERE track_id IS NOT NULL""",
+    "conflict_resolution": f"""{OBS}, c AS (SELECT track_id % 25 AS identity, track_id, list(DISTINCT frame_index) AS frames, sum({C}) AS score FROM observations GROUP BY track_id),
+        od AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY score DESC, track_id) AS r FROM c),
+        step AS (SELECT DISTINCT identity, 0::BIGINT AS r, CAST([] AS BIGINT[]) AS kept, NULL::BIGINT AS track_id, FALSE AS demoted FROM od
+            UNION ALL SELECT identity, r, CASE WHEN demoted THEN kept ELSE list_distinct(list_concat(kept, frames)) END, track_id, demoted FROM
+                (SELECT s.identity, o.r, s.kept, o.track_id, o.frames, len(list_intersect(o.frames, s.kept)) / len(o.frames) > 0.2 AS demoted FROM step s JOIN od o ON o.identity = s.identity AND o.r = s.r + 1))
+        SELECT identity, track_id, demoted FROM step WHERE track_id IS NOT NULL""",
     "fusion_posterior": f"{FUSED} SELECT track_id, player, round(score, 6) AS score, round(posterior, 6) AS posterior FROM fused",
     "resolved_players": f"""{FUSED} SELECT track_id, player, team, round(posterior, 6) AS confidence FROM fused
         QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(posterior, 9) DESC, player) = 1""",

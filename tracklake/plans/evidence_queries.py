@@ -10,7 +10,7 @@ from tracklake.functions import probability as P
 from tracklake.functions import text as T
 from tracklake.functions import vector as V
 from tracklake.operators import evaluate, evidence, filters, fusion, identity, linking, matching, ranking, registry, spatial, tracks, votes
-from tracklake.plans.queries import DIM, HOUR, _r, _spans, _team_distances
+from tracklake.plans.queries import DIM, HOUR, _r, _spans, _team_distances, _window_claims
 from tracklake.sources import files, generate
 from tracklake.sources import views as S
 
@@ -458,6 +458,11 @@ def summary_provenance(spark, d):
     return got.select("track_id", F.map_keys("provenance")[0].alias("field"), F.map_values("provenance")[0].alias("source"))
 
 
+def greedy_assignment(spark, d):
+    """Tracks and labels of every window and team matched by ascending cost, as the fallback of the optimal matching does."""
+    return matching.assign(_window_claims(spark, d).withColumn("prob", F.round("prob", 9)), ["window", "team"], optimal=False).withColumns(_r("prob"))
+
+
 def memory_vectors(spark, d):
     a = S.appearance(spark, d).where(_mod(F.col("vec_id"), 4) == 1)
     return identity.memory_vectors(a.select(F.col("identity").alias("player"), F.col("vec_id").alias("seq"), "embedding")).select("player", F.posexplode("embedding").alias("place", "value")).withColumns(_r("value"))
@@ -501,6 +506,6 @@ NAMES = (
     "gated_evidence plausible_boxes crop_scores digit_places identity_edges switch_segments team_hues mean_colors special_roles registry_build forced_players registry_reassign reassigned_tracks "
     "split_parents location_scores location_assignment interval_matches interval_f1 reader_summary reader_confusions reader_tallies ensemble_summary silhouette_matches source_detections "
     "adjacent_accuracy display_report display_scores best_run running_mean top_anchors detection_order detector_passthrough anonymous_rosters teams_of_files ball_path summary_provenance "
-    "memory_vectors scalar_functions roster_filtered vector_cosines"
+    "greedy_assignment memory_vectors scalar_functions roster_filtered vector_cosines"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
