@@ -54,7 +54,12 @@ def test_sharding_is_even_gapless_and_proportional(docs, texts):
 
 def test_sharding_equals_a_plain_sort(docs, texts):
     got = {(r["doc_id"], r["text_crc32"]): (r["shard"], r["slot"]) for r in sharding.interleave(docs, 4, slice_rows=3).where("doc_id is not null").collect()}
-    rows = [(r["source"], hashlib.md5(f"mix-1:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest(), r["doc_id"], r["text"]) for r in docs.collect()]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    tie = lambda t: 42 if t is None else signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    rows = [
+        (r["source"], hashlib.md5(f"mix-1:{'' if r['doc_id'] is None else r['doc_id']}:{tie(r['text'])}".encode()).hexdigest(), r["doc_id"], r["text"])
+        for r in docs.collect()
+    ]
     per = defaultdict(list)
     for r in rows:
         per[r[0]].append(r)
@@ -70,6 +75,14 @@ def test_sharding_equals_a_plain_sort(docs, texts):
             assert got[r[4], zlib.crc32((r[5] or "").encode())] == (shard, at - -(-shard * n // 4))
 
 
+def test_rows_without_ids_are_spread(spark):
+    """Rows that share a null id do not share a place in the shuffle."""
+    df = spark.createDataFrame([(None, f"text {i}", "a") for i in range(200)], "doc_id long, text string, source string")
+    rows = sharding.interleave(df, 5, slice_rows=20).collect()
+    order = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
+    assert len({r["text_crc32"] for r in rows}) == 200 and [r["slot"] for r in order] == [*range(40)] * 5
+
+
 def test_sharding_of_nothing(empty):
     assert sharding.interleave(empty, 4).count() == 0
 
@@ -123,11 +136,23 @@ def test_toxicity_without_usable_labels(docs, texts, empty):
 
 def test_training_rows_leave_the_held_out_fold(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 60)], "doc_id long, toxic int, quality int")
-    got = toxicity.training_rows(docs, labels, "toxic", 4, 2, 1000)
+    got = toxicity.pairs_of(toxicity.training_table(docs, labels, "toxic", 4, 2, 1000).toPandas())
     held = {t for i, t in docs.select("doc_id", "text").collect() if i is not None and zlib.crc32(str(i).encode()) % 4 == 2 and t}
     free = {t for i, t in docs.select("doc_id", "text").collect() if i is not None and zlib.crc32(str(i).encode()) % 4 != 2 and t}
     assert got and not {t for t, _ in got} & (held - free)
-    assert toxicity.training_rows(docs, labels, "quality", 4, 2, 1000) == []
+    assert toxicity.training_table(docs, labels, "quality", 4, 2, 1000).count() == 0
+    few = toxicity.pairs_of(toxicity.training_table(docs, labels, "toxic", 4, 2, 1000, max_bytes=1500).toPandas())
+    assert few == got[: len(few)] and sum(len(t.encode()) for t, _ in few) <= 1500 < sum(len(t.encode()) for t, _ in got)
+
+
+def test_models_are_fitted_on_an_executor(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 60)], "doc_id long, toxic int, quality int")
+    table = toxicity.training_table(docs, labels, "toxic", 4, 2, 1000)
+    want = toxicity.fit(toxicity.pairs_of(table.toPandas()))
+    got = toxicity.fit_on(table)
+    assert (got.words, got.stems) == (want.words, want.stems) and np.allclose(got.coef, want.coef)
+    assert toxicity.fit_on(toxicity.training_table(empty, labels, "toxic", 4, 2, 10)).words == {}
+    assert quality_cnn.fit_on(toxicity.training_table(docs, labels, "quality", 4, 2, 10), 5).score(None) == 0.5
 
 
 # -- personal data
@@ -180,7 +205,8 @@ def test_viterbi_finds_the_best_path():
     lines = [["token", "=", '"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"'], ["a"], ["x=1", "password=abc123def456", "y"]]
     k = len(pii.LABELS)
     for line, got in zip(lines, crf.decode(lines)):
-        e = crf._emit(crf._rows(line))
+        scores, starts = crf.scores([line])
+        e = scores[starts[0] : starts[0] + len(line)]
         paths = np.stack(np.meshgrid(*[range(k)] * len(line), indexing="ij"), -1).reshape(-1, len(line))
         score = [sum(e[i, p[i]] for i in range(len(p))) + sum(crf.t[p[i - 1], p[i]] for i in range(1, len(p))) for p in paths]
         assert got.tolist() == paths[int(np.argmax(score))].tolist()
@@ -355,6 +381,33 @@ def test_chunks_equal_whole_texts(text):
     assert tok.encode(text) == tok._bytes(tok.tok.encode(text, add_special_tokens=False).ids)
 
 
+def test_other_tokenizers_get_whole_texts(texts, tmp_path):
+    """A tokenizer whose rules are not those of the chunks gives the ids it gives by itself."""
+    import json
+    from pathlib import Path
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = packing.ChunkTokenizer(word_bpe_path())
+    assert plain.by_chunk
+    cased = json.loads(Path(word_bpe_path()).read_text())
+    cased["normalizer"] = {"type": "NFC"}
+    (tmp_path / "cased.json").write_text(json.dumps(cased))
+    for path in (str(tmp_path / "cased.json"), str(public_tokenizers.path("byte_bpe_50k.json"))):
+        tok, want = packing.ChunkTokenizer(path), Tokenizer.from_file(path)
+        assert not tok.by_chunk
+        for _, t in texts:
+            assert tok.encode(t or "") == tok._bytes(want.encode(t or "", add_special_tokens=False).ids)
+
+
+def test_full_pieces_and_small_lots(docs, texts):
+    rows = packing.pack(docs, word_bpe_path(), length=64, lot=10).collect()
+    full = [r for r in rows if r["length"] == 64]
+    assert full and len({r["sequence_id"] for r in full}) == len(full) and {r["offset"] for r in full} == {0}
+    assert not {r["sequence_id"] for r in full} & {r["sequence_id"] for r in rows if r["length"] < 64}
+
+
 def test_best_two_fit_swaps_in_two():
     # greedy gives 6+3 (gap 1); the 3 goes back for 2+2 in the gap of 4
     bins = packing.best_two_fit(np.bincount([6, 3, 2, 2], minlength=11), 10)
@@ -391,6 +444,49 @@ def test_suffix_dedup(docs, texts, empty):
     assert suffix_dedup.repeated_spans(empty).count() == 0
 
 
+def test_passages_of_more_than_fifty_words_have_a_mark(spark):
+    """Every passage of 51 words or more in two documents is told of, wherever it stands; shared words below 26 never are."""
+    def words(seed, n):
+        rng = np.random.default_rng(seed)
+        return [f"w{int(x)}" for x in rng.integers(0, 10**7, n)]
+
+    rows, want = [], set()
+    for i, n in enumerate((51, 52, 60, 80, 300, 25, 20)):
+        passage = words(1000 + i, n)
+        for side in (0, 1):
+            rows.append((10 * i + side, " ".join(words(10 * i + side, 7 + 31 * side) + passage + words(500 + 10 * i + side, 40 * side))))
+            want |= {10 * i + side} if n > 50 else set()
+    rows += [(900, " ".join(words(77, 200))), (901, None), (902, "a " * 300), (903, " ".join(words(78, 120))), (903, " ".join(words(78, 120)))]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect() if r["n_passage_marks"]} == want
+
+
+def test_many_equal_rows(spark):
+    """5,000 equal rows with one id, 2,000 without, and one text that shares a passage with them."""
+    text = prose(88, 700)
+    rows = [(1, text)] * 5000 + [(None, text)] * 2000 + [(2, "tail " + text[1000:2000] + prose(89, 100)), (3, prose(90, 300))]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    found = Counter((r["doc_id"], r["n_removed"], r["n_spans"]) for r in got.collect())
+    n = len(text.encode())
+    assert found == {(1, n, 1): 5000, (None, n, 1): 2000, (2, 1000, 1): 1, (3, 0, 0): 1}
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    """Anchors of a text do not depend on what shares its buffer, and pieces cover all windows once."""
+    raws = [prose(k, 40 + 300 * k).encode() for k in range(6)] + [b"", None, b"x" * 399, b"y" * 400]
+    whole = {}
+    for nr, s0, s1, x, _, _ in suffix_dedup.anchors(raws):
+        for i, a, z, at in zip(nr.tolist(), s0.tolist(), s1.tolist(), x.tolist()):
+            whole.update({(i, s): at for s in range(a, z + 1)})
+    assert set(whole) == {(i, s) for i, r in enumerate(raws) for s in range(len(r or b"") - 399)}
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    cut = {}
+    for nr, s0, s1, x, _, _ in suffix_dedup.anchors(raws):
+        for i, a, z, at in zip(nr.tolist(), s0.tolist(), s1.tolist(), x.tolist()):
+            cut.update({(i, s): at for s in range(a, z + 1)})
+    assert cut == whole
+
+
 def test_merge_of_front_coded_runs():
     rng = np.random.default_rng(2)
     for n_runs in (1, 2, 3, 7):
@@ -439,3 +535,38 @@ def test_planted_noise_is_rejected(spark):
     rows = [(i, prose(i, 200), "en") for i in range(30)] + [(100, re.sub(r"(\w+)", r"\1###", prose(99, 200)), "en")]
     got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not got[100] and sum(got.values()) == 30
+
+
+def test_texts_without_common_words_are_rejected(spark):
+    """Same characters, no function word: only the distance of the common words can tell."""
+    import random
+
+    rng = random.Random(5)
+    own = "maison jardin voiture lampe table chemin riviere montagne soleil ombre fenetre porte".split()
+    speak = lambda n, share: " ".join(rng.choice("the of and in that".split()) if rng.random() < share else rng.choice(own) + str.lower(rng.choice("abc")) for _ in range(n))
+    rows = [(i, speak(300, 0.14), "en") for i in range(60)] + [(100, speak(300, 0.0), "en"), (101, speak(100, 0.0), "en")]
+    rows += [(200 + i, speak(300, 0.0), "xx") for i in range(5)]  # a language that does not use them
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[100]["kept"] and not got[100]["base_failed"] and got[100]["class_distance"] <= 0.3
+    assert all(r["kept"] for i, r in got.items() if i != 100)
+
+
+def test_sql_of_the_native_queries(spark, small):
+    """The registered queries and their SQL, on the smallest tables."""
+    import glob
+    import os
+
+    import duckdb
+    from tracklake.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{small}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    for name, sql in ORACLE_SQL.items():
+        df, want = QUERIES[name](spark, small), con.sql(sql)
+        cols = sorted(df.columns)
+        assert cols == sorted(want.columns)
+        plain = lambda v: round(v, 5) if isinstance(v, float) else v
+        mine = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
+        at = [want.columns.index(c) for c in cols]
+        assert mine == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall()), name

@@ -26,6 +26,10 @@ sorted order of suffixes, but not of all of them:
   documents) is not gathered: its windows' hashes are counted by a distributed
   aggregation instead.
 
+Beside the bytes, ``n_passage_marks`` tells of passages by words: among every ``MARK`` windows of ``MARK`` (26) words that follow each
+other the one with the least hash is a mark, so every passage of more than 50 words holds a mark, and
+the count is that of a document's marks that another document has too. It removes nothing.
+
 Hashes are 64-bit (two equal 64-bit hashes of different strings are not told apart in
 the counting steps; the merge compares bytes). Short texts share a buffer, so that the arrays
 are long whatever the texts are; no window reaches from one text into the next.
@@ -46,12 +50,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.llm.common import by_arrow, raw_texts, scratch, spool
 
 LENGTH, REACH, GRAM = 400, 200, 16
+MARK = 26
+BLOCK, LONG = 1 << 17, 4096
 SEGMENT = 1 << 18
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -87,6 +94,61 @@ class Rolling:
         return _mix((self.sums[n : n + count] - self.sums[:count]) * _DOWN[:count])
 
 
+def stretch_hashes(flat: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The hashes of the given stretches (starts ascending) of a text; a hash depends on the stretch's bytes alone.
+
+    Stretches of up to 4,096 bytes are hashed together, as differences of one running sum; longer ones by XXH64.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    long = stops - starts > LONG
+    for i in np.flatnonzero(long).tolist():
+        out[i] = xxhash.xxh64_intdigest(flat[starts[i] : stops[i]], 42)
+    short = np.flatnonzero(~long)
+    b = np.frombuffer(flat, np.uint8)
+    for part in np.split(short, np.flatnonzero(np.diff(starts[short] // BLOCK)) + 1):
+        if len(part):
+            lo, hi = int(starts[part[0]]), int(stops[part].max())
+            out[part] = Rolling(b[lo:hi]).of(starts[part] - lo, stops[part] - lo)
+    return out
+
+
+def passage_marks(raw: bytes | None) -> np.ndarray:
+    """The distinct hashes of a text's marks; none for a text of fewer than 51 words."""
+    words = (raw or b"").split()
+    if len(words) < 2 * MARK - 1:
+        return np.zeros(0, np.uint64)
+    flat = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = len(words) - MARK + 1
+    h = stretch_hashes(flat, starts[:n], ends[MARK - 1 :])
+    least = h
+    width = 1
+    while 2 * width <= MARK:
+        least = np.minimum(least[: len(least) - width], least[width:])
+        width *= 2
+    rest = MARK - width
+    return np.unique(np.minimum(least[: len(least) - rest], least[rest:]))
+
+
+def _shared_marks(docs: DataFrame) -> DataFrame:
+    """k, h and n_passage_marks of the rows with a mark that a row with another id or text has too."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            found = [passage_marks(raw) for raw in raw_texts(batch.column("text"))]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            k, h = (batch.column(c).to_numpy()[row] for c in ("k", "h"))
+            return {"k": pa.array(k), "h": pa.array(h), "w": pa.array(np.concatenate(found).view(np.int64))}
+
+        return work
+
+    marks = spool(by_arrow(docs.select("k", "h", "text"), "k long, h long, w long", make, 256))
+    row = F.struct("k", "h")
+    shared = spool(marks.groupBy("w").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).where("lo <> hi").select("w"))
+    return marks.join(shared, "w", "left_semi").distinct().groupBy("k", "h").agg(F.count(F.lit(1)).alias("n_passage_marks"))
+
+
 def _buffers(raws: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts of 400 bytes or more, gathered or cut: a buffer, and for each of its parts the text, the start there and the start here."""
     parts: list[tuple[int, int, bytes]] = []
@@ -389,12 +451,14 @@ def _kept_digest(raw: bytes, starts: list[int], ends: list[int]) -> str:
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 1000, lot: int = 10_000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (byte ranges) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_marks and spans (byte ranges) of every row."""
     spark = docs.sparkSession
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(id_col).alias("k"), F.xxhash64(text).alias("h"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     mark = ["s0", "nd", "lead", "members", "single"]
+    with scratch(spark):
+        passages = spool(_shared_marks(rows), keep=True)
     with scratch(spark):
         with scratch(spark):
             records = spool(_records(rows))
@@ -429,7 +493,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         )
     more = found.groupBy("k", "h").agg(F.collect_set(F.struct("s0", "s1")).alias("more"))
     spans_type = "array<struct<start:long,stop:long>>"
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans_type}"
+    schema = f"doc_id {kind}, k long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans_type}"
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
@@ -449,7 +513,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
             spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["start", "stop"]))
             return {
-                "doc_id": batch.column("doc_id"),
+                **{c: batch.column(c) for c in ("doc_id", "k", "h")},
                 "n_bytes": pa.array(n_bytes, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(n.astype(np.int64)),
@@ -459,20 +523,21 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         return work
 
-    touched = by_arrow(held.join(more, ["k", "h"], "left").select("doc_id", "text", "marks", "more"), schema, make, 512)
+    touched = by_arrow(held.join(more, ["k", "h"], "left").select("doc_id", "k", "h", "text", "marks", "more"), schema, make, 512)
     plain = F.coalesce(text, F.lit(""))
     others = (
         docs.select(
             F.col(id_col).alias("doc_id"),
+            F.xxhash64(id_col).alias("k"),
+            F.xxhash64(text).alias("h"),
             F.octet_length(plain).cast("long").alias("n_bytes"),
             F.lit(0).cast("long").alias("n_removed"),
             F.lit(0).cast("long").alias("n_spans"),
             F.sha2(plain.cast("binary"), 256).alias("kept_sha256"),
             F.array().cast(spans_type).alias("spans"),
-            F.xxhash64(id_col).alias("k"),
-            F.xxhash64(text).alias("h"),
         )
         .join(marks.select("k", "h"), ["k", "h"], "left_anti")
-        .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+        .select(*touched.columns)
     )
-    return touched.unionByName(others)
+    out = touched.unionByName(others).join(passages, ["k", "h"], "left")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passage_marks", F.lit(0).cast("long")).alias("n_passage_marks"), "spans")
