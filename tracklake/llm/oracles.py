@@ -54,4 +54,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, round(sl, 6) AS silence FROM j
 """
 
-SQL = {"op6_decontamination": DECONTAMINATION, "op10_quality_rules": QUALITY_RULES}
+
+def _crc32(number: str) -> str:
+    """CRC-32 of a number's decimal text (of the empty text for null): eight steps for every byte."""
+    chars = f"list_filter(string_split(coalesce(CAST({number} AS VARCHAR), ''), ''), lambda c: c <> '')"
+    items = f"flatten(list_transform({chars}, lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(a, c) >> 1, CASE WHEN xor(a, c) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {items}), lambda a, c: {step}), 4294967295)"
+
+
+_batch = lambda id_col: f"least(7, greatest(0, coalesce(floor((floor((epoch_us(arrived_at) - 1704067200000000) / 3600000000) + 80 * ({_crc32(id_col)} % 4)) * 8 / 3648), 0)))::INT"
+
+#: A click opens an obligation unless the client's event before it is a click of at most 24 hours ago.
+FOLLOWUPS = f"""
+WITH e AS (SELECT {_batch("click_id")} AS b, client_id, epoch_us(ts) AS t, 0 AS sale
+    FROM (SELECT DISTINCT * FROM clicks WHERE kind = 'error' AND client_id IS NOT NULL AND ts IS NOT NULL)
+    UNION ALL SELECT {_batch("sale_id")}, client_id, epoch_us(sold_at), 1 FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+w AS (SELECT b, (SELECT max(t) FROM e WHERE e.b < x.b) - 345600000000 AS w FROM (SELECT unnest(range(8)) AS b) x),
+m AS (SELECT e.*, coalesce(t < w, false) AS late FROM e JOIN w USING (b)),
+s AS (SELECT *, lag(t) OVER o AS lt, lag(sale) OVER o AS ls, lead(t) OVER o AS nt, lead(sale) OVER o AS ns
+    FROM (SELECT client_id, t, sale, count(*) AS n FROM m WHERE NOT late GROUP BY ALL) WINDOW o AS (PARTITION BY client_id ORDER BY t, sale)),
+g AS (SELECT *, sum(CASE WHEN ls = 0 AND t - lt <= 86400000000 THEN 0 ELSE 1 END) OVER (PARTITION BY client_id ORDER BY t, sale) AS g FROM s WHERE sale = 0),
+ob AS (SELECT client_id, min(t) AS opened, max(t) + 86400000000 AS due, sum(n) AS n, arg_max(nt, t) AS nt, arg_max(ns, t) AS ns FROM g GROUP BY client_id, g)
+SELECT coalesce((SELECT min(b) FROM w WHERE w > due), 8)::INT AS batch, client_id, opened AS opened_us, due AS due_us, n::BIGINT AS n_rows
+    FROM ob WHERE NOT coalesce(ns = 1 AND nt <= due, false)
+UNION ALL SELECT b, client_id, -1, -1, count(*) FROM m WHERE late GROUP BY b, client_id
+"""
+
+SQL = {"op6_decontamination": DECONTAMINATION, "op10_quality_rules": QUALITY_RULES, "op12_followups": FOLLOWUPS}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm import (
     decontaminate,
+    followups,
     licenses,
     packing,
     pii,
@@ -93,6 +94,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance", "silence")})
 
 
+def op12_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return followups.missing_followups(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -104,6 +109,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op12_followups": op12_followups,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
