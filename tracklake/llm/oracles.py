@@ -81,4 +81,36 @@ SELECT coalesce((SELECT min(b) FROM w WHERE w > due), 8)::INT AS batch, client_i
 UNION ALL SELECT b, client_id, -1, -1, count(*) FROM m WHERE late GROUP BY b, client_id
 """
 
-SQL = {"op6_decontamination": DECONTAMINATION, "op10_quality_rules": QUALITY_RULES, "op12_followups": FOLLOWUPS}
+_field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+_leaf = lambda text: "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Tables of a tree's levels (tree, level, pos, digest, more) from (tree, pos, digest); more: whether the level has more than one node."""
+    return f"""{name} AS (SELECT tree, 0 AS level, pos, digest, count(*) OVER (PARTITION BY tree) > 1 AS more FROM {leaves}
+    UNION ALL SELECT *, count(*) OVER (PARTITION BY tree) > 1 FROM (SELECT tree, any_value(level) + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE more GROUP BY tree, pos // 16))"""
+
+
+#: A row's siblings of all levels, and the root folded with them: a run's digest is made again for the row's own child.
+MANIFEST = f"""
+WITH RECURSIVE l AS (SELECT doc_id, source AS tree, {_leaf("text")} AS digest, CASE WHEN {_crc32("doc_id")} % 5 = 0 AND doc_id IS NOT NULL
+        THEN {_leaf(f"translate(text, '{_UP}', '{_LOW}')")} ELSE {_leaf("text")} END AS altered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM l),
+{_tree("lv", "p")},
+sr AS (SELECT tree AS source, digest, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos FROM lv WHERE NOT more),
+st AS (SELECT 0 AS tree, pos, digest FROM sr),
+{_tree("sv", "st")},
+steps AS (SELECT p.doc_id, p.tree, p.pos AS own, lv.level, (p.pos // CAST(16 ** lv.level AS BIGINT)) AS at FROM p JOIN (SELECT DISTINCT tree, level, more FROM lv) lv ON p.tree IS NOT DISTINCT FROM lv.tree AND more
+    UNION ALL SELECT p.doc_id, p.tree, p.pos, 100 + sv.level, sr.pos // CAST(16 ** sv.level AS BIGINT) FROM p JOIN sr ON p.tree IS NOT DISTINCT FROM sr.source JOIN (SELECT DISTINCT level, more FROM sv) sv ON more),
+nodes AS (SELECT tree, level, pos, digest, false AS top FROM lv UNION ALL SELECT NULL, 100 + level, pos, digest, true FROM sv),
+sib AS (SELECT s.tree, s.own, s.level, string_agg(CASE WHEN n.pos < s.at THEN n.digest END, '' ORDER BY n.pos) AS a, string_agg(CASE WHEN n.pos > s.at THEN n.digest END, '' ORDER BY n.pos) AS b
+    FROM steps s JOIN nodes n ON n.level = s.level AND n.pos // 16 = s.at // 16 AND (n.top OR n.tree IS NOT DISTINCT FROM s.tree) AND n.top = (s.level >= 100) GROUP BY ALL),
+path AS (SELECT tree, own, list(struct_pack(a := coalesce(a, ''), b := coalesce(b, '')) ORDER BY level) AS path FROM sib GROUP BY ALL),
+f AS (SELECT p.*, coalesce(path, []) AS path FROM p LEFT JOIN path ON p.tree IS NOT DISTINCT FROM path.tree AND p.pos = path.own),
+g AS (SELECT doc_id, tree, digest AS leaf, path, list_reduce(list_prepend(struct_pack(a := altered, b := ''), path), lambda x, y: struct_pack(a := sha256(y.a || x.a || y.b), b := '')).a AS folded_root FROM f)
+SELECT doc_id, leaf, sr.digest AS subroot, (SELECT digest FROM sv WHERE NOT more) AS root,
+    sha256(coalesce(array_to_string(list_transform(path, lambda x: x.a || x.b), ''), '')) AS proof_sha256, folded_root, folded_root = (SELECT digest FROM sv WHERE NOT more) AS verified
+FROM g JOIN sr ON g.tree IS NOT DISTINCT FROM sr.source
+"""
+
+SQL = {"op6_decontamination": DECONTAMINATION, "op10_quality_rules": QUALITY_RULES, "op12_followups": FOLLOWUPS, "op13_manifest": MANIFEST}

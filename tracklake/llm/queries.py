@@ -9,6 +9,7 @@ from tracklake.llm import (
     decontaminate,
     followups,
     licenses,
+    manifest,
     packing,
     pii,
     quality_cnn,
@@ -98,6 +99,10 @@ def op12_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return followups.missing_followups(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -110,6 +115,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op12_followups": op12_followups,
+    "op13_manifest": op13_manifest,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
