@@ -78,11 +78,12 @@ def hard_rows(seed):
     clicks, sales = [], []
     for k in range(700):
         client = rng.choice([None, 1, 1, 1, 1, *range(2, 40)])
-        t = at(rng.choice([rng.randrange(0, 2900, 24), rng.uniform(0, 2900)]))  # ties of clicks and sales on whole days
+        h = rng.choice([rng.randrange(0, 2900, 24), rng.uniform(0, 2900)])  # ties of clicks and sales on whole days
+        t = at(h)
         arrived = rng.choice([None if t < at(800) else t, t, t, t, t + datetime.timedelta(hours=rng.randrange(300))]) if k % 50 and t < at(800) or t >= at(800) else None
         clicks.append({"click_id": rng.choice([None, k]), "ts": None if k % 90 == 0 else t, "arrived_at": arrived, "client_id": client, "kind": rng.choice(["error", "error", "view", None]), "t": 1, "sale": "x", "n": 2, "bucket": 3, "batch": 4})
         if k % 3 == 0:
-            sales.append({"sale_id": k, "client_id": client, "sold_at": None if k % 70 == 0 else at(rng.randrange(0, 2900, 12)), "arrived_at": arrived or t, "t": 5})
+            sales.append({"sale_id": k, "client_id": client, "sold_at": None if k % 70 == 0 else at(h + rng.choice([0, 0, 12 - h % 12, 20, -5])), "arrived_at": arrived or t, "t": 5})
     base = [c for c in clicks if c["ts"]][0]
     exact = [{**base, "click_id": 900 + k, "client_id": 77, "ts": at(100) + datetime.timedelta(hours=24 * k, microseconds=k // 3), "arrived_at": at(100), "kind": "error"} for k in range(6)]
     return clicks + clicks[:60] + exact, sales + sales[:40]

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tracklake.llm.common import remove, shared_dir
+from tracklake.llm.common import remove, settings, shared_dir
 
 HOUR = 3_600_000_000
 START_US = 1_704_067_200_000_000  # 2024-01-01
@@ -40,7 +40,13 @@ DUE_US, DELAY_US = 24 * HOUR, 96 * HOUR
 SHIFT, STEP, FAN, LEVELS = 32, 4, 16, 7
 NEVER = np.iinfo(np.int64).max
 TICK, SUMMARY, LATE = 0, 1, 2
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: Each start makes its stores anew, so a store is closed when its task has committed, and takes no disk in advance.
+SETTINGS = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.unloadOnCommit": "true",
+}
 EVENTS = "bucket long, client_id long, t long, sale int, n long"
 DRAINED = "kind int, key long, client_id long, lo long, hi long, n long, sold int, sold_at long, lo2 long, hi2 long, n2 long"
 ALERTS = "batch int, client_id long, opened_us long, due_us long, n_rows long"
@@ -264,9 +270,7 @@ def missing_followups(clicks: DataFrame, sales: DataFrame, *, batches: int = 8,
     bucket = F.pmod(F.xxhash64("client_id", F.shiftright("t", SHIFT)), F.lit(buckets))
     none = lambda kind: F.lit(None).cast(kind)
     ticks = spark.range(0, buckets, 1, 1).select(F.col("id").alias("bucket"), none("long").alias("client_id"), none("long").alias("t"), none("int").alias("sale"), none("long").alias("n"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    try:
+    with settings(spark, SETTINGS):
         for b, w in enumerate(marks):
             steps = [(b, w)] + [(batches, NEVER)] * (b == batches - 1)
             own = staged.where(F.col("batch") == b).select(bucket.alias("bucket"), "client_id", "t", "sale", "n")
@@ -274,8 +278,6 @@ def missing_followups(clicks: DataFrame, sales: DataFrame, *, batches: int = 8,
             source = spark.readStream.schema(EVENTS).parquet(f"{base}/in/*")
             sink = alert_stream(source, buckets, steps).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
             sink.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     for done in ("staged", "in", "checkpoint"):
         remove(spark, f"{base}/{done}")
     return spark.read.schema(ALERTS).parquet(f"{base}/out")
