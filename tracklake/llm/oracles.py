@@ -113,4 +113,14 @@ SELECT doc_id, leaf, sr.digest AS subroot, (SELECT digest FROM sv WHERE NOT more
 FROM g JOIN sr ON g.tree IS NOT DISTINCT FROM sr.source
 """
 
-SQL = {"op6_decontamination": DECONTAMINATION, "op10_quality_rules": QUALITY_RULES, "op12_followups": FOLLOWUPS, "op13_manifest": MANIFEST}
+JACCARD_JOIN = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(greatest(1, len(ws) - 3)), lambda i: array_to_string(ws[i + 1:i + 4], ' '))) END AS gs FROM w),
+e AS (SELECT r, len(gs) AS n, unnest(gs) AS g FROM s),
+l AS (SELECT x.r AS a, y.r AS b FROM e x JOIN e y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT s.doc_id, len(s.gs)::BIGINT AS n_shingles, least(s.doc_id, min(o.doc_id)) AS component_id
+FROM s LEFT JOIN c ON s.r = c.a LEFT JOIN s o ON c.b = o.r GROUP BY s.r, s.doc_id, s.gs
+"""
+
+SQL = {"op6_decontamination": DECONTAMINATION, "op10_quality_rules": QUALITY_RULES, "op11_jaccard_join": JACCARD_JOIN, "op12_followups": FOLLOWUPS, "op13_manifest": MANIFEST}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracklake.llm import (
     decontaminate,
     followups,
+    jaccard_join,
     licenses,
     manifest,
     packing,
@@ -95,6 +96,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance", "silence")})
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return followups.missing_followups(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
 
@@ -114,6 +119,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_followups": op12_followups,
     "op13_manifest": op13_manifest,
 }
