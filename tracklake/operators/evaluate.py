@@ -8,39 +8,29 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geometry as G
 from tracklake.operators import votes
-from tracklake.operators.matching import optimal_pairs
+from tracklake.operators.matching import greedy_matching, optimal_pairs
 from tracklake.operators.ranking import next_value
 
 
-def interval_matches(predicted: DataFrame, truth: DataFrame, *, least: float = 0.3, bucket: float = 10.0) -> DataFrame:
-    """pred_id, true_id, iou: in the order of their ids the predictions take their best free interval of the label.
+def interval_matches(predicted: DataFrame, truth: DataFrame, *, least: float = 0.3, bucket: float = 10.0, clip: str | None = None) -> DataFrame:
+    """(clip,) pred_id, true_id, iou: in the order of their ids the predictions take their best free interval of the label.
 
-    Both: id, label, start_s, end_s. Only pairs that overlap are made, by time buckets; each meets in the bucket of its common
-    start. The order makes the rest sequential within a label.
+    Both: (clip,) id, label, start_s, end_s. Only pairs that overlap are made, by time buckets; each meets in the bucket of its common
+    start. Pairs below ``least`` are never taken and go before the matching.
     """
+    key = [*([clip] if clip else []), "label"]
 
     def side(df: DataFrame, n: str) -> DataFrame:
         slots = F.sequence(F.floor(F.col("start_s") / bucket), F.floor(F.col("end_s") / bucket))
-        return df.select(F.col("id").alias(f"{n}_id"), "label", F.col("start_s").alias(f"{n}0"), F.col("end_s").alias(f"{n}1"), F.explode(slots).alias("slot"))
+        return df.select(*key, F.col("id").alias(f"{n}_id"), F.col("start_s").alias(f"{n}0"), F.col("end_s").alias(f"{n}1"), F.explode(slots).alias("slot"))
 
     iou = G.interval_iou(F.col("p0"), F.col("p1"), F.col("t0"), F.col("t1"))
     pairs = (
-        side(predicted, "p").join(side(truth, "t"), ["label", "slot"]).where(F.col("slot") == F.floor(F.greatest("p0", "t0") / bucket))
-        .withColumn("iou", iou).where(F.col("iou") > 0).select("label", "p_id", "t_id", "iou")
+        side(predicted, "p").join(side(truth, "t"), [*key, "slot"]).where(F.col("slot") == F.floor(F.greatest("p0", "t0") / bucket))
+        .withColumn("iou", iou).where((F.col("iou") > 0) & (F.col("iou") >= least)).select(*key, F.col("p_id").alias("pred_id"), F.col("t_id").alias("true_id"), "iou")
     )
-    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        out = []
-        for p, own in rows.sort_values(["p_id", "iou", "t_id"], ascending=[True, False, True]).groupby("p_id", sort=True):
-            best = next(((t, i) for t, i in zip(own["t_id"], own["iou"]) if t not in used), None)
-            if best and best[1] >= least:
-                used.add(best[0])
-                out.append((p, *best))
-        return pd.DataFrame(out, columns=["pred_id", "true_id", "iou"])
-
-    return pairs.groupBy("label").applyInPandas(match, f"pred_id {kind['p_id']}, true_id {kind['t_id']}, iou double")
+    won = greedy_matching(pairs, key, "pred_id", "true_id", [F.col("pred_id"), -F.col("iou"), F.col("true_id")])
+    return won.select(*key[:-1], "pred_id", "true_id", "iou")
 
 
 def f1_scores(predicted: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:

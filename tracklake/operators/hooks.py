@@ -32,6 +32,8 @@ class TrackerOptions:
     max_age_frames: int = 12
     min_iou: float = 0.05
     max_center_distance: float = 120.0
+    iou_weight: float = 0.65
+    center_weight: float = 0.35
 
 
 @dataclass(frozen=True)
@@ -109,23 +111,30 @@ class Options:
         return cls(**made)
 
 
-#: The tracker names that a configuration may give.
-TRACKERS = frozenset("simple_iou detector detector_ids bytetrack botsort strongsort deepsort sportsmot mixsort sportsmot_mixsort boxmot_botsort".split())
-PASSES_IDS = frozenset("detector detector_ids bytetrack botsort".split())
+#: The tracker names that a configuration may give, by what they stand for.
+TRACKERS = {
+    "own": "simple_iou strongsort deepsort".split(),
+    "detector": "detector detector_ids bytetrack botsort".split(),
+    "external": "sportsmot mixsort sportsmot_mixsort boxmot_botsort".split(),
+}
 
 
 def build_tracker(config: dict) -> Callable[[DataFrame], DataFrame]:
     """The tracker that a configuration names, over a table of detections.
 
-    Names that are not known raise. Those that pass the detector's ids on do so if the detector tracks, with the simple
-    tracker for frames without; every other name runs the simple tracker, as none of the external ones ships here.
+    ``own`` names run the simple tracker; ``detector`` names let the detector's ids stand if it tracks, and run the simple tracker on
+    frames without them; ``external`` ones need programs and weights that do not ship here, and raise, as unknown ones do.
     """
     from tracklake.streaming import tracker
 
-    options = Options.of(config).tracker
-    name = str(options.backend).lower()
-    if name not in TRACKERS:
+    own = Options.of(config)
+    name = str(own.tracker.backend).lower()
+    kind = next((k for k, names in TRACKERS.items() if name in names), None)
+    if kind is None:
         raise ValueError(f"unknown tracker: {name}")
-    how = {"max_age": options.max_age_frames, "min_iou": options.min_iou, "reach": options.max_center_distance}
-    passes = name in PASSES_IDS and bool((config.get("detector") or {}).get("use_tracking", False))
-    return lambda detections: tracker.track_batch(detections if passes else detections.drop("detector_id"), **how)
+    if kind == "external":
+        raise NotImplementedError(f"the tracker {name} is an external program; choose one of {', '.join(TRACKERS['own'] + TRACKERS['detector'])}")
+    how = {"max_age": own.tracker.max_age_frames, "min_iou": own.tracker.min_iou, "reach": own.tracker.max_center_distance}
+    how |= {"iou_weight": own.tracker.iou_weight, "center_weight": own.tracker.center_weight}
+    keeps_ids = kind == "detector" and bool((config.get("detector") or {}).get("use_tracking", False))
+    return lambda detections: tracker.track_batch(detections if keeps_ids else detections.drop("detector_id"), **how)

@@ -10,36 +10,42 @@ from tracklake.functions import geometry as G
 from tracklake.functions import vector as V
 
 
+def _key(clip: str | None) -> list[str]:
+    """The columns that keep clips apart."""
+    return [clip] if clip else []
+
+
 def _buckets(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
 
 
-def gap_candidates(tracks: DataFrame, max_gap: float, max_distance: float) -> DataFrame:
-    """Pairs (a, b) where b starts within ``max_gap`` after a's end, same team, ends close together.
+def gap_candidates(tracks: DataFrame, max_gap: float, max_distance: float, *, clip: str | None = None) -> DataFrame:
+    """Pairs (a, b) where b starts within ``max_gap`` after a's end, same team (and clip, if its column is given), ends close together.
 
     A range join by time buckets: a start meets the buckets that an end can reach. ``tracks``
     has track_id, team, start_s, end_s, x0, y0 (first position), x1, y1 (last position).
     """
+    key = _key(clip)
     a = tracks.select(
-        F.col("track_id").alias("a"), "team", F.col("end_s").alias("a_end"), F.col("x1").alias("ax"), F.col("y1").alias("ay"),
+        *key, F.col("track_id").alias("a"), "team", F.col("end_s").alias("a_end"), F.col("x1").alias("ax"), F.col("y1").alias("ay"),
     ).withColumn("bucket", _buckets(F.col("a_end"), F.col("a_end") + max_gap, max_gap))
     b = tracks.select(
-        F.col("track_id").alias("b"), "team", F.col("start_s").alias("b_start"), F.col("x0").alias("bx"), F.col("y0").alias("by"),
+        *key, F.col("track_id").alias("b"), "team", F.col("start_s").alias("b_start"), F.col("x0").alias("bx"), F.col("y0").alias("by"),
         F.floor(F.col("start_s") / max_gap).alias("bucket"),
     )
     gap = F.col("b_start") - F.col("a_end")
     return (
-        a.join(b, ["team", "bucket"])
+        a.join(b, [*key, "team", "bucket"])
         .where((F.col("a") != F.col("b")) & (gap >= 0) & (gap <= max_gap))
         .withColumn("gap", gap)
         .withColumn("distance", G.distance((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))))
         .where(F.col("distance") <= max_distance)
-        .select("a", "b", "gap", "distance")
+        .select(*key, "a", "b", "gap", "distance")
     )
 
 
-def nearest_successor(pairs: DataFrame) -> DataFrame:
-    order = Window.partitionBy("a").orderBy("distance", "gap", "b")
+def nearest_successor(pairs: DataFrame, *, clip: str | None = None) -> DataFrame:
+    order = Window.partitionBy(*_key(clip), "a").orderBy("distance", "gap", "b")
     return pairs.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
@@ -115,21 +121,21 @@ def shared_frames(obs: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def active_windows(spans: DataFrame, length: float, step: float) -> DataFrame:
-    """window, start and the tracks active in it; windows are closed, anchored at the first start.
+def active_windows(spans: DataFrame, length: float, step: float, *, clip: str | None = None) -> DataFrame:
+    """window, start and the tracks active in it; windows are closed, anchored at the first start (of the clip, if its column is given).
 
     Each track is expanded only to the windows that it touches.
     """
-    origin = spans.agg(F.min("start_s").alias("origin"), F.max("end_s").alias("stop")).withColumn("one", F.lit(1))
+    key = _key(clip)
+    ends = (F.min("start_s").alias("origin"), F.max("end_s").alias("stop"))
+    anchored = spans.join(spans.groupBy(*key).agg(*ends), key) if key else spans.withColumn("one", F.lit(1)).join(F.broadcast(spans.agg(*ends).withColumn("one", F.lit(1))), "one")  # one row
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("start_s") - length - F.col("origin")) / step))
     last = F.least(F.floor((F.col("stop") + 1e-6 - F.col("origin")) / step), F.floor((F.col("end_s") - F.col("origin")) / step))
     begins = F.col("origin") + F.col("window") * F.lit(step)
     return (
-        spans.withColumn("one", F.lit(1))
-        .join(F.broadcast(origin), "one")  # one row
-        .withColumn("window", F.explode(F.sequence(first, last)))
+        anchored.withColumn("window", F.explode(F.sequence(first, last)))
         .where((F.col("start_s") <= begins + length) & (F.col("end_s") >= begins))
-        .select("window", begins.alias("window_start"), "track_id")
+        .select(*key, "window", begins.alias("window_start"), "track_id")
     )
 
 
@@ -184,37 +190,40 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def identity_edges(
-    tracks: DataFrame, visible: DataFrame, *, least: float = 0.65, max_gap: float = 3.0, max_overlap: float = 1.0, max_distance: float = 250.0
+    tracks: DataFrame, visible: DataFrame, *, least: float = 0.65, max_gap: float = 3.0, max_overlap: float = 1.0, max_distance: float = 250.0, clip: str | None = None
 ) -> DataFrame:
     """Pairs (a, b) of track ids, a first in the canonical order, that may be one identity.
 
     The teams do not differ, one starts from ``max_overlap`` before to ``max_gap`` after the other's end, it starts near
     that end if it starts after it, the jerseys do not contradict (they differ, and both are visible for
     the team, or the team lists none), and the embeddings are alike. tracks: track_id, seq (canonical order), team and jersey
-    (nullable), start_s, end_s, x0, y0, x1, y1, embedding (of unit length; null: no edge). The times cut the pairs by buckets.
+    (nullable), start_s, end_s, x0, y0, x1, y1, embedding (of unit length; null: no edge). The times cut the pairs by buckets, of
+    a clip if its column is given; ``visible`` may have that column, too.
     """
+    key = _key(clip)
+    of_visible = key if key and clip in visible.columns else []
     cols = ("track_id", "seq", "team", "jersey", "embedding")
     reach = max_gap + max_overlap
     rows = tracks.where("embedding is not null")
-    a = rows.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.col("end_s").alias("a_end"), F.col("x1").alias("ax"), F.col("y1").alias("ay")).withColumn(
+    a = rows.select(*key, *[F.col(c).alias(f"a_{c}") for c in cols], F.col("end_s").alias("a_end"), F.col("x1").alias("ax"), F.col("y1").alias("ay")).withColumn(
         "bucket", _buckets(F.col("a_end") - max_overlap, F.col("a_end") + max_gap, reach)
     )
     b = rows.select(
-        *[F.col(c).alias(f"b_{c}") for c in cols], F.col("start_s").alias("b_start"), F.col("x0").alias("bx"), F.col("y0").alias("by"), F.floor(F.col("start_s") / reach).alias("bucket")
+        *key, *[F.col(c).alias(f"b_{c}") for c in cols], F.col("start_s").alias("b_start"), F.col("x0").alias("bx"), F.col("y0").alias("by"), F.floor(F.col("start_s") / reach).alias("bucket")
     )
     gap = F.col("b_start") - F.col("a_end")
-    met = a.join(b, "bucket").where((F.col("a_track_id") != F.col("b_track_id")) & (gap <= max_gap) & (gap >= -max_overlap))
+    met = a.join(b, [*key, "bucket"]).where((F.col("a_track_id") != F.col("b_track_id")) & (gap <= max_gap) & (gap >= -max_overlap))
     met = met.where(F.coalesce(F.col("a_team") == F.col("b_team"), F.lit(True)))
     met = met.where((gap <= 0) | (G.distance((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))) <= max_distance))
-    teams = visible.select(F.col("team").alias("_team")).distinct().withColumn("_listed", F.lit(True))
-    ok = lambda side: visible.select(F.col("team").alias("_team"), F.col("jersey").alias(f"{side}_jersey")).distinct().withColumn(f"_{side}", F.lit(True))
-    met = met.withColumn("_team", F.coalesce("a_team", "b_team")).join(teams, "_team", "left").join(ok("a"), ["_team", "a_jersey"], "left").join(ok("b"), ["_team", "b_jersey"], "left")
+    teams = visible.select(*of_visible, F.col("team").alias("_team")).distinct().withColumn("_listed", F.lit(True))
+    ok = lambda side: visible.select(*of_visible, F.col("team").alias("_team"), F.col("jersey").alias(f"{side}_jersey")).distinct().withColumn(f"_{side}", F.lit(True))
+    met = met.withColumn("_team", F.coalesce("a_team", "b_team")).join(teams, [*of_visible, "_team"], "left").join(ok("a"), [*of_visible, "_team", "a_jersey"], "left").join(ok("b"), [*of_visible, "_team", "b_jersey"], "left")
     differ = F.coalesce(F.col("a_jersey") != F.col("b_jersey"), F.lit(False))
     against = differ & (F.col("_listed").isNull() | (F.col("_a").isNotNull() & F.col("_b").isNotNull()))
     alike = met.where(~against & (V.dot(F.col("a_embedding"), F.col("b_embedding")) >= least))
     first = F.col("a_seq") < F.col("b_seq")
     side = lambda x, y: F.when(first, F.col(f"{x}_track_id")).otherwise(F.col(f"{y}_track_id"))
-    return alike.select(side("a", "b").alias("a"), side("b", "a").alias("b")).distinct()
+    return alike.select(*key, side("a", "b").alias("a"), side("b", "a").alias("b")).distinct()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -278,9 +287,9 @@ def simple_dedup(labelled: DataFrame) -> DataFrame:
     )
 
 
-def strongest_per_frame(rows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Rows of (frame, identity) within the tolerance of the strongest one."""
-    top = F.max("strength").over(Window.partitionBy("frame", "identity"))
+def strongest_per_frame(rows: DataFrame, tolerance: float = 1e-6, *, clip: str | None = None) -> DataFrame:
+    """Rows of (frame, identity), of a clip if its column is given, within the tolerance of the strongest one."""
+    top = F.max("strength").over(Window.partitionBy(*_key(clip), "frame", "identity"))
     return rows.withColumn("top", top).where(F.col("strength") >= F.col("top") - tolerance).drop("top")
 
 

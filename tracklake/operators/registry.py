@@ -43,20 +43,22 @@ def forced_players(reads: DataFrame, players: DataFrame, peak: float = 0.85) ->
     return sure.groupBy("obs_id").agg(F.min_by("player", "candidate").alias("player"))
 
 
-def reassign(obs: DataFrame, forced: DataFrame, registry: DataFrame, *, least: float = 0.6, margin: float = 0.05) -> DataFrame:
+def reassign(obs: DataFrame, forced: DataFrame, registry: DataFrame, *, least: float = 0.6, margin: float = 0.05, clip: str | None = None) -> DataFrame:
     """obs_id and its player: forced by a read, or the nearest registry row of its team that is good, clear and free in the frame.
 
     obs: obs_id, frame, team (nullable), embedding (nullable). In a frame the observations come in
-    the order of their ids, and a player goes to one of them; those taken already are no rival for the margin.
+    the order of their ids, and a player goes to one of them; those taken already are no rival for the margin. With the clip's column
+    (in all three tables) ids, frames and players are a clip's own, and the result has it, too.
     """
-    taken = obs.join(forced, "obs_id").select("frame", F.col("player").alias("_taken")).distinct()
-    g = registry.select("player", F.col("team").alias("_team"), F.col("embedding").alias("_g"))
-    free = obs.where("embedding is not null").join(forced.select("obs_id"), "obs_id", "left_anti").select("obs_id", "frame", "team", F.col("embedding").alias("_e"))
+    key = [clip] if clip else []
+    taken = obs.join(forced, [*key, "obs_id"]).select(*key, "frame", F.col("player").alias("player")).distinct()
+    g = registry.select(*key, "player", F.col("team").alias("_team"), F.col("embedding").alias("_g"))
+    free = obs.where("embedding is not null").join(forced.select(*key, "obs_id"), [*key, "obs_id"], "left_anti").select(*key, "obs_id", "frame", "team", F.col("embedding").alias("_e"))
     # an observation without a team is compared with every team
-    teams = g.agg(F.collect_set("_team").alias("teams")).withColumn("one", F.lit(1))  # the teams of a registry
-    dealt = free.withColumn("one", F.lit(1)).join(F.broadcast(teams), "one").withColumn("_team", F.explode(F.when(F.col("team").isNull(), F.col("teams")).otherwise(F.array("team"))))
-    pairs = dealt.join(g, "_team").select("frame", "obs_id", "player", V.cosine(F.col("_e"), F.col("_g")).alias("sim"))
-    pairs = pairs.join(taken, (pairs["frame"] == taken["frame"]) & (pairs["player"] == taken["_taken"]), "left_anti")
+    teams = g.withColumn("one", F.lit(1)).groupBy("one", *key).agg(F.collect_set("_team").alias("teams"))  # the teams of a registry
+    dealt = free.withColumn("one", F.lit(1)).join(teams, ["one", *key]).withColumn("_team", F.explode(F.when(F.col("team").isNull(), F.col("teams")).otherwise(F.array("team"))))
+    pairs = dealt.join(g, [*key, "_team"]).select(*key, "frame", "obs_id", "player", V.cosine(F.col("_e"), F.col("_g")).alias("sim"))
+    pairs = pairs.join(taken, [*key, "frame", "player"], "left_anti")
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -68,11 +70,11 @@ def reassign(obs: DataFrame, forced: DataFrame, registry: DataFrame, *, least: f
             second = sims[1] if len(sims) > 1 else -2.0
             if sims and sims[0] >= least and sims[0] - second >= margin:
                 used.add(own["player"].iloc[0])
-                out.append((obs_id, own["player"].iloc[0]))
-        return pd.DataFrame(out, columns=["obs_id", "player"])
+                out.append((*[own[c].iloc[0] for c in key], obs_id, own["player"].iloc[0]))
+        return pd.DataFrame(out, columns=[*key, "obs_id", "player"])
 
-    near = pairs.groupBy("frame").applyInPandas(run, f"obs_id {kind['obs_id']}, player {kind['player']}")
-    return forced.select("obs_id", "player", F.lit(True).alias("forced")).union(near.withColumn("forced", F.lit(False)))
+    near = pairs.groupBy(*key, "frame").applyInPandas(run, "".join(f"{c} {kind[c]}, " for c in key) + f"obs_id {kind['obs_id']}, player {kind['player']}")
+    return forced.select(*key, "obs_id", "player", F.lit(True).alias("forced")).union(near.withColumn("forced", F.lit(False)))
 
 
 def new_track_ids(assigned: DataFrame, first: int = 10001) -> DataFrame:
@@ -97,28 +99,35 @@ def trajectory(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("key", "t").agg(mid("x"), mid("y"))
 
 
-def location_scores(obs: DataFrame, expected: DataFrame, *, reach: float = 150.0, least_similarity: float = 0.4, least: float = 0.5) -> DataFrame:
-    """frame, obs_id, player, score of observations near where a player of their team is expected and alike.
+def location_scores(
+    obs: DataFrame, expected: DataFrame, *, reach: float = 150.0, least_similarity: float = 0.4, least: float = 0.5, clip: str | None = None
+) -> DataFrame:
+    """(clip,) frame, obs_id, player, score of observations near where a player of their team is expected and alike.
 
     obs: frame, obs_id, team (nullable), x, y, embedding; expected: frame, player, team, x, y, embedding.
-    The score is half place, half (cosine + 1) / 2.
+    The score is half place, half (cosine + 1) / 2. Both sides are dealt to squares of the reach, and each expected place to the nine around it.
     """
-    e = expected.select("frame", "player", F.col("team").alias("_team"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("embedding").alias("_e"))
-    near = obs.join(e, "frame").where(F.col("team").isNull() | F.col("_team").isNull() | (F.col("team") == F.col("_team")))
+    key = [*([clip] if clip else []), "frame"]
+    square = lambda c: F.floor(F.col(c) / reach)
+    around = lambda c: F.explode(F.array(square(c) - 1, square(c), square(c) + 1))
+    e = expected.select(*key, "player", F.col("team").alias("_team"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("embedding").alias("_e"))
+    e = e.withColumn("_cx", around("_x")).withColumn("_cy", around("_y"))
+    near = obs.withColumn("_cx", square("x")).withColumn("_cy", square("y")).join(e, [*key, "_cx", "_cy"]).where(F.col("team").isNull() | F.col("_team").isNull() | (F.col("team") == F.col("_team")))
     near = near.withColumn("_gone", G.distance((F.col("x"), F.col("y")), (F.col("_x"), F.col("_y")))).where(F.col("_gone") <= reach)
     near = near.where("embedding is not null and _e is not null").withColumn("_sim", V.cosine(F.col("embedding"), F.col("_e"))).where(F.col("_sim") >= least_similarity)
     score: Column = 0.5 * F.greatest(F.lit(0.0), 1 - F.col("_gone") / reach) + 0.5 * (F.col("_sim") + 1) / 2
-    return near.select("frame", "obs_id", "player", score.alias("score")).where(F.col("score") >= least)
+    return near.select(*key, "obs_id", "player", score.alias("score")).where(F.col("score") >= least)
 
 
-def assign_locations(obs: DataFrame, locked: DataFrame, scored: DataFrame) -> DataFrame:
-    """obs_id and player: observations of firmly identified tracks keep theirs; the others are matched greedily to players free in the frame.
+def assign_locations(obs: DataFrame, locked: DataFrame, scored: DataFrame, *, clip: str | None = None) -> DataFrame:
+    """(clip,) obs_id and player: observations of firmly identified tracks keep theirs; the others are matched greedily to players free in the frame.
 
-    locked: track_id, player.
+    locked: (clip,) track_id, player.
     """
+    key = [clip] if clip else []
     from tracklake.operators.matching import locate_players
 
-    kept = obs.join(locked, "track_id").select("frame", "obs_id", "player")
-    free = scored.join(kept.select("obs_id"), "obs_id", "left_anti").join(kept.select("frame", "player").distinct(), ["frame", "player"], "left_anti")
-    found = locate_players(free.select("frame", "obs_id", "player", "score"))
-    return kept.select("obs_id", "player", F.lit(True).alias("locked")).union(found.select("obs_id", "player", F.lit(False)))
+    kept = obs.join(locked, [*key, "track_id"]).select(*key, "frame", "obs_id", "player")
+    free = scored.join(kept.select(*key, "obs_id"), [*key, "obs_id"], "left_anti").join(kept.select(*key, "frame", "player").distinct(), [*key, "frame", "player"], "left_anti")
+    found = locate_players(free.select(*key, "frame", "obs_id", "player", "score"), clip=clip)
+    return kept.select(*key, "obs_id", "player", F.lit(True).alias("locked")).union(found.select(*key, "obs_id", "player", F.lit(False)))

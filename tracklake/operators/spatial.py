@@ -2,44 +2,46 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import geometry as G
+from tracklake.operators.linking import _key
+from tracklake.operators.matching import greedy_matching
 
 CELL = 128.0  # about two to four times the size of a box
 
 
-def box_pairs(gt: DataFrame, pred: DataFrame, threshold: float, cell: float = CELL) -> DataFrame:
-    """frame, gt_id, pred_id, track_id (if there is one) and iou of the boxes of a frame that overlap enough, once for each grid cell they share."""
-    sides = ("x1", "y1", "x2", "y2")
+def box_pairs(gt: DataFrame, pred: DataFrame, threshold: float, cell: float = CELL, *, clip: str | None = None) -> DataFrame:
+    """(clip,) frame, gt_id, pred_id, track_id (if there is one) and iou of the boxes of a frame that overlap enough, once for each grid cell they share."""
+    key, sides = _key(clip), ("x1", "y1", "x2", "y2")
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
 
     def dealt(df: DataFrame, n: str, *keep: str) -> DataFrame:
         cut = df.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
-        return cut.select("frame", "cx", "cy", *keep, *[F.col(c).alias(f"{n}{c}") for c in sides])
+        return cut.select(*key, "frame", "cx", "cy", *keep, *[F.col(c).alias(f"{n}{c}") for c in sides])
 
     own = ["pred_id", *[c for c in ("track_id",) if c in pred.columns]]
     return (
         dealt(gt, "g", "gt_id")
-        .join(dealt(pred, "p", *own), ["frame", "cx", "cy"])
+        .join(dealt(pred, "p", *own), [*key, "frame", "cx", "cy"])
         .withColumn("iou", G.iou(G.box("g"), G.box("p")))
         .where(F.col("iou") >= threshold)
-        .select("frame", "gt_id", *own, "iou")
+        .select(*key, "frame", "gt_id", *own, "iou")
     )
 
 
-def best_iou_match(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, cell: float = CELL) -> DataFrame:
+def best_iou_match(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, cell: float = CELL, *, clip: str | None = None) -> DataFrame:
     """Every ground-truth box with its best predicted box of the frame, or nulls.
 
     Many to one; equal overlaps go to the smaller pred_id. Boxes are dealt to the grid
     cells that they touch, so a frame with very many boxes is not one group: pairs meet
     by (frame, cell) and are reduced to the best one at once.
     """
-    pairs = box_pairs(gt, pred, threshold, cell)
-    best = pairs.groupBy("gt_id").agg(F.max_by(F.struct("track_id", "pred_id", "iou"), F.struct("iou", -F.col("pred_id"))).alias("b"))
-    return gt.join(best, "gt_id", "left").select(gt["*"], F.col("b.track_id"), F.col("b.pred_id"), F.col("b.iou"))
+    key = _key(clip)
+    pairs = box_pairs(gt, pred, threshold, cell, clip=clip)
+    best = pairs.groupBy(*key, "gt_id").agg(F.max_by(F.struct("track_id", "pred_id", "iou"), F.struct("iou", -F.col("pred_id"))).alias("b"))
+    return gt.join(best, [*key, "gt_id"], "left").select(*[gt[c] for c in gt.columns], F.col("b.track_id"), F.col("b.pred_id"), F.col("b.iou"))
 
 
 def majority_identity(matches: DataFrame) -> DataFrame:
@@ -61,14 +63,14 @@ def majority_identity(matches: DataFrame) -> DataFrame:
     )
 
 
-def judged(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
+def judged(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, *, clip: str | None = None) -> DataFrame:
     """Ground-truth rows with the matched track and that track's identity (as majority_identity gives it).
 
     Windows over the matches replace the join with their own aggregate, so the boxes are
     matched once. Unmatched rows are kept apart by a key of their own.
     """
-    m = best_iou_match(gt, pred, threshold).withColumn("key", F.coalesce("track_id", -F.col("gt_id") - 1))
-    track, pair = Window.partitionBy("key"), Window.partitionBy("key", "name")
+    m = best_iou_match(gt, pred, threshold, clip=clip).withColumn("key", F.coalesce("track_id", -F.col("gt_id") - 1))
+    track, pair = Window.partitionBy(*_key(clip), "key"), Window.partitionBy(*_key(clip), "key", "name")
     votes = F.when(F.col("any_visible"), F.col("n_visible")).otherwise(F.col("n"))
     usable = ~F.col("any_visible") | (F.col("n_visible") > 0)
     best = F.max(F.struct(usable.alias("u"), votes.alias("v"), (-F.col("name")).alias("name"))).over(track)
@@ -81,11 +83,12 @@ def judged(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def id_switches(matches: DataFrame) -> DataFrame:
+def id_switches(matches: DataFrame, *, clip: str | None = None) -> DataFrame:
     """Changes of track between consecutive matched frames of a name; a frame counts with its last row."""
-    last = matches.where("track_id is not null").groupBy("name", "frame").agg(F.max_by("track_id", "gt_id").alias("track_id"))
-    before = F.lag("track_id").over(Window.partitionBy("name").orderBy("frame"))
-    return last.withColumn("switched", (F.col("track_id") != before).cast("int")).groupBy("name").agg(F.coalesce(F.sum("switched"), F.lit(0)).alias("switches"))
+    key = _key(clip)
+    last = matches.where("track_id is not null").groupBy(*key, "name", "frame").agg(F.max_by("track_id", "gt_id").alias("track_id"))
+    before = F.lag("track_id").over(Window.partitionBy(*key, "name").orderBy("frame"))
+    return last.withColumn("switched", (F.col("track_id") != before).cast("int")).groupBy(*key, "name").agg(F.coalesce(F.sum("switched"), F.lit(0)).alias("switches"))
 
 
 def rates(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -111,10 +114,14 @@ def rates(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def evaluation_summary(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    rows = judged(gt, pred)
-    switches = id_switches(rows).agg(F.coalesce(F.sum("switches"), F.lit(0)).alias("id_switches"))
-    return rates(rows.withColumn("one", F.lit(1)), ["one"]).join(switches.withColumn("one", F.lit(1)), "one").drop("one")
+def evaluation_summary(gt: DataFrame, pred: DataFrame, *, clip: str | None = None) -> DataFrame:
+    """Counts, rates and switches in one row, or in one row a clip if its column is given."""
+    rows = judged(gt, pred, clip=clip)
+    key = clip or "one"
+    rows = rows if clip else rows.withColumn(key, F.lit(1))
+    switches = id_switches(rows, clip=key).groupBy(key).agg(F.sum("switches").alias("id_switches"))
+    out = rates(rows, [key]).join(switches, key, "left").withColumn("id_switches", F.coalesce("id_switches", F.lit(0)))
+    return out if clip else out.drop(key)
 
 
 def confusions(rows: DataFrame, top: int = 20) -> DataFrame:
@@ -123,22 +130,8 @@ def confusions(rows: DataFrame, top: int = 20) -> DataFrame:
     return wrong.orderBy(F.desc("n"), "name", "identity").limit(top)
 
 
-def greedy_one_to_one(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """gt_id, pred_id, iou: boxes of a frame take their best free partner in the order of gt_id.
-
-    The order makes it sequential within a frame; only pairs above the threshold reach the group.
-    """
-    pairs = box_pairs(gt, pred, threshold).select("frame", "gt_id", "pred_id", "iou")
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        done: set[int] = set()
-        out = []
-        for r in rows.sort_values(["gt_id", "iou", "pred_id"], ascending=[True, False, True]).itertuples():
-            if r.gt_id not in done and r.pred_id not in used:
-                done.add(r.gt_id)
-                used.add(r.pred_id)
-                out.append((r.frame, r.gt_id, r.pred_id, r.iou))
-        return pd.DataFrame(out, columns=["frame", "gt_id", "pred_id", "iou"])
-
-    return pairs.groupBy("frame").applyInPandas(match, "frame long, gt_id long, pred_id long, iou double")
+def greedy_one_to_one(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, *, clip: str | None = None) -> DataFrame:
+    """(clip,) frame, gt_id, pred_id, iou: boxes of a frame take their best free partner in the order of gt_id."""
+    key = [*_key(clip), "frame"]
+    pairs = box_pairs(gt, pred, threshold, clip=clip).select(*key, "gt_id", "pred_id", "iou").distinct()  # a pair may share several cells
+    return greedy_matching(pairs, key, "gt_id", "pred_id", [F.col("gt_id"), -F.col("iou"), F.col("pred_id")])

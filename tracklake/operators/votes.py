@@ -27,22 +27,25 @@ def top_k_votes(obs: DataFrame, k: int = TOP_K, peak: float = PEAK) -> DataFrame
     )
 
 
-def rarity(obs: DataFrame, peak: float = PEAK, smoothing: float = 1.0) -> DataFrame:
-    """candidate, n_tracks, weight = ln((N + s) / (n + s)) + 1; N and n count tracks with a peak."""
-    peaks = obs.where(contribution() >= peak).select("track_id", "candidate").distinct()
-    total = peaks.select("track_id").distinct().agg(F.count(F.lit(1)).alias("n_all")).withColumn("one", F.lit(1))
-    n = peaks.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_tracks")).withColumn("one", F.lit(1))
-    return n.join(total, "one").select(
-        "candidate", "n_tracks", (F.ln((F.col("n_all") + smoothing) / (F.col("n_tracks") + smoothing)) + 1).alias("weight")
+def rarity(obs: DataFrame, peak: float = PEAK, smoothing: float = 1.0, *, clip: str | None = None) -> DataFrame:
+    """(clip,) candidate, n_tracks, weight = ln((N + s) / (n + s)) + 1; N and n count tracks (of the clip, if its column is given) with a peak."""
+    own, key = [clip] if clip else [], clip or "one"
+    rows = obs if clip else obs.withColumn(key, F.lit(1))
+    peaks = rows.where(contribution() >= peak).select(key, "track_id", "candidate").distinct()
+    total = peaks.select(key, "track_id").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_all"))
+    n = peaks.groupBy(key, "candidate").agg(F.count(F.lit(1)).alias("n_tracks"))
+    return n.join(total, key).select(
+        *own, "candidate", "n_tracks", (F.ln((F.col("n_all") + smoothing) / (F.col("n_tracks") + smoothing)) + 1).alias("weight")
     )
 
 
-def weighted_votes(votes: DataFrame, weights: DataFrame | None) -> DataFrame:
-    """Votes and peaks times the candidate's weight (1 where it has none)."""
+def weighted_votes(votes: DataFrame, weights: DataFrame | None, *, clip: str | None = None) -> DataFrame:
+    """Votes and peaks times the candidate's weight (1 where it has none), which is the clip's if its column is given."""
+    key = [*([clip] if clip else []), "candidate"]
     if weights is None:
         return votes.withColumn("peaks", F.col("peaks").cast("double"))
     w = F.coalesce("weight", F.lit(1.0))
-    return votes.join(weights.select("candidate", "weight"), "candidate", "left").select(
+    return votes.join(weights.select(*key, "weight"), key, "left").select(
         "track_id", "candidate", (F.col("votes") * w).alias("votes"), (F.col("peaks") * w).alias("peaks")
     )
 
