@@ -41,10 +41,11 @@ SHIFT, STEP, FAN, LEVELS = 32, 4, 16, 7
 NEVER = np.iinfo(np.int64).max
 TICK, SUMMARY, LATE = 0, 1, 2
 _STORE = "spark.sql.streaming.stateStore"
-#: Each start makes its stores anew, so a store is closed when its task has committed, and takes no disk in advance.
+#: Each start makes its stores anew, so a store is closed when its task has committed, takes no disk in advance, and writes its changes, not a snapshot.
 SETTINGS = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STORE}.unloadOnCommit": "true",
 }
 EVENTS = "bucket long, client_id long, t long, sale int, n long"
