@@ -145,6 +145,18 @@ def test_training_rows_leave_the_held_out_fold(spark, docs):
     assert few == got[: len(few)] and sum(len(t.encode()) for t, _ in few) <= 1500 < sum(len(t.encode()) for t, _ in got)
 
 
+def test_a_huge_text_takes_no_other_row_out_of_training(spark):
+    rows = [(i, f"text {i} " * 20) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, toxic int")
+    without = spark.createDataFrame(rows, "doc_id long, text string")
+    for huge in (40, 17):  # alone, and as a second row of an id
+        with_it = without.union(spark.createDataFrame([(huge, "x")], without.schema).select("doc_id", F.repeat("text", F.lit(70 << 20)).alias("text")))
+        got = [toxicity.pairs_of(toxicity.training_table(df, labels, "toxic", 4, 2, 1000).toPandas()) for df in (with_it, without)]
+        assert got[0] == got[1] and len(got[0]) > 20
+    twice = toxicity.pairs_of(toxicity.training_table(without.union(without), labels, "toxic", 4, 2, 1000).toPandas())
+    assert Counter(twice) == Counter(2 * got[1])
+
+
 def test_models_are_fitted_on_an_executor(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 60)], "doc_id long, toxic int, quality int")
     table = toxicity.training_table(docs, labels, "toxic", 4, 2, 1000)
@@ -570,3 +582,18 @@ def test_sql_of_the_native_queries(spark, small):
         mine = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
         at = [want.columns.index(c) for c in cols]
         assert mine == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall()), name
+
+
+def test_equal_rows_are_dealt_over_the_lots(spark):
+    """Repeated rows, also without an id, fill their sequences like any others."""
+    df = spark.createDataFrame([(None, "same words here again")] * 1500 + [(7, "")] * 1500, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, word_bpe_path(), length=64, lot=300).collect()
+    assert len(got) == 3000 and {r["doc_id"] for r in got} == {None, 7}
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len({s >> 32 for s in by}) == 10
+    for held in by.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))]
+    assert len(by) <= -(-sum(r["length"] for r in got) // 64) + 10

@@ -280,19 +280,24 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
     return model
 
 
-def training_table(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, sample: int, max_bytes: int = 1 << 26) -> DataFrame:
+def training_table(
+    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, sample: int, max_bytes: int = 1 << 26, max_text: int = 1 << 22
+) -> DataFrame:
     """text and label of labelled rows outside the held-out fold, in the order of a hash of the id.
 
-    Two documented bounds: at most ``sample`` rows, and of these as many of the first as have
-    ``max_bytes`` bytes of text together.
+    Three documented bounds: a text of more than ``max_text`` bytes is no training row; of the others at most ``sample`` are taken,
+    and of these as many of the first as have ``max_bytes`` bytes of text together. They are chosen by their sizes, before any text is moved.
     """
-    usable = labels.where(F.col(label).isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out)).select("doc_id", label)
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    joined = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    sizes = joined.select("doc_id", "text", F.col(label).cast("int").alias("label")).orderBy(*order).limit(sample)
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.withColumn("bytes", so_far).where(F.col("bytes") <= max_bytes).select("bytes", "text", "label")
+    usable = labels.where(F.col(label).isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out)).select("doc_id", F.col(label).cast("int").alias("label"))
+    chosen = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample))  # at most ``sample`` rows
+    rows = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("_h"), F.octet_length("text").alias("_n")).where(F.col("_n") <= max_text)
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_h"), F.col("label")]
+    first = rows.select("doc_id", "_h", "_n").join(chosen, "doc_id").orderBy(*order).limit(sample)
+    so_far = F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    kept = first.withColumn("bytes", so_far).where(F.col("bytes") <= max_bytes)
+    keys = kept.groupBy("doc_id", "_h", "label").agg(F.min("bytes").alias("bytes"), F.count(F.lit(1)).alias("_c"))
+    texts = rows.join(F.broadcast(keys), ["doc_id", "_h"]).groupBy("doc_id", "_h", "label", "bytes", "_c").agg(F.first("text").alias("text"))
+    return texts.select(F.explode(F.array_repeat("bytes", F.col("_c").cast("int"))).alias("bytes"), "text", "label")
 
 
 def pairs_of(table: pd.DataFrame) -> list[tuple[str, int]]:
