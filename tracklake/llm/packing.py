@@ -239,7 +239,8 @@ def pack(
     part = cut.where(F.col("length") < length)
     lots = max(1, part.count() // lot)
     schema = f"doc_id {cut.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    dealt = part.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(lots)))
+    # by place in the written table, so equal rows are dealt like any others
+    dealt = part.withColumn("lot", F.pmod(F.monotonically_increasing_id(), F.lit(lots)))
     packed = dealt.groupBy("lot").applyInPandas(lambda x: _pack_lot(x, length), schema)
     # of the written table, so the numbers are the same whenever a task runs again
     whole = cut.where(F.col("length") == length).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
