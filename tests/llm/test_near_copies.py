@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from tests_support import prose
-from tracklake.llm import near_copies, simhash
+from tracklake.llm import jaccard_join, near_copies, simhash
 
 
 def words(seed, n, vocabulary=4000):
@@ -59,12 +59,22 @@ def test_groups_equal_brute_force(spark, texts):
     assert Counter(map(len, want)).most_common()[0][0] == 1 and max(map(len, want)) > 3
 
 
-def test_pivot_rounds_give_the_same_components(spark):
-    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(planted())], "doc_id long, text string, h long")
-    sets = near_copies.spool(near_copies._sets(df, near_copies._common(df, least=2)))
-    full = {(r["node"], r["root"]) for r in near_copies.similar_components(sets, df).collect()}
-    for rounds in (0, 1, 3):
-        assert full and full == {(r["node"], r["root"]) for r in near_copies.similar_components(sets, df, rounds=rounds).collect()}
+def test_pivot_rounds_give_the_same_components(spark, monkeypatch):
+    want = found(spark, planted())
+    for rounds, many in ((0, 30), (1, 0), (3, 0)):
+        monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+        monkeypatch.setattr(jaccard_join, "MANY", many)
+        assert found(spark, planted()) == want
+
+
+def test_pairs_at_the_limit(spark):
+    """Sets of 9 k shingles of which k differ at the front have a similarity of exactly 0.8."""
+    own = []
+    for k in range(1, 7):
+        shared = words(40 + k, 8 * k + 4)
+        own += [" ".join([f"a{k}x{i}" for i in range(k)] + shared), " ".join([f"b{k}x{i}" for i in range(k)] + shared)]
+    got = found(spark, own)
+    assert got == brute(own) == {frozenset((2 * k, 2 * k + 1)) for k in range(6)}
 
 
 def test_the_stage_keeps_one_of_planted_near_copies(spark, small):
