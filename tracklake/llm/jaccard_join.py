@@ -13,7 +13,7 @@ into fragments: the counted class, and equal ranges of the others. Every set is
   pair are held against the sizes. No task needs a whole set. No pair is missed and none is guessed.
 
 Equal sets are one unit, so copies cost nothing, and shingles that the same units hold are one key. A key would give the square of its units in
-pairs, so while these are many, every key has a pivot in each round, every unit is compared with one pivot that it meets, and units found
+pairs, so in the first round, and in more while these are many, every key has a pivot, every unit is compared with one pivot that it meets, and units found
 together are not compared again. The last round compares all pairs that are apart and possible, so the components
 are those of all links; keys with many units are dealt in blocks. Statistics of keys are summed up and joined back, so a shingle of a third of all
 texts is split like any other skewed key.
@@ -194,53 +194,63 @@ def linked(pairs: DataFrame, units: DataFrame, rows: DataFrame, rule: Rule) -> D
     return partial.groupBy("a", "b", "both").agg(F.sum("same").alias("same")).where(rule.enough(F.col("same"), F.col("both"))).select("a", "b")
 
 
-def _blocks(rooted: DataFrame, per: DataFrame, rule: Rule) -> DataFrame:
+def _blocks(rooted: DataFrame, live: DataFrame, rule: Rule) -> DataFrame:
     """All possible pairs of different roots that meet in a key, one of them with its head there; large keys in blocks of the one against all others."""
-    blocks = per.groupBy("key").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    cut = rooted.join(blocks, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = rooted.join(live.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
     x = cut.where("y.head").select("key", F.pmod(F.xxhash64("y.unit", F.lit(99)), "blocks").cast("int").alias("block"), F.col("y").alias("x"))
     y = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "y")
     met = x.join(y, ["key", "block"]).where(F.col("x.root") != F.col("y.root"))
     return met.where(~F.col("y.head") | (F.col("x.unit") < F.col("y.unit"))).where(rule.possible("x", "y"))
 
 
+def _pivots(rooted: DataFrame, live: DataFrame, rule: Rule, nr: int) -> DataFrame:
+    """For each unit one possible pair with a pivot of its keys.
+
+    A group found together is one among the candidates for the pivot; the first pivots have the least of their own before the key.
+    """
+    central = lambda c: F.struct(~F.col(f"{c}.head"), F.col(f"{c}.at") / F.col(f"{c}.n") if nr == 0 else F.lit(0.0), F.xxhash64(f"{c}.root", F.lit(nr)), F.xxhash64(f"{c}.unit", F.lit(nr)))
+    open_ = rooted.join(live.select("key"), "key")
+    met = open_.groupBy("key").agg(F.min_by("y", central("y")).alias("x")).join(open_, "key").where(F.col("x.root") != F.col("y.root"))
+    return met.where(rule.possible("x", "y")).groupBy("y.unit").agg(F.min_by("x", central("x")).alias("x"), F.first("y").alias("y")).select("x", "y")
+
+
 def linked_components(got: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
-    """node and root of every unit that is linked with another one, but the roots."""
+    """node and root of every unit that is linked with another one, but the roots.
+
+    One round with pivots comes first, more of them while the pairs are many for the number of entries, then all that is left. A
+    round goes on with the keys that hold units of different groups.
+    """
     spark = got.sparkSession
     with scratch(spark):
-        posts = spool(entries(got, rule), keep=True)
-    # one row of each unit stands for it
-    best = got.join(posts.select("unit").distinct(), "unit", "left_semi").groupBy("unit")
-    units = spool(best.agg(F.min(F.struct("doc_id", "h")).alias("row"), F.first("bits").alias("bits")).select("unit", "row.*", "bits"))
-    posts = spool(posts.join(units.select("unit", "bits"), "unit"))
-    size = posts.count()
-    links, roots = None, spark.createDataFrame([], "node long, root long")
-    for nr in range(ROUNDS + 1):
-        entry = F.struct("unit", "n", "at", "head", "bits", F.coalesce("root", "unit").alias("root"))
-        rooted = posts.join(roots, F.col("unit") == F.col("node"), "left").select("key", entry.alias("y"))
-        # pairs of different roots, without those of two tails
-        per = rooted.groupBy("key", "y.root").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("y.head")).alias("t"))
-        square = lambda c: F.sum(F.col(c)).cast("double") * F.sum(F.col(c)) - F.sum(F.col(c).cast("double") * F.col(c))
-        apart = per.groupBy("key").agg(((square("c") - square("t")) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
-        if not apart:
-            break
-        last = nr == ROUNDS or apart <= MANY * size
-        if last:
-            met = _blocks(rooted, per, rule)
-        else:
-            # a group found together is one among the candidates for the pivot; the first pivots have the least of their own before the key
-            central = lambda c: F.struct(~F.col(f"{c}.head"), F.col(f"{c}.at") / F.col(f"{c}.n") if nr == 0 else F.lit(0.0), F.xxhash64(f"{c}.root", F.lit(nr)), F.xxhash64(f"{c}.unit", F.lit(nr)))  # noqa: B023, E731
-            pivots = rooted.groupBy("key").agg(F.min_by("y", central("y")).alias("x"))
-            met = pivots.join(rooted, "key").where(F.col("x.root") != F.col("y.root")).where(rule.possible("x", "y"))
-            met = met.groupBy("y.unit").agg(F.min_by("x", central("x")).alias("x"), F.first("y").alias("y")).select("x", "y")
-        pairs = met.select(F.least("x.unit", "y.unit").alias("a"), F.greatest("x.unit", "y.unit").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"))
-        with scratch(spark):
-            found = spool(linked(spool(pairs.distinct()), units, rows, rule), keep=True)
-        links = found if links is None else links.union(found)
-        roots = components(links)
-        if last:
-            break
-    return roots
+        posts = spool(entries(got, rule))
+        # one row of each unit stands for it
+        best = got.join(posts.select("unit").distinct(), "unit", "left_semi").groupBy("unit")
+        units = spool(best.agg(F.min(F.struct("doc_id", "h")).alias("row"), F.first("bits").alias("bits")).select("unit", "row.*", "bits"))
+        entry = F.struct("unit", "n", "at", "head", "bits", F.col("unit").alias("root"))
+        rooted = spool(posts.join(units.select("unit", "bits"), "unit").select("key", entry.alias("y")))
+        size = rooted.count()
+        links, roots = None, spark.createDataFrame([], "node long, root long")
+        for nr in range(ROUNDS + 1):
+            # pairs of different roots, without those of two tails
+            per = rooted.groupBy("key", "y.root").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("y.head")).alias("t"))
+            square = lambda c: F.sum(F.col(c)).cast("double") * F.sum(F.col(c)) - F.sum(F.col(c).cast("double") * F.col(c))
+            live = spool(per.groupBy("key").agg(((square("c") - square("t")) / 2).alias("pairs"), F.sum("c").alias("c")).where("pairs > 0"))
+            apart = live.agg(F.sum("pairs")).first()[0] or 0
+            if not apart:
+                break
+            last = nr == ROUNDS or nr > 0 and apart <= MANY * size
+            met = _blocks(rooted, live, rule) if last else _pivots(rooted, live, rule, nr)
+            pairs = met.select(F.least("x.unit", "y.unit").alias("a"), F.greatest("x.unit", "y.unit").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"))
+            with scratch(spark):
+                found = spool(linked(spool(pairs.distinct()), units, rows, rule), keep=True)
+            links = found if links is None else links.union(found)
+            roots = components(links)
+            if last:
+                break
+            moved = roots.withColumnRenamed("root", "to")
+            held = rooted.join(live.select("key"), "key", "left_semi").join(moved, F.col("y.unit") == F.col("node"), "left")
+            rooted = spool(held.select("key", F.col("y").withField("root", F.coalesce("to", "y.unit")).alias("y")))
+        return spool(roots, keep=True)
 
 
 def grouped(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
