@@ -150,6 +150,29 @@ def test_conflicts_until_stable(spark):
     assert got == {t["track_id"]: (t["resolved"], t["confidence"], t["jersey"], t["demoted_from"]) for t in rows} and before > 3
 
 
+def test_ranks_of_positives_in_small_blocks(spark):
+    rng = np.random.default_rng(9)
+    v = rng.integers(-2, 3, (80, 4)).astype(float)  # with many equal ones
+    rows = [(i, i // 4, i % 5, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, frame long, identity long, embedding array<double>")
+    blocks = retrieval.in_blocks
+    try:
+        retrieval.in_blocks = lambda q, g, w, s: blocks(q, g, w, s, q_block=7, g_block=11)
+        got = {(r["q_id"], r["vec_id"]): r["rank"] for r in retrieval.positive_ranks(df.where("vec_id % 4 = 0"), df, chunk=5).collect()}
+        metrics = retrieval.retrieval_metrics(df.where("vec_id % 4 = 0"), df).first()
+    finally:
+        retrieval.in_blocks = blocks
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    want, aps = {}, []
+    for q in range(0, 80, 4):
+        order = sorted((-round(float(u[q] @ u[j]), 9), j) for j in range(80) if rows[j][1] != rows[q][1])
+        own = [(k + 1, j) for k, (_, j) in enumerate(order) if rows[j][2] == rows[q][2]]
+        want |= {(q, j): k for k, j in own}
+        aps.append(np.mean([(n + 1) / k for n, (k, _) in enumerate(own)]))
+    assert got == want
+    assert metrics["queries"] == 20 and abs(metrics["map"] - np.mean(aps)) < 1e-6
+
+
 def test_top_k_in_small_blocks(spark):
     rng = np.random.default_rng(8)
     v = rng.integers(-3, 4, (90, 5)).astype(float)  # with equal ones

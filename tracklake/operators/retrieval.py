@@ -2,7 +2,7 @@
 
 ``appearance`` has vec_id, frame, identity, embedding. Searches compare a stated query set
 with all rows in blocks of both: a task holds one block of each as matrices, and only its best
-rows leave it. Metrics that need the rank of every positive sort all pairs of a query.
+rows leave it. Metrics that need the rank of every positive count, block by block, the rows above it.
 """
 
 from __future__ import annotations
@@ -24,18 +24,6 @@ def unit(appearance: DataFrame) -> DataFrame:
     ).drop("n")
 
 
-def similarities(queries: DataFrame, gallery: DataFrame, block: int = 20_000) -> DataFrame:
-    """Every query against every gallery row of another frame, in blocks of the gallery."""
-    q = unit(queries).select(F.col("vec_id").alias("q_id"), F.col("frame").alias("q_frame"), F.col("identity").alias("q_identity"), F.col("embedding").alias("qe"))
-    g = unit(gallery).select("vec_id", "frame", "identity", "embedding")
-    blocks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-gallery.count() // block))
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    g = g.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return q.join(g, (q.block == g.block) & (q.q_frame != g.frame)).select(
-        "q_id", "q_identity", "vec_id", "identity", F.round(V.dot(F.col("qe"), F.col("embedding")), 9).alias("similarity")
-    )
-
-
 def in_blocks(
     queries: DataFrame, gallery: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, *, q_block: int = 2048, g_block: int = 8192
 ) -> DataFrame:
@@ -92,32 +80,54 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, *, team: str | None =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def ranked(pairs: DataFrame) -> DataFrame:
-    order = Window.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).withColumn("hit", (F.col("identity") == F.col("q_identity")).cast("int"))
+def positive_ranks(queries: DataFrame, gallery: DataFrame, *, chunk: int = 4096) -> DataFrame:
+    """q_id, vec_id and rank of every positive: the rows of a query's identity in other frames, among all rows of other frames by similarity, then vec_id.
 
+    Only positives are joined, by identity. Their similarities go to the blocks of the gallery, at most about ``chunk`` of a query at a
+    time; a block counts by binary search how many of its rows stand above each, and the counts are summed up.
+    """
+    cols = ["vec_id", "frame", "identity", "embedding"]
+    q, g = unit(queries).select(*cols), unit(gallery).select(*cols)
+    own = q.select(F.col("vec_id").alias("q_id"), F.col("frame").alias("_f"), "identity", F.col("embedding").alias("_e"))
+    pairs = own.join(g, "identity").where(F.col("frame") != F.col("_f")).select("q_id", "vec_id", F.round(V.dot(F.col("_e"), F.col("embedding")), 9).alias("sim"))
+    most = pairs.groupBy("q_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(-(-most // chunk) or 1))
+    asked = pairs.groupBy("q_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("sim", "vec_id"))).alias("p"))
+    rows = q.join(asked, q["vec_id"] == asked["q_id"]).select(*cols, F.col("p.sim").alias("sims"), F.col("p.vec_id").alias("ids"))
+    kind = gallery.schema["vec_id"].dataType.simpleString()
 
-def retrieval_metrics(pairs: DataFrame) -> DataFrame:
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values("vec_id")
+            names = b["vec_id"].to_numpy()
+            sims = np.round(_matrix(a["embedding"]) @ _matrix(b["embedding"]).T, 9)
+            sims[~_other_frames(a, b)] = -np.inf
+            for q_id, least, ids, row in zip(a["vec_id"], a["sims"], a["ids"], sims):
+                least, ids, order = np.asarray(least, float), np.asarray(ids), np.sort(row)
+                above = len(row) - np.searchsorted(order, least, side="right")
+                at = np.searchsorted(names, ids).clip(max=len(names) - 1)
+                above -= (names[at] == ids) & (row[at] > least)  # a row is never above itself
+                for k in np.flatnonzero(len(row) - np.searchsorted(order, least, side="left") - above > 0).tolist():
+                    above[k] += int(((row == least[k]) & (names < ids[k])).sum())
+                out.append(pd.DataFrame({"q_id": q_id, "vec_id": ids, "above": above.astype(np.int64)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["q_id", "vec_id", "above"])
+
+    counts = in_blocks(rows, g, work, f"q_id {kind}, vec_id {kind}, above long")
+    return counts.groupBy("q_id", "vec_id").agg((F.sum("above") + 1).alias("rank"))
+
+
+def retrieval_metrics(queries: DataFrame, gallery: DataFrame) -> DataFrame:
     """queries, rank1, rank5 and mean average precision over queries with a positive."""
-    r = ranked(pairs)
-    so_far = Window.partitionBy("q_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    nth = F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))
     per = (
-        r.withColumn("precision", F.sum("hit").over(so_far) / F.col("rank"))
+        positive_ranks(queries, gallery)
+        .withColumn("precision", nth / F.col("rank"))
         .groupBy("q_id")
-        .agg(
-            F.sum("hit").alias("positives"),
-            F.sum(F.col("hit") * F.col("precision")).alias("ap"),
-            F.max(F.when(F.col("rank") <= 1, F.col("hit")).otherwise(0)).alias("r1"),
-            F.max(F.when(F.col("rank") <= 5, F.col("hit")).otherwise(0)).alias("r5"),
-        )
-        .where("positives > 0")
-    )
-    return per.agg(
-        F.count(F.lit(1)).alias("queries"),
-        F.round(F.avg("r1"), 6).alias("rank1"),
-        F.round(F.avg("r5"), 6).alias("rank5"),
-        F.round(F.avg(F.col("ap") / F.col("positives")), 6).alias("map"),
+        .agg(F.avg("precision").alias("ap"), F.min("rank").alias("best"))
     )
+    share = lambda k: F.round(F.avg((F.col("best") <= k).cast("int")), 6)
+    return per.agg(F.count(F.lit(1)).alias("queries"), share(1).alias("rank1"), share(5).alias("rank5"), F.round(F.avg("ap"), 6).alias("map"))
 
 
 def half_centroids(appearance: DataFrame, size: int, least: int = 6) -> DataFrame:
@@ -136,7 +146,7 @@ def temporal_split(appearance: DataFrame, size: int) -> DataFrame:
     c = half_centroids(appearance, size)
     g = c.where("half = 0").select(F.col("identity").alias("vec_id"), "identity", F.lit(0).alias("frame"), "embedding")
     q = c.where("half = 1").select(F.col("identity").alias("vec_id"), "identity", F.lit(1).alias("frame"), "embedding")
-    hits = ranked(similarities(q, g)).where("hit = 1")
+    hits = positive_ranks(q, g)
     return hits.agg(
         F.count(F.lit(1)).alias("queries"), F.round(F.avg((F.col("rank") == 1).cast("int")), 6).alias("rank1"), F.round(F.avg(1 / F.col("rank")), 6).alias("mrr")
     )

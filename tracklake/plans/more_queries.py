@@ -10,6 +10,7 @@ from tracklake.functions import vector as V
 from tracklake.operators import identity, linking, retrieval, tracks, votes
 from tracklake.plans.evidence_queries import QUERIES as EVIDENCE
 from tracklake.plans.queries import DIM, HOUR, QUERIES, _r, _spans
+from tracklake.plans.resolve import resolved_clip
 from tracklake.sources import files
 from tracklake.sources import views as S
 
@@ -138,4 +139,4 @@ MORE = {
         strided_observations, box_shapes, track_documents, ema_vectors, synthetic_paths, idf_extremes,
     )
 }
-QUERIES = QUERIES | MORE | EVIDENCE
+QUERIES = QUERIES | MORE | EVIDENCE | {"resolved_clip": resolved_clip}

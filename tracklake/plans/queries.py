@@ -253,7 +253,7 @@ def _embedded(spark, d):
 
 
 def retrieval_map(spark, d):
-    return retrieval.retrieval_metrics(retrieval.similarities(*_embedded(spark, d)))
+    return retrieval.retrieval_metrics(*_embedded(spark, d))
 
 
 def retrieval_rank_k(spark, d):
