@@ -243,19 +243,25 @@ def test_generated_inputs(spark, tmp_path):
         ("A", "shirt", [255, 0, 0]), ("B", "shirt", [0, 255, 0]), ("B", "shorts", [0, 0, 255])
     ]
     assert generate.team_kits(None) == []
-    for folder in ("dataset/train/s2/img1", "dataset/train/s1/img1", "dataset/val/v/img1", "dataset/test/none"):
-        (tmp_path / folder).mkdir(parents=True)
-    found = generate.discover_sequences(spark, str(tmp_path)).select("split", "sequence").collect()
-    assert [tuple(r) for r in found] == [("train", "s1"), ("train", "s2"), ("val", "v")]
-    manifest = generate.dataset_manifest({"a": str(tmp_path), "b": None, "c": "/nowhere"})["datasets"]
+    for file in ("dataset/train/s2/img1/1.jpg", "dataset/train/s2/img1/2.jpg", "dataset/train/s1/img1/1.jpg", "dataset/val/v/img1/1.jpg", "dataset/test/none/x.txt", "dataset/other/o/img1/1.jpg"):
+        (tmp_path / file).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / file).write_bytes(b"x")
+    for root in (tmp_path, tmp_path / "dataset"):
+        found = generate.discover_sequences(spark, str(root)).select("split", "sequence", "frames").collect()
+        assert sorted(tuple(r) for r in found) == [("train", "s1", 1), ("train", "s2", 2), ("val", "v", 1)]
+    manifest = generate.dataset_manifest(spark, {"a": str(tmp_path), "b": None, "c": "/nowhere"})["datasets"]
     assert [(v["configured"], v["exists"]) for v in manifest.values()] == [(True, True), (False, False), (True, False)]
-    squads = {"full": [(9, "Nine", "FW")]}
-    rosters = {"H": generate.resolve_roster(spark, "H", "full", squads), "A": generate.resolve_roster(spark, "A", None, squads)}
-    meta = generate.clip_metadata("H", "A", rosters, visible={"H": [9]}, colors={"H": {"shirt": "#123456"}}, named=True)
+    entries = spark.createDataFrame([("H", "full", None, None), ("A", None, None, None), ("X", "none", [3, 4], None), ("Y", None, None, "Anon")], "team string, squad string, numbers array<int>, prefix string")
+    squads = spark.createDataFrame([("full", 9, "Nine", "FW")], "squad string, number int, player string, position string")
+    every = generate.rosters(entries, squads).cache()
+    assert [tuple(r) for r in every.where("team = 'X'").orderBy("jersey").collect()] == [("X #3", "X", "3", "?"), ("X #4", "X", "4", "?")]
+    assert {r["player"] for r in every.where("team = 'Y'").collect()} == {f"Anon roster slot {k}" for k in range(1, 12)}
+    rosters = {t: every.where(F.col("team") == t) for t in "HA"}
+    meta = generate.clip_metadata("H", "A", rosters, visible={"H": [9]}, colors={"H": {"shirt": "#123456"}}, source={"source_clip": "a.mp4", "start_sec": 3}, named=True)
     assert [p["player_name"] for p in meta["rosters"]["H"]] == ["Nine"] and len(meta["rosters"]["A"]) == 11
-    assert meta["team_colors"]["A"] == {"shirt": "#000000"} and generate.resolve_roster(spark, "X", [3, 4], squads).count() == 2
-    doc = generate.runtime_document({"tracker": {"backend": "simple"}}, 1, "x", [])
-    assert (doc["detector_class"], doc["configured_tracker_backend"], doc["configured_detector_weights"]) == ("int", "simple", None)
+    assert meta["team_colors"]["A"] == {"shirt": "#000000"} and meta["public_source"]["start_sec"] == 3 and set(meta["public_source"]) == {*generate.SOURCE, "roster_source"}
+    doc = generate.runtime_document({"tracker": {"backend": "simple"}}, 1, "x", [], ["dry run"])
+    assert (doc["detector_class"], doc["jersey_ocr_class"], doc["configured_tracker_backend"], doc["configured_detector_weights"], doc["notes"]) == ("int", "str", "simple", None, ["dry run"])
 
 
 def test_documents(spark, tmp_path):

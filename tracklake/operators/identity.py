@@ -148,16 +148,19 @@ def memory_vectors(rows: DataFrame, keep: float = 0.8) -> DataFrame:
     return rows.groupBy("player").agg(ordered.alias("v")).select("player", F.aggregate(rest, F.get("v", F.lit(0)), mix).alias("embedding"))
 
 
-def linear_paths(spark, points: list[tuple[int, float, float, float]], frames: int, fps: float) -> DataFrame:
-    """Positions per frame on piecewise-linear paths through (path, time, x, y), clamped at both ends."""
+def linear_paths(points: DataFrame, frames: int, fps: float) -> DataFrame:
+    """path, frame, x, y on piecewise-linear paths through the points (path, t, x, y), clamped at both ends.
+
+    Every leg makes its own frames, so no path is joined with a grid. Of points at one time the last one in (x, y) counts from there on.
+    """
     from tracklake.functions.geometry import interpolate
 
-    p = spark.createDataFrame(points, "path long, t double, x double, y double")
-    order = Window.partitionBy("path").orderBy("t")
-    legs = p.withColumn("n", F.lead(F.struct("t", "x", "y")).over(order)).withColumn("first", F.row_number().over(order) == 1)
+    order = Window.partitionBy("path").orderBy("t", "x", "y")
+    legs = points.select("path", "t", "x", "y").withColumn("n", F.lead(F.struct("t", "x", "y")).over(order)).withColumn("first", F.row_number().over(order) == 1)
+    frame_of = lambda c: F.ceil(F.col(c) * fps).cast("long")
+    low = F.when(F.col("first"), F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), frame_of("t")))
+    high = F.least(F.lit(frames - 1).cast("long"), F.coalesce(frame_of("n.t") - 1, F.lit(frames - 1).cast("long")))
+    rows = legs.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("frame", F.explode(F.sequence("_low", "_high")))
     at = F.col("frame") / F.lit(fps)
-    grid = spark.range(frames).select(F.col("id").alias("frame"))
-    rows = grid.withColumn("path", F.explode(F.array(*[F.lit(k) for k in sorted({x[0] for x in points})]))).join(F.broadcast(legs), "path")  # a fixed list of points
-    inside = (at >= F.col("t")) & (F.col("n").isNull() | (at < F.col("n.t")))
     value = lambda c: F.when(F.col("n").isNull() | (at < F.col("t")), F.col(c)).otherwise(interpolate(at, F.col("t"), F.col(c), F.col("n.t"), F.col(f"n.{c}")))
-    return rows.where(inside | (F.col("first") & (at < F.col("t")))).select("path", "frame", value("x").alias("x"), value("y").alias("y"))
+    return rows.select("path", "frame", value("x").alias("x"), value("y").alias("y"))

@@ -293,12 +293,8 @@ SQL: dict[str, str] = {
         k AS (SELECT * FROM r WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY track_id, candidate ORDER BY score DESC, anchor_id) <= 3) SELECT anchor_id, track_id, candidate FROM k WHERE anchor_id % 9 <> 0""",
     "detection_order": f"{with_views('gt_boxes')} SELECT gt_id, frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY y1, x1, gt_id) AS INT) AS place FROM gt_boxes",
     "detector_passthrough": f"{with_views('gt_boxes')} SELECT name % 8 AS clip, frame, bool_and(frame % 3 <> 0) AS usable FROM gt_boxes GROUP BY ALL",
-    "anonymous_rosters": """SELECT 'Anon roster slot ' || i AS player, 'A' AS team, CAST(i AS VARCHAR) AS jersey, ['GK', 'DF', 'DF', 'DF', 'DF', 'MF', 'MF', 'MF', 'FW', 'FW', 'FW'][i] AS position FROM range(1, 12) r(i)
-        UNION ALL SELECT 'B #' || n, 'B', CAST(n AS VARCHAR), '?' FROM (VALUES (4), (10), (7)) v(n) UNION ALL SELECT 'Nine', 'C', '9', 'FW'""",
     "teams_of_files": """SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'Home Team' ELSE CASE substr(n_name, 1, 3) WHEN 'FRA' THEN 'France' WHEN 'JAP' THEN 'Japan' ELSE substr(n_name, 1, 3) END END AS home,
         CASE WHEN n_nationkey % 4 = 0 THEN 'Away Team' ELSE n_regionkey || 'x' END AS away FROM nation""",
-    "ball_path": """SELECT f AS frame, round(CASE WHEN f / 15.0::DOUBLE < 1.2 THEN 125 + 60 * (f / 15.0::DOUBLE) ELSE 10 + 10 * (f / 15.0::DOUBLE) + 14 END, 4) AS x,
-        round(CASE WHEN f / 15.0::DOUBLE < 1.2 THEN 350 ELSE 20 + 5 * (f / 15.0::DOUBLE) + 42 END, 4) AS y FROM range(60) r(f)""",
     "summary_provenance": f"""{SUM} SELECT track_id, CASE WHEN jersey IS NOT NULL THEN CASE WHEN track_id % 2 = 0 THEN 'label_inherited_from' ELSE 'identity_stitched_from' END END AS field, jersey AS source FROM summary""",
     "memory_vectors": f"""{with_views("appearance")}, v AS (SELECT identity AS player, embedding AS e, row_number() OVER (PARTITION BY identity ORDER BY vec_id) AS i FROM appearance WHERE vec_id % 4 = 1),
         st AS (SELECT player, i, e FROM v WHERE i = 1 UNION ALL SELECT player, i, list_transform(m, lambda x: x / greatest(sqrt(list_dot_product(m, m)), 1e-8)) FROM

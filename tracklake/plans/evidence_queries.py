@@ -436,21 +436,12 @@ def detector_passthrough(spark, d):
     return tracker.with_detector_ids(det).groupBy("clip", "frame").agg(F.min("usable").alias("usable"))
 
 
-def anonymous_rosters(spark, d):
-    return generate.anonymous_roster(spark, "A", "Anon").union(generate.roster_of_numbers(spark, "B", [4, 10, 7])).union(generate.roster_of_squad(spark, "C", [(9, "Nine", "FW")]))
-
-
 def teams_of_files(spark, d):
     t = S.table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("/clips/"), F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.substring("n_name", 1, 3), F.lit("_"), F.col("n_regionkey").cast("string"), F.lit("x_9.mp4"))).otherwise("single.mp4")).alias("path"))
     teams = generate.teams_of_file(F.col("path"), {"FRA": "France", "JAP": "Japan"})
     return t.select("n_nationkey", teams[0].alias("home"), teams[1].alias("away"))
 
 
-def ball_path(spark, d):
-    points = [(1, 0.0, 10.0, 20.0), (1, 10.0, 110.0, 70.0)]
-    return generate.ball_path(spark, identity.linear_paths(spark, points, 60, 15.0), 60, 15.0, [(1.2, None, 125, 350), (99.0, 1, 14, 42)]).withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
-
-
 def summary_provenance(spark, d):
     s = S.summary(spark, d).select("track_id", "jersey")
     change = s.where("jersey is not null").select("track_id", F.when(_mod(F.col("track_id"), 2) == 0, "label_inherited_from").otherwise("identity_stitched_from").alias("field"), F.col("jersey").alias("source"))
@@ -505,7 +496,7 @@ NAMES = (
     "conflicts_until_stable snapshot_retention summary_mirror relabelled_run identity_documents visible_numbers roster_numbers eligible_tracks cleared_roles rendered_tracks classes_and_categories "
     "gated_evidence plausible_boxes crop_scores digit_places identity_edges switch_segments team_hues mean_colors special_roles registry_build forced_players registry_reassign reassigned_tracks "
     "split_parents location_scores location_assignment interval_matches interval_f1 reader_summary reader_confusions reader_tallies ensemble_summary silhouette_matches source_detections "
-    "adjacent_accuracy display_report display_scores best_run running_mean top_anchors detection_order detector_passthrough anonymous_rosters teams_of_files ball_path summary_provenance "
+    "adjacent_accuracy display_report display_scores best_run running_mean top_anchors detection_order detector_passthrough teams_of_files summary_provenance "
     "greedy_assignment memory_vectors scalar_functions roster_filtered vector_cosines"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}

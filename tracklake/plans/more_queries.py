@@ -11,7 +11,7 @@ from tracklake.operators import identity, linking, retrieval, tracks, votes
 from tracklake.plans.evidence_queries import QUERIES as EVIDENCE
 from tracklake.plans.queries import DIM, HOUR, QUERIES, _r, _spans
 from tracklake.plans.resolve import resolved_clip
-from tracklake.sources import files
+from tracklake.sources import files, generate
 from tracklake.sources import views as S
 
 
@@ -122,8 +122,38 @@ def ema_vectors(spark, d):
 
 
 def synthetic_paths(spark, d):
-    points = [(k, 2.5 * i, 100.0 * k + 40.0 * i * (1 if k % 2 else -1), 50.0 * k + 10.0 * i * i) for k in range(1, 5) for i in range(5)]
-    return identity.linear_paths(spark, points, 150, 15.0).withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
+    """Each user's first five events as points of a path: hours since the first one, k and value as the place."""
+    return _paths(spark, d).withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
+
+
+def _first_events(spark, d):
+    g = S.fragments(spark, d).select(F.col("user_id").alias("path"), "seq", "ts_s", "x", "y")
+    order = Window.partitionBy("path").orderBy("ts_s", "seq")
+    nth = g.withColumn("nr", F.row_number().over(order)).withColumn("t", F.round((F.col("ts_s") - F.first("ts_s").over(order)) / HOUR, 3))
+    return nth.where("nr <= 5").groupBy("path", "t").agg(F.max_by("x", "seq").alias("x"), F.max_by("y", "seq").alias("y"))
+
+
+def _paths(spark, d):
+    return identity.linear_paths(_first_events(spark, d), 60, 0.25)
+
+
+def ball_path(spark, d):
+    """A ball a user: it rolls for 41 hours from the user's first place to the middle, then goes with the user."""
+    first = _first_events(spark, d).where("t = 0")
+    free = first.select(F.col("path").alias("ball"), F.lit(0.0).alias("since"), F.lit(41.0).alias("until"), F.lit(None).cast("long").alias("path"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lit(500.0).alias("x1"), F.lit(150.0).alias("y1"))
+    held = first.select("path", F.lit(41.0), F.lit(None).cast("double"), "path", F.lit(14.0), F.lit(42.0), F.lit(0.0), F.lit(0.0))
+    return generate.ball_path(_paths(spark, d), free.union(held), 60, 0.25).withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
+
+
+def anonymous_rosters(spark, d):
+    """Regions as teams: two have their nations as a squad, one a list of numbers, the others nothing."""
+    region, nation = S.table(spark, d, "region"), S.table(spark, d, "nation")
+    key, name = F.col("r_regionkey"), F.col("r_name")
+    entries = region.select(
+        name.alias("team"), F.when(key < 2, name).alias("squad"), F.when(key == 2, F.array(F.lit(4), F.lit(10), F.lit(7))).alias("numbers"), F.when(key == 3, F.lit("Anon")).alias("prefix")
+    )
+    squads = nation.join(region, nation.n_regionkey == region.r_regionkey).select(name.alias("squad"), F.col("n_nationkey").alias("number"), F.col("n_name").alias("player"), F.lit("FW").alias("position"))
+    return generate.rosters(entries, squads)
 
 
 def idf_extremes(spark, d):
@@ -136,7 +166,7 @@ MORE = {
     f.__name__: f
     for f in (
         weighted_centroids, track_ends, window_votes, canonical_labels, label_overrides, cluster_ownership, two_means, kit_fit, registry_merge, set_operations,
-        strided_observations, box_shapes, track_documents, ema_vectors, synthetic_paths, idf_extremes,
+        strided_observations, box_shapes, track_documents, ema_vectors, synthetic_paths, ball_path, anonymous_rosters, idf_extremes,
     )
 }
 QUERIES = QUERIES | MORE | EVIDENCE | {"resolved_clip": resolved_clip}

@@ -95,6 +95,12 @@ def _root(c: str) -> str:
     return f"CASE WHEN {c} > 0.008856 THEN cbrt({c}) ELSE 7.787 * {c} + 16.0::DOUBLE / 116.0 END"
 
 
+PATHS = f"""{with_views("fragments")}, nth AS (SELECT user_id AS path, seq, x, y, row_number() OVER o AS nr, round((ts_s - first(ts_s) OVER o) / 3600, 3) AS t FROM fragments WINDOW o AS (PARTITION BY user_id ORDER BY ts_s, seq)),
+    pts AS (SELECT path, t, arg_max(x, seq) AS x, arg_max(y, seq) AS y FROM nth WHERE nr <= 5 GROUP BY path, t),
+    lg AS (SELECT *, lead(t) OVER o AS nt, lead(x) OVER o AS nx, lead(y) OVER o AS ny FROM pts WINDOW o AS (PARTITION BY path ORDER BY t)),
+    pth AS (SELECT path, frame, CASE WHEN nt IS NULL THEN x ELSE x + (frame * 4 - t) / (nt - t) * (nx - x) END AS x, CASE WHEN nt IS NULL THEN y ELSE y + (frame * 4 - t) / (nt - t) * (ny - y) END AS y
+        FROM lg, (SELECT unnest(range(60)) AS frame) WHERE frame * 4 >= t AND (nt IS NULL OR frame * 4 < nt))"""
+
 SQL: dict[str, str] = {
     "track_eval_summary": f"""{BOXES}, {JUDGED}, {SWITCHES} SELECT {RATES}, (SELECT coalesce(sum(s), 0) FROM sw)::BIGINT AS id_switches FROM judged""",
     "track_eval_by_player": f"{BOXES}, {JUDGED} SELECT name, {RATES} FROM judged GROUP BY name",
@@ -305,9 +311,14 @@ SQL: dict[str, str] = {
     "track_documents": f"""{FRAG} SELECT track_id, min(seq) AS "first", max(seq) AS "last", count(*) AS num_observations, string_agg(seq::VARCHAR, ',' ORDER BY seq) AS seqs FROM fragments GROUP BY track_id""",
     "ema_vectors": f"""{with_views('appearance')}, o AS (SELECT identity, embedding[1] AS v, row_number() OVER (PARTITION BY identity ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY identity) AS n FROM appearance)
         SELECT identity, round(sum(v * CASE WHEN i = 1 THEN 0.8::DOUBLE ** (n - 1) ELSE 0.2 * 0.8::DOUBLE ** (n - i) END), 6) AS value FROM o GROUP BY identity""",
-    "synthetic_paths": """WITH p AS (SELECT k AS path, f AS frame, least(4, f / 37.5::DOUBLE) AS u FROM range(1, 5) a(k), range(150) b(f)),
-        l AS (SELECT *, least(3, floor(u)) AS i, u - least(3, floor(u)) AS w, CASE WHEN path % 2 = 1 THEN 1 ELSE -1 END AS s FROM p)
-        SELECT path, frame, round(100 * path + 40 * s * u, 4) AS x, round(50 * path + 10 * (i * i + w * (2 * i + 1)), 4) AS y FROM l""",
+    "synthetic_paths": f"{PATHS} SELECT path, frame, round(x, 4) AS x, round(y, 4) AS y FROM pth",
+    "ball_path": f"""{PATHS} SELECT f.path AS ball, g.frame, round(CASE WHEN g.frame < 11 THEN f.x + (g.frame * 4 / 41.0::DOUBLE) * (500 - f.x) ELSE pth.x + 14 END, 4) AS x,
+        round(CASE WHEN g.frame < 11 THEN f.y + (g.frame * 4 / 41.0::DOUBLE) * (150 - f.y) ELSE pth.y + 42 END, 4) AS y
+        FROM pts f, (SELECT unnest(range(60)) AS frame) g JOIN pth ON pth.path = f.path AND pth.frame = g.frame WHERE f.t = 0""",
+    "anonymous_rosters": """SELECT n_name AS player, r_name AS team, CAST(n_nationkey AS VARCHAR) AS jersey, 'FW' AS position FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 2
+        UNION ALL SELECT r_name || ' #' || n, r_name, CAST(n AS VARCHAR), '?' FROM region, (VALUES (4), (10), (7)) v(n) WHERE r_regionkey = 2
+        UNION ALL SELECT CASE WHEN r_regionkey = 3 THEN 'Anon' ELSE r_name END || ' roster slot ' || i, r_name, CAST(i AS VARCHAR), ['GK', 'DF', 'DF', 'DF', 'DF', 'MF', 'MF', 'MF', 'FW', 'FW', 'FW'][i]
+        FROM region, range(1, 12) r(i) WHERE r_regionkey > 2""",
     "idf_extremes": f"""{OBS}, {IDF}, e AS (SELECT candidate, weight, row_number() OVER (ORDER BY weight, candidate) AS lo, row_number() OVER (ORDER BY weight DESC, candidate) AS hi FROM idf)
         SELECT candidate, round(weight, 6) AS weight FROM e WHERE lo <= 2 OR hi <= 2""",
 }
