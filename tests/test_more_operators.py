@@ -312,3 +312,11 @@ def test_command_line(spark, small, tmp_path, capsys):
     assert json.loads((tmp_path / "x/y/doc.json").read_text()) == {"a": 1}
     with pytest.raises(SystemExit):
         run.main(["nothing"])
+
+
+def test_key_points_of_a_crop(spark):
+    from tracklake.operators import hooks
+
+    row = spark.createDataFrame([([(2.0, 3.0, 0.5), (0.0, 0.0, 0.1)], 100.0, 50.0, 2.0, 0.5)], "p array<struct<x:double,y:double,confidence:double>>, x1 double, y1 double, sx double, sy double")
+    got = row.select(hooks.points_in_frame(F.col("p"), (F.col("x1"), F.col("y1")), (F.col("sx"), F.col("sy"))).alias("p")).first()["p"]
+    assert [tuple(x) for x in got] == [(104.0, 51.5, 0.5), (100.0, 50.0, 0.1)]

@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -26,6 +28,41 @@ def apply_model(rows: DataFrame, factory: Callable[[], Model], schema: str) -> D
     return rows.mapInPandas(run, schema)
 
 
+DETECTION = "label string, confidence double, x1 double, y1 double, x2 double, y2 double"
+
+
+def detect(
+    frames: DataFrame, factory: Callable[[], Callable[..., Iterator[tuple]]], payload: list[str], *, labels: list[str] | None = None, least: float = 0.0,
+    size: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Every frame with its detections: a detector as a table function, joined laterally, so one frame gives any number of rows.
+
+    ``factory()`` is called once a task and gives a function of the ``payload`` columns that yields rows of ``DETECTION``. The filters by label and confidence and the clip to
+    the frame's ``size`` are expressions of the plan; a box with no area left goes.
+    """
+
+    @udtf(returnType=DETECTION)
+    class Detector:
+        def __init__(self):
+            self.model = factory()
+
+        def eval(self, *values):
+            yield from self.model(*values)
+
+    rows = frames.lateralJoin(Detector(*[F.col(c).outer() for c in payload]))
+    rows = rows.where(F.col("confidence") >= least)
+    rows = rows.where(F.col("label").isin(labels)) if labels else rows
+    if size:
+        rows = rows.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(float(size[k % 2])), F.col(c))) for k, c in enumerate(("x1", "y1", "x2", "y2"))})
+    return rows.where("x2 > x1 and y2 > y1")
+
+
+def points_in_frame(points: Column, box: tuple[Column, Column], scale: tuple[Column, Column]) -> Column:
+    """Key points of a crop (array of x, y, confidence) in the frame's coordinates: times the crop's scale, plus the corner of its box."""
+    at = lambda p, c, k: (box[k] + p[c] * scale[k]).alias(c)
+    return F.transform(points, lambda p: F.struct(at(p, "x", 0), at(p, "y", 1), p["confidence"].alias("confidence")))
+
+
 @dataclass(frozen=True)
 class TrackerOptions:
     backend: str = "simple_iou"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions import geometry as G
 from tracklake.functions import vector as V
-from tracklake.operators import identity, linking, retrieval, tracks, votes
+from tracklake.operators import hooks, identity, linking, retrieval, tracks, votes
 from tracklake.plans.evidence_queries import QUERIES as EVIDENCE
 from tracklake.plans.queries import DIM, HOUR, QUERIES, _r, _spans
 from tracklake.plans.resolve import resolved_clip
@@ -156,6 +156,37 @@ def anonymous_rosters(spark, d):
     return generate.rosters(entries, squads)
 
 
+def kit_settings(spark, d):
+    """Kit settings as JSON of every shape, one a nation: a colour, objects under several names, colours that are none, and no JSON."""
+    key, name = F.col("n_nationkey"), F.col("n_name")
+    color = F.concat(F.lit("#"), F.lpad(F.conv((key * 654321 % 16777216).cast("string"), 10, 16), 6, "0"))
+    quoted = F.concat(F.lit('"'), color, F.lit('"'))
+    text = (
+        F.when(key % 6 == 0, quoted)
+        .when(key % 6 == 1, F.concat(F.lit('{"shirt": '), quoted, F.lit(', "shorts": "00ff00"}')))
+        .when(key % 6 == 2, F.concat(F.lit('{"shirt": "", "primary": '), quoted, F.lit(', "secondary": null}')))
+        .when(key % 6 == 3, F.concat(F.lit('{"home": '), quoted, F.lit(', "shorts": "red"}')))
+        .when(key % 6 == 4, F.lit('{"color": '))
+        .otherwise(F.concat(F.lit('{"color": '), quoted, F.lit("}")))
+    )
+    return generate.kit_colors(S.table(spark, d, "nation").select(name.alias("team"), text.alias("kit")))
+
+
+def detected_frames(spark, d):
+    """Events as frames, with a stub for a detector: k modulo 4 boxes each, of which labels, confidence and the frame's edge leave some."""
+
+    def factory():
+        def find(k, value):
+            for i in range((k or 0) % 4):
+                yield ("person", "ball", "referee")[i % 3], 1.0 - 0.3 * i, k * 10.0 + 30.0 * i - 100.0, value, k * 10.0 + 30.0 * i - 70.0, value + 48.0
+
+        return find
+
+    g = S.gt_boxes(spark, d).select("gt_id", (F.col("x1") / 10).cast("int").alias("k"), F.col("y1").alias("value"))
+    got = hooks.detect(g, factory, ["k", "value"], labels=["person", "ball"], least=0.5, size=(800.0, 250.0))
+    return got.select("gt_id", "label", F.round("confidence", 6).alias("confidence"), *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
 def idf_extremes(spark, d):
     w = votes.rarity(S.observations(spark, d))
     order = lambda c: F.row_number().over(Window.orderBy(c, "candidate"))
@@ -166,7 +197,7 @@ MORE = {
     f.__name__: f
     for f in (
         weighted_centroids, track_ends, window_votes, canonical_labels, label_overrides, cluster_ownership, two_means, kit_fit, registry_merge, set_operations,
-        strided_observations, box_shapes, track_documents, ema_vectors, synthetic_paths, ball_path, anonymous_rosters, idf_extremes,
+        strided_observations, box_shapes, track_documents, ema_vectors, synthetic_paths, ball_path, anonymous_rosters, kit_settings, detected_frames, idf_extremes,
     )
 }
 QUERIES = QUERIES | MORE | EVIDENCE | {"resolved_clip": resolved_clip}

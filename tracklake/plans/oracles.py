@@ -319,6 +319,14 @@ SQL: dict[str, str] = {
         UNION ALL SELECT r_name || ' #' || n, r_name, CAST(n AS VARCHAR), '?' FROM region, (VALUES (4), (10), (7)) v(n) WHERE r_regionkey = 2
         UNION ALL SELECT CASE WHEN r_regionkey = 3 THEN 'Anon' ELSE r_name END || ' roster slot ' || i, r_name, CAST(i AS VARCHAR), ['GK', 'DF', 'DF', 'DF', 'DF', 'MF', 'MF', 'MF', 'FW', 'FW', 'FW'][i]
         FROM region, range(1, 12) r(i) WHERE r_regionkey > 2""",
+    "kit_settings": """WITH c AS (SELECT n_name AS team, n_nationkey % 6 AS kind, lpad(upper(to_hex(CAST(n_nationkey AS BIGINT) * 654321 % 16777216)), 6, '0') AS hex FROM nation),
+        p AS (SELECT team, 'shirt' AS part, hex FROM c WHERE kind IN (0, 1, 2, 5) UNION ALL SELECT team, 'shorts', '00ff00' FROM c WHERE kind = 1)
+        SELECT team, part, CAST(('0x' || substr(hex, 1, 2)) AS INT) AS r, CAST(('0x' || substr(hex, 3, 2)) AS INT) AS g, CAST(('0x' || substr(hex, 5, 2)) AS INT) AS b FROM p""",
+    "detected_frames": f"""{with_views("gt_boxes")}, b AS (SELECT gt_id, ['person', 'ball', 'referee'][i % 3 + 1] AS label, 1 - 0.3::DOUBLE * i AS confidence, x1 + 30 * i - 100 AS a, x1 + 30 * i - 70 AS c, y1
+            FROM (SELECT *, unnest(range(CAST(x1 / 10 AS INT) % 4)) AS i FROM gt_boxes)),
+        k AS (SELECT gt_id, label, round(confidence, 6) AS confidence, round(greatest(0, least(800, a)), 6) AS x1, round(greatest(0, least(250, y1)), 6) AS y1, round(greatest(0, least(800, c)), 6) AS x2,
+            round(greatest(0, least(250, y1 + 48)), 6) AS y2 FROM b WHERE label <> 'referee' AND confidence >= 0.5)
+        SELECT * FROM k WHERE x2 > x1 AND y2 > y1""",
     "idf_extremes": f"""{OBS}, {IDF}, e AS (SELECT candidate, weight, row_number() OVER (ORDER BY weight, candidate) AS lo, row_number() OVER (ORDER BY weight DESC, candidate) AS hi FROM idf)
         SELECT candidate, round(weight, 6) AS weight FROM e WHERE lo <= 2 OR hi <= 2""",
 }
