@@ -137,7 +137,7 @@ two AS (SELECT item, candidate, sum(p) AS p FROM (SELECT * FROM ka UNION ALL SEL
 READ_SUMMARY = """SELECT count(*) AS total, count(*) FILTER (ok) AS correct, count(*) FILTER (top3) AS top3_recall, round(100.0 * count(*) FILTER (ok) / greatest(1, count(*)), 6) AS accuracy_pct,
     round(100.0 * count(*) FILTER (top3) / greatest(1, count(*)), 6) AS top3_pct FROM jd"""
 DISPLAY = f"""{SUM}, sh AS (SELECT track_id, resolved AS name, CAST(floor(start_s / 86400) AS BIGINT) AS a, CAST(floor(end_s / 86400) AS BIGINT) AS z FROM summary WHERE duration >= 20 AND confidence >= 0.48 AND resolved IS NOT NULL),
-cv AS (SELECT name, count(DISTINCT track_id) AS fragments, count(DISTINCT s) AS seconds FROM (SELECT *, unnest(range(a, z + 1)) AS s FROM sh) GROUP BY name), ep AS (SELECT player AS name FROM squad WHERE nr % 2 = 0),
+cv AS (SELECT name, count(DISTINCT track_id) AS fragments, count(DISTINCT s) AS seconds FROM (SELECT *, unnest(range(a, z + 1)) AS s FROM sh) GROUP BY name), ep AS (SELECT player AS name FROM squad),
 rp AS (SELECT coalesce(cv.name, ep.name) AS name, ep.name IS NOT NULL AS expected, cv.name IS NOT NULL AS displayed, coalesce(fragments, 0) AS fragments, coalesce(seconds, 0) AS seconds FROM cv FULL JOIN ep ON cv.name = ep.name)"""
 EDGES = f"""{with_views("fragments", "squad", "appearance")}, {SPANS}, {VISIBLE},
 tr AS (SELECT s.track_id, row_number() OVER (ORDER BY start_s, s.track_id) AS seq, CASE WHEN s.track_id % 7 <> 0 THEN r_name END AS team, CASE WHEN s.track_id % 4 <> 0 THEN CAST(user_id % 8 AS VARCHAR) END AS jersey,
@@ -213,7 +213,7 @@ SQL: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(posterior, 9) DESC, player) = 1""",
     "map_argmax": f"""{OBS}, {TEAMP} SELECT track_id, team, round(prob, 6) AS prob FROM teamp QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(prob, 9) DESC, team) = 1""",
     "body_confidence": f"{OBS}, {BODY} SELECT track_id, round(body_confidence, 6) AS body_confidence FROM body",
-    "gallery_similarity": f"""{with_views("appearance")}, u AS (SELECT vec_id % 7 AS track_id, greatest(0.01, (vec_id % 10) / 10.0::DOUBLE) AS w, unnest(embedding) AS v, unnest(range(64)) AS place FROM appearance WHERE vec_id % 3 = 1),
+    "gallery_similarity": f"""{with_views("appearance")}, u AS (SELECT vec_id % 7 AS track_id, greatest(0.01, (vec_id % 10) / 10.0::DOUBLE) AS w, unnest(embedding) AS v, unnest(range(64)) AS place FROM appearance),
         m AS (SELECT track_id, place, sum(v * w) / sum(w) AS v FROM u GROUP BY ALL), t AS (SELECT track_id, list(v ORDER BY place) AS e FROM m GROUP BY track_id),
         g AS (SELECT identity AS player, embedding AS e FROM appearance WHERE identity % 4 <> 3 QUALIFY row_number() OVER (PARTITION BY identity ORDER BY vec_id) = 1)
         SELECT track_id, player, round(({COS.format("t.e", "g.e")} + 1) * 0.5, 6) AS sim FROM t, g""",
@@ -296,7 +296,7 @@ SQL: dict[str, str] = {
     "teams_of_files": """SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'Home Team' ELSE CASE substr(n_name, 1, 3) WHEN 'FRA' THEN 'France' WHEN 'JAP' THEN 'Japan' ELSE substr(n_name, 1, 3) END END AS home,
         CASE WHEN n_nationkey % 4 = 0 THEN 'Away Team' ELSE n_regionkey || 'x' END AS away FROM nation""",
     "summary_provenance": f"""{SUM} SELECT track_id, CASE WHEN jersey IS NOT NULL THEN CASE WHEN track_id % 2 = 0 THEN 'label_inherited_from' ELSE 'identity_stitched_from' END END AS field, jersey AS source FROM summary""",
-    "memory_vectors": f"""{with_views("appearance")}, v AS (SELECT identity AS player, embedding AS e, row_number() OVER (PARTITION BY identity ORDER BY vec_id) AS i FROM appearance WHERE vec_id % 4 = 1),
+    "memory_vectors": f"""{with_views("appearance")}, v AS (SELECT identity AS player, embedding AS e, row_number() OVER (PARTITION BY identity ORDER BY vec_id) AS i FROM appearance),
         st AS (SELECT player, i, e FROM v WHERE i = 1 UNION ALL SELECT player, i, list_transform(m, lambda x: x / greatest(sqrt(list_dot_product(m, m)), 1e-8)) FROM
             (SELECT v.player, v.i, list_transform(range(1, 65), lambda k: 0.8 * st.e[k] + 0.2 * v.e[k]) AS m FROM st JOIN v ON v.player = st.player AND v.i = st.i + 1)),
         l AS (SELECT player, e FROM st QUALIFY i = max(i) OVER (PARTITION BY player))

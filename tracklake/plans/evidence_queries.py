@@ -74,7 +74,7 @@ def gallery_similarity(spark, d):
     """Track means against the first embedding of each identity: (cosine + 1) / 2."""
     a = S.appearance(spark, d)
     w = F.greatest(F.lit(0.01), _mod(F.col("vec_id"), 10) / 10.0)
-    t = a.where(_mod(F.col("vec_id"), 3) == 1).groupBy(_mod(F.col("vec_id"), 7).alias("track_id")).agg(V.weighted_mean_vector("embedding", w, DIM).alias("embedding")).withColumn("clip", F.lit(1))
+    t = a.groupBy(_mod(F.col("vec_id"), 7).alias("track_id")).agg(V.weighted_mean_vector("embedding", w, DIM).alias("embedding")).withColumn("clip", F.lit(1))
     g = evidence.first_of(a, ["identity"], F.col("vec_id")).select(F.lit(1).alias("clip"), F.col("identity").alias("player"), F.when(_mod(F.col("identity"), 4) != 3, F.col("embedding")).alias("embedding"))
     return evidence.gallery_similarity(t, g, "clip").withColumns(_r("sim"))
 
@@ -388,7 +388,7 @@ def adjacent_accuracy(spark, d):
 def _display(spark, d):
     s = S.summary(spark, d)
     shown = s.select("track_id", F.when(F.col("confidence") >= 0.48, F.col("resolved")).alias("name"), (F.col("start_s") / 86400).alias("start_s"), (F.col("end_s") / 86400).alias("end_s"), "duration")
-    return evaluate.display_report(shown, S.squad(spark, d).where("nr % 2 = 0").select(F.col("player").alias("name")), 20)
+    return evaluate.display_report(shown, S.squad(spark, d).select(F.col("player").alias("name")), 20)
 
 
 def display_report(spark, d):
@@ -455,7 +455,7 @@ def greedy_assignment(spark, d):
 
 
 def memory_vectors(spark, d):
-    a = S.appearance(spark, d).where(_mod(F.col("vec_id"), 4) == 1)
+    a = S.appearance(spark, d)
     return identity.memory_vectors(a.select(F.col("identity").alias("player"), F.col("vec_id").alias("seq"), "embedding")).select("player", F.posexplode("embedding").alias("place", "value")).withColumns(_r("value"))
 
 
