@@ -13,7 +13,7 @@ into fragments: the counted class, and equal ranges of the others. Every set is
   pair are held against the sizes. No task needs a whole set. No pair is missed and none is guessed.
 
 Equal sets are one unit, so copies cost nothing, and shingles that the same units hold are one key. A key would give the square of its units in
-pairs, so in the first round, and in more while these are many, every key has a pivot, every unit is compared with one pivot that it meets, and units found
+pairs, so in the first rounds, and in more while these are very many, every key has a pivot, every unit is compared with one pivot that it meets, and units found
 together are not compared again. The last round compares all pairs that are apart and possible, so the components
 are those of all links; keys with many units are dealt in blocks. Statistics of keys are summed up and joined back, so a shingle of a third of all
 texts is split like any other skewed key.
@@ -45,8 +45,8 @@ PARITIES = 512
 SMALL = 500_000
 #: Rows that a Python worker gets at once.
 BATCH = 1024
-#: Pivot rounds at most, pairs a key entry beyond which there is another one, and units of a key in a block of the last round.
-ROUNDS, MANY, BLOCK = 5, 30, 2000
+#: Pivot rounds at least and at most, pairs a key entry beyond which there is another one, and units of a key in a block of the last round.
+LEAST, ROUNDS, MANY, BLOCK = 2, 5, 3000, 2000
 _CUTS = np.array([LOW + (1 - LOW) * k / (FRAGMENTS - 1) for k in range(FRAGMENTS - 1)])
 _CUTS = np.array([int(c * (1 << 64)) for c in _CUTS], np.uint64)
 
@@ -206,18 +206,21 @@ def _blocks(rooted: DataFrame, live: DataFrame, rule: Rule) -> DataFrame:
 def _pivots(rooted: DataFrame, live: DataFrame, rule: Rule, nr: int) -> DataFrame:
     """For each unit one possible pair with a pivot of its keys.
 
-    A group found together is one among the candidates for the pivot; the first pivots have the least of their own before the key.
+    The first pivots have the least of their own before the key. The second ones are any of the key's largest group, which the others are likely to belong to; after that
+    a group found together is one among the candidates.
     """
-    central = lambda c: F.struct(~F.col(f"{c}.head"), F.col(f"{c}.at") / F.col(f"{c}.n") if nr == 0 else F.lit(0.0), F.xxhash64(f"{c}.root", F.lit(nr)), F.xxhash64(f"{c}.unit", F.lit(nr)))
-    open_ = rooted.join(live.select("key"), "key")
+    mixed = lambda c: F.xxhash64(f"{c}.unit", F.lit(nr))
+    orders = {0: lambda c: F.struct(~F.col(f"{c}.head"), F.col(f"{c}.at") / F.col(f"{c}.n"), mixed(c)), 1: lambda c: F.struct(F.col(f"{c}.root") != F.col("main"), ~F.col(f"{c}.head"), mixed(c))}
+    central = orders.get(nr, lambda c: F.struct(~F.col(f"{c}.head"), F.xxhash64(f"{c}.root", F.lit(nr)), mixed(c)))
+    open_ = rooted.join(live.select("key", "main"), "key")
     met = open_.groupBy("key").agg(F.min_by("y", central("y")).alias("x")).join(open_, "key").where(F.col("x.root") != F.col("y.root"))
-    return met.where(rule.possible("x", "y")).groupBy("y.unit").agg(F.min_by("x", central("x")).alias("x"), F.first("y").alias("y")).select("x", "y")
+    return met.where(rule.possible("x", "y")).groupBy("y.unit").agg(F.min_by("x", mixed("x")).alias("x"), F.first("y").alias("y")).select("x", "y")
 
 
 def linked_components(got: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
     """node and root of every unit that is linked with another one, but the roots.
 
-    One round with pivots comes first, more of them while the pairs are many for the number of entries, then all that is left. A
+    Two rounds with pivots come first, more of them while the pairs are very many for the number of entries, then all that is left. A
     round goes on with the keys that hold units of different groups.
     """
     spark = got.sparkSession
@@ -234,11 +237,11 @@ def linked_components(got: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
             # pairs of different roots, without those of two tails
             per = rooted.groupBy("key", "y.root").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("y.head")).alias("t"))
             square = lambda c: F.sum(F.col(c)).cast("double") * F.sum(F.col(c)) - F.sum(F.col(c).cast("double") * F.col(c))
-            live = spool(per.groupBy("key").agg(((square("c") - square("t")) / 2).alias("pairs"), F.sum("c").alias("c")).where("pairs > 0"))
+            live = spool(per.groupBy("key").agg(((square("c") - square("t")) / 2).alias("pairs"), F.sum("c").alias("c"), F.max_by("root", F.struct("c", "root")).alias("main")).where("pairs > 0"))
             apart = live.agg(F.sum("pairs")).first()[0] or 0
             if not apart:
                 break
-            last = nr == ROUNDS or nr > 0 and apart <= MANY * size
+            last = nr == ROUNDS or nr >= LEAST and apart <= MANY * size
             met = _blocks(rooted, live, rule) if last else _pivots(rooted, live, rule, nr)
             pairs = met.select(F.least("x.unit", "y.unit").alias("a"), F.greatest("x.unit", "y.unit").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"))
             with scratch(spark):
