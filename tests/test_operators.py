@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tracklake.operators import linking, matching, spatial, tracks, votes
 from tracklake.sources import files

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.plans.oracles import EXT, FRAG, HSV, OBS, PAIRS, SPANS, TEAMD, VOTES, C, _gaps
+from tracklake.plans.oracles import FRAG, HSV, OBS, PAIRS, SPANS, TEAMD, VOTES, C, _gaps
 from tracklake.sources.views import with_views
 
 FUSION = with_views("observations", "gt_boxes", "squad", "summary")
