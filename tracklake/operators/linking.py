@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,21 +143,37 @@ def active_windows(spans: DataFrame, length: float, step: float, *, clip: str |
 def inherit_labels(losers: DataFrame, winners: DataFrame, candidates: DataFrame, *, max_overlap: float, min_ratio: float) -> DataFrame:
     """For each loser the label of the best winner of its team that stands among its own candidates.
 
+    Losers and winners meet by team and label, where a loser stops at the first winner in order that it may follow; pairs are never written.
     losers: track_id, team, start_s, end_s, best_score; winners: also label, score;
     candidates: track_id, candidate, score (long form).
     """
     c = losers.join(candidates, "track_id").where(F.col("score") >= min_ratio * F.col("best_score")).select(
-        F.col("track_id").alias("loser"), "team", F.col("candidate").alias("label"), F.col("start_s").alias("l0"), F.col("end_s").alias("l1")
+        "team", F.col("candidate").alias("label"), F.lit(True).alias("loses"), F.col("track_id").alias("id"), F.col("start_s").alias("t0"), F.col("end_s").alias("t1"), F.lit(None).cast("double").alias("score")
     )
-    w = winners.select("team", "label", F.col("track_id").alias("winner"), F.col("start_s").alias("w0"), F.col("end_s").alias("w1"), F.col("score").alias("w_score"))
+    w = winners.select("team", "label", F.lit(False).alias("loses"), F.col("track_id").alias("id"), F.col("start_s").alias("t0"), F.col("end_s").alias("t1"), F.col("score").cast("double").alias("score"))
+    kinds = {f.name: f.dataType.simpleString() for f in c.schema}
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        """Each loser's first winner that fits, looked for in ever longer pieces of the winners' order."""
+        won = part[~part["loses"]].sort_values(["score", "id"], ascending=[False, True])
+        lost = part[part["loses"]]
+        (li, l0, l1), (wi, w0, w1) = ([df[x].to_numpy() for x in ("id", "t0", "t1")] for df in (lost, won))
+        found, left, at, size = np.full(len(lost), -1), np.arange(len(lost)), 0, 64
+        while len(left) and at < len(won):
+            piece, still = slice(at, at + size), []
+            for some in np.array_split(left, -(-len(left) * size // 4_000_000)):
+                both = np.minimum(l1[some, None], w1[None, piece]) - np.maximum(l0[some, None], w0[None, piece])
+                fits = (np.maximum(0.0, both) <= max_overlap) & (li[some, None] != wi[None, piece])
+                hit = fits.any(axis=1)
+                found[some[hit]] = at + fits[hit].argmax(axis=1)
+                still.append(some[~hit])
+            left, at, size = np.concatenate(still), at + size, size * 2
+        hit = found >= 0
+        return pd.DataFrame({"loser": li[hit], "winner": wi[found[hit]], "label": part["label"].iloc[0], "w_score": won["score"].to_numpy()[found[hit]]})
+
     order = Window.partitionBy("loser").orderBy(F.desc("w_score"), "winner", "label")
-    return (
-        c.join(w, ["team", "label"])
-        .where((F.col("loser") != F.col("winner")) & (G.overlap_seconds(F.col("l0"), F.col("l1"), F.col("w0"), F.col("w1")) <= max_overlap))
-        .withColumn("rank", F.row_number().over(order))
-        .where("rank = 1")
-        .select("loser", "winner", "label")
-    )
+    got = c.unionByName(w).where("team is not null and label is not null").groupBy("team", "label").applyInPandas(best, f"loser {kinds['id']}, winner {kinds['id']}, label {kinds['label']}, w_score double")
+    return got.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("loser", "winner", "label")
 
 
 def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -36,7 +36,7 @@ def window_votes(spark, d):
 
 def _members(spark, d):
     s = _spans(spark, d)
-    c = linking.components(linking.gap_candidates(s, 6 * HOUR, 250.0).select("a", "b"))
+    c = linking.components(linking.gap_forest(s, 6 * HOUR, 250.0))
     return c.join(s, c.node == s.track_id).select(
         F.col("root").alias("cluster_id"), "team", "track_id", F.col("track_id").alias("member"), F.col("identity").cast("string").alias("label"), F.round("score", 6).alias("score")
     )
