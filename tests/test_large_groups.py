@@ -30,3 +30,36 @@ def test_inherited_labels_equal_all_pairs_without_a_join_of_them(spark):
     )
     assert {r["loser"]: (r["winner"], r["label"]) for r in got.collect()} == want
     assert plan(got).count("Join") == 1  # losers with their candidates; winners meet them in groups
+
+
+def _tracks(spark, n=400):
+    rng = random.Random(9)
+    rows = []
+    for t in range(n):
+        s = float(rng.randrange(300))
+        rows.append((t, t % 3, s, s + rng.randrange(6), *(float(10 * rng.randrange(30)) for _ in range(4)), float(rng.randrange(20))))
+    return spark.createDataFrame(rows, "track_id long, team long, start_s double, end_s double, x0 double, y0 double, x1 double, y1 double, score double")
+
+
+def test_stitching_of_tracks_equals_that_of_all_pairs(spark):
+    t = _tracks(spark)
+    want = linking.gap_stitch(linking.gap_candidates(t, 5.0, 90.0), t.select("track_id", "score"))
+    got = linking.stitch_tracks(t, 5.0, 90.0)
+    assert want.count() > 100 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in plan(got)
+
+
+def test_nearest_of_blocks_equals_that_of_all_pairs(spark):
+    t = _tracks(spark)
+    want = linking.nearest_successor(linking.gap_candidates(t, 5.0, 90.0))
+    got = linking.gap_nearest(t, 5.0, 90.0)
+    assert want.count() > 100 and sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in plan(got)
+
+
+def test_forest_has_the_components_of_all_pairs_in_few_edges(spark):
+    t = _tracks(spark)
+    pairs = linking.gap_candidates(t, 5.0, 90.0).select("a", "b")
+    forest = linking.gap_forest(t, 5.0, 90.0).cache()
+    assert forest.count() < pairs.count() and forest.exceptAll(pairs).count() == 0
+    assert sorted(map(tuple, linking.components(forest).collect())) == sorted(map(tuple, linking.components(pairs).collect()))

@@ -84,6 +84,153 @@ def gap_stitch(pairs: DataFrame, scores: DataFrame, rounds: int = 5) -> DataFram
     return rows.groupBy("root").applyInPandas(stitch, "source long, sink long, round int")
 
 
+def _reaches(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The ends and, in order of time and id, the starts of a block of ``_gap_blocks``."""
+    return part[~part["starts"]].sort_values(["t", "id"]), part[part["starts"]].sort_values(["t", "id"])
+
+
+def _gap_blocks(tracks: DataFrame, max_gap: float, clip: str | None) -> tuple[DataFrame, list[str]]:
+    """Every end of a track in the bucket of its time, and every start in its own bucket and the one before, where all ends that reach it are."""
+    key = [*_key(clip), "team", "bucket"]
+    at = lambda starts, t, x, y, back: F.struct(
+        (F.floor(F.col(t) / max_gap) - back).alias("bucket"), F.lit(starts).alias("starts"), F.col(t).alias("t"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
+    )
+    dealt = tracks.where("team is not null").select(
+        *_key(clip), "team", F.col("track_id").alias("id"), F.inline(F.array(at(False, "end_s", "x1", "y1", 0), at(True, "start_s", "x0", "y0", 0), at(True, "start_s", "x0", "y0", 1)))
+    )
+    return dealt.where("t is not null"), key
+
+
+def gap_nearest(tracks: DataFrame, max_gap: float, max_distance: float, *, clip: str | None = None) -> DataFrame:
+    """(clip,) a, b, gap, distance: ``nearest_successor`` of ``gap_candidates``; a block's pairs are compared as matrices and only the nearest leave it."""
+    dealt, key = _gap_blocks(tracks, max_gap, clip)
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+
+    def nearest(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = _reaches(part)
+        out, size = [], 256
+        at, bt = a["t"].to_numpy(), b["t"].to_numpy()
+        (ai, ax, ay), (bi, bx, by) = ([df[c].to_numpy() for c in ("id", "x", "y")] for df in (a, b))
+        for k in range(0, len(a), size):
+            rows = slice(k, k + size)
+            some = slice(np.searchsorted(bt, at[rows][0]), np.searchsorted(bt, at[rows][-1] + max_gap + 1, side="right"))
+            if some.start >= some.stop:
+                continue
+            gap = bt[None, some] - at[rows, None]
+            dx, dy = ax[rows, None] - bx[None, some], ay[rows, None] - by[None, some]
+            far = np.sqrt(dx * dx + dy * dy)
+            far[~((gap >= 0) & (gap <= max_gap) & (far <= max_distance) & (bi[None, some] != ai[rows, None]))] = np.inf
+            best = far.argmin(axis=1)  # the first of equal ones has the smallest gap, then id
+            each = np.arange(len(best))
+            found = np.isfinite(far[each, best])
+            out.append(pd.DataFrame({"a": ai[rows][found], "b": bi[some][best[found]], "gap": gap[each, best][found], "distance": far[each, best][found]}))
+        got = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["a", "b", "gap", "distance"])
+        for c in _key(clip):
+            got.insert(0, c, part[c].iloc[0])
+        return got
+
+    schema = "".join(f"{c} {kinds[c]}, " for c in _key(clip)) + f"a {kinds['id']}, b {kinds['id']}, gap double, distance double"
+    return dealt.groupBy(*key).applyInPandas(nearest, schema)
+
+
+def gap_forest(tracks: DataFrame, max_gap: float, max_distance: float, *, clip: str | None = None) -> DataFrame:
+    """(a, b): some of the pairs of ``gap_candidates``, fewer than a block's ends and starts, that connect the same tracks.
+
+    A block is searched breadth first: every track is reached once, by one edge, and then leaves the search.
+    """
+    dealt, key = _gap_blocks(tracks, max_gap, clip)
+    kind = dealt.schema["id"].dataType.simpleString()
+
+    def forest(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = _reaches(part)
+        side = [{c: df[c].to_numpy() for c in ("id", "t", "x", "y")} for df in (a, b)]
+        open_ = [np.arange(len(a)), np.arange(len(b))]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def met(s: int, i: int) -> np.ndarray:
+            """The open rows of the other side that pair with row i; they are no longer open."""
+            me, other, rest = side[s], side[1 - s], open_[1 - s]
+            t = me["t"][i]
+            low, high = (t, t + max_gap) if s == 0 else (t - max_gap, t)
+            lo, hi = np.searchsorted(other["t"][rest], [low - 1, high + 1])
+            rows = rest[lo:hi]
+            gap = (other["t"][rows] - t) if s == 0 else (t - other["t"][rows])
+            dx, dy = other["x"][rows] - me["x"][i], other["y"][rows] - me["y"][i]
+            fits = (gap >= 0) & (gap <= max_gap) & (np.sqrt(dx * dx + dy * dy) <= max_distance) & (other["id"][rows] != me["id"][i])
+            if fits.any():
+                open_[1 - s] = np.concatenate((rest[:lo], rows[~fits], rest[hi:]))
+            return rows[fits]
+
+        seen = np.zeros(len(a), bool)
+        for first in range(len(a)):
+            if seen[first]:
+                continue
+            seen[first] = True
+            open_[0] = open_[0][open_[0] != first]
+            todo = [(0, first)]
+            while todo:
+                s, i = todo.pop()
+                new = met(s, i)
+                if not len(new):
+                    continue
+                if s == 1:
+                    seen[new] = True
+                ends = (np.full(len(new), side[s]["id"][i]), side[1 - s]["id"][new])
+                out.append(ends if s == 0 else ends[::-1])
+                todo += [(1 - s, j) for j in new.tolist()]
+        if not out:
+            return pd.DataFrame(columns=["a", "b"])
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
+
+    return dealt.groupBy(*key).applyInPandas(forest, f"a {kind}, b {kind}")
+
+
+def stitch_tracks(tracks: DataFrame, max_gap: float, max_distance: float, rounds: int = 5, *, clip: str | None = None) -> DataFrame:
+    """source, sink, round: ``gap_stitch`` of ``gap_candidates``, without making the pairs.
+
+    tracks: as there, and score. Tracks of different teams never meet, so a team (of a clip) is one group, of which a task holds a few numbers
+    a track; a source looks for its nearest free successor among the starts that its end reaches.
+    """
+    key = [*_key(clip), "team"]
+    rows = tracks.where("team is not null").select(*key, F.col("track_id").alias("id"), "start_s", "end_s", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], F.col("score").cast("double").alias("score"))
+
+    def stitch(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["start_s", "id"])
+        ids, start, end, x0, y0, x1, y1, score = (part[c].to_numpy() for c in ("id", "start_s", "end_s", "x0", "y0", "x1", "y1", "score"))
+        rank = np.empty(len(ids), np.int64)
+        rank[np.lexsort((ids, -score))] = np.arange(len(ids))
+        keep = np.flatnonzero(~np.isnan(start.astype(float)))
+        t, x, y, free, taken = start[keep], x0[keep], y0[keep], np.ones(len(keep), bool), 0
+        sources, out = np.argsort(rank), []
+        for nr in range(rounds):
+            reached = []
+            for i in sources.tolist():
+                if taken * 2 > len(keep):  # what is used goes, so later searches are shorter
+                    keep, t, x, y = keep[free], t[free], x[free], y[free]
+                    free, taken = np.ones(len(keep), bool), 0
+                lo, hi = np.searchsorted(t, [end[i], end[i] + max_gap + 1])
+                if lo >= hi:
+                    continue
+                gap = t[lo:hi] - end[i]
+                dx, dy = x1[i] - x[lo:hi], y1[i] - y[lo:hi]
+                far = np.sqrt(dx * dx + dy * dy)
+                far[~(free[lo:hi] & (gap <= max_gap) & (far <= max_distance) & (keep[lo:hi] != i))] = np.inf
+                at = int(far.argmin())  # the first of equal ones has the smallest gap, then id
+                if np.isfinite(far[at]):
+                    sink = int(keep[lo + at])
+                    free[lo + at] = False
+                    taken += 1
+                    reached.append(sink)
+                    out.append((ids[i], ids[sink], nr))
+            sources = np.array(sorted(reached, key=rank.__getitem__), np.int64)
+            if not len(sources):
+                break
+        return pd.DataFrame(out, columns=["source", "sink", "round"])
+
+    kind = tracks.schema["track_id"].dataType.simpleString()
+    return rows.groupBy(*key).applyInPandas(stitch, f"source {kind}, sink {kind}, round int")
+
+
 def overlap_pairs(spans: DataFrame, bucket: float) -> DataFrame:
     """Pairs of one identity whose intervals overlap, with seconds and ratio to the shorter one.
 
