@@ -2,35 +2,56 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklake.functions import geometry as G
 from tracklake.operators import votes
-from tracklake.operators.matching import greedy_matching, optimal_pairs
+from tracklake.operators.matching import optimal_pairs
 from tracklake.operators.ranking import next_value
 
 
-def interval_matches(predicted: DataFrame, truth: DataFrame, *, least: float = 0.3, bucket: float = 10.0, clip: str | None = None) -> DataFrame:
+def interval_matches(predicted: DataFrame, truth: DataFrame, *, least: float = 0.3, clip: str | None = None) -> DataFrame:
     """(clip,) pred_id, true_id, iou: in the order of their ids the predictions take their best free interval of the label.
 
-    Both: (clip,) id, label, start_s, end_s. Only pairs that overlap are made, by time buckets; each meets in the bucket of its common
-    start. Pairs below ``least`` are never taken and go before the matching.
+    Both: (clip,) id, label, start_s, end_s. The order is the meaning of the operator, so a label (of a clip) is one group: a task holds its
+    intervals, three numbers each, and a prediction looks at the free ones whose start lets them reach ``least``. No pairs are written.
     """
     key = [*([clip] if clip else []), "label"]
-
-    def side(df: DataFrame, n: str) -> DataFrame:
-        slots = F.sequence(F.floor(F.col("start_s") / bucket), F.floor(F.col("end_s") / bucket))
-        return df.select(*key, F.col("id").alias(f"{n}_id"), F.col("start_s").alias(f"{n}0"), F.col("end_s").alias(f"{n}1"), F.explode(slots).alias("slot"))
-
-    iou = G.interval_iou(F.col("p0"), F.col("p1"), F.col("t0"), F.col("t1"))
-    pairs = (
-        side(predicted, "p").join(side(truth, "t"), [*key, "slot"]).where(F.col("slot") == F.floor(F.greatest("p0", "t0") / bucket))
-        .withColumn("iou", iou).where((F.col("iou") > 0) & (F.col("iou") >= least)).select(*key, F.col("p_id").alias("pred_id"), F.col("t_id").alias("true_id"), "iou")
-    )
-    won = greedy_matching(pairs, key, "pred_id", "true_id", [F.col("pred_id"), -F.col("iou"), F.col("true_id")])
-    return won.select(*key[:-1], "pred_id", "true_id", "iou")
+    side = lambda df, n: df.dropna(subset=[*key, "start_s", "end_s"]).select(*[F.col(c).alias(f"{n}_{c}") for c in key], "id", F.col("start_s").cast("double").alias("s"), F.col("end_s").cast("double").alias("e"))
+    kinds = {f.name: f.dataType.simpleString() for f in predicted.schema}
+    true_kind = truth.schema["id"].dataType.simpleString()
+
+    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("id"), b.sort_values(["s", "id"])
+        (ids, s, e), (names, t0, t1) = ([df[c].to_numpy() for c in ("id", "s", "e")] for df in (a, b))
+        free, taken, out = np.ones(len(b), bool), 0, []
+        for i in range(len(a)):
+            if taken * 2 > len(t0):  # what is taken goes, so later searches are shorter
+                names, t0, t1 = names[free], t0[free], t1[free]
+                free, taken = np.ones(len(t0), bool), 0
+            size, lo, hi = e[i] - s[i], 0, len(t0)
+            if least > 0:
+                slack = 1e-3 + 1e-9 * abs(e[i])
+                lo, hi = np.searchsorted(t0, [e[i] - size / least - slack, e[i] - size * least + slack])
+            if lo >= hi:
+                continue
+            both = np.maximum(0.0, np.minimum(e[i], t1[lo:hi]) - np.maximum(s[i], t0[lo:hi]))
+            hull = np.maximum(e[i], t1[lo:hi]) - np.minimum(s[i], t0[lo:hi])
+            iou = np.divide(both, hull, out=np.zeros_like(both), where=(hull > 0) & free[lo:hi])
+            best = iou.max()
+            if best > 0 and best >= least:
+                at = np.flatnonzero(iou == best) + lo
+                j = int(at[names[at].argmin()])
+                free[j] = False
+                taken += 1
+                out.append((*[a[f"p_{c}"].iloc[0] for c in key[:-1]], ids[i], names[j], float(best)))
+        return pd.DataFrame(out, columns=[*key[:-1], "pred_id", "true_id", "iou"])
+
+    schema = "".join(f"{c} {kinds[c]}, " for c in key[:-1]) + f"pred_id {kinds['id']}, true_id {true_kind}, iou double"
+    group = lambda df, n: side(df, n).groupBy(*[f"{n}_{c}" for c in key])
+    return group(predicted, "p").cogroup(group(truth, "t")).applyInPandas(match, schema)
 
 
 def f1_scores(predicted: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
@@ -115,8 +136,6 @@ def adjacent_assignment(appearance: DataFrame) -> DataFrame:
 
     Frames are matched alone, so a group is two frames. appearance: vec_id, frame, identity, embedding.
     """
-    import numpy as np
-
     after = next_value(appearance.select("frame").distinct(), "frame", 4096, "next_frame").where("next_frame is not null")
     own = appearance.select("vec_id", "frame", "identity", "embedding")
     left = own.join(after, "frame").select(F.col("frame").alias("pair"), F.lit(0).alias("side"), "vec_id", "identity", "embedding")
