@@ -18,6 +18,10 @@ from tracklake.functions import vector as V
 from tracklake.operators.ranking import next_value
 
 
+#: So many queries of a block are compared with its gallery at a time, which bounds a task's matrices.
+SLICE = 128
+
+
 def unit(appearance: DataFrame) -> DataFrame:
     return appearance.withColumn("n", V.norm(F.col("embedding"))).withColumn(
         "embedding", F.transform("embedding", lambda x: x / F.greatest(F.col("n"), F.lit(1e-12)))
@@ -183,13 +187,17 @@ def fusion_sweep(queries: DataFrame, gallery: DataFrame, weights: list[float]) -
         out = []
         if len(a) and len(b):
             b = b.sort_values("vec_id")
-            one, two = (np.round(_matrix(a[c]) @ _matrix(b[c]).T, 9) for c in ("embedding", "other"))
-            fits = _other_frames(a, b)
+            sides = [(_matrix(a[c]), _matrix(b[c]).T) for c in ("embedding", "other")]
             ids, labels = b["vec_id"].to_numpy(), b["identity"].to_numpy()
-            for w in weights:
-                fused = np.where(fits, np.round((1 - w) * one + w * two, 9), -np.inf)
-                best = fused.argmax(axis=1)
-                out += [(w, q, i, ids[j], labels[j], row[j]) for q, i, j, row in zip(a["vec_id"], a["identity"], best.tolist(), fused) if np.isfinite(row[j])]
+            for k in range(0, len(a), SLICE):
+                part = a.iloc[k : k + SLICE]
+                one, two = (np.round(x[k : k + SLICE] @ y, 9) for x, y in sides)
+                fits = _other_frames(part, b)
+                for w in weights:
+                    fused = np.where(fits, np.round((1 - w) * one + w * two, 9), -np.inf)
+                    best = fused.argmax(axis=1)
+                    top = fused[np.arange(len(best)), best]
+                    out += [(w, q, i, ids[j], labels[j], v) for q, i, j, v in zip(part["vec_id"], part["identity"], best.tolist(), top.tolist()) if np.isfinite(v)]
         return pd.DataFrame(out, columns=["weight", "q_id", "q_identity", "vec_id", "found", "fused"])
 
     schema = f"weight double, q_id {kinds['vec_id']}, q_identity {kinds['identity']}, vec_id {kinds['vec_id']}, found {kinds['identity']}, fused double"
