@@ -1,8 +1,11 @@
 """Operators whose pairs grow with the square of a group: the same rows as over all pairs, with none of them exchanged."""
 
+import math
 import random
 
-from tracklake.operators import evaluate, linking, spatial
+from pyspark.sql import functions as F
+
+from tracklake.operators import evaluate, linking, registry, spatial
 
 
 def plan(df):
@@ -106,3 +109,44 @@ def test_intervals_of_one_label_pair_without_a_join(spark):
     got = evaluate.interval_matches(spark.createDataFrame(p, kind), spark.createDataFrame(t, kind))
     assert sorted(map(tuple, got.select("pred_id", "true_id").collect())) == want
     assert "Join" not in plan(got)
+
+
+def located(spark, n=120):
+    rng = random.Random(11)
+    vector = lambda: [float(rng.randrange(-2, 3)) for _ in range(4)]
+    obs = [(i, i % 40, i % 3, [None, 0, 1][i % 3], float(rng.randrange(60)), float(rng.randrange(60)), vector() if i % 7 else None) for i in range(n)]
+    places = [(i % 3, i, [None, 0, 1][i % 3 - 1], float(rng.randrange(60)), float(rng.randrange(60)), vector()) for i in range(n // 2)]
+    locked = [(t, t) for t in range(0, 40, 11)]
+    return (
+        spark.createDataFrame(obs, "obs_id long, track_id long, frame long, team long, x double, y double, embedding array<double>"),
+        spark.createDataFrame(places, "frame long, player long, team long, x double, y double, embedding array<double>"),
+        spark.createDataFrame(locked, "track_id long, player long"), obs, places,
+    )
+
+
+def test_location_scores_equal_all_pairs_without_a_join_of_them(spark):
+    o, e, _, obs, places = located(spark)
+    want = {}
+    for i, _, frame, team, x, y, v in obs:
+        for at, p, other, px, py, w in places:
+            gone = math.hypot(x - px, y - py)
+            if frame != at or v is None or gone > 25 or (team is not None and other is not None and team != other):
+                continue
+            size = math.hypot(*v) * math.hypot(*w)
+            sim = sum(a * b for a, b in zip(v, w)) / size if size > 1e-8 else 0.0
+            score = 0.5 * (1 - gone / 25) + 0.5 * (sim + 1) / 2
+            if sim >= -0.3 and score >= 0.35:
+                want[i, p] = round(score, 9)
+    got = registry.location_scores(o, e, reach=25.0, least_similarity=-0.3, least=0.35)
+    assert {(r["obs_id"], r["player"]): round(r["score"], 9) for r in got.collect()} == want and len(want) > 30
+    assert plan(got).count("Join") == 0
+
+
+def test_locations_assigned_in_bands_equal_the_pass_over_all_scores(spark):
+    o, e, locked, *_ = located(spark, 300)
+    given = {"reach": 40.0, "least_similarity": -0.9, "least": 0.1}
+    scored = registry.location_scores(o, e, **given).withColumn("score", F.round("score", 9))
+    want = sorted(map(tuple, registry.assign_locations(o, locked, scored).collect()))
+    for most in (10**9, 500):
+        assert sorted(map(tuple, registry.locate_observations(o, e, locked, **given, most=most).collect())) == want
+    assert sum(not x[2] for x in want) > 50
