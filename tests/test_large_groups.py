@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracklake.operators import evaluate, linking, registry, spatial
+from tracklake.operators import evaluate, linking, registry, retrieval, spatial
 
 
 def plan(df):
@@ -150,3 +150,11 @@ def test_locations_assigned_in_bands_equal_the_pass_over_all_scores(spark):
     for most in (10**9, 500):
         assert sorted(map(tuple, registry.locate_observations(o, e, locked, **given, most=most).collect())) == want
     assert sum(not x[2] for x in want) > 50
+
+
+def test_average_precision_makes_no_pairs(spark):
+    rows = [(i, i // 2, None if i % 9 == 0 else i % 3, [float(i % 4), 1.0, float(i % 5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, frame long, identity long, embedding array<double>")
+    one, many = (retrieval.retrieval_metrics(df.where("vec_id % 4 = 0"), df, chunk=n) for n in (1000, 4))
+    assert one.first() == many.first() and one.first()["queries"] == sum(i % 9 != 0 for i in range(0, 60, 4))
+    assert "Window [row_number" not in plan(many) and "collect_list" not in plan(many)

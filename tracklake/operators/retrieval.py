@@ -7,7 +7,7 @@ rows leave it. Metrics that need the rank of every positive count, block by bloc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,52 +84,136 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, *, team: str | None =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def positive_ranks(queries: DataFrame, gallery: DataFrame, *, chunk: int = 4096) -> DataFrame:
-    """q_id, vec_id and rank of every positive: the rows of a query's identity in other frames, among all rows of other frames by similarity, then vec_id.
-
-    Only positives are joined, by identity. Their similarities go to the blocks of the gallery, at most about ``chunk`` of a query at a
-    time; a block counts by binary search how many of its rows stand above each, and the counts are summed up.
+class _Ranks:
+    """A block of queries: the similarities of their positives, then how many rows of the gallery stand above each."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.ids, self.frames, self.labels, self.m = rows["vec_id"].to_numpy(), rows["frame"].to_numpy(), rows["identity"].to_numpy(), _matrix(rows["embedding"])
+        self.found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.ids]
+        self.ready = None
+
+    def _sims(self, rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Place and similarities of a few queries at a time, which bounds the matrices; NaN marks rows of a query's own frame."""
+        other, frames = _matrix(rows["embedding"]).T, rows["frame"].to_numpy()
+        for k in range(0, len(self.ids), SLICE):
+            sims = np.round(self.m[k : k + SLICE] @ other, 9)
+            sims[self.frames[k : k + SLICE, None] == frames[None, :]] = np.nan
+            yield from enumerate(sims, k)
+
+    def meet(self, rows: pd.DataFrame) -> None:
+        """Rows that have identities of the block."""
+        ids, labels = rows["vec_id"].to_numpy(), rows["identity"].to_numpy()
+        for k, row in self._sims(rows):
+            own = (labels == self.labels[k]) & ~np.isnan(row)
+            self.found[k].append((row[own], ids[own]))
+
+    def _start(self) -> None:
+        """Positives by similarity, equal ones from the last id on; ``step`` counts the rows by the number of positives that they stand above."""
+        self.ready = []
+        for parts in self.found:
+            sims, ids = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0), np.zeros(0, np.int64))
+            names = np.sort(ids)
+            order = np.lexsort((-np.searchsorted(names, ids), sims))
+            sims, ids = sims[order], ids[order]
+            starts = np.searchsorted(sims, sims, "left")
+            self.ready.append((sims, ids, names, starts * (len(ids) + 1) + len(ids) - np.searchsorted(names, ids), np.zeros(len(ids) + 1, np.int64)))
+        self.found = []
+
+    def count(self, rows: pd.DataFrame) -> None:
+        """Any rows of the gallery, each once."""
+        if self.ready is None:
+            self._start()
+        ids = rows["vec_id"].to_numpy()
+        for k, row in self._sims(rows):
+            sims, _, names, places, step = self.ready[k]
+            if not len(sims):
+                continue
+            seen = ~np.isnan(row)
+            row, who = row[seen], ids[seen]
+            above = np.searchsorted(sims, row, "left")
+            tied = np.flatnonzero((above < len(sims)) & (sims[np.minimum(above, len(sims) - 1)] == row))
+            # among equal ones a row stands above those with a larger id
+            own = above[tied] * (len(sims) + 1) + len(sims) - np.searchsorted(names, who[tied], "right")
+            above[tied] = np.searchsorted(places, own, "right")
+            step += np.bincount(above, minlength=len(step))
+
+    def ranks(self) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+        """Query, its positives and their ranks, best first."""
+        if self.ready is None:
+            self._start()
+        for q_id, (_, ids, _, _, step) in zip(self.ids, self.ready):
+            yield q_id, ids[::-1], 1 + np.cumsum(step[::-1])[:-1]
+
+
+def _ranked(queries: DataFrame, gallery: DataFrame, out: Callable[[_Ranks], pd.DataFrame], schema: str, q_block: int) -> DataFrame:
+    """``out`` of every block of queries after all of the gallery has passed it.
+
+    Queries are dealt by identity to blocks. A task gets, in order, a block's queries, the rows of their identities and all rows, batch by batch;
+    it holds the queries, the similarities of their positives and one batch.
     """
     cols = ["vec_id", "frame", "identity", "embedding"]
-    q, g = unit(queries).select(*cols), unit(gallery).select(*cols)
-    own = q.select(F.col("vec_id").alias("q_id"), F.col("frame").alias("_f"), "identity", F.col("embedding").alias("_e"))
-    pairs = own.join(g, "identity").where(F.col("frame") != F.col("_f")).select("q_id", "vec_id", F.round(V.dot(F.col("_e"), F.col("embedding")), 9).alias("sim"))
-    most = pairs.groupBy("q_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(-(-most // chunk) or 1))
-    asked = pairs.groupBy("q_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("sim", "vec_id"))).alias("p"))
-    rows = q.join(asked, q["vec_id"] == asked["q_id"]).select(*cols, F.col("p.sim").alias("sims"), F.col("p.vec_id").alias("ids"))
+    q, g = queries.select(*cols).where("identity is not null"), gallery.select(*cols)
+    sizes = q.groupBy("identity").agg(F.count(F.lit(1)).alias("n"))
+    total = q.count()
+    n = -(-total // q_block) or 1
+    # the blocks of an identity follow each other, so that a block has few identities
+    start = F.coalesce(F.sum("n").over(Window.orderBy("identity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row an identity
+    first = sizes.select("identity", F.floor(start * n / max(total, 1)).cast("int").alias("_first"), F.ceil((start + F.col("n")) * n / max(total, 1)).cast("int").alias("_end"))
+    first = first.withColumn("_n", F.greatest(F.lit(1), F.col("_end") - F.col("_first")))
+    mine = q.join(first, "identity").withColumn("_q", (F.col("_first") + F.pmod(F.xxhash64("vec_id"), F.col("_n"))).cast("int"))
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    met = g.join(first, "identity").withColumn("_q", every(F.col("_first"), F.col("_first") + F.col("_n") - 1))
+    seen = g.withColumn("_q", every(F.lit(0), F.lit(n - 1)))
+    parts = [df.select(F.col("_q").cast("int").alias("_q"), F.lit(k).alias("_pass"), *cols) for k, df in enumerate((mine, met, seen))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(n, "_q").sortWithinPartitions("_q", "_pass")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, asked = None, None, []
+
+        def begin() -> None:
+            nonlocal held, asked
+            held, asked = _Ranks(pd.concat(asked, ignore_index=True)), []
+
+        for batch in batches:
+            for (at, nr), part in batch.groupby(["_q", "_pass"]):
+                if at != block:
+                    if held is not None or asked:
+                        if held is None:
+                            begin()
+                        yield out(held)
+                    block, held, asked = at, None, []
+                if nr == 0:
+                    asked.append(part)
+                    continue
+                if held is None and asked:
+                    begin()
+                if held is not None:
+                    (held.meet if nr == 1 else held.count)(part)
+        if held is not None:
+            yield out(held)
+
+    return rows.mapInPandas(run, schema)
+
+
+def positive_ranks(queries: DataFrame, gallery: DataFrame, *, chunk: int = 1024) -> DataFrame:
+    """q_id, vec_id and rank of every positive: the rows of a query's identity in other frames, among all rows of other frames by similarity, then vec_id."""
     kind = gallery.schema["vec_id"].dataType.simpleString()
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            b = b.sort_values("vec_id")
-            names = b["vec_id"].to_numpy()
-            sims = np.round(_matrix(a["embedding"]) @ _matrix(b["embedding"]).T, 9)
-            sims[~_other_frames(a, b)] = -np.inf
-            for q_id, least, ids, row in zip(a["vec_id"], a["sims"], a["ids"], sims):
-                least, ids, order = np.asarray(least, float), np.asarray(ids), np.sort(row)
-                above = len(row) - np.searchsorted(order, least, side="right")
-                at = np.searchsorted(names, ids).clip(max=len(names) - 1)
-                above -= (names[at] == ids) & (row[at] > least)  # a row is never above itself
-                for k in np.flatnonzero(len(row) - np.searchsorted(order, least, side="left") - above > 0).tolist():
-                    above[k] += int(((row == least[k]) & (names < ids[k])).sum())
-                out.append(pd.DataFrame({"q_id": q_id, "vec_id": ids, "above": above.astype(np.int64)}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["q_id", "vec_id", "above"])
-
-    counts = in_blocks(rows, g, work, f"q_id {kind}, vec_id {kind}, above long")
-    return counts.groupBy("q_id", "vec_id").agg((F.sum("above") + 1).alias("rank"))
-
-
-def retrieval_metrics(queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    """queries, rank1, rank5 and mean average precision over queries with a positive."""
-    nth = F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))
-    per = (
-        positive_ranks(queries, gallery)
-        .withColumn("precision", nth / F.col("rank"))
-        .groupBy("q_id")
-        .agg(F.avg("precision").alias("ap"), F.min("rank").alias("best"))
-    )
+    def out(block: _Ranks) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"q_id": q, "vec_id": ids, "rank": ranks}) for q, ids, ranks in block.ranks()], ignore_index=True)
+
+    return _ranked(queries, gallery, out, f"q_id {kind}, vec_id {kind}, rank long", chunk)
+
+
+def retrieval_metrics(queries: DataFrame, gallery: DataFrame, *, chunk: int = 1024) -> DataFrame:
+    """queries, rank1, rank5 and mean average precision over queries with a positive; a query's precision is averaged in its task."""
+    kind = gallery.schema["vec_id"].dataType.simpleString()
+
+    def out(block: _Ranks) -> pd.DataFrame:
+        got = [(q, float(np.mean(np.arange(1, len(r) + 1) / r)), int(r[0])) for q, _, r in block.ranks() if len(r)]
+        return pd.DataFrame(got, columns=["q_id", "ap", "best"])
+
+    per = _ranked(queries, gallery, out, f"q_id {kind}, ap double, best long", chunk)
     share = lambda k: F.round(F.avg((F.col("best") <= k).cast("int")), 6)
     return per.agg(F.count(F.lit(1)).alias("queries"), share(1).alias("rank1"), share(5).alias("rank5"), F.round(F.avg("ap"), 6).alias("map"))
 
