@@ -158,3 +158,25 @@ def test_average_precision_makes_no_pairs(spark):
     one, many = (retrieval.retrieval_metrics(df.where("vec_id % 4 = 0"), df, chunk=n) for n in (1000, 4))
     assert one.first() == many.first() and one.first()["queries"] == sum(i % 9 != 0 for i in range(0, 60, 4))
     assert "Window [row_number" not in plan(many) and "collect_list" not in plan(many)
+
+
+def test_identity_edges_equal_all_pairs_without_a_join_of_them(spark):
+    rng = random.Random(5)
+    span = lambda: (lambda s: (s, s + rng.choice([0.0, 2.0, 9.0])))(float(rng.randrange(60)))
+    rows = [(i, 199 - i, rng.choice([None, "A", "B"]), rng.choice([None, "1", "2", "3"]), *span(), *[float(rng.randrange(9)) for _ in range(4)], [float(rng.randrange(-1, 2)) for _ in range(3)]) for i in range(200)]
+    visible = [("A", "1"), ("A", "2")]
+    want = set()
+    for a in rows:
+        for b in rows:
+            gap, team = b[4] - a[5], a[2] if a[2] is not None else b[2]
+            if a[0] == b[0] or not -1 <= gap <= 4 or (a[2] and b[2] and a[2] != b[2]) or (gap > 0 and math.hypot(a[8] - b[6], a[9] - b[7]) > 6):
+                continue
+            differ = a[3] and b[3] and a[3] != b[3]
+            if differ and (team != "A" or ((team, a[3]) in visible and (team, b[3]) in visible)):
+                continue
+            if sum(x * y for x, y in zip(a[10], b[10])) >= 1:
+                want.add((a[0], b[0]) if a[1] < b[1] else (b[0], a[0]))
+    schema = "track_id long, seq int, team string, jersey string, start_s double, end_s double, x0 double, y0 double, x1 double, y1 double, embedding array<double>"
+    got = linking.identity_edges(spark.createDataFrame(rows, schema), spark.createDataFrame(visible, "team string, jersey string"), least=1.0, max_gap=4.0, max_overlap=1.0, max_distance=6.0)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+    assert plan(got).count("Join") == 4  # both sides with the visible jerseys and teams

@@ -364,30 +364,72 @@ def identity_edges(
     (nullable), start_s, end_s, x0, y0, x1, y1, embedding (of unit length; null: no edge). The times cut the pairs by buckets, of
     a clip if its column is given; ``visible`` may have that column, too.
     """
+    from tracklake.operators.registry import PAIRS, cosine_codes, dots
+
     key = _key(clip)
     of_visible = key if key and clip in visible.columns else []
-    cols = ("track_id", "seq", "team", "jersey", "embedding")
     reach = max_gap + max_overlap
-    rows = tracks.where("embedding is not null")
-    a = rows.select(*key, *[F.col(c).alias(f"a_{c}") for c in cols], F.col("end_s").alias("a_end"), F.col("x1").alias("ax"), F.col("y1").alias("ay")).withColumn(
-        "bucket", _buckets(F.col("a_end") - max_overlap, F.col("a_end") + max_gap, reach)
-    )
-    b = rows.select(
-        *key, *[F.col(c).alias(f"b_{c}") for c in cols], F.col("start_s").alias("b_start"), F.col("x0").alias("bx"), F.col("y0").alias("by"), F.floor(F.col("start_s") / reach).alias("bucket")
-    )
-    gap = F.col("b_start") - F.col("a_end")
-    met = a.join(b, [*key, "bucket"]).where((F.col("a_track_id") != F.col("b_track_id")) & (gap <= max_gap) & (gap >= -max_overlap))
-    met = met.where(F.coalesce(F.col("a_team") == F.col("b_team"), F.lit(True)))
-    met = met.where((gap <= 0) | (G.distance((F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))) <= max_distance))
-    teams = visible.select(*of_visible, F.col("team").alias("_team")).distinct().withColumn("_listed", F.lit(True))
-    ok = lambda side: visible.select(*of_visible, F.col("team").alias("_team"), F.col("jersey").alias(f"{side}_jersey")).distinct().withColumn(f"_{side}", F.lit(True))
-    met = met.withColumn("_team", F.coalesce("a_team", "b_team")).join(teams, [*of_visible, "_team"], "left").join(ok("a"), [*of_visible, "_team", "a_jersey"], "left").join(ok("b"), [*of_visible, "_team", "b_jersey"], "left")
-    differ = F.coalesce(F.col("a_jersey") != F.col("b_jersey"), F.lit(False))
-    against = differ & (F.col("_listed").isNull() | (F.col("_a").isNotNull() & F.col("_b").isNotNull()))
-    alike = met.where(~against & (V.dot(F.col("a_embedding"), F.col("b_embedding")) >= least))
-    first = F.col("a_seq") < F.col("b_seq")
-    side = lambda x, y: F.when(first, F.col(f"{x}_track_id")).otherwise(F.col(f"{y}_track_id"))
-    return alike.select(*key, side("a", "b").alias("a"), side("b", "a").alias("b")).distinct()
+    of_jersey = visible.groupBy(*of_visible, "jersey").agg(F.collect_set("team").alias("_teams"))
+    listed = visible.select(*of_visible, "team").distinct().withColumn("_listed", F.lit(True))
+    rows = tracks.where("embedding is not null").join(of_jersey, [*of_visible, "jersey"], "left").join(listed, [*of_visible, "team"], "left")
+    cols = ["track_id", "seq", "team", "jersey", "start_s", "end_s", "x0", "y0", "x1", "y1", "embedding", "_teams", F.coalesce("_listed", F.lit(False)).alias("_listed")]
+    ends = rows.withColumn("bucket", _buckets(F.col("end_s") - max_overlap, F.col("end_s") + max_gap, reach)).select(*key, "bucket", *cols)
+    starts = rows.select(*key, F.floor(F.col("start_s") / reach).alias("bucket"), *cols)
+    starts = starts.select(*[F.col(c).alias(f"b_{c}") for c in starts.columns])
+
+    def after(t0, t1, x0, y0, x1, y1, i, j) -> np.ndarray:
+        """Whether j starts in time and place where i ends."""
+        gap = t0[j] - t1[i]
+        return (gap <= max_gap) & (gap >= -max_overlap) & ((gap <= 0) | (np.sqrt((x1[i] - x0[j]) ** 2 + (y1[i] - y0[j]) ** 2) <= max_distance))
+
+    def meet(values: tuple, ended: pd.DataFrame, started: pd.DataFrame) -> pd.DataFrame:
+        started = started.rename(columns=lambda c: c[2:])
+        if not len(ended) or not len(started):
+            return pd.DataFrame()
+        both, n = pd.concat([ended.sort_values("end_s"), started.sort_values("start_s")], ignore_index=True), len(ended)
+        place = [both[c].to_numpy(float) for c in ("start_s", "end_s", "x0", "y0", "x1", "y1")]
+        ids, seq, known = both["track_id"].to_numpy(), both["seq"].to_numpy(), both["_listed"].to_numpy(bool)
+        (team, teams), (jersey, jerseys) = (pd.factorize(both[c].astype(object)) for c in ("team", "jersey"))
+        code, vectors = cosine_codes(both["embedding"])
+        # whether a jersey (the last row: none) is visible for a team
+        shown, names = np.zeros((len(jerseys) + 1, len(teams) + 1), bool), {t: k for k, t in enumerate(teams)}
+        for k, own in zip(*(x[~both["jersey"].duplicated().to_numpy()] for x in (jersey, both["_teams"].to_numpy()))):
+            for t in own if own is not None and k >= 0 else ():
+                if t in names:
+                    shown[k, names[t]] = True
+        out = []
+        for t in np.unique(team[:n]).tolist():
+            a, b = np.flatnonzero(team[:n] == t), n + np.flatnonzero((team[n:] == t) | (team[n:] < 0) | (t < 0))
+            at = place[0][b]
+            step = max(1, min(512, PAIRS // max(1, len(b))))
+            for k in range(0, len(a), step):
+                i = a[k : k + step]
+                lo, hi = np.searchsorted(at, [place[1][i[0]] - max_overlap - 1.0, place[1][i[-1]] + max_gap + 1.0])
+                if lo == hi:
+                    continue
+                j = b[lo:hi]
+                p, q = np.nonzero(after(*place, i[:, None], j[None, :]) & (ids[i][:, None] != ids[j][None, :]))
+                (ui, ri), (uj, rj) = (np.unique(code[v], return_inverse=True) for v in (i, j))
+                p, q = (x[dots([vectors[v] for v in ui], [vectors[v] for v in uj])[ri[p], rj[q]] >= least] for x in (p, q))
+                p, q = i[p], j[q]
+                which = np.where(team[p] >= 0, team[p], team[q])
+                is_listed = (which >= 0) & np.where(team[p] >= 0, known[p], known[q])
+                differ = (jersey[p] >= 0) & (jersey[q] >= 0) & (jersey[p] != jersey[q])
+                fits = ~(differ & (~is_listed | (shown[jersey[p], which] & shown[jersey[q], which])))
+                # a pair that fits both ways comes once
+                p, q = p[fits], q[fits]
+                once = ~after(*place, q, p) | (seq[p] <= seq[q])
+                p, q = p[once], q[once]
+                first = seq[p] < seq[q]
+                out.append((ids[np.where(first, p, q)], ids[np.where(first, q, p)]))
+        if not out:
+            return pd.DataFrame()
+        x, y = (np.concatenate(v) for v in zip(*out))
+        return pd.DataFrame(dict(zip(key, values)) | {"a": x, "b": y})
+
+    kinds = {f.name: f.dataType.simpleString() for f in tracks.schema}
+    schema = "".join(f"{c} {kinds[c]}, " for c in key) + f"a {kinds['track_id']}, b {kinds['track_id']}"
+    return ends.groupBy(*key, "bucket").cogroup(starts.groupBy(*[f"b_{c}" for c in key], "b_bucket")).applyInPandas(meet, schema)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

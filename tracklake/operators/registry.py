@@ -105,20 +105,32 @@ def trajectory(anchors: DataFrame) -> DataFrame:
 PAIRS = 4_000_000
 
 
-def _cosines(a: list[np.ndarray], b: list[np.ndarray], least: float = 1e-8) -> np.ndarray:
-    """``vector.cosine`` of all a with all b, summed up in the same order."""
-    out = np.zeros((len(a), len(b)))
+def cosine_codes(embeddings: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of each row's vector, and the different vectors."""
+    code, kinds = pd.factorize(np.array([np.asarray(v, float).tobytes() for v in embeddings] + [None], object))
+    return code[:-1], [np.frombuffer(v) for v in kinds]
+
+
+def dots(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """``vector.dot`` of all a with all b, summed up in the same order; NaN if the sizes differ."""
+    out = np.full((len(a), len(b)), np.nan)
     for n in {len(x) for x in a} & {len(x) for x in b}:
         (ia, ma), (ib, mb) = ((np.array([i for i, x in enumerate(v) if len(x) == n]), np.array([x for x in v if len(x) == n]).reshape(-1, n)) for v in (a, b))
-        dot, aa, bb = np.zeros((len(ia), len(ib))), np.zeros((len(ia), 1)), np.zeros((1, len(ib)))
+        total = np.zeros((len(ia), len(ib)))
         for k in range(n):
-            x, y = ma[:, k, None], mb[None, :, k]
-            dot, aa, bb = dot + x * y, aa + x * x, bb + y * y
-        size = np.sqrt(aa) * np.sqrt(bb)
-        out[np.ix_(ia, ib)] = np.where(size > least, dot / np.where(size > least, size, 1.0), 0.0)
+            total += ma[:, k, None] * mb[None, :, k]
+        out[np.ix_(ia, ib)] = total
     return out
 
 
+def _cosines(a: list[np.ndarray], b: list[np.ndarray], least: float = 1e-8) -> np.ndarray:
+    """``vector.cosine`` of all a with all b."""
+    norm = lambda v: np.sqrt(np.array([np.cumsum(x * x)[-1] if len(x) else 0.0 for x in v]))
+    size, product = norm(a)[:, None] * norm(b)[None, :], dots(a, b)
+    usable = (size > least) & ~np.isnan(product)
+    return np.where(usable, product / np.where(usable, size, 1.0), 0.0)
+
+
 class _Frame:
     """Observations and expected places of one frame, both in the order of x; scores come for a slice of observations and the places in their reach."""
 
@@ -127,11 +139,10 @@ class _Frame:
         o, e = (df[df["x"].notna() & df["y"].notna()].sort_values("x", kind="stable") for df in (obs, places))
         self.o, self.e = o, e
         team = pd.factorize(pd.concat([o["team"], e["team"]], ignore_index=True).astype(object))[0]
-        code, kinds = pd.factorize(np.array([np.asarray(v, float).tobytes() for v in [*o["embedding"], *e["embedding"]]] + [None], object))
-        self.vectors = [np.frombuffer(v) for v in kinds]
+        code, self.vectors = cosine_codes(pd.concat([o["embedding"], e["embedding"]]))
         n = len(o)
         self.ox, self.oy, self.ot, self.ov = o["x"].to_numpy(float), o["y"].to_numpy(float), team[:n], code[:n]
-        self.ex, self.ey, self.et, self.ev = e["x"].to_numpy(float), e["y"].to_numpy(float), team[n:], code[n : n + len(e)]
+        self.ex, self.ey, self.et, self.ev = e["x"].to_numpy(float), e["y"].to_numpy(float), team[n:], code[n:]
 
     def scores(self, rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Place of the observation, of the expected place, and score, of every pair of the given ones (ascending places) that counts."""
