@@ -597,3 +597,13 @@ def test_equal_rows_are_dealt_over_the_lots(spark):
         held.sort()
         assert [o for o, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))]
     assert len(by) <= -(-sum(r["length"] for r in got) // 64) + 10
+
+
+def test_the_flag_table_takes_a_quarter_of_a_byte_a_slot_in_the_plan(spark):
+    from tracklake.llm import decontaminate
+
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(40)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b " + " ".join(f"w{k}" for k in range(5, 18))), (2, "w1 w2 w3")], "doc_id long, text string")
+    found = decontaminate.find_hits(docs, bench)
+    assert {r["doc_id"]: r["n_hit"] for r in found.collect()} == {1: 13, 2: 0}
+    assert found._jdf.queryExecution().analyzed().toString().__len__() < 20_000  # 16,384 slots took 32,768 hex digits

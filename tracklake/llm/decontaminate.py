@@ -17,6 +17,7 @@ count for each of them; empty tables give no hits; extra columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +92,19 @@ def _flags(windows: DataFrame, lengths: list[int], slots: int) -> bytes:
     return bytes(flags[:slots])
 
 
+def _packed(flags: bytes) -> bytes:
+    """Four flags in a byte, so that it is an ASCII character. The table is part of the plan, whose text the driver keeps for every stage."""
+    bits = np.frombuffer(flags + bytes(-len(flags) % 4), np.uint8).reshape(-1, 4)
+    return (bits << np.arange(4, dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+def _is_set(packed: Column, slot: Column) -> Column:
+    """Whether the flag of a slot (from 1) is set."""
+    at = slot - 1
+    byte = F.ascii(F.substring(packed, F.shiftright(at, 2) + 1, F.lit(1)).cast("string"))
+    return F.getbit(byte, at.bitwiseAND(3)) == 1
+
+
 def find_hits(
     docs: DataFrame,
     bench: DataFrame,
@@ -106,7 +120,7 @@ def find_hits(
     slots = 1 << 14
     while slots < 128 * n and slots < 1 << 22:
         slots *= 2
-    flags = F.lit(_flags(windows, lengths, slots)) if n else None
+    flags = F.lit(_packed(_flags(windows, lengths, slots))) if n else None
     levels = sorted({_level_of(length) for length in lengths})
     none = F.array().cast("array<struct<at:int,len:int,gram:string>>")
 
@@ -115,7 +129,7 @@ def find_hits(
             leads = x[f"l{_level_of(length)}"]
             starts = F.when(F.size(x["w"]) >= length, F.sequence(F.lit(0), F.size(x["w"]) - length))
             return F.transform(
-                F.filter(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(flags, F.get(leads, i), F.lit(1)) == F.lit(b"\x01")),
+                F.filter(F.coalesce(starts, F.array().cast("array<int>")), lambda i: _is_set(flags, F.get(leads, i))),
                 lambda i: F.struct(
                     i.alias("at"), F.lit(length).alias("len"), F.array_join(F.slice(x["w"], i + 1, length), " ").alias("gram")
                 ),
