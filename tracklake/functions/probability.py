@@ -27,8 +27,8 @@ def normalize_map(m: Column) -> Column:
 
 
 def drop_tail(m: Column, least: float = 0.02) -> Column:
-    """Without the values below ``least``, renormalised."""
-    return normalize_map(F.map_filter(m, lambda k, v: v >= least))
+    """Without the values below ``least`` (held against it at fourteen digits, as sums hang on their order beyond that), renormalised."""
+    return normalize_map(F.map_filter(m, lambda k, v: F.round(v, 14) >= least))
 
 
 def merge_max(a: Column, b: Column) -> Column:

@@ -350,8 +350,10 @@ def kit_distances(spark, d):
 
 
 def tail_drop(spark, d):
+    """Rounded at fourteen digits first, so that the ninth does not hang on the order in which a sum was made."""
     m = S.observations(spark, d).groupBy("track_id", "candidate").agg(F.sum("prob").alias("p")).groupBy("track_id").agg(F.map_from_entries(F.collect_list(F.struct("candidate", "p"))).alias("m"))
-    return m.select("track_id", F.explode(P.drop_tail(P.normalize_map(F.col("m")), 0.15)).alias("candidate", "prob")).withColumns(_r("prob", digits=9))
+    kept = m.select("track_id", F.explode(P.drop_tail(P.normalize_map(F.col("m")), 0.15)).alias("candidate", "prob"))
+    return kept.withColumns(_r("prob", digits=14)).withColumns(_r("prob", digits=9))
 
 
 def confidence_ema(spark, d):
