@@ -180,3 +180,28 @@ def test_identity_edges_equal_all_pairs_without_a_join_of_them(spark):
     got = linking.identity_edges(spark.createDataFrame(rows, schema), spark.createDataFrame(visible, "team string, jersey string"), least=1.0, max_gap=4.0, max_overlap=1.0, max_distance=6.0)
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
     assert plan(got).count("Join") == 4  # both sides with the visible jerseys and teams
+
+
+def test_reassignment_equals_the_plain_order_without_rows_of_pairs(spark):
+    rng = random.Random(12)
+    kinds = [[rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)] for _ in range(12)]
+    obs = [(i, i % 7, rng.choice(["a", "b", None, "z"]), rng.choice([None, *kinds])) for i in range(600)]
+    known = [(f"p{i}", "ab"[i % 2], kinds[i % len(kinds)]) for i in range(30)]
+    forced = [(i, f"p{rng.randrange(30)}") for i in range(0, 600, 17)]
+    sure, taken = dict(forced), {(obs[i][1], p) for i, p in forced}
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    like = lambda a, b: sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)) if norm(a) * norm(b) > 1e-8 else 0.0
+    want = {i: (p, True) for i, p in forced}
+    for i, frame, team, e in obs:
+        if e is not None and i not in sure:
+            sims = sorted((-like(e, v), p) for p, t, v in known if (team is None or t == team) and (frame, p) not in taken)
+            if sims and -sims[0][0] >= 0.1 and -sims[0][0] + (sims[1][0] if len(sims) > 1 else 2.0) >= 0.02:
+                taken.add((frame, sims[0][1]))
+                want[i] = (sims[0][1], False)
+    got = registry.reassign(
+        spark.createDataFrame(obs, "obs_id long, frame long, team string, embedding array<double>"), spark.createDataFrame(forced, "obs_id long, player string"),
+        spark.createDataFrame(known, "player string, team string, embedding array<double>"), least=0.1, margin=0.02,
+    )
+    assert {r["obs_id"]: (r["player"], r["forced"]) for r in got.collect()} == want
+    assert sum(not f for _, f in want.values()) > 10
+    assert "FlatMapCoGroupsInPandas" in plan(got)

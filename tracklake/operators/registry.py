@@ -53,30 +53,50 @@ def reassign(obs: DataFrame, forced: DataFrame, registry: DataFrame, *, least: f
     (in all three tables) ids, frames and players are a clip's own, and the result has it, too.
     """
     key = [clip] if clip else []
-    taken = obs.join(forced, [*key, "obs_id"]).select(*key, "frame", F.col("player").alias("player")).distinct()
-    g = registry.select(*key, "player", F.col("team").alias("_team"), F.col("embedding").alias("_g"))
-    free = obs.where("embedding is not null").join(forced.select(*key, "obs_id"), [*key, "obs_id"], "left_anti").select(*key, "obs_id", "frame", "team", F.col("embedding").alias("_e"))
-    # an observation without a team is compared with every team
-    teams = g.withColumn("one", F.lit(1)).groupBy("one", *key).agg(F.collect_set("_team").alias("teams"))  # the teams of a registry
-    dealt = free.withColumn("one", F.lit(1)).join(teams, ["one", *key]).withColumn("_team", F.explode(F.when(F.col("team").isNull(), F.col("teams")).otherwise(F.array("team"))))
-    pairs = dealt.join(g, [*key, "_team"]).select(*key, "frame", "obs_id", "player", V.cosine(F.col("_e"), F.col("_g")).alias("sim"))
-    pairs = pairs.join(taken, [*key, "frame", "player"], "left_anti")
-    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        out = []
-        for obs_id, own in rows.sort_values(["obs_id", "sim", "player"], ascending=[True, False, True]).groupby("obs_id", sort=True):
-            own = own[~own["player"].isin(used)]
-            sims = own["sim"].tolist()
-            second = sims[1] if len(sims) > 1 else -2.0
-            if sims and sims[0] >= least and sims[0] - second >= margin:
-                used.add(own["player"].iloc[0])
-                out.append((*[own[c].iloc[0] for c in key], obs_id, own["player"].iloc[0]))
-        return pd.DataFrame(out, columns=[*key, "obs_id", "player"])
-
-    near = pairs.groupBy(*key, "frame").applyInPandas(run, "".join(f"{c} {kind[c]}, " for c in key) + f"obs_id {kind['obs_id']}, player {kind['player']}")
-    return forced.select(*key, "obs_id", "player", F.lit(True).alias("forced")).union(near.withColumn("forced", F.lit(False)))
+    taken = obs.join(forced, [*key, "obs_id"]).select(*key, "frame", "player").distinct()
+    free = obs.where("embedding is not null").join(forced.select(*key, "obs_id"), [*key, "obs_id"], "left_anti").select(*key, "frame", "obs_id", "team", "embedding")
+    # every frame gets the players that are free in it: no pair becomes a row
+    on = key or ["one"]
+    frames = free.select(*key, "frame").distinct().withColumn("one", F.lit(1))
+    g = registry.withColumn("one", F.lit(1)).select(*on, "player", F.col("team").alias("g_team"), F.col("embedding").alias("g_embedding"))
+    players = frames.join(g, on).drop("one").join(taken, [*key, "frame", "player"], "left_anti")
+    players = players.select(*[F.col(c).alias(f"g_{c}") for c in (*key, "frame", "player")], "g_team", "g_embedding")
+    kind = {f.name: f.dataType.simpleString() for f in [*registry.schema, *obs.schema]}
+
+    def run(values: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(known):
+            return pd.DataFrame()
+        rows, known = rows.sort_values("obs_id", kind="stable"), known.sort_values("g_player", kind="stable")
+        n, ids = len(rows), rows["obs_id"].to_numpy()
+        team = pd.factorize(pd.concat([rows["team"], known["g_team"]], ignore_index=True).astype(object))[0]
+        names, who = np.unique(known["g_player"].to_numpy(), return_inverse=True)
+        code, vectors = cosine_codes(pd.concat([rows["embedding"], known["g_embedding"]]))
+        (ui, ri), (uj, rj) = (np.unique(c, return_inverse=True) for c in (code[:n], code[n:]))
+        near, own, rival = _cosines([vectors[v] for v in ui], [vectors[v] for v in uj])[:, rj], team[:n, None], team[None, n:]
+        used, out, at, step = np.zeros(len(names), bool), [], 0, max(1, min(4096, PAIRS // len(known)))
+        while at < n and not used.all():
+            # the first observation that gets a player; what stands before it gets none, as players only go
+            some = slice(at, at + step)
+            open_ = ((own[some] < 0) & (rival >= 0) | (own[some] == rival) & (own[some] >= 0)) & ~used[who]
+            sim = np.where(open_, near[ri[some]], -np.inf)
+            best = sim.argmax(axis=1)
+            first = sim[np.arange(len(sim)), best]
+            sim[np.arange(len(sim)), best] = -np.inf
+            second = sim.max(axis=1)
+            won = np.flatnonzero((first >= least) & (first - np.where(second > -np.inf, second, -2.0) >= margin))
+            if not len(won):
+                at += step
+                continue
+            k = int(won[0])
+            used[who[best[k]]] = True
+            out.append((ids[at + k], names[who[best[k]]]))
+            # an observation goes to one player
+            at = int(np.searchsorted(ids, ids[at + k], side="right"))
+        return pd.DataFrame(dict(zip(key, values)) | {"obs_id": [x for x, _ in out], "player": [x for _, x in out]}) if out else pd.DataFrame()
+
+    schema = "".join(f"{c} {kind[c]}, " for c in key) + f"obs_id {kind['obs_id']}, player {kind['player']}"
+    near = free.groupBy(*key, "frame").cogroup(players.groupBy(*[f"g_{c}" for c in (*key, "frame")])).applyInPandas(run, schema)
+    return forced.select(*key, "obs_id", "player", F.lit(True).alias("forced")).union(near.select(*key, "obs_id", "player", F.lit(False).alias("forced")))
 
 
 def new_track_ids(assigned: DataFrame, first: int = 10001) -> DataFrame:

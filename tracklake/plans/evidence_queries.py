@@ -282,7 +282,7 @@ def registry_reassign(spark, d):
 
 def reassigned_tracks(spark, d):
     """New ids of the players that got an observation, and tracks that keep one of their own."""
-    got = registry_reassign(spark, d)
+    got = linking.checkpointed(registry_reassign(spark, d))  # read twice
     rows = S.observations(spark, d).select(F.col("seq").alias("obs_id"), "track_id")
     new = registry.new_track_ids(got)
     old = registry.carried_over(rows, got).select(F.lit(None).cast("string").alias("player"), F.col("track_id").cast("string").alias("track_id"))
