@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -10,65 +11,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
-#: Hangul syllables: the first one, their number, the first letter of each place, and how many there are.
-SYLLABLES, COUNT, LEADS, VOWELS, TAILS = 0xAC00, 11172, 0x1100, 0x1161, 0x11A7
-
-
-@cache
-def _decomposed() -> list[tuple[str, str]]:
-    """Every character, but for Hangul syllables, with what its canonical decomposition leaves without its marks."""
-    found = []
-    for code in range(0x80, sys.maxunicode + 1):
-        c = chr(code)
-        if unicodedata.decomposition(c) and not SYLLABLES <= code < SYLLABLES + COUNT:
-            kept = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
-            if kept not in (c, ""):
-                found.append((c, kept))
-    return found
-
-
-@cache
-def _plain_letters() -> tuple[str, str]:
-    """Characters that leave one character, and these."""
-    one = [(c, kept) for c, kept in _decomposed() if len(kept) == 1]
-    return "".join(c for c, _ in one), "".join(kept for _, kept in one)
-
-
-def _spelled_out(text: Column) -> Column:
-    """The few characters that leave several."""
-    several = [(c, kept) for c, kept in _decomposed() if len(kept) > 1]
-    out = text
-    for c, kept in several:
-        out = F.replace(out, F.lit(c), F.lit(kept))
-    return F.when(text.rlike("[" + "".join(c for c, _ in several) + "]"), out).otherwise(text)
-
-
 @cache
-def _marks() -> str:
-    """A character class of all non-spacing marks."""
+def _marks() -> re.Pattern:
+    """All non-spacing marks, in ranges."""
     codes = [k for k in range(sys.maxunicode + 1) if unicodedata.category(chr(k)) == "Mn"]
-    starts = [k for k in codes if k - 1 not in set(codes)]
-    ends = [k for k in codes if k + 1 not in set(codes)]
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends)) + "]+"
+    known = set(codes)
+    starts, ends = ([k for k in codes if k + step not in known] for step in (-1, 1))
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]+")
 
 
-def _letters_of(syllable: Column) -> Column:
-    """The two or three letters of a Hangul syllable; other characters stay."""
-    every = "".join(chr(SYLLABLES + k) for k in range(COUNT))
-    lead = "".join(chr(LEADS + k // 588) for k in range(COUNT))
-    vowel = "".join(chr(VOWELS + k % 588 // 28) for k in range(COUNT))
-    with_tail = [k for k in range(COUNT) if k % 28]
-    tail = F.translate(syllable, "".join(chr(SYLLABLES + k) for k in with_tail), "".join(chr(TAILS + k % 28) for k in with_tail))
-    parts = F.concat(F.translate(syllable, every, lead), F.translate(syllable, every, vowel), F.when(tail != syllable, tail).otherwise(""))
-    return F.when(syllable.rlike("[\uAC00-\uD7A3]"), parts).otherwise(syllable)
+def _plain(text: str | None) -> str | None:
+    return text if text is None or text.isascii() else _marks().sub("", unicodedata.normalize("NFD", text))
 
 
 def strip_accents(text: Column) -> Column:
     """The text decomposed canonically, without its non-spacing marks (Unicode's as Python has them)."""
-    plain = F.regexp_replace(_spelled_out(F.translate(text, *_plain_letters())), _marks(), "")
-    hangul = F.array_join(F.transform(F.split(plain, ""), _letters_of), "")
-    return F.when(plain.rlike("[\uAC00-\uD7A3]"), hangul).otherwise(plain)
+    return F.pandas_udf(lambda texts: texts.map(_plain), "string")(text)
 
 
 def normalize_number(text: Column) -> Column:
