@@ -205,3 +205,19 @@ def test_reassignment_equals_the_plain_order_without_rows_of_pairs(spark):
     assert {r["obs_id"]: (r["player"], r["forced"]) for r in got.collect()} == want
     assert sum(not f for _, f in want.values()) > 10
     assert "FlatMapCoGroupsInPandas" in plan(got)
+
+
+def test_shared_frames_equal_all_pairs_without_a_row_for_each_frame(spark, monkeypatch):
+    monkeypatch.setattr(linking, "SIDE", 7)
+    rng = random.Random(21)
+    rows = [(rng.randrange(2), rng.randrange(40), rng.randrange(30)) for _ in range(900)] + [(None, 1, 1), (0, None, 1), (0, 1, None), (1, 99, 500)]
+    frames = {}
+    for k, t, f in rows:
+        if None not in (k, t, f):
+            frames.setdefault((k, t), set()).add(f)
+    want = {(k, a, b): (len(x & y), len(x & y) / len(x), len(x & y) / len(y)) for (k, a), x in frames.items() for (m, b), y in frames.items() if k == m and a < b and x & y}
+    got = linking.shared_frames(spark.createDataFrame(rows, "k long, track_id long, frame_index long"), ["k"])
+    assert got.columns == ["k", "a", "b", "shared", "ratio_a", "ratio_b"]
+    back = [((r["k"], r["a"], r["b"]), (r["shared"], r["ratio_a"], r["ratio_b"])) for r in got.collect()]
+    assert len(back) == len(want) and dict(back) == want
+    assert plan(got).count("Join") == 1  # tracks with their key's number of blocks
