@@ -156,19 +156,17 @@ def smooth_confusable(dist: DataFrame, key: list[str], strength: float = 0.6, ex
 
     ``dist`` has the keys, candidate (digits) and prob; the result is renormalised.
     """
+    pair = lambda candidate, factor: F.struct(candidate.alias("candidate"), (F.col("prob") * factor).alias("prob"))
     reads = F.create_map(*[x for d, others in CONFUSABLE.items() for x in (F.lit(d), F.array(*[F.lit(o) for o in others]))])
-    at = F.sequence(F.lit(1), F.length("candidate"))
-    swapped = (
-        dist.withColumn("i", F.explode(at))
-        .withColumn("o", F.explode(reads[F.substring("candidate", F.col("i"), F.lit(1))]))
-        .select(*key, F.overlay("candidate", "o", F.col("i"), F.lit(1)).alias("candidate"), (F.col("prob") * strength).alias("prob"))
-    )
-    led = (
-        dist.where(F.length("candidate") == 1)
-        .withColumn("d", F.explode(F.array(*[F.lit(d) for d in LOST_LEADS])))
-        .select(*key, F.concat("d", "candidate").alias("candidate"), (F.col("prob") * expand).alias("prob"))
-    )
-    summed = dist.select(*key, "candidate", "prob").union(swapped).union(led).groupBy(*key, "candidate").agg(F.sum("prob").alias("p"))
+    of_place = lambda i: F.transform(F.coalesce(reads[F.substring("candidate", i, F.lit(1))], F.array().cast("array<string>")), lambda o: pair(F.overlay("candidate", o, i, F.lit(1)), strength))
+    swapped = F.flatten(F.transform(F.sequence(F.lit(1), F.length("candidate")), of_place))
+    led = F.array(*[pair(F.concat(F.lit(d), "candidate"), expand) for d in LOST_LEADS])
+    own = F.array(pair(F.col("candidate"), 1.0))
+    every = F.when(F.length("candidate") == 1, F.concat(own, swapped, led)).when(F.length("candidate") > 1, F.concat(own, swapped)).otherwise(own)
+    # dealt anew, as a row becomes several in the task that sums them up; twice the usual number, or the step would be left out and partitions put together by their size before
+    parts = 2 * int(dist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dist.select(*key, "candidate", "prob").repartition(parts, *key)
+    summed = dealt.select(*key, F.inline(every)).groupBy(*key, "candidate").agg(F.sum("prob").alias("p"))
     total = F.sum("p").over(Window.partitionBy(*key))
     return summed.select(*key, "candidate", F.when(total > 0, F.col("p") / total).otherwise(F.lit(0.0)).alias("prob"))
 
