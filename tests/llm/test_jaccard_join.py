@@ -85,3 +85,14 @@ def test_equals_sql(spark, small):
     want = con.sql(SQL["op11_jaccard_join"])
     got = QUERIES["op11_jaccard_join"](spark, small).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_a_unit_meets_its_nearest_pivot(spark):
+    """Of the pivots of a unit's keys the one with the least different parities is compared, as it is the likeliest link: fewer units are left for the last round."""
+    bits = lambda n: [(1 << n) - 1] + [0] * (jaccard_join.PARITIES // 64 - 1)
+    row = lambda key, unit, at, n: (key, (unit, 147, at, True, bits(n), unit))
+    rows = [row(k, 1000 + k, 0, 9 - k) for k in range(9)] + [row(key, unit, 1, 0) for key in range(9) for unit in range(30)]
+    rooted = spark.createDataFrame(rows, "key long, y struct<unit long, n int, at int, head boolean, bits array<long>, root long>")
+    live = spark.createDataFrame([(k, 31, 1000 + k) for k in range(9)], "key long, c long, main long")
+    got = jaccard_join._pivots(rooted, live, Rule(), 0).select("y.unit", "x.unit").collect()
+    assert {y: x for y, x in got if y < 30} == dict.fromkeys(range(30), 1008)

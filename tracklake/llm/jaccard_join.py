@@ -46,7 +46,9 @@ SMALL = 500_000
 #: Rows that a Python worker gets at once.
 BATCH = 1024
 #: Pivot rounds at least and at most, pairs a key entry beyond which there is another one, and units of a key in a block of the last round.
-LEAST, ROUNDS, MANY, BLOCK = 2, 5, 3000, 2000
+LEAST, ROUNDS, MANY, BLOCK = 4, 6, 3000, 2000
+#: Pivots of a key from the second round on.
+SOME = 8
 _CUTS = np.array([LOW + (1 - LOW) * k / (FRAGMENTS - 1) for k in range(FRAGMENTS - 1)])
 _CUTS = np.array([int(c * (1 << 64)) for c in _CUTS], np.uint64)
 
@@ -77,9 +79,13 @@ class Rule:
     def possible(self, x: str, y: str) -> Column:
         """Whether the sizes, the places of a shared shingle and the parities leave room for a link."""
         nx, ny, px, py = (F.col(f"{s}.{c}").cast("long") for c in ("n", "at") for s in (x, y))
-        odd = sum((F.bit_count(F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k])) for k in range(PARITIES // 64)), F.lit(0))
         sizes = self.den * F.least(nx, ny) >= self.num * F.greatest(nx, ny)
-        return sizes & self.enough(F.least(nx - px, ny - py), nx + ny) & ((self.den + self.num) * odd <= (self.den - self.num) * (nx + ny))
+        return sizes & self.enough(F.least(nx - px, ny - py), nx + ny) & ((self.den + self.num) * odd(x, y) <= (self.den - self.num) * (nx + ny))
+
+
+def odd(x: str, y: str) -> Column:
+    """The places where the parities of two sets differ: at most as many as shingles of one alone."""
+    return sum((F.bit_count(F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k])) for k in range(PARITIES // 64)), F.lit(0))
 
 
 def shingles(raw: bytes | None, width: int) -> np.ndarray:
@@ -204,17 +210,20 @@ def _blocks(rooted: DataFrame, live: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _pivots(rooted: DataFrame, live: DataFrame, rule: Rule, nr: int) -> DataFrame:
-    """For each unit one possible pair with a pivot of its keys.
+    """For each unit the possible pair with a pivot of its keys whose parities differ least, as that is the likeliest link.
 
-    The first pivots have the least of their own before the key. The second ones are any of the key's largest group, which the others are likely to belong to; after that
-    a group found together is one among the candidates.
+    The first pivots have the least of their own before the key. The others are any ``SOME`` of the key's largest group, which the rest are likely to belong to, and in
+    every other round any at all.
     """
     mixed = lambda c: F.xxhash64(f"{c}.unit", F.lit(nr))
     orders = {0: lambda c: F.struct(~F.col(f"{c}.head"), F.col(f"{c}.at") / F.col(f"{c}.n"), mixed(c)), 1: lambda c: F.struct(F.col(f"{c}.root") != F.col("main"), ~F.col(f"{c}.head"), mixed(c))}
-    central = orders.get(nr, lambda c: F.struct(~F.col(f"{c}.head"), F.xxhash64(f"{c}.root", F.lit(nr)), mixed(c)))
+    central = orders[nr] if nr == 0 else orders[1] if nr % 2 else lambda c: F.struct(~F.col(f"{c}.head"), F.xxhash64(f"{c}.root", F.lit(nr)), mixed(c))
     open_ = rooted.join(live.select("key", "main"), "key")
-    met = open_.groupBy("key").agg(F.min_by("y", central("y")).alias("x")).join(open_, "key").where(F.col("x.root") != F.col("y.root"))
-    return met.where(rule.possible("x", "y")).groupBy("y.unit").agg(F.min_by("x", mixed("x")).alias("x"), F.first("y").alias("y")).select("x", "y")
+    slot = F.pmod(F.xxhash64("y.unit", F.lit(-nr)), F.lit(SOME if nr else 1))
+    picked = open_.groupBy("key", slot.alias("slot")).agg(F.min_by("y", central("y")).alias("x")).drop("slot")
+    met = picked.join(open_, "key").where(F.col("x.root") != F.col("y.root")).where(rule.possible("x", "y"))
+    near = F.struct(odd("x", "y") / (F.col("x.n") + F.col("y.n")), mixed("x"))
+    return met.groupBy("y.unit").agg(F.min_by("x", near).alias("x"), F.first("y").alias("y")).select("x", "y")
 
 
 def linked_components(got: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
