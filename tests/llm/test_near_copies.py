@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tests_support import prose
 from tracklake.llm import jaccard_join, near_copies, simhash
 
@@ -95,3 +96,17 @@ def test_rows_with_one_id_or_none_are_not_lost(spark, keep_one):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r["doc_id"], r["text"]) for r in keep_one(df).collect())
     assert got == Counter([(None, a), (None, b), (1, c), (2, d), (2, e)])
+
+
+def test_covering_simhash_gives_the_first_groups(spark, monkeypatch):
+    """Sets within the radius meet by the covering tables, and their links are groups before a pivot is chosen; without any round of the join the closest copies are together."""
+    base = words(3, 900)
+    own = [" ".join(base), " ".join(base[:450] + ["edit"] + base[451:]), " ".join(base + ["tail"]), " ".join(words(5, 90))]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    fps = {t: simhash.fingerprint(t.encode(), 5) for t in own}
+    near = sum((fps[a] ^ fps[b]).bit_count() <= 2 for i, a in enumerate(own) for b in own[:i])
+    monkeypatch.setattr(jaccard_join, "_blocks", lambda rooted, live, rule: rooted.select(F.col("y").alias("x"), "y").limit(0))
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    groups = Counter(r["root"] for r in near_copies.groups_of(df).collect())
+    assert near and max(groups.values()) > 1
+    assert len(groups) > 1

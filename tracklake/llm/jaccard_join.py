@@ -24,6 +24,7 @@ Defined cases: a text of fewer words is one shingle; a text without words has an
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.llm.common import by_arrow, raw_texts, scratch, spool
-from tracklake.llm.simhash import _LOWER, components
+from tracklake.llm.simhash import _LOWER, components, fingerprint
 from tracklake.llm.suffix_dedup import stretch_hashes
 
 #: The share of all hashes whose shingles are counted over the corpus.
@@ -110,18 +111,18 @@ def _unit(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 7)
 
 
-def sets(rows: DataFrame, rule: Rule) -> DataFrame:
+def sets(rows: DataFrame, rule: Rule, marked: bool = False) -> DataFrame:
     """doc_id, h, unit, n, bits, low and shingles of every row (doc_id, h, text).
 
     shingles: those of the counted class (``low`` of them), and more by hash if the prefix is longer. Sets that link with no
-    other one, and sets that the task has met before, have none.
+    other one, and sets that the task has met before, have none. With ``marked`` there is also fp, the SimHash of the text of a set that has shingles.
     """
 
     def make():
         seen: set[int] = set()
 
         def work(batch: pa.RecordBatch) -> dict:
-            units, sizes, bits, lows, parts = [], [], [], [], []
+            units, sizes, bits, lows, parts, fps = [], [], [], [], [], []
             for raw in raw_texts(batch.column("text")):
                 s = shingles(raw, rule.width)
                 units.append(_unit(s))
@@ -131,6 +132,8 @@ def sets(rows: DataFrame, rule: Rule) -> DataFrame:
                 lows.append(int(np.searchsorted(s, _CUTS[0])))
                 parts.append(s[:0] if rule.alone(len(s)) or units[-1] in seen else s[: max(lows[-1], rule.prefix(len(s)))])
                 seen.add(units[-1])
+                if marked:
+                    fps.append(int(np.uint64(fingerprint(raw, rule.width)).view(np.int64)) if len(parts[-1]) else None)
             return {
                 "doc_id": batch.column("doc_id"),
                 "h": batch.column("h"),
@@ -139,12 +142,13 @@ def sets(rows: DataFrame, rule: Rule) -> DataFrame:
                 "bits": _lists(bits),
                 "low": pa.array(np.array(lows, np.int32)),
                 "shingles": _lists(parts),
+                **({"fp": pa.array(fps, pa.int64())} if marked else {}),
             }
 
         return work
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, h long, unit long, n int, bits array<long>, low int, shingles array<long>"
+    schema = f"doc_id {kind}, h long, unit long, n int, bits array<long>, low int, shingles array<long>" + ", fp long" * marked
     return by_arrow(rows.select("doc_id", "h", "text"), schema, make, 256)
 
 
@@ -226,9 +230,10 @@ def _pivots(rooted: DataFrame, live: DataFrame, rule: Rule, nr: int) -> DataFram
     return met.groupBy("y.unit").agg(F.min_by("x", near).alias("x"), F.first("y").alias("y")).select("x", "y")
 
 
-def linked_components(got: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+def linked_components(got: DataFrame, rows: DataFrame, rule: Rule, likely: DataFrame | None = None) -> DataFrame:
     """node and root of every unit that is linked with another one, but the roots.
 
+    likely: pairs (a, b, both) of units that another method has found; those that are links are groups before the first round.
     Two rounds with pivots come first, more of them while the pairs are very many for the number of entries, then all that is left. A
     round goes on with the keys that hold units of different groups.
     """
@@ -242,6 +247,12 @@ def linked_components(got: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
         rooted = spool(posts.join(units.select("unit", "bits"), "unit").select("key", entry.alias("y")))
         size = rooted.count()
         links, roots = None, spark.createDataFrame([], "node long, root long")
+        moved_to = lambda held, roots: held.join(roots.withColumnRenamed("root", "to"), F.col("y.unit") == F.col("node"), "left").select("key", F.col("y").withField("root", F.coalesce("to", "y.unit")).alias("y"))
+        if likely is not None:
+            with scratch(spark):
+                links = spool(linked(spool(likely), units, rows, rule), keep=True)
+            roots = components(links)
+            rooted = spool(moved_to(rooted, roots))
         for nr in range(ROUNDS + 1):
             # pairs of different roots, without those of two tails
             per = rooted.groupBy("key", "y.root").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("y.head")).alias("t"))
@@ -259,17 +270,18 @@ def linked_components(got: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
             roots = components(links)
             if last:
                 break
-            moved = roots.withColumnRenamed("root", "to")
-            held = rooted.join(live.select("key"), "key", "left_semi").join(moved, F.col("y.unit") == F.col("node"), "left")
-            rooted = spool(held.select("key", F.col("y").withField("root", F.coalesce("to", "y.unit")).alias("y")))
+            rooted = spool(moved_to(rooted.join(live.select("key"), "key", "left_semi"), roots))
         return spool(roots, keep=True)
 
 
-def grouped(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (the text's hash), n (the set's size), unit (the set) and root (the component's smallest unit) of every row."""
+def grouped(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, h (the text's hash), n (the set's size), unit (the set) and root (the component's smallest unit) of every row.
+
+    likely: pairs (a, b, both) of units to begin with, from unit, n and fp of the sets.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
-    got = spool(sets(rows, rule), batch=BATCH)
-    roots = linked_components(got, rows, rule)
+    got = spool(sets(rows, rule, likely is not None), batch=BATCH)
+    roots = linked_components(got, rows, rule, likely and likely(got.where("fp is not null").select("unit", "n", "fp")))
     return got.select("doc_id", "h", "n", "unit").join(roots, F.col("unit") == F.col("node"), "left").select("doc_id", "h", "n", "unit", F.coalesce("root", "unit").alias("root"))
 
 

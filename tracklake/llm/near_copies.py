@@ -1,7 +1,8 @@
 """Near copies by the Jaccard similarity of word shingles: every pair of texts at 0.8 or more.
 
-A text is the set of its distinct five-word shingles (of all its words, if it has fewer). Groups are the components of all links, as
-``jaccard_join`` finds them: no pair is missed and none is guessed.
+A text is the set of its distinct five-word shingles (of all its words, if it has fewer). Covering SimHash comes first: texts whose fingerprints are within the radius are
+candidates, and those of them that are links by their whole sets are groups. Its radius finds few pairs beyond the closest, so ``jaccard_join`` goes on from these groups
+to the components of all links: no pair is missed and none is guessed.
 
 Defined cases: texts without a word are copies of one another; an empty table gives an empty result; extra columns stay.
 """
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm.common import free_name, spool
 from tracklake.llm.jaccard_join import Rule, grouped
+from tracklake.llm.simhash import near_links
 
 #: Five words, 4 / 5.
 RULE = Rule(5, 4, 5)
@@ -47,9 +49,20 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -
     return hashed.join(_small(gone), on, "left_anti").select(*docs.columns).union(ranked.where(F.col(rank) == 1).select(*docs.columns))
 
 
+def covered(sets: DataFrame, radius: int = 2) -> DataFrame:
+    """a, b and both (their sizes' sum): pairs of sets (unit, n, fp) that connect all whose SimHash is within the radius, by covering tables."""
+    units = spool(sets.groupBy("unit").agg(F.min(F.struct("fp", "n")).alias("m")).select("unit", "m.*"))
+    leads = spool(units.groupBy("fp").agg(F.min(F.struct("unit", "n")).alias("lead")))
+    same = units.join(leads, "fp").where("unit <> lead.unit").select(F.col("lead").alias("x"), F.struct("unit", "n").alias("y"))
+    x, y = (leads.select(F.col("fp").alias(c), F.col("lead").alias(s)) for c, s in ("ax", "by"))
+    met = same.union(near_links(leads.select("fp"), radius).join(x, "a").select("b", "x").join(y, "b").select("x", "y"))
+    pairs = met.select(F.least("x.unit", "y.unit").alias("a"), F.greatest("x.unit", "y.unit").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"))
+    return pairs.distinct()
+
+
 def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h and root (the group's smallest unit) of every row."""
-    return grouped(docs, RULE, id_col, text_col).select("doc_id", "h", "root")
+    return grouped(docs, RULE, id_col, text_col, covered).select("doc_id", "h", "root")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
