@@ -123,3 +123,30 @@ def test_pairs_leave_a_frame_a_few_at_a_time(spark, monkeypatch):
     near = {(i, j) for i in range(60) for j in range(300) if np.hypot(o["x"][i] - e["x"][j], o["y"][i] - e["y"][j]) <= 20.0}
     assert max(len(i) for i, _, _ in got) <= 50
     assert sorted((int(a), int(b)) for i, j, _ in got for a, b in zip(i, j)) == sorted(near)
+
+
+def test_a_block_holds_a_bounded_number_of_positives(spark):
+    import pandas as pd
+
+    from tracklake.operators import retrieval
+
+    rng = np.random.default_rng(9)
+    rows = [(i, i // 3, None if i % 11 == 0 else i % 2, (rng.integers(-3, 4, 4) / (3 if i % 5 == 0 else 1)).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, frame long, identity long, embedding array<double>")
+    m = np.array([r[3] for r in rows])
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    want = {}
+    for i, f, label, _ in rows[::4]:
+        if label is not None:
+            order = sorted((-round(float(m[i] @ m[j]), 9), j) for j, (_, g, _, _) in enumerate(rows) if g != f)
+            want |= {(i, j): k + 1 for k, (_, j) in enumerate(order) if rows[j][2] == label}
+    asked = df.where("vec_id % 4 = 0")
+    for most in (10**6, 1500):
+        got = retrieval.positive_ranks(asked, df, most=most)
+        assert {(r["q_id"], r["vec_id"]): r["rank"] for r in got.collect()} == want
+    assert got.rdd.getNumPartitions() >= len(want) // 1500 and retrieval.retrieval_metrics(asked, df).first() == retrieval.retrieval_metrics(asked, df, most=1500).first()
+    table = pd.DataFrame({"vec_id": range(900), "frame": range(900), "identity": 1, "e32": [np.float32([k, 1]) for k in range(900)], "e64": None})
+    block = retrieval._Ranks(table.iloc[:50])
+    block.meet(table)
+    block.count(table)
+    assert sum(k.nbytes + s.nbytes for k, s in zip(block.keys, block.steps)) <= 12 * 50 * 900 and not any(block.found)

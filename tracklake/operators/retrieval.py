@@ -85,80 +85,106 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, *, team: str | None =
 
 
 class _Ranks:
-    """A block of queries: the similarities of their positives, then how many rows of the gallery stand above each."""
+    """A block of queries and the ranks of their positives.
+
+    A positive is one number, its similarity in units of the ninth digit and then its place among the ids of the identity, and a count: twelve bytes.
+    """
 
     def __init__(self, rows: pd.DataFrame):
-        self.ids, self.frames, self.labels, self.m = rows["vec_id"].to_numpy(), rows["frame"].to_numpy(), rows["identity"].to_numpy(), _matrix(rows["embedding"])
+        self.ids, self.frames, self.labels, self.m = rows["vec_id"].to_numpy(), rows["frame"].to_numpy(), rows["identity"].to_numpy(), _vectors(rows)
         self.found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.ids]
-        self.ready = None
-
-    def _sims(self, rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-        """Place and similarities of a few queries at a time, which bounds the matrices; NaN marks rows of a query's own frame."""
-        other, frames = _matrix(rows["embedding"]).T, rows["frame"].to_numpy()
+        self.met: dict[object, list[np.ndarray]] = {}
+        self.names: dict[object, np.ndarray] = {}
+        self.keys: list[np.ndarray] | None = None
+        self.steps: list[np.ndarray] = []
+
+    def _sims(self, rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Place, similarities and which of them count, of a few queries at a time, which bounds the matrices; rows of a query's own frame do not count."""
+        other, frames = _vectors(rows).T, rows["frame"].to_numpy()
         for k in range(0, len(self.ids), SLICE):
-            sims = np.round(self.m[k : k + SLICE] @ other, 9)
-            sims[self.frames[k : k + SLICE, None] == frames[None, :]] = np.nan
-            yield from enumerate(sims, k)
+            sims = np.rint((self.m[k : k + SLICE] @ other) * 1e9)
+            fits = (self.frames[k : k + SLICE, None] != frames[None, :]) & ~np.isnan(sims)
+            for i, (row, ok) in enumerate(zip(np.where(fits, sims, 0).astype(np.int32), fits), k):
+                yield i, row, ok
 
     def meet(self, rows: pd.DataFrame) -> None:
         """Rows that have identities of the block."""
         ids, labels = rows["vec_id"].to_numpy(), rows["identity"].to_numpy()
-        for k, row in self._sims(rows):
-            own = (labels == self.labels[k]) & ~np.isnan(row)
-            self.found[k].append((row[own], ids[own]))
+        place = np.zeros(len(rows), np.int32)
+        for label in set(labels.tolist()):
+            own, parts = np.flatnonzero(labels == label), self.met.setdefault(label, [])
+            place[own] = sum(map(len, parts)) + np.arange(len(own))
+            parts.append(ids[own])
+        for k, row, fits in self._sims(rows):
+            own = (labels == self.labels[k]) & fits
+            self.found[k].append((row[own], place[own]))
 
     def _start(self) -> None:
-        """Positives by similarity, equal ones from the last id on; ``step`` counts the rows by the number of positives that they stand above."""
-        self.ready = []
-        for parts in self.found:
-            sims, ids = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0), np.zeros(0, np.int64))
-            names = np.sort(ids)
-            order = np.lexsort((-np.searchsorted(names, ids), sims))
-            sims, ids = sims[order], ids[order]
-            starts = np.searchsorted(sims, sims, "left")
-            self.ready.append((sims, ids, names, starts * (len(ids) + 1) + len(ids) - np.searchsorted(names, ids), np.zeros(len(ids) + 1, np.int64)))
-        self.found = []
+        """Positives by similarity, equal ones from the last id on; ``steps`` counts the rows by the number of positives that they stand above."""
+        self.keys, place = [], {}
+        for label, parts in self.met.items():
+            ids = np.concatenate(parts)
+            self.names[label] = np.sort(ids)
+            place[label] = np.searchsorted(self.names[label], ids)
+        self.met = {}
+        for k, label in enumerate(self.labels.tolist()):
+            parts, self.found[k] = self.found[k], []
+            sims, at = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+            n = len(self.names.get(label, ()))
+            self.keys.append(np.sort(sims.astype(np.int64) * (n + 1) + n - place[label][at]) if len(sims) else np.zeros(0, np.int64))
+            self.steps.append(np.zeros(len(sims) + 1, np.int32))
 
     def count(self, rows: pd.DataFrame) -> None:
         """Any rows of the gallery, each once."""
-        if self.ready is None:
+        if self.keys is None:
             self._start()
         ids = rows["vec_id"].to_numpy()
-        for k, row in self._sims(rows):
-            sims, _, names, places, step = self.ready[k]
-            if not len(sims):
-                continue
-            seen = ~np.isnan(row)
-            row, who = row[seen], ids[seen]
-            above = np.searchsorted(sims, row, "left")
-            tied = np.flatnonzero((above < len(sims)) & (sims[np.minimum(above, len(sims) - 1)] == row))
-            # among equal ones a row stands above those with a larger id
-            own = above[tied] * (len(sims) + 1) + len(sims) - np.searchsorted(names, who[tied], "right")
-            above[tied] = np.searchsorted(places, own, "right")
-            step += np.bincount(above, minlength=len(step))
+        # among equal ones a row stands above those with a larger id
+        below = {label: len(names) - np.searchsorted(names, ids, "right") for label, names in self.names.items()}
+        for k, row, fits in self._sims(rows):
+            keys = self.keys[k]
+            if len(keys):
+                label = self.labels[k]
+                own = row.astype(np.int64) * (len(self.names[label]) + 1) + below[label]
+                self.steps[k] += np.bincount(np.searchsorted(keys, own[fits], "right"), minlength=len(keys) + 1).astype(np.int32)
 
     def ranks(self) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
         """Query, its positives and their ranks, best first."""
-        if self.ready is None:
+        if self.keys is None:
             self._start()
-        for q_id, (_, ids, _, _, step) in zip(self.ids, self.ready):
-            yield q_id, ids[::-1], 1 + np.cumsum(step[::-1])[:-1]
+        for q_id, label, keys, step in zip(self.ids, self.labels.tolist(), self.keys, self.steps):
+            names = self.names.get(label, self.ids[:0])
+            yield q_id, names[len(names) - np.mod(keys[::-1], len(names) + 1)], 1 + np.cumsum(step[::-1], dtype=np.int64)[:-1]
+
+
+def _vectors(rows: pd.DataFrame) -> np.ndarray:
+    return _matrix(rows["e64"].where(rows["e64"].notna(), rows["e32"]))
+
+
+#: So many positives of a block's queries are held by a task: about twelve bytes each.
+POSITIVES = 24_000_000
 
 
-def _ranked(queries: DataFrame, gallery: DataFrame, out: Callable[[_Ranks], pd.DataFrame], schema: str, q_block: int) -> DataFrame:
+def _ranked(queries: DataFrame, gallery: DataFrame, out: Callable[[_Ranks], pd.DataFrame], schema: str, q_block: int, most: int = POSITIVES) -> DataFrame:
     """``out`` of every block of queries after all of the gallery has passed it.
 
-    Queries are dealt by identity to blocks. A task gets, in order, a block's queries, the rows of their identities and all rows, batch by batch;
-    it holds the queries, the similarities of their positives and one batch.
+    Queries are dealt by identity to blocks of about ``q_block`` queries or ``most`` positives, whichever is less. A task gets, in order, a block's queries, the rows
+    of their identities and all rows, batch by batch; it holds the queries, the similarities of their positives and one batch. As all blocks
+    get the gallery, its vectors are exchanged as floats where that loses nothing.
     """
-    cols = ["vec_id", "frame", "identity", "embedding"]
-    q, g = queries.select(*cols).where("identity is not null"), gallery.select(*cols)
-    sizes = q.groupBy("identity").agg(F.count(F.lit(1)).alias("n"))
-    total = q.count()
-    n = -(-total // q_block) or 1
+    exact = F.coalesce(F.forall("embedding", lambda x: x == x.cast("float").cast("double")), F.lit(False))
+    packed = [F.when(exact, F.col("embedding").cast("array<float>")).alias("e32"), F.when(~exact, F.col("embedding").cast("array<double>")).alias("e64")]
+    cols = ["vec_id", "frame", "identity", "e32", "e64"]
+    q, g = (df.select("vec_id", "frame", "identity", *packed) for df in (queries.where("identity is not null"), gallery))
+    positives = gallery.where("identity is not null").groupBy("identity").agg(F.count(F.lit(1)).alias("_p"))
+    weight = F.col("n") * F.greatest(F.coalesce("_p", F.lit(0)), F.lit(-(-most // q_block)))
+    sizes = q.groupBy("identity").agg(F.count(F.lit(1)).alias("n")).join(positives, "identity", "left").select("identity", weight.alias("w"))
+    total = sizes.agg(F.sum("w")).first()[0] or 0
+    n = -(-total // most) or 1
     # the blocks of an identity follow each other, so that a block has few identities
-    start = F.coalesce(F.sum("n").over(Window.orderBy("identity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row an identity
-    first = sizes.select("identity", F.floor(start * n / max(total, 1)).cast("int").alias("_first"), F.ceil((start + F.col("n")) * n / max(total, 1)).cast("int").alias("_end"))
+    start = F.coalesce(F.sum("w").over(Window.orderBy("identity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row an identity
+    share = float(n) / max(total, 1)
+    first = sizes.select("identity", F.least(F.lit(n - 1), F.floor(start * share)).cast("int").alias("_first"), F.least(F.lit(n), F.ceil((start + F.col("w")) * share)).cast("int").alias("_end"))
     first = first.withColumn("_n", F.greatest(F.lit(1), F.col("_end") - F.col("_first")))
     mine = q.join(first, "identity").withColumn("_q", (F.col("_first") + F.pmod(F.xxhash64("vec_id"), F.col("_n"))).cast("int"))
     every = lambda low, high: F.explode(F.sequence(low, high))
@@ -195,17 +221,17 @@ def _ranked(queries: DataFrame, gallery: DataFrame, out: Callable[[_Ranks], pd.D
     return rows.mapInPandas(run, schema)
 
 
-def positive_ranks(queries: DataFrame, gallery: DataFrame, *, chunk: int = 1024) -> DataFrame:
+def positive_ranks(queries: DataFrame, gallery: DataFrame, *, chunk: int = 1024, most: int = POSITIVES) -> DataFrame:
     """q_id, vec_id and rank of every positive: the rows of a query's identity in other frames, among all rows of other frames by similarity, then vec_id."""
     kind = gallery.schema["vec_id"].dataType.simpleString()
 
     def out(block: _Ranks) -> pd.DataFrame:
         return pd.concat([pd.DataFrame({"q_id": q, "vec_id": ids, "rank": ranks}) for q, ids, ranks in block.ranks()], ignore_index=True)
 
-    return _ranked(queries, gallery, out, f"q_id {kind}, vec_id {kind}, rank long", chunk)
+    return _ranked(queries, gallery, out, f"q_id {kind}, vec_id {kind}, rank long", chunk, most)
 
 
-def retrieval_metrics(queries: DataFrame, gallery: DataFrame, *, chunk: int = 1024) -> DataFrame:
+def retrieval_metrics(queries: DataFrame, gallery: DataFrame, *, chunk: int = 1024, most: int = POSITIVES) -> DataFrame:
     """queries, rank1, rank5 and mean average precision over queries with a positive; a query's precision is averaged in its task."""
     kind = gallery.schema["vec_id"].dataType.simpleString()
 
@@ -213,7 +239,7 @@ def retrieval_metrics(queries: DataFrame, gallery: DataFrame, *, chunk: int = 10
         got = [(q, float(np.mean(np.arange(1, len(r) + 1) / r)), int(r[0])) for q, _, r in block.ranks() if len(r)]
         return pd.DataFrame(got, columns=["q_id", "ap", "best"])
 
-    per = _ranked(queries, gallery, out, f"q_id {kind}, ap double, best long", chunk)
+    per = _ranked(queries, gallery, out, f"q_id {kind}, ap double, best long", chunk, most)
     share = lambda k: F.round(F.avg((F.col("best") <= k).cast("int")), 6)
     return per.agg(F.count(F.lit(1)).alias("queries"), share(1).alias("rank1"), share(5).alias("rank5"), F.round(F.avg("ap"), 6).alias("map"))
 
