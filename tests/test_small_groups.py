@@ -150,3 +150,21 @@ def test_a_block_holds_a_bounded_number_of_positives(spark):
     block.meet(table)
     block.count(table)
     assert sum(k.nbytes + s.nbytes for k, s in zip(block.keys, block.steps)) <= 12 * 50 * 900 and not any(block.found)
+
+
+def test_large_frames_are_tracked_without_a_matrix_of_all_pairs(monkeypatch):
+    rng = np.random.default_rng(10)
+    frames = []
+    for n in (60, 90, 40, 70, 90, 20, 80):  # more tracks than boxes, and fewer
+        at = rng.random((n, 2)) * 500
+        frames.append(np.hstack((at, at + [24, 48], rng.random((n, 1)))))
+    follow = lambda: (lambda s: [[x.tolist() for x in tracker.advance(s, f, b)] for f, b in enumerate(frames)])(tracker.TrackerState())
+    want, made, real = follow(), [], tracker.costs
+    monkeypatch.setattr(tracker, "DENSE", 0)
+    monkeypatch.setattr(tracker, "costs", lambda a, b, *how: made.append(min(len(a), len(b))) or real(a, b, *how))
+    assert follow() == want and max(made) == 1
+    for _ in range(20):
+        cost = np.where(rng.random((9, 12)) < 0.4, rng.random((9, 12)), 10.0)
+        for c in (cost, cost.T):
+            got = matching.sparse_pairs(*c.shape, lambda r, c=c: (np.flatnonzero(c[r] < 10), c[r][c[r] < 10]), 10.0)
+            assert got == matching.gated_pairs(c, 10.0)
