@@ -168,3 +168,29 @@ def test_large_frames_are_tracked_without_a_matrix_of_all_pairs(monkeypatch):
         for c in (cost, cost.T):
             got = matching.sparse_pairs(*c.shape, lambda r, c=c: (np.flatnonzero(c[r] < 10), c[r][c[r] < 10]), 10.0)
             assert got == matching.gated_pairs(c, 10.0)
+
+
+def test_bands_meet_by_vector_or_by_place_and_pick_the_same(spark, monkeypatch):
+    from tracklake.operators import registry
+
+    rng = np.random.default_rng(11)
+    place = lambda n, code: [(0, i, float(x), float(y), int(c)) for i, (x, y, c) in enumerate(zip(*rng.integers(0, 60, (2, n)), rng.integers(0, code, n)))]
+    o = spark.createDataFrame(place(500, 70), "frame long, obs_id long, x double, y double, vec_id long").selectExpr("*", "obs_id AS track_id", "CAST(NULL AS long) AS team")
+    e = spark.createDataFrame(place(450, 70), "frame long, player long, x double, y double, vec_id long").selectExpr("*", "CAST(NULL AS long) AS team")
+    vectors = spark.createDataFrame([(v, rng.normal(size=8).tolist()) for v in range(70)], "vec_id long, embedding array<double>")
+    none, given = spark.createDataFrame([], "track_id long, player long"), {"reach": 40.0, "least_similarity": -0.9, "least": 0.1, "vectors": vectors}
+    scored = {(r["obs_id"], r["player"]): round(r["score"], 9) for r in registry.location_scores(o, e, **given).collect()}
+    want, used, taken = set(), set(), set()
+    for (i, p), _ in sorted(scored.items(), key=lambda x: (-x[1], x[0])):
+        if i not in used and p not in taken:
+            used.add(i), taken.add(p), want.add((i, p))
+    got = registry.locate_observations(o, e, none, most=2000, **given)
+    assert {(r["obs_id"], r["player"]) for r in got.collect()} == want and len(want) > 400
+    table = np.full((70, 70), -0.5) + 1.5 * np.eye(70)
+    side = lambda df, i: df.selectExpr(f"{i} AS id", "team", "x", "y", "vec_id AS code").toPandas()
+    f, tested = registry._Frame(side(o, "obs_id"), side(e, "player"), table, 40.0, -0.9, 0.1), []
+    real = f._counted
+    f._counted = lambda i, j, gone: tested.append(len(i)) or real(i, j, gone)
+    near = [list(f.scores(np.arange(500), np.arange(450), f.within(0.8), *more)) for more in ((), (0.8,))]
+    best = [{(int(a), int(b)) for i, j, s in got for a, b in zip(i[s >= 0.8], j[s >= 0.8])} for got in near]
+    assert best[0] == best[1] and best[0] and sum(tested[len(near[0]) :]) < sum(tested[: len(near[0])]) / 10

@@ -174,13 +174,20 @@ class _Frame:
             return self.reach
         return min(self.reach, self.reach * (2 * (0.5 + (self.top + 1) / 4 - least) + 1e-6))
 
-    def scores(self, rows: np.ndarray, columns: np.ndarray, within: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def scores(self, rows: np.ndarray, columns: np.ndarray, within: float, least: float = -np.inf) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Place of the observation, of the expected place, and score, of every pair of the given ones that counts and is not farther apart than ``within``.
 
-        Observations of a strip of x, in the order of y, meet the places that they can reach, a bounded number of pairs at a time.
+        Observations of a strip of x, in the order of y, meet the places that they can reach, a bounded number of pairs at a time. Where only scores from
+        ``least`` on are asked for and few vectors are alike enough for them, observations meet the places by their vectors instead.
         """
         if not len(rows) or not len(columns) or within < 0:
             return
+        if np.isfinite(least) and isinstance(self.similar, np.ndarray):
+            alike = self.similar >= max(self.least_similarity, 4 * least - 3 - 1e-6)
+            n, m = (np.bincount(c, minlength=len(alike)) for c in (self.ov[rows], self.ev[columns]))
+            if n @ (alike @ m) < len(rows) * len(columns) / 32:
+                yield from self._by_vector(rows, columns, within, alike)
+                return
         far = within * 1.001  # a margin, as the distance is rounded
         x = self.ox[rows]
         strip = max(within / 2, (x.max() - x.min()) * 256 / len(rows), 1e-9)
@@ -202,15 +209,36 @@ class _Frame:
                 for k in range(lo, hi, PAIRS):
                     yield from self._some(i, near[k : min(hi, k + PAIRS)], within)
 
+    def _by_vector(self, rows: np.ndarray, columns: np.ndarray, within: float, alike: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        columns = columns[np.argsort(self.ev[columns], kind="stable")]
+        m = np.bincount(self.ev[columns], minlength=len(alike))
+        alike = alike & (m > 0)
+        u, v = np.nonzero(alike)
+        per, weight = np.bincount(u, minlength=len(alike)), (alike @ m)[self.ov[rows]]
+        rows, weight = rows[weight > 0], weight[weight > 0]
+        places = lambda first, n: np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(weight) // PAIRS)) + 1) if len(rows) else []:
+            n = per[self.ov[part]]
+            code = v[places((np.cumsum(per) - per)[self.ov[part]], n)]
+            k = m[code]
+            i, j = np.repeat(np.repeat(part, n), k), columns[places((np.cumsum(m) - m)[code], k)]
+            dx, dy = self.ox[i] - self.ex[j], self.oy[i] - self.ey[j]
+            gone = np.sqrt(dx * dx + dy * dy)
+            ok = (gone <= within) & ((self.ot[i] < 0) | (self.et[j] < 0) | (self.ot[i] == self.et[j]))
+            yield self._counted(i[ok], j[ok], gone[ok])
+
     def _some(self, i: np.ndarray, j: np.ndarray, within: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         dx, dy = self.ox[i, None] - self.ex[None, j], self.oy[i, None] - self.ey[None, j]
         gone = np.sqrt(dx * dx + dy * dy)
         ti, tj = self.ot[i, None], self.et[None, j]
         at, to = np.nonzero((gone <= within) & ((ti < 0) | (tj < 0) | (ti == tj)))
-        sim = self.similar[self.ov[i[at]], self.ev[j[to]]]
-        score = 0.5 * np.maximum(0.0, 1 - gone[at, to] / self.reach) + 0.5 * (sim + 1) / 2
+        yield self._counted(i[at], j[to], gone[at, to])
+
+    def _counted(self, i: np.ndarray, j: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sim = self.similar[self.ov[i], self.ev[j]]
+        score = 0.5 * np.maximum(0.0, 1 - gone / self.reach) + 0.5 * (sim + 1) / 2
         ok = (sim >= self.least_similarity) & (score >= self.least)
-        yield i[at[ok]], j[to[ok]], score[ok]
+        return i[ok], j[ok], score[ok]
 
 
 #: Tables of at most so many vectors go to the tasks whole.
@@ -337,7 +365,7 @@ def locate_observations(
         while todo:
             high, low = todo.pop()
             band, n = [], 0
-            for i, j, score in f.scores(np.flatnonzero(~used[which]), np.flatnonzero(~taken[who]), f.within(low)):
+            for i, j, score in f.scores(np.flatnonzero(~used[which]), np.flatnonzero(~taken[who]), f.within(low), low):
                 score = np.sign(score) * np.floor(np.abs(score) * 1e9 + 0.5) / 1e9
                 ok = (score < high) & (score >= low)
                 band.append((which[i[ok]], who[j[ok]], score[ok]))
